@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,7 +113,7 @@ def read_coco(spark: SparkSession, path: str, least_side: float = 1.0) -> tuple[
     return images, boxes.select(F.col("image_id").alias("image"), "class", F.col("id").alias("gt"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), (F.coalesce("iscrowd", F.lit(0)) == 1).alias("ignore"))
 
 
-VOC = T.StructType.fromDDL("filename string, size struct<width int, height int>, object array<struct<name string, difficult int, bndbox struct<xmin double, ymin double, xmax double, ymax double>>>")
+VOC = "filename string, size struct<width int, height int>, object array<struct<name string, difficult int, bndbox struct<xmin double, ymin double, xmax double, ymax double>>>"
 
 
 def read_voc(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
@@ -143,9 +145,6 @@ def write_csv(path: str, *frames: DataFrame) -> None:
 
 def read_feature_files(spark: SparkSession, folder: str, glob: str = "*.bin") -> DataFrame:
     """(path, embedding) of binary features: four 32-bit integers (rows, columns, stride, type), then float32 values."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(content: pd.Series) -> pd.Series:
         def one(raw: bytes):
@@ -160,9 +159,6 @@ def read_feature_files(spark: SparkSession, folder: str, glob: str = "*.bin") ->
 
 def decode_float_blob(column: str):
     """Little-endian float32 vectors of a BINARY column."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(blobs: pd.Series) -> pd.Series:
         return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
