@@ -176,6 +176,15 @@ def rank_of_truth(queries: DataFrame, gallery: DataFrame, block_bytes: int = BLO
     return queries.select("query_id").join(above, "query_id", "left").select("query_id", F.when(F.col("own").isNotNull(), F.col("above") + 1).alias("rank"))
 
 
+def own_and_other(queries: DataFrame, gallery: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, own, other): the best score of each query against its own ``person_id`` and against any other; null for none."""
+    pairs = _scored(queries.select("query_id", "embedding"), gallery, _best_of_persons, block_bytes, ["vector_id", "person_id"])
+    marked = pairs.join(queries.select("query_id", F.col("person_id").alias("truth")), "query_id")
+    same = F.col("person_id") == F.col("truth")
+    best = marked.groupBy("query_id").agg(F.max(F.when(same, F.col("score"))).alias("own"), F.max(F.when(~same, F.col("score"))).alias("other"))
+    return queries.select("query_id").join(best, "query_id", "left")
+
+
 def _best_of_persons(scores, own):
     person = own[1]
     order = np.argsort(person, kind="stable")

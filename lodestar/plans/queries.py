@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import boxes as bx
 from lodestar.functions import scalars as sc
 from lodestar.functions import vectors as vec
-from lodestar.operators import clustering, detection, evaluation, search, store, templates, training
+from lodestar.operators import assignment, clustering, detection, detection_eval, evaluation, search, store, templates, training
 from lodestar.plans import fixtures as fx
 from lodestar.plans.fixtures import sql_iou, with_
 from lodestar.streaming import monitor, tracking
@@ -467,6 +467,75 @@ def a20_mark_default(spark, d):
     return detection.mark_default(fx.detections(spark, d), fx.truths(spark, d))
 
 
+@register()
+def a24_face_ap(spark, d):
+    return rounded(detection_eval.face_ap(fx.detections(spark, d), fx.truths(spark, d).withColumn("counts", ~F.col("ignore"))), "ap")
+
+
+@register()
+def a25_coco_summary(spark, d):
+    return rounded(detection_eval.coco_summary(fx.detections(spark, d), fx.truths(spark, d)), "ap", "recall")
+
+
+@register()
+def x6_merge_augmented(spark, d):
+    b = fx.detections(spark, d).withColumn("weight", F.col("score"))
+    moved = b.select("image", (F.floor(F.col("det") / 2)).alias("det"), *[F.col(c) for c in ("x1", "y1", "x2", "y2", "score", "weight")])
+    return rounded(assignment.merge_augmented(moved, "weighted"), "x1", "y1", "x2", "y2", "score")
+
+
+@register()
+def x9_approx_assign(spark, d):
+    b = fx.detections(spark, d)
+    return assignment.approx_max_iou_assign(b, b.union(b.select("image", "class", (F.col("x1") + 2).alias("x1"), "y1", (F.col("x2") + 2).alias("x2"), "y2", "score", "det").select(*b.columns)), fx.truths(spark, d))
+
+
+@register(with_("dets", "gts") + """, p AS (SELECT d.image, d.det, g.gt, (g.x2 - g.x1) * (g.y2 - g.y1) AS size, 2 * abs((d.x1 + d.x2) - (g.x1 + g.x2)) / (g.x2 - g.x1) AS u, 2 * abs((d.y1 + d.y2) - (g.y1 + g.y2)) / (g.y2 - g.y1) AS v FROM dets d JOIN gts g ON d.image = g.image),
+m AS (SELECT image, det, arg_min(gt, (size, gt)) FILTER (greatest(u, v) < 2 * 0.25) AS core, bool_or(greatest(u, v) < 2 * 0.5) AS shadow FROM p GROUP BY ALL)
+SELECT d.image, d.det, CASE WHEN core IS NOT NULL THEN core WHEN coalesce(shadow, false) THEN NULL ELSE -1 END::BIGINT AS assigned FROM dets d LEFT JOIN m USING (image, det)""")
+def x9_centre_region(spark, d):
+    return assignment.centre_region_assign(fx.detections(spark, d), fx.truths(spark, d), 0.25, 0.5)
+
+
+@register()
+def x9_grid_assign(spark, d):
+    return assignment.grid_assign(fx.detections(spark, d).withColumn("responsible", F.col("det") % 2 == 0), fx.truths(spark, d))
+
+
+@register()
+def x9_point_assign(spark, d):
+    p = fx.detections(spark, d).select("image", "det", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.col("class").alias("level"))
+    return assignment.point_assign(p, fx.truths(spark, d), nearest=3)
+
+
+@register()
+def x10_instance_balanced(spark, d):
+    return assignment.instance_balanced_sample(detection.max_iou_assign(fx.detections(spark, d), fx.truths(spark, d)), 8)
+
+
+@register()
+def x10_iou_balanced(spark, d):
+    return assignment.iou_balanced_sample(detection.max_iou_assign(fx.detections(spark, d), fx.truths(spark, d)), 9)
+
+
+@register()
+def x10_hard_examples(spark, d):
+    b = fx.detections(spark, d)
+    return assignment.hard_sample(detection.max_iou_assign(b, fx.truths(spark, d)).join(b.select("image", "det", F.col("score").alias("loss")), ["image", "det"]), 16, 0.25)
+
+
+@register()
+def x10_hierarchical_rank(spark, d):
+    return rounded(assignment.hierarchical_rank(fx.detections(spark, d)), "weight").select("image", "class", "det", "leader", "weight")
+
+
+@register()
+def x14_strict_review(spark, d):
+    q = fx.queries(spark, d).select((F.col("query_id") % 150).alias("request"), F.col("query_id").alias("position"), "query_id", "person_id", "embedding")
+    enrolled = fx.gallery(spark, d).join(fx.queries(spark, d).select(F.col("query_id").alias("vector_id")), "vector_id", "left_anti")
+    return rounded(assignment.strict_review(q, enrolled), "own", "other")
+
+
 @register()
 def a21_mark_available(spark, d):
     return detection.mark_available(fx.detections(spark, d), fx.truths(spark, d).where("not ignore"))
