@@ -198,6 +198,25 @@ def _best_of_persons(scores, own):
     return q, row, scores[row, q]
 
 
+def hub_top1(queries: DataFrame, hub: DataFrame, threshold: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The best id of ``hub (vector_id, embedding)`` for each query, or id -1 and score 0 if none reaches the threshold."""
+    hits = face_topk(queries, hub, 1, block_bytes).where(F.col("score") >= threshold)
+    out = queries.select("query_id").join(hits, "query_id", "left")
+    return out.select("query_id", F.coalesce("vector_id", F.lit(-1)).cast("long").alias("vector_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def hub_topk(queries: DataFrame, hub: DataFrame, k: int, threshold: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The top k, then the threshold."""
+    return face_topk(queries, hub, k, block_bytes).where(F.col("score") >= threshold)
+
+
+def frame_search(faces: DataFrame, gallery: DataFrame, most: int, threshold: float, **options) -> DataFrame:
+    """The ``most`` largest of ``faces (frame, query_id, area, embedding)`` in each frame, each with its best person or unknown."""
+    order = Window.partitionBy("frame").orderBy(F.desc("area"), "query_id")
+    taken = faces.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return taken.select("frame", "place", "query_id").join(identify(taken, gallery, threshold, **options), "query_id")
+
+
 def argmax_by(df: DataFrame, keys: list[str], score: Column, position: str, columns: list[str]) -> DataFrame:
     """The row of each key with the highest score, first position on ties: one aggregate, no window."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(score, -F.col(position))).alias("row")).select(*keys, "row.*")

@@ -419,3 +419,52 @@ def test_folders_and_exports(spark, tmp_path):
     assert sorted(x["identity"] for x in truth.collect()) == ["X", "Y"]
     report = files.markdown_report("R", spark.createDataFrame([("auc", 0.5), ("tar", None)], "metric string, value double"))
     assert "| auc | 0.5 |" in report and "insufficient data" in report
+
+
+def test_record_files(spark, tmp_path):
+    import struct
+
+    def record(payload):
+        return struct.pack("<II", 0xCED7230A, len(payload)) + payload + b"\0" * (-len(payload) % 4)
+
+    one_label = struct.pack("<IfQQ", 0, 7.0, 3, 0) + b"image"
+    two_labels = struct.pack("<IfQQ", 2, 0.0, 0, 0) + np.array([5, 9], "<f4").tobytes()
+    (tmp_path / "a.rec").write_bytes(record(two_labels) + record(one_label))
+    from lodestar.sources import records
+
+    got = {x["id"]: (x["labels"], bytes(x["content"])) for x in records.read_records(spark, str(tmp_path)).collect()}
+    assert got == {0: ([5.0, 9.0], b""), 3: ([7.0], b"image")}
+    (tmp_path / "b.kv").write_bytes(struct.pack("<i", 1) + b"k" + struct.pack("<i", 3) + b"val")
+    assert [(bytes(x["key"]), bytes(x["value"])) for x in records.read_pairs(spark, str(tmp_path)).collect()] == [(b"k", b"val")]
+    df = spark.range(100).select("id", (F.col("id") % 5).alias("label"))
+    records.write_records(df, str(tmp_path / "out"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 100 and back.select("shard").distinct().count() == 4
+
+
+def test_face_quality(spark):
+    points = F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((30, 40), (70, 40), (50, 58), (35, 80), (65, 80))])
+    yaw, pitch, roll = sc.landmark_pose(points)
+    row = one(spark, yaw=yaw, pitch=pitch, roll=roll, q=sc.server_quality(F.lit(0.9), F.lit(0.8), F.lit(0.5), F.lit(100.0), F.lit(80.0), yaw, pitch, roll), s=sc.sharpness(F.lit(100.0)), t=sc.trusted_vector(arr(3, 4), F.lit(2)), bad=sc.trusted_vector(arr(0, 0), F.lit(2)), f=sc.flags({"b": F.lit(True), "a": F.lit(True)}))
+    assert (row["yaw"], row["roll"]) == (0.0, 0.0) and row["pitch"] == pytest.approx(0.0, abs=1e-9)
+    assert row["q"] == pytest.approx(0.35 * 0.9 + 0.25 * 0.8 + 0.4) and row["s"] == pytest.approx(1 - math.exp(-1))
+    assert row["t"] == [0.6, 0.8] and row["bad"] is None and row["f"] == ["a", "b"]
+
+
+def test_feature_hub_and_frames(spark):
+    hub = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 2, [0.0, 1.0])], "vector_id long, person_id long, embedding array<double>")
+    q = spark.createDataFrame([(10, 1, 50.0, [0.9, 0.1]), (11, 1, 80.0, [-1.0, 0.0]), (12, 1, 10.0, [0.0, 1.0])], "query_id long, frame long, area double, embedding array<double>")
+    assert [(x["query_id"], x["vector_id"]) for x in search.hub_top1(q, hub, 0.5).orderBy("query_id").collect()] == [(10, 1), (11, -1), (12, 2)]
+    got = search.frame_search(q, hub, 2, 0.5).orderBy("place").collect()
+    assert [(x["query_id"], x["person_id"], x["status"]) for x in got] == [(11, None, "unknown"), (10, 1, "matched")]
+
+
+def test_change_feed_is_consumed_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "add", i) for i in range(10)], "seq long, op string, vector_id long")
+    rows.write.parquet(str(tmp_path / "feed"))
+    seen = []
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "feed"))
+    for _ in range(2):  # the second run finds everything acknowledged
+        query = monitor.consume_feed(stream, lambda df, k: seen.extend(r["seq"] for r in df.collect()), str(tmp_path / "cp"))
+        assert query.awaitTermination(120)
+    assert seen == list(range(10))
