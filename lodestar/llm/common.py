@@ -6,12 +6,13 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of text that a Python kernel holds at a time; one longer text is a chunk of its own.
-CHUNK_CHARS = 4 << 20
+#: Bytes of text that a Python kernel holds at a time; one longer text is a chunk of its own.
+CHUNK_BYTES = 4 << 20
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -59,23 +60,22 @@ def per_process(key: tuple, make: Callable[[], object]) -> object:
     return found[1]
 
 
-def chunked(texts: Sequence[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` characters, a whole row at least."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > start and size + n > limit:
+def chunked(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes, a whole row at least."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > limit:
             yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 Kernel = Callable[[list], Sequence[pa.Array]]
 
 
-def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], kernel: Callable[[], Kernel], keep: list[str] | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], kernel: Callable[[], Kernel], keep: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Append ``fields`` computed from whole texts, in one Arrow pass without a shuffle.
 
     ``kernel()`` runs once a task and returns a function from a list of texts (None for null) to one
@@ -96,9 +96,10 @@ def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], kernel:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = kernel()
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            for a, b in chunked(texts, chunk_chars):
-                made = f(texts[a:b])
+            text = batch.column(text_at)
+            sizes = pc.fill_null(pc.binary_length(text), 0).to_pylist()
+            for a, b in chunked(sizes, chunk_bytes):
+                made = f(text.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in kept] + list(made), names=result_names)
 
     mapped = flat.mapInArrow(run, out)
