@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = True, keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    """Append ``<name>_to_here``, the total of each of ``sums`` up to and with each row, by distinct values of ``order``.
+def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = True, keys: list[str] | None = None, ties: list[str] | None = None, maxima: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """Append ``<name>_to_here``: the total of each of ``sums`` (or greatest of ``maxima``) up to and with each row.
 
-    ``order`` (numeric, not null) must be distinct within ``keys``. The range is cut at approximate
-    quantiles into at most ``buckets`` parts; each is summed up, the totals of the parts before are
-    added as offsets (keys x buckets rows), and only within a part do rows meet in one task.
+    Rows of equal ``order`` (numeric, not null) within ``keys`` are told apart by ``ties``; without
+    those they must be distinct. The range is cut at approximate quantiles into at most ``buckets``
+    parts; each is summed up, the totals of the parts before are added as offsets (keys x buckets
+    rows), and only within a part do rows meet in one task.
     """
-    keys = keys or []
+    keys, maxima = keys or [], maxima or []
     shares = [k / buckets for k in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(order, shares, 10_000).alias("cuts")).first()["cuts"]
     bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<double>")
     part = F.size(F.filter(bounds, lambda b: b <= F.col(order).cast("double")))
     parts = df.withColumn("part", -part if descending else part)
-    totals = parts.groupBy(*keys, "part").agg(*[F.sum(c).alias(f"{c}_part") for c in sums])
+    totals = parts.groupBy(*keys, "part").agg(*[F.sum(c).alias(f"{c}_part") for c in sums], *[F.max(c).alias(f"{c}_part") for c in maxima])
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "part", *[F.coalesce(F.sum(f"{c}_part").over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums])
-    own = Window.partitionBy(*keys, "part").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    before = [F.coalesce(F.sum(f"{c}_part").over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums] + [F.max(f"{c}_part").over(earlier).alias(f"{c}_before") for c in maxima]
+    offsets = totals.select(*keys, "part", *before)
+    own = Window.partitionBy(*keys, "part").orderBy(F.desc(order) if descending else F.asc(order), *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
     out = parts.join(offsets, [*keys, "part"])
-    return out.select(*df.columns, *[(F.sum(c).over(own) + F.col(f"{c}_before")).alias(f"{c}_to_here") for c in sums])
+    here = [(F.sum(c).over(own) + F.col(f"{c}_before")).alias(f"{c}_to_here") for c in sums] + [F.greatest(F.max(c).over(own), F.col(f"{c}_before")).alias(f"{c}_to_here") for c in maxima]
+    return out.select(*df.columns, *here)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.boxes import box, iou
+from lodestar.operators.cumulative import running_totals
 from lodestar.operators.grouped import keep_by_group
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -184,26 +185,24 @@ def precision_recall(marked: DataFrame, gts: DataFrame) -> DataFrame:
     """Recall and precision of each class down the global order of score, then image, then det."""
     truths = gts.where(~F.col("ignore")) if "ignore" in gts.columns else gts
     totals = truths.groupBy("class").agg(F.count("*").alias("truths"))
-    order = Window.partitionBy("class").orderBy(F.desc("score"), "image", "det").rowsBetween(Window.unboundedPreceding, 0)
-    cum = marked.select("class", "image", "det", "score", F.sum("tp").over(order).alias("tps"), F.sum("fp").over(order).alias("fps")).join(totals, "class")
-    return cum.select("class", "image", "det", "score", "truths", (F.col("tps") / F.col("truths")).alias("recall"), (F.col("tps") / F.greatest(F.col("tps") + F.col("fps"), F.lit(1))).alias("precision"))
+    cum = running_totals(marked.select("class", "image", "det", "score", "tp", "fp"), "score", ["tp", "fp"], keys=["class"], ties=["image", "det"]).join(totals, "class")
+    tps, fps = F.col("tp_to_here"), F.col("fp_to_here")
+    return cum.select("class", "image", "det", "score", "truths", (tps / F.col("truths")).alias("recall"), (tps / F.greatest(tps + fps, F.lit(1))).alias("precision"))
 
 
 def average_precision(curve: DataFrame, mode: str = "area") -> DataFrame:
     """AP of each class of ``precision_recall``: area under the monotone envelope, or the mean over 11 recalls.
 
     At equal recall only the best precision counts, so a class is reduced to a row for each distinct
-    recall, at most its true positives, before the envelope is taken.
+    recall. Recall rises by 1 / truths at a time, so that is the width of every step over 0.
     """
-    points = curve.groupBy("class", "recall").agg(F.max("precision").alias("precision"))
+    points = curve.groupBy("class", "truths", "recall").agg(F.max("precision").alias("precision"))
     if mode == "11points":
         goals = curve.sparkSession.createDataFrame([(i / 10,) for i in range(11)], "goal double")
-        best = points.select("class").distinct().crossJoin(F.broadcast(goals)).join(points, "class").groupBy("class", "goal").agg(F.coalesce(F.max(F.when(F.col("recall") >= F.col("goal") - 1e-12, F.col("precision"))), F.lit(0.0)).alias("p"))
+        best = points.crossJoin(F.broadcast(goals)).groupBy("class", "goal").agg(F.coalesce(F.max(F.when(F.col("recall") >= F.col("goal") - 1e-12, F.col("precision"))), F.lit(0.0)).alias("p"))
         return best.groupBy("class").agg((F.sum("p") / 11).alias("ap"))
-    ahead = Window.partitionBy("class").orderBy("recall").rowsBetween(0, Window.unboundedFollowing)
-    steps = Window.partitionBy("class").orderBy("recall")
-    width = F.col("recall") - F.coalesce(F.lag("recall").over(steps), F.lit(0.0))
-    return points.withColumn("envelope", F.max("precision").over(ahead)).withColumn("width", width).groupBy("class").agg(F.sum(F.col("width") * F.col("envelope")).alias("ap"))
+    envelope = running_totals(points, "recall", [], keys=["class"], maxima=["precision"])
+    return envelope.groupBy("class").agg(F.sum(F.when(F.col("recall") > 0, F.col("precision_to_here") / F.col("truths")).otherwise(0.0)).alias("ap"))
 
 
 def eval_map(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, mode: str = "area", mark=mark_default) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.cumulative import running_totals
 from lodestar.operators.detection import BOX, iou_matrix
 
 # Fixed values of the COCO protocol.
@@ -74,9 +75,9 @@ def coco_summary(dets: DataFrame, gts: DataFrame, most: int = 100) -> DataFrame:
     for name, (low, high) in AREAS.items():
         part = real.where((size >= low) & (size <= high)).groupBy("class").agg(F.count("*").alias("truths")).withColumn("area", F.lit(name))
         counts = part if counts is None else counts.union(part)
-    order = Window.partitionBy("class", "area", "threshold").orderBy(F.desc("score"), "image", "det").rowsBetween(Window.unboundedPreceding, 0)
-    marked = coco_matches(dets, gts, most).where("tp + fp > 0")
-    cum = marked.select("class", "area", "threshold", F.sum("tp").over(order).alias("tps"), F.sum("fp").over(order).alias("fps")).join(counts, ["class", "area"])
+    keys = ["class", "area", "threshold"]
+    marked = coco_matches(dets, gts, most).where("tp + fp > 0").select(*keys, "image", "det", "score", "tp", "fp")
+    cum = running_totals(marked, "score", ["tp", "fp"], keys=keys, ties=["image", "det"]).withColumnsRenamed({"tp_to_here": "tps", "fp_to_here": "fps"}).join(counts, ["class", "area"])
     points = cum.select("class", "area", "threshold", (F.col("tps") / F.col("truths")).alias("recall"), (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision"))
     points = points.groupBy("class", "area", "threshold", "recall").agg(F.max("precision").alias("precision"))
     # a recall r is the best precision for the goals up to r: floor(100 r) is the last, and a maximum carries it down
