@@ -185,3 +185,55 @@ def gaze_vector(pitch: Column, yaw: Column) -> tuple[Column, Column, Column]:
 
 def gaze_angles(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
     return F.asin(y / F.sqrt(x * x + y * y + z * z)), F.atan2(x, z)
+
+
+def encode_landmarks(anchor: Box, points: Sequence[tuple[Column, Column]]) -> list[tuple[Column, Column]]:
+    """Landmarks as offsets from the anchor's centre over its size, under the inclusive convention."""
+    w, h = anchor[2] - anchor[0] + 1.0, anchor[3] - anchor[1] + 1.0
+    cx, cy = anchor[0] + 0.5 * (w - 1.0), anchor[1] + 0.5 * (h - 1.0)
+    return [((x - cx) / w, (y - cy) / h) for x, y in points]
+
+
+def decode_landmarks(anchor: Box, offsets: Sequence[tuple[Column, Column]]) -> list[tuple[Column, Column]]:
+    w, h = anchor[2] - anchor[0] + 1.0, anchor[3] - anchor[1] + 1.0
+    cx, cy = anchor[0] + 0.5 * (w - 1.0), anchor[1] + 0.5 * (h - 1.0)
+    return [(dx * w + cx, dy * h + cy) for dx, dy in offsets]
+
+
+def encode_inclusive(anchor: Box, target: Box) -> tuple[Column, ...]:
+    """Delta code whose sizes count both ends and whose centres are at (size - 1) / 2."""
+    size = lambda b: (b[2] - b[0] + 1.0, b[3] - b[1] + 1.0)
+    (aw, ah), (tw, th) = size(anchor), size(target)
+    centre = lambda b, w, h: (b[0] + 0.5 * (w - 1.0), b[1] + 0.5 * (h - 1.0))
+    (ax, ay), (tx, ty) = centre(anchor, aw, ah), centre(target, tw, th)
+    return (tx - ax) / (aw + 1e-14), (ty - ay) / (ah + 1e-14), F.log(tw / aw), F.log(th / ah)
+
+
+def decode_inclusive(anchor: Box, delta: Box) -> tuple[Column, ...]:
+    aw, ah = anchor[2] - anchor[0] + 1.0, anchor[3] - anchor[1] + 1.0
+    cx, cy = delta[0] * aw + anchor[0] + 0.5 * (aw - 1.0), delta[1] * ah + anchor[1] + 0.5 * (ah - 1.0)
+    w, h = F.exp(delta[2]) * aw, F.exp(delta[3]) * ah
+    return cx - 0.5 * (w - 1.0), cy - 0.5 * (h - 1.0), cx + 0.5 * (w - 1.0), cy + 0.5 * (h - 1.0)
+
+
+def encode_buckets(proposal: Box, target: Box, buckets: int, scale: float = 3.0) -> list[Column]:
+    """For each side of the target (left, right, top, bottom) the nearest bucket edge of the widened proposal and the offset from it in buckets.
+
+    The widened proposal is cut into ``buckets`` stretches on an axis; a side looks at the half it lies on.
+    Returns structs (bucket, offset).
+    """
+    p = rescale(proposal, scale)
+    out = []
+    for lo, hi, sides in ((p[0], p[2], (target[0], target[2])), (p[1], p[3], (target[1], target[3]))):
+        size, half = (hi - lo) / buckets, -(-buckets // 2)
+        for side, start, sign in ((sides[0], lo, 1), (sides[1], hi, -1)):
+            near = F.greatest(F.lit(0.0), F.least(F.lit(half - 1.0), F.round((side - start) * sign / size - 0.5)))
+            out.append(F.struct(near.cast("int").alias("bucket"), ((start + sign * (near + 0.5) * size - side) / size).alias("offset")))
+    return out
+
+
+def decode_buckets(proposal: Box, codes: Sequence[Column], buckets: int, scale: float = 3.0) -> tuple[Column, ...]:
+    p = rescale(proposal, scale)
+    w, h = (p[2] - p[0]) / buckets, (p[3] - p[1]) / buckets
+    at = lambda code, start, size, sign: start + sign * (code["bucket"] + 0.5) * size - code["offset"] * size
+    return at(codes[0], p[0], w, 1), at(codes[2], p[1], h, 1), at(codes[1], p[2], w, -1), at(codes[3], p[3], h, -1)

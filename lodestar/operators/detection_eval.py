@@ -127,3 +127,12 @@ def face_ap(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, steps: int
     ahead = Window.orderBy("step").rowsBetween(0, Window.unboundedFollowing)
     width = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy("step")), F.lit(0.0))
     return curve.withColumn("width", width).withColumn("envelope", F.max("precision").over(ahead)).agg(F.coalesce(F.sum(F.col("width") * F.col("envelope")), F.lit(0.0)).alias("ap"))
+
+
+def evaluate_each(parts: dict[str, tuple[DataFrame, DataFrame]], evaluate) -> DataFrame:
+    """``evaluate(dets, gts)`` of each named dataset, as one table with the column ``dataset``."""
+    out = None
+    for name, (dets, gts) in parts.items():
+        one = evaluate(dets, gts).withColumn("dataset", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -91,3 +91,23 @@ def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     marked = rows.withColumn("new", (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")).withColumn("run", F.sum("new").over(w))
     return marked.groupBy(key, "run").agg(F.first(value).alias(value), F.count("*").alias("length"))
+
+
+def grouped_batches(rows: DataFrame, batch: int, seed: int = 0) -> DataFrame:
+    """``rows (id, group)`` in batches of one group each: a seeded order, filled up to a whole batch from its start."""
+    own = Window.partitionBy("group")
+    ranked = rows.withColumn("r", F.row_number().over(own.orderBy(F.xxhash64("id", F.lit(seed)), "id")) - 1).withColumn("n", F.count("*").over(own))
+    total = F.ceil(F.col("n") / batch) * batch
+    places = F.sequence(F.col("r").cast("long"), (total - 1).cast("long"), F.col("n").cast("long"))
+    return ranked.withColumn("place", F.explode(places)).select("id", "group", F.floor(F.col("place") / batch).alias("batch"), (F.col("place") % batch).alias("slot"))
+
+
+def replica_of(rows: DataFrame, replicas: int, seed: int = 0, buckets: int = 64) -> DataFrame:
+    """``rows (id)`` dealt to replicas in a seeded order, as many rows each: the first rows are dealt again to fill up."""
+    from lodestar.operators.cumulative import running_totals
+
+    keyed = rows.withColumn("key", F.xxhash64("id", F.lit(seed)).cast("double"))
+    ranked = running_totals(keyed.withColumn("one", F.lit(1)), "key", ["one"], descending=False, ties=["id"], buckets=buckets).withColumn("place", F.col("one_to_here") - 1)
+    n = F.lit(rows.count())
+    places = F.sequence(F.col("place").cast("long"), (F.ceil(n / replicas) * replicas - 1).cast("long"), n.cast("long"))
+    return ranked.withColumn("place", F.explode(places)).select("id", (F.col("place") % replicas).cast("int").alias("replica"), F.floor(F.col("place") / replicas).alias("step"))

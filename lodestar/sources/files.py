@@ -171,3 +171,28 @@ def markdown_report(title: str, metrics: DataFrame, most: int = 1000) -> str:
     rows = metrics.limit(most).collect()
     lines = [f"| {r['metric']} | {'insufficient data' if r['value'] is None else f'{r['value']:.6g}'} |" for r in rows]
     return "\n".join([f"# {title}", "", "| metric | value |", "|-|-|", *lines, ""])
+
+
+def read_face_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Folders ``event/image.txt`` of a name, a count and rows ``x y w h score``: detections by image, in file order."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").withColumn("file", F.input_file_name())
+    lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    parts = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double"))
+    rows = lines.where((F.col("line") >= 2) & (F.size(F.split(F.trim("value"), r"\s+")) >= 5)).select("file", F.col("line").cast("long").alias("line"), parts.alias("n"))
+    n = lambda i: F.element_at("n", F.lit(i))
+    path = F.split("file", "/")
+    return rows.select(F.element_at(path, -2).alias("event"), F.regexp_replace(F.element_at(path, -1), r"\.txt$", "").alias("image"), (F.col("line") - 2).alias("det"), n(1).alias("x1"), n(2).alias("y1"), (n(1) + n(3)).alias("x2"), (n(2) + n(4)).alias("y2"), n(5).alias("score"))
+
+
+def html_report(title: str, metrics: DataFrame, most: int = 1000) -> str:
+    """An HTML table of ``metrics (metric, value)``, at most ``most`` rows."""
+    from html import escape
+
+    cells = [f"<tr><td>{escape(str(r['metric']))}</td><td>{'insufficient data' if r['value'] is None else f'{r['value']:.6g}'}</td></tr>" for r in metrics.limit(most).collect()]
+    return f"<!doctype html><title>{escape(title)}</title><h1>{escape(title)}</h1><table>{''.join(cells)}</table>\n"
+
+
+def json_report(metrics: DataFrame, most: int = 1000) -> str:
+    import json
+
+    return json.dumps({r["metric"]: r["value"] for r in metrics.limit(most).collect()}, sort_keys=True)

@@ -85,3 +85,44 @@ def test_point_assignment_takes_the_nearest(spark):
     gts = spark.createDataFrame([(1, 0, 7, 0.0, 0.0, 8.0, 10.0, False)], GTS)
     got = {x["det"]: x["assigned"] for x in assignment.point_assign(points, gts, nearest=3).collect()}
     assert {k for k, v in got.items() if v == 7} == {3, 4, 5}
+
+
+def test_landmark_and_bucket_codes_are_inverse(spark):
+    from lodestar.functions import boxes as bx
+
+    a, b = tuple(F.lit(float(x)) for x in (10, 20, 50, 80)), tuple(F.lit(float(x)) for x in (14, 18, 61, 90))
+    ((x, y),) = bx.decode_landmarks(a, bx.encode_landmarks(a, [(F.lit(33.0), F.lit(44.0))]))
+    codes = bx.encode_buckets(a, b, 14)
+    row = spark.range(1).select(x.alias("x"), y.alias("y"), F.array(*bx.decode_inclusive(a, bx.encode_inclusive(a, b))).alias("d"), F.array(*bx.decode_buckets(a, codes, 14)).alias("k"), codes[0]["offset"].alias("o")).first()
+    assert (row["x"], row["y"]) == pytest.approx((33, 44)) and row["d"] == pytest.approx([14, 18, 61, 90]) and row["k"] == pytest.approx([14, 18, 61, 90]) and abs(row["o"]) <= 0.5
+
+
+def test_batches_and_replicas_are_full(spark):
+    from lodestar.operators import training
+
+    rows = spark.createDataFrame([(i, i % 3 if i < 20 else 5) for i in range(21)], "id long, group long")
+    got = training.grouped_batches(rows, 4).collect()
+    assert all(n == 4 for n in {(x["group"], x["batch"]): sum((y["group"], y["batch"]) == (x["group"], x["batch"]) for y in got) for x in got}.values())
+    assert {x["id"] for x in got} == set(range(21)) and len({x["group"] for x in got if x["id"] == 20}) == 1
+    dealt = training.replica_of(rows, 4, buckets=3).collect()
+    assert [sum(x["replica"] == r for x in dealt) for r in range(4)] == [6] * 4 and {x["id"] for x in dealt} == set(range(21))
+
+
+def test_prediction_folders_and_reports(spark, tmp_path):
+    from lodestar.sources import files
+
+    (tmp_path / "p" / "0--Parade").mkdir(parents=True)
+    (tmp_path / "p" / "0--Parade" / "a_1.txt").write_text("0--Parade/a_1.jpg\n2\n1 2 3 4 0.9\n5 6 7 8 0.5\n")
+    got = files.read_face_predictions(spark, str(tmp_path / "p")).orderBy("det").collect()
+    assert [(x["event"], x["image"], x["det"], x["x2"], x["score"]) for x in got] == [("0--Parade", "a_1", 0, 4.0, 0.9), ("0--Parade", "a_1", 1, 12.0, 0.5)]
+    metrics = spark.createDataFrame([("a<b", 0.25)], "metric string, value double")
+    assert "a&lt;b</td><td>0.25" in files.html_report("T", metrics) and files.json_report(metrics) == '{"a<b": 0.25}'
+
+
+def test_datasets_are_evaluated_apart(spark):
+    from lodestar.operators.detection import eval_map
+
+    gts = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 9.0, 9.0, False)], GTS)
+    dets = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 9.0, 9.0, 0.5)], DETS)
+    out = detection_eval.evaluate_each({"a": (dets, gts), "b": (dets.limit(0), gts)}, eval_map).collect()
+    assert {x["dataset"]: x["ap"] for x in out} == {"a": pytest.approx(1.0), "b": 0.0}
