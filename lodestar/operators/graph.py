@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its component) that connect what the edges (a, b) connect: fewer than there are nodes."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while len(i):
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        apart = low != high
+        i, j = i[apart], j[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    child = np.nonzero(label != np.arange(len(nodes)))[0]
+    return nodes[child], nodes[label[child]]
+
+
 def ensure_checkpoint_dir(spark) -> None:
     """Use the shared folder that the cluster names; a fixed one where none is set."""
     if not spark.sparkContext.getCheckpointDir():

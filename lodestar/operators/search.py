@@ -36,11 +36,15 @@ def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator
             yield part.column("query_id").to_numpy(), _matrix(part.column("embedding").combine_chunks())
 
 
-def _scored(queries: DataFrame, gallery: DataFrame, best_of, block_bytes: int, columns: list[str]) -> DataFrame:
-    """Rows (query_id, *columns, score) of what ``best_of(scores, columns)`` keeps of each batch of the gallery."""
+def blocked(queries: DataFrame, gallery: DataFrame, columns: list[str], kernel, schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that ``kernel(query ids, scores, columns)`` makes of each batch of the gallery and each block of queries.
+
+    ``scores`` is (rows of the batch, queries of the block); ``columns`` are arrays of the batch's rows.
+    The kernel returns one array for each field of ``schema``, and so decides what leaves the task.
+    """
     spark, out = gallery.sparkSession, None
     gallery = gallery.where("embedding is not null").select(*columns, "embedding")
-    schema = ", ".join(["query_id long", *(f"{c} long" for c in columns), "score double"])
+    names = [f.split()[0] for f in schema.split(", ")]
     for ids, vectors in query_blocks(queries, block_bytes):
         block = spark.sparkContext.broadcast((ids, vectors))
 
@@ -50,14 +54,24 @@ def _scored(queries: DataFrame, gallery: DataFrame, best_of, block_bytes: int, c
                 for start in range(0, batch.num_rows, 2048):
                     part = batch.slice(start, 2048)
                     own = [part.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]
-                    q, row, score = best_of(_matrix(part.column(len(columns))) @ vectors.T, own)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), *(pa.array(c[row]) for c in own), pa.array(score)], names=["query_id", *columns, "score"])
+                    made = kernel(ids, _matrix(part.column(len(columns))) @ vectors.T, own)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=names)
 
         made = gallery.mapInArrow(run, schema)
         out = made if out is None else out.union(made)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def _scored(queries: DataFrame, gallery: DataFrame, best_of, block_bytes: int, columns: list[str]) -> DataFrame:
+    """Rows (query_id, *columns, score) of what ``best_of(scores, columns)`` keeps of each batch of the gallery."""
+
+    def kernel(ids, scores, own):
+        q, row, score = best_of(scores, own)
+        return [ids[q], *(c[row] for c in own), score]
+
+    return blocked(queries, gallery, columns, kernel, ", ".join(["query_id long", *(f"{c} long" for c in columns), "score double"]), block_bytes)
+
+
 def _top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of the k best rows of each column: score descending, id ascending."""
     order = np.argsort(ids, kind="stable")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import dot, normalize, squared_l2
+from lodestar.operators.cumulative import running_totals
 
 
 def drop_noise(samples: DataFrame, centres: DataFrame, degrees: float = 75.0) -> DataFrame:
@@ -21,8 +22,6 @@ def drop_noise(samples: DataFrame, centres: DataFrame, degrees: float = 75.0) ->
     votes = scored.groupBy("id", "label").agg(F.max_by("sub", F.struct("cos", -F.col("sub"))).alias("sub")).groupBy("label", "sub").agg(F.count("*").alias("votes"))
     dominant = votes.groupBy("label").agg(F.max_by("sub", F.struct("votes", -F.col("sub"))).alias("sub"))
     kept = scored.join(dominant, ["label", "sub"]).where(F.col("cos") > math.cos(math.radians(degrees)))
-    from lodestar.operators.cumulative import running_totals
-
     labels = running_totals(kept.select("label").distinct().withColumn("one", F.lit(1)), "label", ["one"], descending=False)
     return kept.join(labels, "label").select("id", "label", (F.col("one_to_here") - 1).cast("long").alias("new_label"))
 
@@ -74,11 +73,15 @@ def shuffled(rows: DataFrame, id_col: str, seed: int, shards: int) -> DataFrame:
 
 
 def identity_balanced(samples: DataFrame, per_identity: int, seed: int = 0) -> DataFrame:
-    """Exactly ``per_identity`` rows of each label: a seeded order, repeated from its start where a label has fewer."""
-    size = Window.partitionBy("label")
-    ranked = samples.withColumn("r", F.row_number().over(size.orderBy(F.xxhash64("id", F.lit(seed)), "id")) - 1).withColumn("n", F.count("*").over(size))
-    turns = F.when(F.col("r") < per_identity, F.ceil((F.lit(per_identity) - F.col("r")) / F.col("n")))
-    return ranked.where(F.col("r") < per_identity).withColumn("copy", F.explode(F.sequence(F.lit(1), turns.cast("int")))).drop("r", "n")
+    """Exactly ``per_identity`` rows of each label: a seeded order, repeated from its start where a label has fewer.
+
+    The rank limit applies before the shuffle too, so a label of any size sends a few rows a task.
+    """
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    ranked = samples.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_identity)
+    sizes = samples.groupBy("label").agg(F.count("*").alias("n"))
+    turns = F.ceil((F.lit(per_identity + 1) - F.col("r")) / F.col("n"))
+    return ranked.join(sizes, "label").withColumn("copy", F.explode(F.sequence(F.lit(1), turns.cast("int")))).drop("r", "n")
 
 
 def dataset_properties(records: DataFrame) -> DataFrame:
@@ -93,19 +96,19 @@ def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return marked.groupBy(key, "run").agg(F.first(value).alias(value), F.count("*").alias("length"))
 
 
-def grouped_batches(rows: DataFrame, batch: int, seed: int = 0) -> DataFrame:
+def grouped_batches(rows: DataFrame, batch: int, seed: int = 0, buckets: int = 64) -> DataFrame:
     """``rows (id, group)`` in batches of one group each: a seeded order, filled up to a whole batch from its start."""
-    own = Window.partitionBy("group")
-    ranked = rows.withColumn("r", F.row_number().over(own.orderBy(F.xxhash64("id", F.lit(seed)), "id")) - 1).withColumn("n", F.count("*").over(own))
+    keyed = rows.withColumn("key", F.xxhash64("id", F.lit(seed)).cast("double")).withColumn("one", F.lit(1))
+    ranked = running_totals(keyed, "key", ["one"], descending=False, keys=["group"], ties=["id"], buckets=buckets)
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
     total = F.ceil(F.col("n") / batch) * batch
-    places = F.sequence(F.col("r").cast("long"), (total - 1).cast("long"), F.col("n").cast("long"))
-    return ranked.withColumn("place", F.explode(places)).select("id", "group", F.floor(F.col("place") / batch).alias("batch"), (F.col("place") % batch).alias("slot"))
+    places = F.sequence((F.col("one_to_here") - 1).cast("long"), (total - 1).cast("long"), F.col("n").cast("long"))
+    placed = ranked.join(sizes, "group").withColumn("place", F.explode(places))
+    return placed.select("id", "group", F.floor(F.col("place") / batch).alias("batch"), (F.col("place") % batch).alias("slot"))
 
 
 def replica_of(rows: DataFrame, replicas: int, seed: int = 0, buckets: int = 64) -> DataFrame:
     """``rows (id)`` dealt to replicas in a seeded order, as many rows each: the first rows are dealt again to fill up."""
-    from lodestar.operators.cumulative import running_totals
-
     keyed = rows.withColumn("key", F.xxhash64("id", F.lit(seed)).cast("double"))
     ranked = running_totals(keyed.withColumn("one", F.lit(1)), "key", ["one"], descending=False, ties=["id"], buckets=buckets).withColumn("place", F.col("one_to_here") - 1)
     n = F.lit(rows.count())

@@ -242,6 +242,22 @@ def test_dbscan_border_and_noise(spark):
     assert core == {1, 2, 3, 5, 6, 7} and got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: -1, 9: -1}
 
 
+@pytest.mark.parametrize("block_bytes", [256, 1 << 20])
+def test_dbscan_matches_plain_code(spark, block_bytes):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(90, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    core = near.sum(axis=1) >= 5
+    label = {i: i for i in range(90) if core[i]}
+    for _ in range(90):
+        label = {i: min(label[j] for j in label if near[i, j]) for i in label}
+    want = {i: label.get(i, min((label[j] for j in label if near[i, j]), default=-1)) for i in range(90)}
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in range(90)], "id long, embedding array<double>").repartition(3)
+    got = {y["id"]: y["cluster"] for y in clustering.dbscan(v, 0.9, 5, block_bytes).collect()}
+    assert got == want and -1 in want.values() and len(set(want.values())) > 2
+
+
 def test_two_clusters_and_albums(spark):
     v = spark.createDataFrame([(0, 7, [1.0, 0.0]), (1, 7, [0.98, 0.08]), (2, 8, [0.0, 1.0]), (3, 9, [0.08, 0.98]), (4, 9, [-1.0, 0.0])], "id long, photo long, embedding array<double>")
     clusters = clustering.numbered(clustering.dbscan(v.select("id", "embedding"), 0.9, 2))
