@@ -73,7 +73,7 @@ def t4_best_other_person(spark, d):
 
 
 @register(with_("gallery") + """, queries AS (SELECT vector_id AS query_id, person_id, embedding AS query FROM gallery WHERE vector_id % 50 = 0),
-pairs AS (SELECT query_id, q.person_id AS own, vector_id, g.person_id, list_inner_product(query, embedding) AS score FROM queries q, gallery g WHERE g.vector_id % 50 <> 0), """ + GROUPED + """
+pairs AS (SELECT query_id, q.person_id AS own, vector_id, g.person_id, list_inner_product(query, embedding) AS score FROM queries q, gallery g WHERE g.vector_id NOT IN (SELECT query_id FROM queries)), """ + GROUPED + """
 SELECT query_id, CASE WHEN score >= 0.4 THEN person_id END AS person_id, round(greatest(-1, least(1, score)), 6) AS score, CASE WHEN score >= 0.4 THEN 'matched' ELSE 'unknown' END AS status FROM ranked WHERE rank = 1""")
 def t6_identify(spark, d):
     enrolled = fx.gallery(spark, d).join(fx.queries(spark, d).select(F.col("query_id").alias("vector_id")), "vector_id", "left_anti")
@@ -90,13 +90,18 @@ def t9_label_vote(spark, d):
     return search.label_vote(fx.queries(spark, d), g, 20, 0.2).withColumnRenamed("person_id", "label")
 
 
-@register(with_("raised1", "planted") + """, best AS (SELECT q.vec_id AS query_id, q.label AS truth, g.label, max(list_inner_product(q.e, g.e)) AS score FROM planted q, planted g WHERE q.vec_id % 50 = 0 AND g.vec_id % 50 <> 0 GROUP BY ALL),
+def _probes_and_rest(spark, d):
+    """The stated queries as probes, and all other vectors as their gallery."""
+    v = fx.planted(spark, d, 1.0).select(F.col("vec_id").alias("vector_id"), F.col("label").alias("person_id"), "embedding")
+    probes = v.where("vector_id % 50 = 0").withColumnRenamed("vector_id", "query_id")
+    return probes, v.join(probes.select(F.col("query_id").alias("vector_id")), "vector_id", "left_anti")
+
+
+@register(with_("raised1", "planted") + """, best AS (SELECT q.vec_id AS query_id, q.label AS truth, g.label, max(list_inner_product(q.e, g.e)) AS score FROM planted q, planted g WHERE q.vec_id % 50 = 0 AND g.vec_id NOT IN (SELECT vec_id FROM planted WHERE vec_id % 50 = 0) GROUP BY ALL),
 own AS (SELECT query_id, score AS own FROM best WHERE truth = label)
 SELECT query_id, 1 + count(*) FILTER (score > own) AS rank FROM best JOIN own USING (query_id) GROUP BY query_id""")
 def t14_rank_of_truth(spark, d):
-    v = fx.planted(spark, d, 1.0).select(F.col("vec_id").alias("vector_id"), F.col("label").alias("person_id"), "embedding")
-    probes = v.where("vector_id % 50 = 0").withColumnRenamed("vector_id", "query_id")
-    return search.rank_of_truth(probes, v.where("vector_id % 50 <> 0"))
+    return search.rank_of_truth(*_probes_and_rest(spark, d))
 
 
 @register(with_("gallery") + "SELECT a.vector_id AS a, b.vector_id AS b, round(list_inner_product(a.embedding, b.embedding), 6) AS score FROM gallery a JOIN gallery b ON a.vector_id < b.vector_id AND list_inner_product(a.embedding, b.embedding) >= 0.4")
@@ -195,9 +200,8 @@ def a15_kfold_val(spark, d):
 
 
 def _probe_scores(spark, d):
-    v = fx.planted(spark, d, 1.0).select(F.col("vec_id").alias("vector_id"), F.col("label").alias("person_id"), "embedding")
-    probes = v.where("vector_id % 50 = 0").withColumnRenamed("vector_id", "query_id")
-    hits = search.grouped_topk(probes, v.where("vector_id % 50 <> 0"), 2).join(probes.select("query_id", F.col("person_id").alias("own")), "query_id")
+    probes, rest = _probes_and_rest(spark, d)
+    hits = search.grouped_topk(probes, rest, 2).join(probes.select("query_id", F.col("person_id").alias("own")), "query_id")
     truth = F.when(F.col("own") < 7, F.col("own"))
     wrong = F.max(F.when(F.col("person_id") != F.col("own"), F.col("score")))
     return hits.groupBy("query_id", truth.alias("truth")).agg(F.min_by("person_id", "rank").alias("best"), F.max("score").alias("score"), wrong.alias("wrong_score"))
@@ -208,7 +212,7 @@ def a12_open_set(spark, d):
     return rounded(evaluation.open_set(_probe_scores(spark, d), [0.01, 0.1, 0.5]), "threshold", "tar", "far")
 
 
-@register(with_("raised1", "planted") + """, pairs AS (SELECT q.vec_id AS query_id, q.label AS truth, g.label, list_inner_product(q.e, g.e) AS score FROM planted q, planted g WHERE q.vec_id % 50 = 0 AND g.vec_id % 50 <> 0),
+@register(with_("raised1", "planted") + """, pairs AS (SELECT q.vec_id AS query_id, q.label AS truth, g.label, list_inner_product(q.e, g.e) AS score FROM planted q, planted g WHERE q.vec_id % 50 = 0 AND g.vec_id NOT IN (SELECT vec_id FROM planted WHERE vec_id % 50 = 0)),
 best AS (SELECT query_id, truth, label, max(score) AS score FROM pairs GROUP BY ALL), own AS (SELECT query_id, score AS own FROM best WHERE truth = label), ranks AS (SELECT query_id, 1 + count(*) FILTER (score > own) AS rank FROM best JOIN own USING (query_id) GROUP BY query_id)
 SELECT round(count(*) FILTER (rank <= 1) / count(*), 6) AS rank_1, round(count(*) FILTER (rank <= 5) / count(*), 6) AS rank_5, round(count(*) FILTER (rank <= 10) / count(*), 6) AS rank_10 FROM ranks""")
 def a13_rank_rates(spark, d):
@@ -645,9 +649,10 @@ def w6_runs(spark, d):
     return training.runs(fx.table(spark, d, "events"), "user_id", "event_id", "event_type")
 
 
-@register("""SELECT (least(floor((n_chars - 0) / 400.0), 9))::INT AS bin, count(*) AS n FROM documents WHERE n_chars BETWEEN 0 AND 4000 GROUP BY 1""")
+@register("""WITH r AS (SELECT min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi FROM documents)
+SELECT least(floor((n_chars - lo) / ((hi - lo) / 10)), 9)::INT AS bin, count(*) AS n FROM documents, r GROUP BY 1""")
 def a30_histogram(spark, d):
-    return templates.norm_histogram(fx.table(spark, d, "documents").select(F.col("n_chars").alias("value")), 0.0, 4000.0, 10)
+    return templates.histogram(fx.table(spark, d, "documents").select(F.col("n_chars").alias("value")), 10)
 
 
 # streams
