@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python kernel holds at a time; one longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch that the JVM hands to a kernel: rows alone don't bound a batch of texts.
+BATCH_BYTES = 8 << 20
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -48,16 +50,16 @@ class SharedFile:
         return self._data.value
 
 
-_PER_PROCESS: dict[tuple, object] = {}
+_HELD: list[tuple[tuple, object]] = []
 
 
 def per_process(key: tuple, make: Callable[[], object]) -> object:
-    """What ``make`` returns, kept for later tasks of this Python worker; one value for each ``key[0]``."""
-    slot = key[:1]
-    found = _PER_PROCESS.get(slot)
-    if found is None or found[0] != key:
-        found = _PER_PROCESS[slot] = (key, make())
-    return found[1]
+    """What ``make`` returns, held for later tasks of this Python worker. One value is held: workers
+    live on from stage to stage, and what an earlier stage needed would take the memory of the next."""
+    if not _HELD or _HELD[0][0] != key:
+        _HELD.clear()
+        _HELD.append((key, make()))
+    return _HELD[0][1]
 
 
 def chunked(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -72,6 +74,13 @@ def chunked(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         yield start, len(sizes)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Set the session's bytes of an Arrow batch to BATCH_BYTES, unless they are set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1") == "1":  # unset: a default must be a valid size
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 Kernel = Callable[[list], Sequence[pa.Array]]
 
 
@@ -82,6 +91,7 @@ def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], kernel:
     Arrow array for each field. ``keep`` names the columns that go through (default: all); a kept
     column of the name of a new field is replaced by it.
     """
+    _bound_batches(df.sparkSession)
     names = df.columns
     at = names.index(text_col)
     new = {f.name for f in fields}
