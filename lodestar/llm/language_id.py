@@ -129,22 +129,28 @@ def held_out(id_col: Column) -> Column:
 def train_languages(df: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, max_chars: int = 50_000, max_languages: int = 200, rounds: int = 3):
     """Fit piece probabilities; returns a factory of the model for the workers.
 
-    Learns from at most ``per_language`` rows of each language, those of the least hash of the id
-    among rows with a language, an id outside the held-out fold and up to ``max_chars`` characters of
-    text. The words of that bounded sample are counted by Spark, and EM runs on the driver. Over
-    ``max_languages`` languages are an error. Ids only are ranked; the texts of the chosen are read
-    in a second pass.
+    Draws at most ``per_language`` rows of each language, those of the least hash of the id among rows
+    with a language and an id outside the held-out fold, and learns from those of up to ``max_chars``
+    characters of text. A language's count gives the share of its hashes that holds about half as many
+    again, and only rows within it are ranked, so no task ranks all rows of one. The words of the
+    sample are counted by Spark in a second pass over the text, and EM runs on the driver. Over
+    ``max_languages`` languages are an error.
     """
     spark = df.sparkSession
     rows = pick(df, id=id_col, lang=lang_col, text=text_col)
-    usable = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")) & (F.length("text") <= max_chars))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), F.col("id").cast("string"))
-    chosen = usable.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", F.col("id").cast("string").alias("id")).collect()
+    ids = rows.select("lang", F.col("id").cast("string").alias("id")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"over {max_languages} languages")
+    chosen = []
+    if sizes:
+        share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 1.5 * (per_language + 50) / r["n"])])[F.col("lang")]
+        place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(2**53))
+        order = Window.partitionBy("lang").orderBy("place", "id")
+        near = ids.withColumn("place", place).where(F.col("place") <= share)
+        chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "id").collect()
     languages = sorted({r["lang"] for r in chosen})
-    if len(languages) > max_languages:
-        raise ValueError(f"{len(languages)} languages; at most {max_languages}")
-    ids = sorted({r["id"] for r in chosen})
-    sample = usable.where(F.col("id").cast("string").isin(ids))
+    sample = rows.where(F.col("id").cast("string").isin(sorted({r["id"] for r in chosen})) & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
 
     def count(batches):
         for batch in batches:
@@ -165,8 +171,7 @@ def train_languages(df: DataFrame, vocabulary: str, text_col: str = "text", lang
     key = (file.key, uuid.uuid4().hex)
 
     def make() -> UnigramLanguages:
-        trie = per_process(("pieces", file.key), lambda: PieceTrie(tiktoken_pieces(file.data)))
-        return per_process(("languages", *key), lambda: UnigramLanguages(trie, languages, probs.value))
+        return per_process(("languages", *key), lambda: UnigramLanguages(PieceTrie(tiktoken_pieces(file.data)), languages, probs.value))
 
     return make
 
