@@ -103,4 +103,4 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     rows = rows.withColumn("sa", spaced("a")).withColumn("sb", spaced("b"))
     named = F.array_compact(F.array(*[F.when(F.col("sa").rlike(rule) | F.col("sb").rlike(rule), F.lit(name)) for name, rule in RULES]))
-    return rows.select(F.col("id").alias(id_col), F.col("a").alias("sentence_ids"), F.col("b").alias("line_ids"), F.when(F.size("b") > 0, named).otherwise(none).alias("licenses"))
+    return rows.select(F.col("id").alias(id_col), F.col("a").alias("sentence_ids"), F.col("b").alias("line_ids"), F.when((F.size("a") > 0) | (F.size("b") > 0), named).otherwise(none).alias("licenses"))

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -22,7 +23,7 @@ from lodestar.llm.components import connected_components
 from lodestar.llm.decontaminate import Windows, drop_contaminated, find_benchmark
 from lodestar.llm.embedding_dedup import embedding_near_duplicates, linked
 from lodestar.llm.language_id import UnigramLanguages, predict_languages, train_languages
-from lodestar.llm.queries import BPE_FILE, BPE_RANKS, MULTI_RANKS, QUERIES
+from lodestar.llm.queries import BPE_FILE, BPE_RANKS, MULTI_RANKS, ORACLES, QUERIES
 from lodestar.llm.secret_scan import SecretScanner, redact_secrets, scan_secrets
 from lodestar.llm.sharding import shard_documents
 from lodestar.llm.simhash import keep_one_of_each, simhash_links, simhash_near_duplicates
@@ -421,6 +422,23 @@ def test_license_rules(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+WRAPPED = {
+    "This work is licensed under the GNU General\nPublic License, version 3.": "GPL-3.0",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n" + licenses.SENTENCES["bsd-warranty"][0].replace(" AND ", "\nAND ") + ".": "BSD-2-Clause",
+    "Licensed under the Apache\nLicense, Version 2.0.": "Apache-2.0",
+    "no licence\nat all": "",
+}
+
+
+def test_op10_finds_wrapped_notices_as_its_sql_does(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op10_license_scan"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [x["licenses"] for x in got] == list(WRAPPED.values())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert [tuple(x) for x in got] == con.execute(ORACLES["op10_license_scan"] + " ORDER BY doc_id").fetchall()
+
+
 def test_license_rules_need_an_anchored_sentence():
     of = defaultdict(list)
     for sentence, name in licenses.dictionary().items():
