@@ -39,8 +39,8 @@ def _segments(role: Column, body: Column) -> Column:
 
 
 def render(turns: Column, level: int) -> Column:
-    """Segments of all turns. Level 0 escapes nothing, 1 the texts with a control string or a backslash, 2 all."""
-    body = (lambda t: t, lambda t: F.when(t.rlike(CONTROL), escape(t)).otherwise(t), escape)[level]
+    """Segments of all turns. Level 1 escapes the texts with a control string or a backslash, 2 all."""
+    body = {1: lambda t: F.when(t.rlike(CONTROL), escape(t)).otherwise(t), 2: escape}[level]
     return F.flatten(F.transform(turns, lambda t: _segments(t["role"], body(t["text"]))))
 
 
@@ -66,11 +66,12 @@ def parse(formatted: Column) -> Column:
 def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A row for each conversation: its id, ``formatted``, ``segments`` and ``turns``.
 
-    Texts are rendered as they are; if the parser doesn't give back the very turns, those with control
-    strings or backslashes are escaped; if it still doesn't, all are, which always reads back. So most
-    conversations hold no code at all, and ``parse(formatted)`` equals the source for every one.
+    Every text with a control string or a backslash is escaped, others are rendered as they are; if the
+    parser doesn't give back the very turns, all are escaped, which always reads back. So no text holds
+    a raw control string, and ``parse(formatted)`` equals the source for every conversation.
     ``segments`` is an array of (text, loss) whose texts join to ``formatted``; loss is true for the
-    bodies of assistant turns. ``turns`` is what the parser reads back from ``formatted``.
+    bodies of assistant turns, of which ``unescape`` gives the source. ``turns`` is what the parser
+    reads back from ``formatted``.
 
     Rows are taken in order of turn, then role, then text; a null turn number comes first, a null role
     or text is the empty string, repeated rows are turns of their own, and rows of null id are one
@@ -81,8 +82,7 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     grouped = rows.groupBy("id").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
     grouped = grouped.select("id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
-    for level in (0, 1):
-        grouped = grouped.withColumn(f"s{level}", render(F.col("source"), level)).withColumn(f"same{level}", parse(joined(F.col(f"s{level}"))) == F.col("source"))
-    segments = F.when(F.col("same0"), F.col("s0")).when(F.col("same1"), F.col("s1")).otherwise(render(F.col("source"), 2))
+    grouped = grouped.withColumn("s1", render(F.col("source"), 1)).withColumn("same1", parse(joined(F.col("s1"))) == F.col("source"))
+    segments = F.when(F.col("same1"), F.col("s1")).otherwise(render(F.col("source"), 2))
     out = grouped.select("id", segments.alias("segments")).withColumn("formatted", joined(F.col("segments")))
     return out.select(F.col("id").alias(conv_col), "formatted", "segments", parse(F.col("formatted")).alias("turns"))

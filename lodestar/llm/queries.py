@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import licenses
 from lodestar.llm.bpe import round_trip
-from lodestar.llm.chat_format import CODES, CONTROL, MARKS, OTHER, format_conversations
+from lodestar.llm.chat_format import CODES, CONTROL, MARKS, OTHER, format_conversations, unescape
 from lodestar.llm.common import table
 from lodestar.llm.decontaminate import contaminated, find_benchmark
 from lodestar.llm.embedding_dedup import embedding_near_duplicates
@@ -62,7 +62,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
     made = format_conversations(rows.unionByName(hard))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return made.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 

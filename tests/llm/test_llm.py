@@ -318,6 +318,20 @@ def test_chat_round_trip_and_escapes(spark):
     assert format_conversations(df.limit(0)).count() == 0
 
 
+def test_op7_escapes_lone_control_strings_as_its_sql_does(spark, tmp_path):
+    texts = ["use <s> here", "</s>", "[INST]", "\\alpha", "C:\\dir", "<<SYS>>", "[ROLE x", "plain < [ ]", None]
+    rows = [(2 * i + k, t, role, text) for i, x in enumerate(texts) for k, role in enumerate(("user", "assistant")) for t, text in enumerate((x, "plain"))]
+    rows += [(100, t, ("user", "assistant", "tool]")[t % 3], x) for t, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op7_chat_format"](spark, str(tmp_path)).orderBy("conv_id").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert [tuple(x) for x in got] == con.execute(ORACLES["op7_chat_format"] + " ORDER BY conv_id").fetchall()
+    for x in format_conversations(df).collect():
+        assert not any(re.search(r"</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE", s["text"]) for s in x["segments"][1::3])
+
+
 # 8
 
 
