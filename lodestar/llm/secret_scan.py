@@ -19,15 +19,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
-#: Strings that the token-efficiency test looks at: runs of key characters with a letter and a digit.
+#: Strings that the token-efficiency test looks at: runs of key characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-# Digests (MD5, SHA-1, SHA-2), UUIDs, and numbers or words joined by signs (dates, versions, slugs, paths).
+# Digests (MD5, SHA-1, SHA-2) and UUIDs.
 KNOWN = (
     re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"),
     re.compile(r"(?:sha(?:1|224|256|384|512)|md5)[-_=/][0-9A-Za-z+/=]+"),
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[+/_=-]*(?:(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+|$))*"),
 )
+# Words or numbers joined by signs (dates, versions, slugs, paths), and what the signs join.
+JOINED, PIECE = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+|$))*"), re.compile("[A-Za-z]+|[0-9]+")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _WORDS = (b"passw", b"secret", b"token", b"api")
@@ -39,7 +40,8 @@ class SecretScanner:
     """``spans(text)`` gives (start, end, kind) in code points, end exclusive, by start then kind.
 
     The pattern kinds are as the contract has them, and stay. ``random`` adds candidates of fewer
-    than ``ratio`` characters per token, if none of ``KNOWN`` matches them and no pattern span overlaps.
+    than ``ratio`` characters per token, if none of ``KNOWN`` matches them and no pattern span overlaps;
+    words and numbers joined by signs only if one of them is no efficient piece by itself.
     """
 
     def __init__(self, pieces: list[bytes], ratio: float = 2.0):
@@ -58,12 +60,17 @@ class SecretScanner:
         return spans
 
     def is_random(self, string: str) -> bool:
-        if not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)):
-            return False
-        if any(k.fullmatch(string) for k in KNOWN):
+        if any(k.fullmatch(string) for k in KNOWN) or not self.is_dense(string):
             return False
+        return not (JOINED.fullmatch(string) and all(map(self.is_plain, PIECE.findall(string))))
+
+    def is_dense(self, string: str) -> bool:
         return len(string) < self.ratio * len(self.encoding.encode_ordinary(string))
 
+    def is_plain(self, piece: str) -> bool:
+        """A number of under 20 digits (random digits are as efficient as dates), a single token, or an efficient string."""
+        return piece.isdigit() and len(piece) < 20 or not self.is_dense(piece) or len(self.encoding.encode_ordinary(piece)) == 1
+
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         if not text:
             return []
