@@ -65,6 +65,85 @@ RULES: tuple[tuple[str, str], ...] = (
 
 #: A text without any of these (in lower case) has no known sentence; every rule needs a sentence with one.
 ANCHORS = ("licen", "redistribut", "permission", "software", "rights reserved")
+
+# What the DuckDB twin has no part in: more sentences, patterns for those with free names or many wordings, and their rules.
+MORE_SENTENCES: dict[str, tuple[str, ...]] = {
+    "name-lgpl3": ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "name-lgpl21": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"),
+    "name-lgpl2": ("LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later"),
+    "name-agpl3": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "name-isc": ("ISC",),
+    "name-epl2": ("EPL-2.0",),
+    "name-epl1": ("EPL-1.0",),
+    "name-unlicense": ("Unlicense",),
+    "name-bsd4": ("BSD-4-Clause",),
+    "name-cc-by-sa": ("CC-BY-SA-4.0",),
+    "name-cc-by-nc": ("CC-BY-NC-4.0",),
+    "unlicense-grant": ("This is free and unencumbered software released into the public domain",),
+    "bsd-advert": ("All advertising materials mentioning features or use of this software must display the following acknowledgement", "All advertising materials mentioning features or use of this software must display the following acknowledgment"),
+    "either-3": ("either version 3 of the License, or (at your option) any later version", "either version 3 of the License"),
+    "either-21": ("either version 2.1 of the License, or (at your option) any later version", "either version 2.1 of the License"),
+    "either-2": ("either version 2 of the License, or (at your option) any later version", "either version 2 of the License"),
+}
+_LATER = "( or later| only| or at your option any later version| or any later version)?"
+_SHORT = "(((this|the|our) ([^ ]+ ){1,5}|((?!this |the |our )[^ ]+ ){1,4})(is|are) )?((dual )?licen[cs]ed|released|distributed|(made )?available) under (the )?(terms (and conditions )?of )?(the )?"
+_GNU = {"gpl": ("", "gpl"), "lgpl": ("(lesser |library )", "lgpl"), "agpl": ("affero ", "agpl")}
+_NUMBER = {"3": "3( 0)?", "21": "2 1", "2": "2( 0)?"}
+_GNU_VERSIONS = (("gpl", "3"), ("gpl", "2"), ("lgpl", "3"), ("lgpl", "21"), ("lgpl", "2"), ("agpl", "3"))
+#: (identifier, pattern that a whole normalised sentence must match); the first that does counts.
+PATTERNS: tuple[tuple[str, str], ...] = (
+    ("bsd-grant", "redistribution and use (of .+ )?in source and binary forms with or without modification (are|is) permitted provided that the following conditions are met"),
+    ("bsd-endorse", "(.+ )?(may (not )?be used|be used) to endorse or promote products derived from this software without (specific )?prior written permission( of .+| from .+)?"),
+    ("bsd-warranty", "(.+ )?as is and any express(ed)? or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("isc-grant", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    *((f"{kind}{v}-terms", f"(.+ )?under the terms of (the )?gnu {_GNU[kind][0]}general public license (version {_NUMBER[v]} as published by the free software foundation|as published by the free software foundation (either )?version {_NUMBER[v]}( of the license)?){_LATER}") for kind, v in _GNU_VERSIONS),
+    *((f"{kind}-terms", f"(.+ )?under the terms of (the )?gnu {_GNU[kind][0]}general public license as published by the free software foundation") for kind in _GNU),
+    *((f"{kind}{v}-short", f"{_SHORT}(gnu {_GNU[kind][0]}general public license ((version|v) ?)?{_NUMBER[v]}|(gnu )?{_GNU[kind][1]} ?((version|v) ?)?{_NUMBER[v]}){_LATER}( license)?") for kind, v in _GNU_VERSIONS),
+    *((f"epl{v}-grant", f"(.+ )?under the terms of the eclipse public license ((version|v) ?)?{v} 0( which .+| and .+)?") for v in "21"),
+    *((f"epl{v}-short", f"{_SHORT}(eclipse public license|epl) ?((version|v) ?)?{v} 0( license)?") for v in "21"),
+    ("apache2-short", f"{_SHORT}apache (license )?((version|v) ?)?2( 0)?( license)?"),
+    ("mit-short", f"{_SHORT}(mit|expat)( license)?"),
+    ("mpl2-short", f"{_SHORT}(mozilla public license|mpl) ?((version|v) ?)?2 0( license)?"),
+    ("bsd3-short", f"{_SHORT}(bsd (3|three) clause|(3|three) clause bsd|(new|revised|modified) bsd)( license)?"),
+    ("bsd2-short", f"{_SHORT}(bsd (2|two) clause|(2|two) clause bsd|simplified bsd)( license)?"),
+    ("isc-short", f"{_SHORT}isc( license)?"),
+    ("unlicense-short", f"{_SHORT}unlicense"),
+    ("cc0-short", f"{_SHORT}(cc0|creative commons (cc0|zero))( 1 0)?( universal)?( license| public domain dedication)?"),
+)
+
+
+def _but(name: str) -> str:
+    return f"((?!{name} )[^ ]+ )*"
+
+
+def _gnu_rule(kind: str, v: str) -> str:
+    return f" {kind}{v}-short | {kind}{v}-terms | {kind}-terms either-{v} | spdx name-{kind}{v} "
+
+
+#: Rules in place of, or after, those of RULES; a BSD text is named by what stands between its grant and its warranty.
+MORE_RULES: dict[str, str] = {
+    "GPL-3.0": _gnu_rule("gpl", "3"),
+    "GPL-2.0": _gnu_rule("gpl", "2"),
+    "BSD-3-Clause": f" bsd3-short | bsd-grant {_but('bsd-(?:advert|grant)')}bsd-endorse {_but('bsd-(?:advert|grant)')}bsd-warranty | spdx name-bsd3 ",
+    "BSD-2-Clause": f" bsd2-short | bsd-grant {_but('bsd-(?:advert|endorse|grant)')}bsd-warranty | spdx name-bsd2 ",
+    "MPL-2.0": " mpl2-grant | mpl2-short | spdx name-mpl2 ",
+    "CC-BY-NC-4.0": " cc-by-nc-short | spdx name-cc-by-nc ",
+    "CC-BY-SA-4.0": " cc-by-sa-short | spdx name-cc-by-sa ",
+    "CC0-1.0": " cc0-short | spdx name-cc0 ",
+    "BSD-4-Clause": f" bsd-grant {_but('bsd-grant')}bsd-advert {_but('bsd-grant')}bsd-warranty | spdx name-bsd4 ",
+    "LGPL-3.0": _gnu_rule("lgpl", "3"),
+    "LGPL-2.1": _gnu_rule("lgpl", "21"),
+    "LGPL-2.0": _gnu_rule("lgpl", "2"),
+    "AGPL-3.0": _gnu_rule("agpl", "3"),
+    "ISC": " isc-grant | isc-short | spdx name-isc ",
+    "EPL-2.0": " epl2-grant | epl2-short | spdx name-epl2 ",
+    "EPL-1.0": " epl1-grant | epl1-short | spdx name-epl1 ",
+    "Unlicense": " unlicense-grant | unlicense-short | spdx name-unlicense ",
+}
+#: Every sentence of PATTERNS has one of these or of ANCHORS.
+MORE_ANCHORS = ("released", "distributed", "available", "warranties")
+#: A rule matches the line split only where the sentence split has none of these: a wrapped sentence is missing in lines.
+BUT_SENTENCES = {"BSD-3-Clause": " bsd-advert ", "BSD-2-Clause": " bsd-(advert|endorse) "}
 SENTENCE_END, LINE_END = r"[.!?;:]\s+|\n\s*\n", r"[.!?;:]\s+|\n"
 
 
@@ -77,10 +156,22 @@ def dictionary() -> dict[str, str]:
     return {normal(s): name for name, sentences in SENTENCES.items() for s in sentences}
 
 
+def _has(low: Column, anchors: tuple[str, ...]) -> Column:
+    some = F.lit(False)
+    for anchor in anchors:
+        some = some | F.contains(low, F.lit(anchor))
+    return some
+
+
 def _identifiers(low: Column, ends: str) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in dictionary().items() for x in pair])
-    of = lambda s: known[F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))]
-    return F.array_compact(F.transform(F.split(low, ends), of))
+    """Identifiers of the known sentences of a text, in order; those of SENTENCES only if the text has one of ANCHORS, as in the twin."""
+    table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    known = table(dictionary().items())
+    more = table((normal(s), name) for name, sentences in MORE_SENTENCES.items() for s in sentences)
+    free = lambda s: F.coalesce(*[F.when(s.rlike(f"^({pattern})$"), F.lit(name)) for name, pattern in PATTERNS])
+    of = lambda s: F.coalesce(F.when(F.col("some"), known[s]), more[s], F.when(_has(s, ANCHORS + MORE_ANCHORS), free(s)))
+    sentences = F.transform(F.split(low, ends), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    return F.array_compact(F.transform(sentences, of))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,19 +179,19 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Returns the id, ``sentence_ids`` (array, in text order), ``line_ids`` (the same with line ends as
     sentence ends, for notices without a full stop) and ``licenses`` (array, in rule order, of the
-    rules that match either). A sentence ends at one of . ! ? ; : before white space, or at an empty
+    rules that match either; a BSD text is judged by its whole sentences). A sentence ends at one of . ! ? ; : before white space, or at an empty
     line, so wrapped licence texts are whole; it is compared in lower case with all but letters and
     digits as one space. A null or empty text has empty arrays; repeated rows are scanned alike;
     other columns are ignored. No shuffle.
     """
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = pick(df, id=id_col, text=text_col)
-    some = F.lit(False)
-    for anchor in ANCHORS:
-        some = some | F.contains(F.col("low"), F.lit(anchor))
     none = F.array().cast("array<string>")
-    rows = rows.select("id", low.alias("low")).select("id", F.when(some, _identifiers(F.col("low"), SENTENCE_END)).otherwise(none).alias("a"), F.when(some, _identifiers(F.col("low"), LINE_END)).otherwise(none).alias("b"))
+    rows = rows.select("id", low.alias("low")).select("id", "low", _has(F.col("low"), ANCHORS).alias("some"))
+    worth = F.col("some") | _has(F.col("low"), MORE_ANCHORS)
+    rows = rows.select("id", F.when(worth, _identifiers(F.col("low"), SENTENCE_END)).otherwise(none).alias("a"), F.when(worth, _identifiers(F.col("low"), LINE_END)).otherwise(none).alias("b"))
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     rows = rows.withColumn("sa", spaced("a")).withColumn("sb", spaced("b"))
-    named = F.array_compact(F.array(*[F.when(F.col("sa").rlike(rule) | F.col("sb").rlike(rule), F.lit(name)) for name, rule in RULES]))
+    lines = lambda name, rule: F.col("sb").rlike(rule) & (~F.col("sa").rlike(BUT_SENTENCES[name]) if name in BUT_SENTENCES else F.lit(True))
+    named = F.array_compact(F.array(*[F.when(F.col("sa").rlike(rule) | lines(name, rule), F.lit(name)) for name, rule in (dict(RULES) | MORE_RULES).items()]))
     return rows.select(F.col("id").alias(id_col), F.col("a").alias("sentence_ids"), F.col("b").alias("line_ids"), F.when((F.size("a") > 0) | (F.size("b") > 0), named).otherwise(none).alias("licenses"))

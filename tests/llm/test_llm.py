@@ -467,6 +467,38 @@ def test_op10_finds_wrapped_notices_as_its_sql_does(spark, tmp_path):
     assert [tuple(x) for x in got] == con.execute(ORACLES["op10_license_scan"] + " ORDER BY doc_id").fetchall()
 
 
+def test_license_texts_with_free_names_and_more_licences(spark):
+    (grant,), (warranty,) = licenses.SENTENCES["bsd-grant"], licenses.SENTENCES["bsd-warranty"]
+    endorse = "Neither the name of {} nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission."
+    advert = licenses.MORE_SENTENCES["bsd-advert"][0]
+    bsd = lambda *middle: "\n\n".join([grant + ":", "1. Redistributions of source code must retain this list.", *middle, warranty + "."])
+    gnu = "{} is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version."
+    cases = {
+        bsd("3. " + endorse.format("Acme")): ["BSD-3-Clause"],
+        bsd("* " + endorse.format("Acme Inc.")).replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "ACME INC. AND OTHERS"): ["BSD-3-Clause"],
+        bsd(): ["BSD-2-Clause"],
+        bsd("All rights reserved."): ["BSD-2-Clause", "LicenseRef-rights-reserved"],
+        bsd(advert + ": by X.", endorse.format("X")): ["BSD-4-Clause"],
+        gnu.format("Foo", ":", "", ",", "3"): ["GPL-3.0"],
+        gnu.format("Foo", ";", "", ";", "2"): ["GPL-2.0"],
+        gnu.format("This library", ";", "Lesser ", ";", "2.1"): ["LGPL-2.1"],
+        gnu.format("Foo", ":", "Lesser ", ",", "3"): ["LGPL-3.0"],
+        gnu.format("Foo", ":", "Affero ", ",", "3"): ["AGPL-3.0"],
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": ["ISC"],
+        "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/": ["EPL-2.0"],
+        "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+        "Foo is released under the Mozilla Public License, version 2.0.": ["MPL-2.0"],
+        "Released under GPLv3.": ["GPL-3.0"],
+        "Licensed under the 3-Clause BSD License.": ["BSD-3-Clause"],
+        "SPDX-License-Identifier: LGPL-2.1-or-later": ["LGPL-2.1"],
+        "Foo is not licensed under the MIT License. It is available under no terms.": [],
+    }
+    got = licenses.scan_licenses(docs(spark, list(cases))).orderBy("doc_id").collect()
+    assert [x["licenses"] for x in got] == list(cases.values())
+    for _, pattern in licenses.PATTERNS:
+        assert any(a in pattern for a in licenses.ANCHORS + licenses.MORE_ANCHORS)
+
+
 def test_license_rules_need_an_anchored_sentence():
     of = defaultdict(list)
     for sentence, name in licenses.dictionary().items():
