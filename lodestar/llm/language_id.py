@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import SharedFile, map_texts, per_process, pick
+from lodestar.llm.common import SharedFile, map_texts, per_process, pick, set_checkpoint_dir
 from lodestar.llm.trie import PieceTrie, tiktoken_pieces
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -129,41 +129,49 @@ def held_out(id_col: Column) -> Column:
 def train_languages(df: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, max_chars: int = 50_000, max_languages: int = 200, rounds: int = 3):
     """Fit piece probabilities; returns a factory of the model for the workers.
 
-    Draws at most ``per_language`` rows of each language, those of the least hash of the id among rows
-    with a language and an id outside the held-out fold, and learns from those of up to ``max_chars``
-    characters of text. A language's count gives the share of its hashes that holds about half as many
-    again, and only rows within it are ranked, so no task ranks all rows of one. The words of the
-    sample are counted by Spark in a second pass over the text, and EM runs on the driver. Over
-    ``max_languages`` languages are an error.
+    Draws at most ``per_language`` rows of each language, those of the least hash of (lang, id, text)
+    among rows with a language, a letter in the text and an id outside the held-out fold; equal rows
+    count once, and a longer text gives its first ``max_chars`` characters. A language's count of
+    distinct hashes gives the share of them that holds about half as many again, and only those within
+    it are ranked, so no task ranks all rows of one. The words of the sample are counted by Spark in a
+    second pass over the text, and EM runs on the driver. A language without a counted word is not in
+    the model. Over ``max_languages`` languages are an error.
     """
     spark = df.sparkSession
-    rows = pick(df, id=id_col, lang=lang_col, text=text_col)
-    ids = rows.select("lang", F.col("id").cast("string").alias("id")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    set_checkpoint_dir(spark)
+    rows = pick(df, id=id_col, lang=lang_col, text=text_col).withColumn("id", F.col("id").cast("string"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & F.col("text").isNotNull())
+    rows = rows.select("lang", F.xxhash64("lang", "id", "text").alias("key"), F.when(F.length("text") > max_chars, F.substring("text", 1, max_chars)).otherwise(F.col("text")).alias("text"))
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    keys = rows.select("lang", "key").distinct().checkpoint()
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
     if len(sizes) > max_languages:
         raise ValueError(f"over {max_languages} languages")
     chosen = []
     if sizes:
         share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 1.5 * (per_language + 50) / r["n"])])[F.col("lang")]
-        place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(2**53))
-        order = Window.partitionBy("lang").orderBy("place", "id")
-        near = ids.withColumn("place", place).where(F.col("place") <= share)
-        chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "id").collect()
-    languages = sorted({r["lang"] for r in chosen})
-    sample = rows.where(F.col("id").cast("string").isin(sorted({r["id"] for r in chosen})) & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
+        place = F.shiftrightunsigned("key", 11) / F.lit(float(2**53))
+        order = Window.partitionBy("lang").orderBy("place", "key")
+        near = keys.withColumn("place", place).where(F.col("place") <= share)
+        chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("key").collect()
+    sample = rows.where(F.col("key").isin(sorted(r["key"] for r in chosen)))
 
     def count(batches):
+        seen = set()
         for batch in batches:
             found: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.update((lang, b) for w in words_of(text) for b in blocks(w))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
-
-    words = sample.select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[bytes, int]] = {lang: {} for lang in languages}
-    found = words.toArrow()
+            for lang, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (lang, key) not in seen:
+                    seen.add((lang, key))
+                    found.update((lang, key, b) for w in words_of(text) for b in blocks(w))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array([k[2] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["lang", "key", "word", "n"])
+
+    words = sample.select("lang", "key", "text").mapInArrow(count, "lang string, key long, word binary, n long").groupBy("lang", "key", "word").agg(F.max("n").alias("n"))
+    found = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    counts: dict[str, dict[bytes, int]] = {}
     for lang, word, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-        counts[lang][word] = n
+        counts.setdefault(lang, {})[word] = n
+    languages = sorted(counts)
     file = SharedFile(spark, vocabulary)
     pieces = tiktoken_pieces(file.data)
     model = UnigramLanguages.train(PieceTrie(pieces), len(pieces), counts, rounds) if languages else None

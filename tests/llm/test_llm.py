@@ -274,6 +274,23 @@ def test_language_id_edges(spark):
     assert {x["lang_pred"] for x in predict_languages(docs(spark, ODD), none).collect()} == {"und"}
 
 
+def test_languages_learn_from_usable_rows_once(spark, monkeypatch):
+    en, de, fr = "the cat sat on the mat and the dog", "der hund und die katze sind im haus", "le chat et le chien dans la maison "
+    rows = [(i, None if i % 40 else en, "en") for i in range(4000)] + [(5000 + i, de, "de") for i in range(200)]
+    rows += [(6000 + i, fr * 1500, "fr") for i in range(8)] + [(7000 + i, None, "xx") for i in range(30)] + [(8000 + i, "12 34", "yy") for i in range(30)]
+    rows += [(9000, "uno dos", "es")] * 300 + [(9000 + i, "tres", "es") for i in range(1, 20)]
+    seen = {}
+    train = UnigramLanguages.train.__func__
+    monkeypatch.setattr(UnigramLanguages, "train", classmethod(lambda cls, trie, n, counts, rounds: seen.update(counts) or train(cls, trie, n, counts, rounds)))
+    model = train_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), MULTI_RANKS, per_language=20)
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    assert not out(9000) and sorted(seen) == ["de", "en", "es", "fr"]
+    assert seen["en"][b" cat"] == 20 and seen["de"][b" hund"] == 20
+    assert seen["es"] == {b" uno": 1, b" dos": 1, b" tres": sum(not out(9000 + i) for i in range(1, 20))}
+    got = predict_languages(docs(spark, ["the dog and the cat", "die katze und der hund", "le chien et la maison"]), model).orderBy("doc_id").collect()
+    assert [x["lang_pred"] for x in got] == ["en", "de", "fr"]
+
+
 # 6
 
 
