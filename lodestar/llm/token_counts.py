@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodestar.llm.common import SharedFile, map_texts, per_process
-from lodestar.llm.trie import PieceTrie, tiktoken_pieces
+from lodestar.llm.trie import PieceTrie, bands, tiktoken_pieces
 
 #: A word with the space before it, a run of other signs, or a run of white space.
 PRETOKEN = re.compile(r" ?\w+| ?[^\w\s]+|\s+")
-#: Longer pre-tokens (rules of signs, encoded data) are segmented one by one, with the same result.
-TRIE_BYTES = 48
+#: Pre-tokens in a trie at most.
+TRIE_WORDS = 1 << 15
 
 
 class UnigramCounter:
@@ -58,13 +58,11 @@ class UnigramCounter:
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         codes, distinct = pd.factorize(np.array([w for f in found for w in f], dtype=object))
         words = [w.encode() for w in distinct]
-        of = np.zeros(len(words), dtype=np.int64)
-        short = sorted((w, k) for k, w in enumerate(words) if len(w) <= TRIE_BYTES)
-        if short:
-            of[[k for _, k in short]] = self.counts([w for w, _ in short])
-        for k, w in enumerate(words):
-            if len(w) > TRIE_BYTES:
-                of[k] = self.count_long(w)
+        of = np.full(len(words), -1, dtype=np.int64)
+        for band in bands(words, TRIE_WORDS):
+            of[band] = self.counts([words[i] for i in band])
+        for k in np.nonzero(of < 0)[0].tolist():  # over 1,536 bytes: a path that shares nothing
+            of[k] = self.count_long(words[k])
         sums = np.concatenate([[0], np.cumsum(of[codes])])
         ends = np.cumsum(sizes)
         return [pa.array(sizes), pa.array(sums[ends] - sums[ends - sizes])]
@@ -74,9 +72,10 @@ def token_counts(df: DataFrame, vocabulary: str, text_col: str = "text", keep: l
     """Append ``n_pretokens`` and ``n_tokens`` (longs) for each whole text.
 
     ``vocabulary`` is the path of a .tiktoken file of at most 64 MB, read by the driver. One pass, no
-    shuffle; the distinct pre-tokens of a few MB of text form a trie at a time. A null or empty text
-    has none of either; rows, repeated or not, are counted on their own; all columns (or ``keep``)
-    go through, but for those of the new names, which are replaced.
+    shuffle; the distinct pre-tokens of a few MB of text form tries at a time, of words of like length.
+    A null or empty text has none of either; rows, repeated or not, are counted on their own; an empty
+    table gives no rows; all columns (or ``keep``) go through, but for those of the new names, which
+    are replaced.
     """
     file = SharedFile(df.sparkSession, vocabulary)
 

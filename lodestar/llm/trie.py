@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,24 @@ def tiktoken_pieces(data: bytes) -> list[bytes]:
     return [piece for _, piece in ranked]
 
 
+def bands(words: list[bytes], rows: int, first: int = 48, last: int = 1536) -> Iterator[list[int]]:
+    """Indices of the words of up to ``last`` bytes, in sorted lists of at most ``rows``, to be tries of their own.
+
+    The lengths in a list end at ``first`` or at a doubling of it, so that a trie's table of letters
+    holds less than twice the bytes of its words, but for the shortest ones.
+    """
+    limits = [first]
+    while limits[-1] < last:
+        limits.append(min(2 * limits[-1], last))
+    held: list[list[int]] = [[] for _ in limits]
+    for i in sorted(range(len(words)), key=words.__getitem__):
+        if len(words[i]) <= last:
+            held[bisect_left(limits, len(words[i]))].append(i)
+    for limit, band in zip(limits, held, strict=True):
+        step = max(1, rows * first // limit)
+        yield from (band[a : a + step] for a in range(0, len(band), step))
+
+
 class PieceTrie:
     """Transitions over bytes. State 0 is the root, -1 is dead; ``piece_of[state]`` is a piece's index or -1."""
 
@@ -31,6 +50,8 @@ class PieceTrie:
             piece_at.setdefault(state, k)
         n = len(children)
         inner = [s for s in range(n) if children[s]]
+        #: Bytes of the longest piece.
+        self.longest = max(map(len, pieces), default=0)
         self.piece_of = np.full(n + 1, -1, dtype=np.int32)
         self.piece_of[list(piece_at)] = list(piece_at.values())
         # only states with children have a row of the table; the last row is dead, for leaves and -1
