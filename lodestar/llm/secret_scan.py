@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import tiktoken
@@ -77,22 +78,32 @@ class SecretScanner:
         raw = text.encode()
         spans = self.base(text, raw)
         if b"x" * 20 in raw.translate(_RUNS):
-            taken = sorted(spans)
+            taken = disjoint(spans)
+            ends = [e for _, e in taken]
             for m in CANDIDATE.finditer(text):
-                if self.is_random(m[0]) and not any(s < m.end() and m.start() < e for s, e, _ in taken):
+                near = bisect_right(ends, m.start())  # the first stretch that ends after the candidate's start
+                if (near == len(taken) or taken[near][0] >= m.end()) and self.is_random(m[0]):
                     spans.append((m.start(), m.end(), 3))
         return sorted(spans, key=lambda s: (s[0], s[2]))
 
 
+def disjoint(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches (start, end) that spans cover, in order; those that overlap are one."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     """``text`` with each stretch that spans cover replaced by ``[SECRET]``."""
     out, at = [], 0
-    until = -1
-    for start, end, _ in spans:
-        if start >= until:
-            out += [text[at:start], "[SECRET]"]
-        until = max(until, end)
-        at = until
+    for start, end in disjoint(spans):
+        out += [text[at:start], "[SECRET]"]
+        at = end
     return "".join([*out, text[at:]])
 
 
@@ -109,8 +120,9 @@ def scan_secrets(df: DataFrame, vocabulary: str, text_col: str = "text", keep: l
 
     Offsets are code points, end exclusive; the kinds are ``assign``, ``access``, ``hex`` and
     ``random``. ``vocabulary`` is the path of a .tiktoken file of at most 64 MB, read by the driver.
-    One pass, no shuffle. A null or empty text has no spans; rows, repeated or not, are scanned on
-    their own; all columns (or ``keep``) go through, but for one of the new name.
+    One pass, no shuffle; time grows with the text and its spans. A null or empty text has no spans;
+    rows, repeated or not, are scanned on their own; an empty table gives no rows; all columns (or
+    ``keep``) go through, but for one of the new name.
     """
     make = _scanner(df.sparkSession, vocabulary, ratio)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
@@ -123,7 +135,12 @@ def scan_secrets(df: DataFrame, vocabulary: str, text_col: str = "text", keep: l
 
 
 def redact_secrets(df: DataFrame, vocabulary: str, text_col: str = "text", ratio: float = 2.0) -> DataFrame:
-    """``df`` with ``[SECRET]`` in place of every span of ``scan_secrets``; null texts stay null. Its columns come in their order."""
+    """``df`` with ``[SECRET]`` in place of every stretch that spans of ``scan_secrets`` cover.
+
+    Spans that overlap are one stretch. Null texts stay null, texts without spans as they are;
+    rows, repeated or not, are taken on their own; an empty table gives no rows. All columns stay, in
+    their order, whatever their names.
+    """
     make = _scanner(df.sparkSession, vocabulary, ratio)
 
     def kernel():
