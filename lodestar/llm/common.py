@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.operators.graph import ensure_checkpoint_dir as set_checkpoint_dir  # noqa: F401
+
 #: Bytes of text that a Python kernel holds at a time; one longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch that the JVM hands to a kernel: rows alone don't bound a batch of texts.
@@ -28,12 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a fixed one in tests, where none is set."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-
-
 class SharedFile:
     """Bytes of a small file read once by the driver (at most ``limit``) and broadcast to the workers."""
 
@@ -74,7 +70,7 @@ def chunked(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         yield start, len(sizes)
 
 
-def _bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession) -> None:
     """Set the session's bytes of an Arrow batch to BATCH_BYTES, unless they are set."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, "1") == "1":  # unset: a default must be a valid size
@@ -91,7 +87,7 @@ def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], kernel:
     Arrow array for each field. ``keep`` names the columns that go through (default: all); a kept
     column of the name of a new field is replaced by it.
     """
-    _bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession)
     names = df.columns
     at = names.index(text_col)
     new = {f.name for f in fields}
