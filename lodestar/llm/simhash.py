@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.common import map_texts, pick, set_checkpoint_dir
-from lodestar.llm.components import connected_components, union_labels
 from lodestar.llm.tiles import tiled
+from lodestar.operators.graph import connected_components, drop_checkpoint, union_labels
 
 #: Hashes whose 64 bits are spread out at a time, which takes 64 times as many bytes.
 SPREAD = 1 << 18
-#: A fingerprint's halves: (shift, bits).
-SEGMENTS = ((0, 32), (32, 32))
+#: Rows of a broadcast list of buckets at most.
+FEW = 1 << 20
 #: Pairs that a task compares at a time.
 PAIRS = 1 << 20
 
@@ -62,17 +62,29 @@ def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 3, seed:
     return map_texts(df, text_col, [T.StructField("fingerprint", T.LongType())], kernel, keep)
 
 
-def _segment(fp: Column, shift: int, bits: int) -> Column:
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1))
+def segments(bits: int) -> tuple[int, int]:
+    """(segments, bits of each) such that two fingerprints at ``bits`` differing bits agree in one up to one bit."""
+    if not 0 <= bits <= 7:
+        raise ValueError("segments of radius 1 find 0 to 7 differing bits")
+    return (2, 32) if bits <= 3 else (4, 16)
 
 
-def _ball(value: Column, bits: int) -> Column:
-    """The values made from ``value`` by setting one of its 0 bits.
+def _entries(nodes: DataFrame, bits: int) -> DataFrame:
+    """Rows (key, node, fp, own): each segment of a fingerprint, and what is made from it by setting one of its 0 bits.
 
-    Of two values one bit apart, one has that bit 0, so half a Hamming ball finds each pair once.
+    Of two values one bit apart, one has that bit 0, so half a Hamming ball around each finds all pairs,
+    once. ``key`` holds the number of the segment and a value of it; ``own`` marks the segment itself.
     """
-    flipped = [F.when(value.bitwiseAND(F.lit(1 << k)) == 0, value.bitwiseOR(F.lit(1 << k))) for k in range(bits)]
-    return F.array_compact(F.array(*flipped))
+    count, width = segments(bits)
+    entries = []
+    for s in range(count):
+        value = F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << width) - 1))
+        key = lambda v, s=s: v.bitwiseOR(F.lit(s << 32))
+        entries.append(F.struct(key(value).alias("key"), F.lit(1).alias("own")))
+        for k in range(width):
+            bit = F.lit(1 << k)
+            entries.append(F.when(value.bitwiseAND(bit) == 0, F.struct(key(value.bitwiseOR(bit)).alias("key"), F.lit(0).alias("own"))))
+    return nodes.select("node", "fp", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.key", "node", "fp", "e.own")
 
 
 def _links(bits: int):
@@ -95,7 +107,7 @@ def _links(bits: int):
 
 
 def _tile_number(t: pa.Table) -> np.ndarray:
-    cols = [t.column(c).to_numpy() for c in ("segment", "key", "ti", "tj")]
+    cols = [t.column(c).to_numpy() for c in ("key", "ti", "tj")]
     new = np.zeros(t.num_rows, dtype=bool)
     for c in cols:
         new[1:] |= c[1:] != c[:-1]
@@ -128,26 +140,35 @@ def _forest(t: pa.Table, tile: np.ndarray, bits: int) -> Iterator[pa.RecordBatch
 
 
 def simhash_links(nodes: DataFrame, bits: int = 3, tile_rows: int = 4096) -> DataFrame:
-    """Edges ``(a, b)`` that connect exactly the nodes of ``nodes (node, fp)`` at ``bits`` (up to 3) differing bits or chains of such.
-
-    Two fingerprints at 3 bits or fewer agree up to one bit in a 32-bit half. A table holds each
-    fingerprint under both halves; half a Hamming ball of radius 1 around each half is looked up in
-    it, and distances of what meets are verified in full. A bucket is dealt into tiles of bounded
-    size and gives back a spanning forest of its links, so a half that many share costs rows in
-    proportion to them, not their pairs. ``fp`` must be distinct.
+    """Edges ``(a, b)`` that connect exactly the nodes of ``nodes (node, fp)`` at ``bits`` (up to 7) differing bits or chains of such.
+
+    Multi-index hashing: up to 3 bits, two fingerprints agree up to one bit in a 32-bit half; up to 7,
+    in a 16-bit quarter. Each fingerprint is entered under its segments and under half a Hamming ball of
+    radius 1 around each. A bucket that only one fingerprint entered, or none under its own segment, is
+    dropped as it is counted; of two, the distance is verified at once. What remains, the buckets of
+    three and more, is dealt into tiles of bounded size that verify distances in full and give back a
+    spanning forest of the links, so a segment that many share costs rows in proportion to them, not
+    their pairs. ``fp`` must be distinct.
+
+    A fingerprint makes 34 entries (36 beyond 3 bits), which are shuffled once while buckets are few
+    against fingerprints, as 2^32 are against millions. From some 10^10 fingerprints, or 10^5 of 16-bit
+    segments, most buckets hold several, all entries are shuffled a second time, and the comparisons in
+    a bucket grow with the square of its rows, as they do for any table of such keys.
     """
-    if not 0 <= bits <= 3:
-        raise ValueError("two halves of radius 1 find 0 to 3 differing bits")
-    entry = [F.struct(F.lit(s).alias("segment"), _segment(F.col("fp"), *seg).alias("key")) for s, seg in enumerate(SEGMENTS)]
-    table = nodes.select("node", "fp", F.explode(F.array(*entry)).alias("e")).select("node", "fp", "e.*")
-    probe = table.select("node", "fp", "segment", F.explode(_ball(F.col("key"), SEGMENTS[0][1])).alias("key"))
-    occupied = table.groupBy("segment", "key").agg(F.count("*").alias("n"))
-    met = probe.join(occupied.select("segment", "key"), ["segment", "key"])
-    both = table.join(met.select("segment", "key").distinct().union(occupied.where("n > 1").select("segment", "key")).distinct(), ["segment", "key"])
-    bucket = both.select("node", "fp", "segment", "key").union(met.select("node", "fp", "segment", "key")).checkpoint()
-    tiles = tiled(bucket, ["segment", "key"], "fp", tile_rows).drop("side")
-    keys = ["segment", "key", "ti", "tj"]
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links(bits), "a long, b long").distinct()
+    set_checkpoint_dir(nodes.sparkSession)
+    entries = _entries(nodes, bits)
+    each = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("fp").alias("differ"))
+    met = each.where("n > 1 and own = 1").select("key", "n", "a", "b", "differ").checkpoint()
+    pairs = met.where((F.col("n") == 2) & (F.bit_count("differ") <= bits)).select("a", "b")
+    crowded = met.where("n > 2").select("key", "n")
+    crowded = F.broadcast(crowded) if crowded.count() <= FEW else crowded
+    bucket = entries.join(crowded, "key").select("key", "node", "fp", F.ceil(F.col("n") / tile_rows).alias("size"))
+    keys = ["key", "ti", "tj"]
+    tiles = tiled(bucket, ["key"], "fp", F.col("size")).select(*keys, "node", "fp")
+    dense = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links(bits), "a long, b long")
+    found = pairs.union(dense).distinct().checkpoint()
+    drop_checkpoint(met)
+    return found
 
 
 def simhash_near_duplicates(df: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,16 +190,30 @@ def simhash_near_duplicates(df: DataFrame, bits: int = 3, shingle: int = 3, seed
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component, all columns kept.
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each near-duplicate component of ``df``, all columns kept, whatever their names.
+
+    That of the smallest id stays; rows of null id are grouped like others and stay only if all of
+    their component are such. Of rows of that id with different texts, and of rows of one id and text,
+    one stays, by hash. Null, empty and blank texts are near-duplicates of each other. An empty table
+    gives no rows.
 
-    Rows of null id, which link with nothing, stay; repeated rows of a kept id stay together. The ids
-    that stay are the hashed side of the join, so the texts are shuffled once and not sorted.
+    Rows go by 128 bits of hash of id and text. Repeated rows are reduced to one before the shuffle,
+    so no task gathers the copies of one; texts are shuffled once, to be joined with what stays.
     """
+    set_checkpoint_dir(df.sparkSession)
     names = df.columns
     flat = df.toDF(*[f"x{i}" for i in range(len(names))])
-    own = F.col(f"x{names.index(id_col)}")
-    found = simhash_near_duplicates(df, id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept")).distinct()
-    joined = flat.where(own.isNotNull()).join(kept.hint("shuffle_hash"), own == F.col("kept"), "left_semi")
-    return joined.union(flat.where(own.isNull())).toDF(*names)
+    own, text = (F.col(f"x{names.index(c)}") for c in (id_col, text_col))
+    keyed = flat.withColumn("k1", F.xxhash64(own, text)).withColumn("k2", F.xxhash64(F.lit(1), text, own))
+    docs = fingerprints(keyed.select(own.alias("id"), "k1", "k2", text.alias("text")), shingle=shingle, seed=seed, keep=["id", "k1", "k2"])
+    docs = docs.withColumnRenamed("fingerprint", "fp").checkpoint()
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "k1", "k2")).alias("first")
+    nodes = docs.groupBy("fp").agg(first).checkpoint()
+    drop_checkpoint(docs)
+    components = connected_components(simhash_links(nodes.select(F.col("fp").alias("node"), "fp"), bits))
+    grouped = nodes.join(components, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    kept = grouped.agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    plain = [c for c, t in keyed.dtypes if c.startswith("x") and "map<" not in t]
+    single = keyed.groupBy("k1", "k2").agg(F.min_by(F.struct(*flat.columns), F.xxhash64(*plain)).alias("row"))
+    return single.join(kept, ["k1", "k2"], "left_semi").select("row.*").toDF(*names)
