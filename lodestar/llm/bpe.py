@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding, exactly as the vocabulary file defines it."""
+"""Byte-level BPE encoding and decoding by the merge ranks of a vocabulary file."""
 
 from __future__ import annotations
 
@@ -24,11 +24,36 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+# The settings of a vocabulary file under which ``BytePairCodec`` gives the ids of the tokenizers library.
+EXPECTED = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "decoder": {"type": "ByteLevel"},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def check_settings(spec: dict) -> None:
+    """Raise ValueError for a vocabulary file whose settings ask for other ids than ``BytePairCodec`` gives."""
+    for part, want in EXPECTED.items():
+        have = spec.get(part)
+        other = (have or None) != want if want is None else [k for k, v in want.items() if ((have or {}).get(k) or None) != (v or None)]
+        if other:
+            raise ValueError(f"unsupported {part}: {have if want is None else {k: (have or {}).get(k) for k in other}}")
+    if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("unsupported added token: it strips or stands for whole words only")
+
+
 class BytePairCodec:
-    """Encodes by the ranks of merges; ids of a pre-token are kept, in ``cache_entries`` entries at most."""
+    """Encodes by the ranks of merges; ids of a pre-token are kept, in ``cache_entries`` entries at most.
+
+    ``data`` is a tokenizers JSON file of byte-level BPE without a normalizer or a prefix space, split by
+    the standard pattern; ``check_settings`` refuses others. Added tokens are matched as plain strings.
+    """
 
     def __init__(self, data: bytes, cache_entries: int = 400_000, cached_chars: int = 64):
         spec = json.loads(data)
+        check_settings(spec)
         model, letters = spec["model"], byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         vocab: dict[str, int] = model["vocab"]
@@ -121,8 +146,8 @@ def encode_texts(df: DataFrame, vocabulary: str, text_col: str = "text", keep: l
     """Append ``ids`` (binary: little-endian unsigned 32-bit integers) of each whole text.
 
     ``vocabulary`` is the path of a tokenizers JSON file of byte-level BPE, at most 64 MB, read by the
-    driver. One pass, no shuffle. A null or empty text has no ids; repeated rows are encoded alike; all
-    columns (or ``keep``) go through, but for one of the new name.
+    driver. One pass, no shuffle. A null or empty text has no ids; repeated rows are encoded alike; an
+    empty table gives no rows; all columns (or ``keep``) go through, but for one of the new name.
     """
     make = _codec(df, vocabulary)
 
