@@ -74,13 +74,14 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     reads back from ``formatted``.
 
     Rows are taken in order of turn, then role, then text; a null turn number comes first, a null role
-    or text is the empty string, repeated rows are turns of their own, and rows of null id are one
-    conversation of null id. Empty tables give no rows; other columns are ignored. A conversation is
-    one row of the result, so its turns must fit in a task.
+    or text is the empty string, repeated rows are turns of their own, and a row of null id, whose
+    conversation is not known, is one of a single turn. Empty tables give no rows; other columns are
+    ignored. A conversation is one row of the result, so its turns must fit in a task.
     """
     rows = pick(df, id=conv_col, turn=turn_col, role=role_col, text=text_col)
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    grouped = rows.groupBy("id").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
+    rows = rows.withColumn("lone", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))  # only tells rows apart
+    grouped = rows.groupBy("id", "lone").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
     grouped = grouped.select("id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     grouped = grouped.withColumn("s1", render(F.col("source"), 1)).withColumn("same1", parse(joined(F.col("s1"))) == F.col("source"))
     segments = F.when(F.col("same1"), F.col("s1")).otherwise(render(F.col("source"), 2))

@@ -48,43 +48,43 @@ SENTENCES: dict[str, tuple[str, ...]] = {
 
 #: (licence, pattern over the identifiers, each with a space on either side), in the order of the result.
 GAP = "([^ ]+ )*"
+#: Names of an SPDX expression before the one that counts.
+NAMED = "(name-[^ ]+ )*"
 RULES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", f" apache2-short | apache2-grant {GAP}apache2-(comply|copy|warranty) | spdx name-apache2 "),
-    ("MIT", f" mit-short | mit-title {GAP}mit-grant | mit-grant {GAP}mit-notice | mit-grant {GAP}mit-warranty | spdx name-mit "),
-    ("GPL-3.0", f" gpl3-short | gpl-grant {GAP}gpl3-terms | spdx name-gpl3 "),
-    ("GPL-2.0", f" gpl2-short | gpl-grant {GAP}gpl2-terms | spdx name-gpl2 "),
-    ("BSD-3-Clause", f" bsd-grant {GAP}bsd-endorse {GAP}bsd-warranty | spdx name-bsd3 "),
-    ("BSD-2-Clause", " bsd-grant bsd-warranty | spdx name-bsd2 "),
-    ("MPL-2.0", " mpl2-grant | spdx name-mpl2 "),
+    ("Apache-2.0", f" apache2-short | apache2-grant {GAP}apache2-(comply|copy|warranty) | spdx {NAMED}name-apache2 "),
+    ("MIT", f" mit-short | mit-title {GAP}mit-grant | mit-grant {GAP}mit-notice | mit-grant {GAP}mit-warranty | spdx {NAMED}name-mit "),
+    ("GPL-3.0", f" gpl3-short | gpl-grant {GAP}gpl3-terms | spdx {NAMED}name-gpl3 "),
+    ("GPL-2.0", f" gpl2-short | gpl-grant {GAP}gpl2-terms | spdx {NAMED}name-gpl2 "),
+    ("BSD-3-Clause", f" bsd-grant {GAP}bsd-endorse {GAP}bsd-warranty | spdx {NAMED}name-bsd3 "),
+    ("BSD-2-Clause", f" bsd-grant bsd-warranty | spdx {NAMED}name-bsd2 "),
+    ("MPL-2.0", f" mpl2-grant | spdx {NAMED}name-mpl2 "),
     ("CC-BY-NC-4.0", " cc-by-nc-short "),
     ("CC-BY-SA-4.0", " cc-by-sa-short "),
-    ("CC-BY-4.0", " cc-by-short | spdx name-cc-by "),
-    ("CC0-1.0", " spdx name-cc0 "),
+    ("CC-BY-4.0", f" cc-by-short | spdx {NAMED}name-cc-by "),
+    ("CC0-1.0", f" spdx {NAMED}name-cc0 "),
     ("LicenseRef-rights-reserved", " rights "),
 )
 
-#: A text without any of these (in lower case) has no known sentence; every rule needs a sentence with one.
-ANCHORS = ("licen", "redistribut", "permission", "software", "rights reserved")
-
 # What the DuckDB twin has no part in: more sentences, patterns for those with free names or many wordings, and their rules.
 MORE_SENTENCES: dict[str, tuple[str, ...]] = {
-    "name-lgpl3": ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
-    "name-lgpl21": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"),
-    "name-lgpl2": ("LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later"),
-    "name-agpl3": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
-    "name-isc": ("ISC",),
-    "name-epl2": ("EPL-2.0",),
-    "name-epl1": ("EPL-1.0",),
-    "name-unlicense": ("Unlicense",),
-    "name-bsd4": ("BSD-4-Clause",),
-    "name-cc-by-sa": ("CC-BY-SA-4.0",),
-    "name-cc-by-nc": ("CC-BY-NC-4.0",),
+    "bsl-grant": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",),
+    "zlib-warranty": ("This software is provided 'as-is', without any express or implied warranty",),
+    "zlib-altered": ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",),
     "unlicense-grant": ("This is free and unencumbered software released into the public domain",),
     "bsd-advert": ("All advertising materials mentioning features or use of this software must display the following acknowledgement", "All advertising materials mentioning features or use of this software must display the following acknowledgment"),
     "either-3": ("either version 3 of the License, or (at your option) any later version", "either version 3 of the License"),
     "either-21": ("either version 2.1 of the License, or (at your option) any later version", "either version 2.1 of the License"),
     "either-2": ("either version 2 of the License, or (at your option) any later version", "either version 2 of the License"),
 }
+#: SPDX identifiers that may stand in an expression, by licence; those of the GNU licences also with -only and -or-later.
+NAMES: dict[str, str] = {
+    "Apache-2.0": "apache2", "MIT": "mit", "GPL-3.0": "gpl3", "GPL-2.0": "gpl2", "BSD-3-Clause": "bsd3", "BSD-2-Clause": "bsd2",
+    "BSD-4-Clause": "bsd4", "0BSD": "bsd0", "MPL-2.0": "mpl2", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-NC-4.0": "cc-by-nc",
+    "CC-BY-ND-4.0": "cc-by-nd", "CC-BY-NC-SA-4.0": "cc-by-nc-sa", "CC0-1.0": "cc0", "LGPL-3.0": "lgpl3", "LGPL-2.1": "lgpl21",
+    "LGPL-2.0": "lgpl2", "AGPL-3.0": "agpl3", "ISC": "isc", "EPL-2.0": "epl2", "EPL-1.0": "epl1", "Unlicense": "unlicense",
+    "Zlib": "zlib", "BSL-1.0": "bsl", "Artistic-2.0": "artistic2", "CDDL-1.0": "cddl1", "WTFPL": "wtfpl", "OFL-1.1": "ofl11",
+    "EUPL-1.2": "eupl12", "PostgreSQL": "postgresql",
+}
 _LATER = "( or later| only| or at your option any later version| or any later version)?"
 _SHORT = "(((this|the|our) ([^ ]+ ){1,5}|((?!this |the |our )[^ ]+ ){1,4})(is|are) )?((dual )?licen[cs]ed|released|distributed|(made )?available) under (the )?(terms (and conditions )?of )?(the )?"
 _GNU = {"gpl": ("", "gpl"), "lgpl": ("(lesser |library )", "lgpl"), "agpl": ("affero ", "agpl")}
@@ -108,6 +108,8 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("bsd2-short", f"{_SHORT}(bsd (2|two) clause|(2|two) clause bsd|simplified bsd)( license)?"),
     ("isc-short", f"{_SHORT}isc( license)?"),
     ("unlicense-short", f"{_SHORT}unlicense"),
+    ("bsl-short", f"{_SHORT}boost software license( (version )?1 0)?"),
+    ("zlib-short", f"{_SHORT}zlib( license)?"),
     ("cc0-short", f"{_SHORT}(cc0|creative commons (cc0|zero))( 1 0)?( universal)?( license| public domain dedication)?"),
 )
 
@@ -117,34 +119,38 @@ def _but(name: str) -> str:
 
 
 def _gnu_rule(kind: str, v: str) -> str:
-    return f" {kind}{v}-short | {kind}{v}-terms | {kind}-terms either-{v} | spdx name-{kind}{v} "
+    return f" {kind}{v}-short | {kind}{v}-terms | {kind}-terms either-{v} | spdx {NAMED}name-{kind}{v} "
 
 
 #: Rules in place of, or after, those of RULES; a BSD text is named by what stands between its grant and its warranty.
 MORE_RULES: dict[str, str] = {
     "GPL-3.0": _gnu_rule("gpl", "3"),
     "GPL-2.0": _gnu_rule("gpl", "2"),
-    "BSD-3-Clause": f" bsd3-short | bsd-grant {_but('bsd-(?:advert|grant)')}bsd-endorse {_but('bsd-(?:advert|grant)')}bsd-warranty | spdx name-bsd3 ",
-    "BSD-2-Clause": f" bsd2-short | bsd-grant {_but('bsd-(?:advert|endorse|grant)')}bsd-warranty | spdx name-bsd2 ",
-    "MPL-2.0": " mpl2-grant | mpl2-short | spdx name-mpl2 ",
-    "CC-BY-NC-4.0": " cc-by-nc-short | spdx name-cc-by-nc ",
-    "CC-BY-SA-4.0": " cc-by-sa-short | spdx name-cc-by-sa ",
-    "CC0-1.0": " cc0-short | spdx name-cc0 ",
-    "BSD-4-Clause": f" bsd-grant {_but('bsd-grant')}bsd-advert {_but('bsd-grant')}bsd-warranty | spdx name-bsd4 ",
+    "BSD-3-Clause": f" bsd3-short | bsd-grant {_but('bsd-(?:advert|grant)')}bsd-endorse {_but('bsd-(?:advert|grant)')}bsd-warranty | spdx {NAMED}name-bsd3 ",
+    "BSD-2-Clause": f" bsd2-short | bsd-grant {_but('bsd-(?:advert|endorse|grant)')}bsd-warranty | spdx {NAMED}name-bsd2 ",
+    "MPL-2.0": f" mpl2-grant | mpl2-short | spdx {NAMED}name-mpl2 ",
+    "CC-BY-NC-4.0": f" cc-by-nc-short | spdx {NAMED}name-cc-by-nc ",
+    "CC-BY-SA-4.0": f" cc-by-sa-short | spdx {NAMED}name-cc-by-sa ",
+    "CC0-1.0": f" cc0-short | spdx {NAMED}name-cc0 ",
+    "BSD-4-Clause": f" bsd-grant {_but('bsd-grant')}bsd-advert {_but('bsd-grant')}bsd-warranty | spdx {NAMED}name-bsd4 ",
     "LGPL-3.0": _gnu_rule("lgpl", "3"),
     "LGPL-2.1": _gnu_rule("lgpl", "21"),
     "LGPL-2.0": _gnu_rule("lgpl", "2"),
     "AGPL-3.0": _gnu_rule("agpl", "3"),
-    "ISC": " isc-grant | isc-short | spdx name-isc ",
-    "EPL-2.0": " epl2-grant | epl2-short | spdx name-epl2 ",
-    "EPL-1.0": " epl1-grant | epl1-short | spdx name-epl1 ",
-    "Unlicense": " unlicense-grant | unlicense-short | spdx name-unlicense ",
+    "ISC": f" isc-grant | isc-short | spdx {NAMED}name-isc ",
+    "EPL-2.0": f" epl2-grant | epl2-short | spdx {NAMED}name-epl2 ",
+    "EPL-1.0": f" epl1-grant | epl1-short | spdx {NAMED}name-epl1 ",
+    "BSL-1.0": " bsl-grant | bsl-short ",
+    "Zlib": f" zlib-warranty {GAP}zlib-altered | zlib-short ",
+    "Unlicense": f" unlicense-grant | unlicense-short | spdx {NAMED}name-unlicense ",
 }
-#: Every sentence of PATTERNS has one of these or of ANCHORS.
-MORE_ANCHORS = ("released", "distributed", "available", "warranties")
 #: A rule matches the line split only where the sentence split has none of these: a wrapped sentence is missing in lines.
 BUT_SENTENCES = {"BSD-3-Clause": " bsd-advert ", "BSD-2-Clause": " bsd-(advert|endorse) "}
 SENTENCE_END, LINE_END = r"[.!?;:]\s+|\n\s*\n", r"[.!?;:]\s+|\n"
+#: Every known sentence has one of these words or, as short names are parts of other words, one of the names by itself.
+ANCHORS = ("licen", "redistribut", "permission", "software", "reserved", "released", "distributed", "available", "warranties", "domain", "altered")
+ANCHOR_NAMES = ("apache", "mit", "gpl", "lgpl", "agpl", "bsd", "0bsd", "mpl", "cc", "cc0", "isc", "epl", "zlib", "bsl", "artistic", "cddl", "wtfpl", "ofl", "eupl", "postgresql")
+WORTH = f"{'|'.join(ANCHORS)}|(?<![a-z0-9])({'|'.join(ANCHOR_NAMES)})(?![a-z0-9])"
 
 
 def normal(sentence: str) -> str:
@@ -156,22 +162,38 @@ def dictionary() -> dict[str, str]:
     return {normal(s): name for name, sentences in SENTENCES.items() for s in sentences}
 
 
-def _has(low: Column, anchors: tuple[str, ...]) -> Column:
-    some = F.lit(False)
-    for anchor in anchors:
-        some = some | F.contains(low, F.lit(anchor))
-    return some
+def rules() -> dict[str, str]:
+    """Patterns over identifiers by licence, in the order of the result; any licence with a name may be named by SPDX."""
+    found = dict(RULES) | MORE_RULES
+    for licence, name in NAMES.items():
+        tag = f" spdx {NAMED}name-{name} "
+        found[licence] = found[licence] if tag in found.get(licence, "") else "|".join(filter(None, [found.get(licence), tag]))
+    return found
+
+
+def expression() -> tuple[str, str, dict[str, str]]:
+    """An SPDX expression of normalised names: the pattern of one name, that of a whole expression, and identifiers by name."""
+    names = {normal(licence): f"name-{name}" for licence, name in NAMES.items()}
+    some = "|".join(sorted(names, key=len, reverse=True))
+    one = f"(?<![a-z0-9])(?:{some})(?: only| or later)?(?![a-z0-9])"
+    return one, f"^{one}(?: (?:and|or) {one}| with [a-z0-9 ]*exception(?: [0-9]+)*)*$", names
 
 
 def _identifiers(low: Column, ends: str) -> Column:
-    """Identifiers of the known sentences of a text, in order; those of SENTENCES only if the text has one of ANCHORS, as in the twin."""
+    """Identifiers of the known sentences of a text, in order; an SPDX expression gives one for each of its names."""
     table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    known = table(dictionary().items())
-    more = table((normal(s), name) for name, sentences in MORE_SENTENCES.items() for s in sentences)
+    known = table((dictionary() | {normal(s): name for name, sentences in MORE_SENTENCES.items() for s in sentences}).items())
+    one, whole, names = expression()
+    named = table(names.items())
+    plain = lambda name: named[F.regexp_replace(name, "( only| or later)$", "")]
     free = lambda s: F.coalesce(*[F.when(s.rlike(f"^({pattern})$"), F.lit(name)) for name, pattern in PATTERNS])
-    of = lambda s: F.coalesce(F.when(F.col("some"), known[s]), more[s], F.when(_has(s, ANCHORS + MORE_ANCHORS), free(s)))
+
+    def of(s: Column) -> Column:
+        listed = F.when(s.rlike(whole), F.transform(F.regexp_extract_all(s, F.lit(one), F.lit(0)), plain))
+        return F.coalesce(listed, F.array(F.coalesce(known[s], F.when(s.rlike("|".join(ANCHORS)), free(s)))))
+
     sentences = F.transform(F.split(low, ends), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.array_compact(F.transform(sentences, of))
+    return F.array_compact(F.flatten(F.transform(sentences, of)))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,19 +201,28 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Returns the id, ``sentence_ids`` (array, in text order), ``line_ids`` (the same with line ends as
     sentence ends, for notices without a full stop) and ``licenses`` (array, in rule order, of the
-    rules that match either; a BSD text is judged by its whole sentences). A sentence ends at one of . ! ? ; : before white space, or at an empty
-    line, so wrapped licence texts are whole; it is compared in lower case with all but letters and
-    digits as one space. A null or empty text has empty arrays; repeated rows are scanned alike;
-    other columns are ignored. No shuffle.
+    rules that match either; a BSD text is judged by its whole sentences). A sentence ends at one of
+    . ! ? ; : before white space, or at an empty line, so wrapped licence texts are whole; it is compared
+    in lower case with all but letters and digits as one space. An SPDX expression (names joined by AND,
+    OR, or WITH an exception) is a sentence of all its names. Licences that SENTENCES, PATTERNS and NAMES
+    don't know are not found.
+
+    A null or empty text has empty arrays; repeated rows are scanned alike; an empty table gives no
+    rows; other columns are ignored. No shuffle.
     """
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = pick(df, id=id_col, text=text_col)
     none = F.array().cast("array<string>")
-    rows = rows.select("id", low.alias("low")).select("id", "low", _has(F.col("low"), ANCHORS).alias("some"))
-    worth = F.col("some") | _has(F.col("low"), MORE_ANCHORS)
-    rows = rows.select("id", F.when(worth, _identifiers(F.col("low"), SENTENCE_END)).otherwise(none).alias("a"), F.when(worth, _identifiers(F.col("low"), LINE_END)).otherwise(none).alias("b"))
+    rows = rows.select("id", low.alias("low")).select("id", "low", F.col("low").rlike(WORTH).alias("worth"))
+    found = lambda ends: F.when(F.col("worth"), _identifiers(F.col("low"), ends)).otherwise(none)
+    rows = rows.select("id", found(SENTENCE_END).alias("a"), found(LINE_END).alias("b"))
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     rows = rows.withColumn("sa", spaced("a")).withColumn("sb", spaced("b"))
-    lines = lambda name, rule: F.col("sb").rlike(rule) & (~F.col("sa").rlike(BUT_SENTENCES[name]) if name in BUT_SENTENCES else F.lit(True))
-    named = F.array_compact(F.array(*[F.when(F.col("sa").rlike(rule) | lines(name, rule), F.lit(name)) for name, rule in (dict(RULES) | MORE_RULES).items()]))
-    return rows.select(F.col("id").alias(id_col), F.col("a").alias("sentence_ids"), F.col("b").alias("line_ids"), F.when((F.size("a") > 0) | (F.size("b") > 0), named).otherwise(none).alias("licenses"))
+
+    def lines(name: str, rule: str) -> Column:
+        hit = F.col("sb").rlike(rule)
+        return hit & ~F.col("sa").rlike(BUT_SENTENCES[name]) if name in BUT_SENTENCES else hit
+
+    named = F.array_compact(F.array(*[F.when(F.col("sa").rlike(rule) | lines(name, rule), F.lit(name)) for name, rule in rules().items()]))
+    some = (F.size("a") > 0) | (F.size("b") > 0)
+    return rows.select(F.col("id").alias(id_col), F.col("a").alias("sentence_ids"), F.col("b").alias("line_ids"), F.when(some, named).otherwise(none).alias("licenses"))

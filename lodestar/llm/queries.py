@@ -48,7 +48,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_languages(docs, MULTI_RANKS)
-    return predict_languages(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict_languages(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.round("fit", 6).alias("fit"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +110,8 @@ def _op7_sql() -> str:
     known = " ".join(f"WHEN {quote(name)} THEN {len(a) + len(b)}" for name, (a, b) in MARKS.items())
     return f"""
 WITH t AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, NULL, 0, 'user', '</s>[INST] ok [/INST]'), (-1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]')),
 s AS (
     SELECT *, CASE WHEN regexp_matches(text, {quote(CONTROL)}) THEN {escaped('text')} ELSE text END AS body,
         CASE role {known} ELSE {sum(map(len, OTHER))} + length({escaped('role')}) END + 1 AS marks FROM t)
@@ -120,7 +120,7 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(length(body) + marks)::BIGINT AS formatted_chars
-FROM s GROUP BY conv_id
+FROM s GROUP BY conv_id, lone
 """
 
 
@@ -145,8 +145,8 @@ FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_i
 def _op10_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in licenses.dictionary().items()) + "}"
-    some = " OR ".join(f"contains(low, {quote(a)})" for a in licenses.ANCHORS)
-    ids = lambda ends: f"CASE WHEN {some} THEN list_filter(list_transform(regexp_split_to_array(low, {quote(ends)}), lambda s: {known}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) ELSE [] END"
+    # tokens of a text by its ends, normalised, and those that the dictionary knows
+    ids = lambda ends: f"list_filter(list_transform(regexp_split_to_array(low, {quote(ends)}), lambda s: {known}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
     spaced = lambda c: f"' ' || array_to_string({c}, ' ') || ' '"
     rules = ", ".join(f"CASE WHEN regexp_matches(sa, {quote(rule)}) OR regexp_matches(sb, {quote(rule)}) THEN {quote(name)} END" for name, rule in licenses.RULES)
     return f"""
