@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Steps per unit of the two int8 storage profiles.
 INT8_SCALES = {"int8": 1000, "int8_x736": 736}
@@ -53,22 +50,30 @@ def quantize_int8(a: Column, scale: int) -> Column:
     return F.transform(a, lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.round(x.cast("float") * F.lit(float(scale)).cast("float")).cast("int"))))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def to_fp16(a: pd.Series) -> pd.Series:
-    return a.map(lambda v: None if v is None else np.asarray(v, dtype=np.float32).astype(np.float16).astype(np.float32))
+def _rounded_to(bits: int, least: int, most: int):
+    """Nearest number of ``bits`` bits after the leading one, ties to even; exponents under ``least`` share its step, from ``most`` it is infinite."""
 
+    def one(x: Column) -> Column:
+        size = F.abs(x.cast("float")).cast("double")
+        near = F.pow(F.lit(2.0), F.floor(F.log2(size)).cast("double"))  # a power of two that a rounded logarithm may miss by one
+        power = F.when(near > size, near / 2).when(near * 2 <= size, near * 2).otherwise(near)
+        step = F.greatest(power, F.lit(2.0**least)) / F.lit(2.0**bits)
+        out = F.rint(size / step) * step
+        out = F.when(out >= F.lit(2.0**most), F.lit(float("inf"))).otherwise(out)
+        plain = (size == 0) | F.isnan(size) | (size == float("inf"))
+        return F.when(plain, x.cast("float")).otherwise((F.signum(x.cast("double")) * out).cast("float"))
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def to_bf16(a: pd.Series) -> pd.Series:
-    """Nearest bfloat16, ties to even."""
+    return one
 
-    def one(v):
-        if v is None:
-            return None
-        bits = np.asarray(v, dtype=np.float32).view(np.uint32).astype(np.uint64)
-        return (((bits + 0x7FFF + ((bits >> 16) & 1)) >> 16) << 16).astype(np.uint32).view(np.float32)
 
-    return a.map(one)
+def to_fp16(a: Column) -> Column:
+    """Nearest half-precision numbers, ties to even."""
+    return F.transform(a, _rounded_to(10, -14, 16))
+
+
+def to_bf16(a: Column) -> Column:
+    """Nearest bfloat16 numbers, ties to even."""
+    return F.transform(a, _rounded_to(7, -126, 128))
 
 
 def profile_similarity(a: Column, b: Column, profile: str = "fp32") -> Column:

@@ -2,29 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task is to sum up in order, as long as there are fewer than PARTS parts.
+PART_ROWS = 1 << 20
+PARTS = 1 << 12
+#: Rows of the sample, for each part, that the cuts between parts are taken from.
+SAMPLE = 64
 
-def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = True, keys: list[str] | None = None, ties: list[str] | None = None, maxima: list[str] | None = None, buckets: int = 64) -> DataFrame:
+
+def _place(key: Column, cuts: list[Column]) -> Column:
+    """The number of ``cuts``, which are in order, up to ``key``: by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    bounds = F.array(*cuts)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) <= key), at + step).otherwise(at))
+
+
+def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = True, keys: list[str] | None = None, ties: list[str] | None = None, maxima: list[str] | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """Append ``<name>_to_here``: the total of each of ``sums`` (or greatest of ``maxima``) up to and with each row.
 
-    Rows of equal ``order`` (numeric, not null) within ``keys`` are told apart by ``ties``; without
-    those they must be distinct. The range is cut at approximate quantiles into at most ``buckets``
-    parts; each is summed up, the totals of the parts before are added as offsets (keys x buckets
-    rows), and only within a part do rows meet in one task.
+    Rows of equal ``order`` (numeric, not null) within ``keys`` are told apart by ``ties`` (ascending);
+    without those they must be distinct. The rows are counted, and from about a million on (``part_rows``)
+    the order, ties included, is cut at the quantiles of a sample into parts of about as many, so neither
+    many rows nor many of one value meet in one task. Each part is summed up, and the totals of the parts
+    before, keys x parts rows, are added as offsets. Rows are shuffled once, by key and part.
     """
-    keys, maxima = keys or [], maxima or []
-    shares = [k / buckets for k in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(order, shares, 10_000).alias("cuts")).first()["cuts"]
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<double>")
-    part = F.size(F.filter(bounds, lambda b: b <= F.col(order).cast("double")))
-    parts = df.withColumn("part", -part if descending else part)
-    totals = parts.groupBy(*keys, "part").agg(*[F.sum(c).alias(f"{c}_part") for c in sums], *[F.max(c).alias(f"{c}_part") for c in maxima])
+    keys, maxima, ties = keys or [], maxima or [], ties or []
+    n = df.count()
+    wanted = min(PARTS, -(-n // part_rows))
+    kinds = dict(df.dtypes)
+    # ties are ascending in either direction, so a descending order is an ascending one of negatives
+    fields = [(-F.col(order) if descending else F.col(order)).cast(kinds[order]), *[F.col(t) for t in ties]]
+    fields = [f.alias(f"k{i}") for i, f in enumerate(fields)]
+    part = F.lit(0)
+    if wanted > 1:
+        sample = sorted(tuple(r) for r in df.select(*fields).sample(min(1.0, wanted * SAMPLE / n), seed=0).collect())
+        chosen = sorted({sample[len(sample) * k // wanted] for k in range(1, wanted)}) if sample else []
+        types = [kinds[order], *[kinds[t] for t in ties]]
+        cuts = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(c, types, strict=True))]) for c in chosen]
+        part = _place(F.struct(*fields), cuts) if cuts else part
+    # both the totals and the windows below read one shuffle
+    laid = df.withColumn("part", part).repartition(*keys, "part")
+    totals = laid.groupBy(*keys, "part").agg(*[F.sum(c).alias(f"{c}_part") for c in sums], *[F.max(c).alias(f"{c}_part") for c in maxima])
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = [F.coalesce(F.sum(f"{c}_part").over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums] + [F.max(f"{c}_part").over(earlier).alias(f"{c}_before") for c in maxima]
+    before = [F.coalesce(F.sum(f"{c}_part").over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums]
+    before += [F.max(f"{c}_part").over(earlier).alias(f"{c}_before") for c in maxima]
     offsets = totals.select(*keys, "part", *before)
-    own = Window.partitionBy(*keys, "part").orderBy(F.desc(order) if descending else F.asc(order), *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
-    out = parts.join(offsets, [*keys, "part"])
-    here = [(F.sum(c).over(own) + F.col(f"{c}_before")).alias(f"{c}_to_here") for c in sums] + [F.greatest(F.max(c).over(own), F.col(f"{c}_before")).alias(f"{c}_to_here") for c in maxima]
+    own = Window.partitionBy(*keys, "part").orderBy(F.desc(order) if descending else F.asc(order), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    out = laid.join(offsets, [*keys, "part"])
+    here = [(F.sum(c).over(own) + F.col(f"{c}_before")).alias(f"{c}_to_here") for c in sums]
+    here += [F.greatest(F.max(c).over(own), F.col(f"{c}_before")).alias(f"{c}_to_here") for c in maxima]
     return out.select(*df.columns, *here)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.boxes import box, iou
+from lodestar.functions.scalars import seeded
 from lodestar.operators.cumulative import running_totals
 from lodestar.operators.grouped import keep_by_group
 
@@ -132,9 +133,10 @@ def atss_assign(dets: DataFrame, gts: DataFrame, k: int = 9) -> DataFrame:
     gx, gy = (F.col("g_x1") + F.col("g_x2")) / 2, (F.col("g_y1") + F.col("g_y2")) / 2
     near = Window.partitionBy("image", "gt", "level").orderBy(F.pow(cx - gx, F.lit(2.0)) + F.pow(cy - gy, F.lit(2.0)), "det")
     candidates = pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
-    limits = candidates.groupBy("image", "gt").agg((F.avg("iou") + F.coalesce(F.stddev_samp("iou"), F.lit(0.0))).alias("limit"))
+    # rounded, so that equal overlaps reach their own mean
+    limits = candidates.groupBy("image", "gt").agg(F.round(F.avg("iou") + F.coalesce(F.stddev_samp("iou"), F.lit(0.0)), 9).alias("limit"))
     inside = F.least(cx - F.col("g_x1"), cy - F.col("g_y1"), F.col("g_x2") - cx, F.col("g_y2") - cy) > 0.01
-    chosen = candidates.join(limits, ["image", "gt"]).where((F.col("iou") >= F.col("limit")) & inside)
+    chosen = candidates.join(limits, ["image", "gt"]).where((F.round("iou", 9) >= F.col("limit")) & inside)
     best = chosen.groupBy("image", "det").agg(F.max_by(F.struct("gt", "iou"), F.struct("iou", -F.col("gt"))).alias("b"))
     return dets.select("image", "det").join(best, ["image", "det"], "left").select("image", "det", F.coalesce("b.gt", F.lit(-1)).cast("long").alias("assigned"), F.col("b.iou").alias("iou"))
 
@@ -243,7 +245,7 @@ def rank_sample(rows: DataFrame, keys: list[str], order: list[Column], n: int) -
 def random_sample(assigned: DataFrame, n: int, positive_share: float, seed: int = 0) -> DataFrame:
     """Of each image up to ``n`` boxes by a seeded hash: at most the positive share of positives, the rest negatives."""
     positive = F.col("assigned") >= 0
-    shuffled = F.xxhash64(F.col("image"), F.col("det"), F.lit(seed))
+    shuffled = seeded(seed, F.col("image"), F.col("det"))
     ranked = assigned.where("assigned is not null").withColumn("positive", positive).withColumn("rank", F.row_number().over(Window.partitionBy("image", "positive").orderBy(shuffled, "det")))
     most = int(n * positive_share)
     taken = F.least(F.coalesce(F.max(F.when(F.col("positive"), F.col("rank"))).over(Window.partitionBy("image")), F.lit(0)), F.lit(most))

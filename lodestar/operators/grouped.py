@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,3 +45,31 @@ def keep_by_group(df: DataFrame, keys: list[str], order: list[Column], columns:
             yield from kept(held, np.array([0])).select(names).to_batches()
 
     return flat.mapInArrow(run, df.schema)
+
+
+def fold_by_key(df: DataFrame, keys: list[str], order: list[str], start: Callable[[tuple], object], schema: str) -> DataFrame:
+    """What a fold over the rows of each key, in order, gives: a batch of rows is in memory at a time, never a whole key.
+
+    ``start(key)`` makes the state of a key; its method ``rows(frame)`` takes the next rows and ``end()``
+    closes the key; both return a frame of ``schema``, or None.
+    """
+    laid = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, now = None, None
+        for frame in frames:
+            codes = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(codes))[0] + 1).tolist(), len(frame)] if len(frame) else [0]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                key = tuple(None if pd.isna(v) else v for v in frame[keys].iloc[a])
+                if state is None or key != now:
+                    yield from _some(state.end() if state is not None else None)
+                    state, now = start(key), key
+                yield from _some(state.rows(frame.iloc[a:b]))
+        yield from _some(state.end() if state is not None else None)
+
+    return laid.mapInPandas(run, schema)
+
+
+def _some(frame: pd.DataFrame | None) -> list[pd.DataFrame]:
+    return [] if frame is None or frame.empty else [frame]

@@ -1,8 +1,9 @@
 """Exact similarity search: top faces, top persons, galleries, votes and threshold pairs.
 
-Scores of many queries are computed in blocks: a block of queries, of a fixed size, is broadcast, each
-task multiplies it with its rows batch by batch and keeps the best of the batch for each query, so
-that what is shuffled grows with queries x batches x k and not with queries x rows.
+Queries are measured first. Up to ``BLOCK_BYTES`` they are broadcast: each task multiplies them with
+its rows batch by batch and keeps the best of a batch for each query, so that what is shuffled grows
+with queries x batches x k and not with queries x rows. More queries than that never pass the driver:
+both sides are dealt into blocks of as many bytes, and every two blocks meet in a task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestar.functions.vectors import profile_similarity
 
@@ -25,15 +27,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of ``queries (query_id, embedding)`` in blocks of about ``block_bytes``; null vectors are left out."""
-    queries = queries.where("embedding is not null").select("query_id", "embedding")
-    stats = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    blocks = max(1, -(-stats["n"] * (stats["d"] or 1) * 8 // block_bytes))
-    for k in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow()
-        if part.num_rows:
-            yield part.column("query_id").to_numpy(), _matrix(part.column("embedding").combine_chunks())
+def _blocks_of(rows: DataFrame, block_bytes: int) -> int:
+    """Blocks of about ``block_bytes`` (as doubles) that the vectors of ``rows`` make; 0 for none."""
+    stats = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    return -(-stats["n"] * (stats["d"] or 1) * 8 // block_bytes)
 
 
 def blocked(queries: DataFrame, gallery: DataFrame, columns: list[str], kernel, schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -41,25 +38,49 @@ def blocked(queries: DataFrame, gallery: DataFrame, columns: list[str], kernel,
 
     ``scores`` is (rows of the batch, queries of the block); ``columns`` are arrays of the batch's rows.
     The kernel returns one array for each field of ``schema``, and so decides what leaves the task.
+    Null vectors are left out on both sides.
     """
-    spark, out = gallery.sparkSession, None
+    spark = gallery.sparkSession
+    queries = queries.where("embedding is not null").select("query_id", "embedding")
     gallery = gallery.where("embedding is not null").select(*columns, "embedding")
     names = [f.split()[0] for f in schema.split(", ")]
-    for ids, vectors in query_blocks(queries, block_bytes):
-        block = spark.sparkContext.broadcast((ids, vectors))
-
-        def run(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, vectors = block.value
+    blocks = _blocks_of(queries, block_bytes)
+    if not blocks:
+        return spark.createDataFrame([], schema)
+
+    def multiplied(ids: np.ndarray, vectors: np.ndarray, rows) -> Iterator[pa.RecordBatch]:
+        for start in range(0, rows.num_rows, 2048):
+            part = rows.slice(start, 2048)
+            own = [part.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]
+            made = kernel(ids, _matrix(part.column(len(columns))) @ vectors.T, own)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=names)
+
+    if blocks == 1:
+        few = queries.toArrow()  # block_bytes at most
+        block = spark.sparkContext.broadcast((few.column("query_id").to_numpy(), _matrix(few.column("embedding").combine_chunks())))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start in range(0, batch.num_rows, 2048):
-                    part = batch.slice(start, 2048)
-                    own = [part.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]
-                    made = kernel(ids, _matrix(part.column(len(columns))) @ vectors.T, own)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=names)
-
-        made = gallery.mapInArrow(run, schema)
-        out = made if out is None else out.union(made)
-    return out if out is not None else spark.createDataFrame([], schema)
+                yield from multiplied(*block.value, batch)
+
+        return gallery.mapInArrow(run, schema)
+
+    parts = max(1, _blocks_of(gallery, block_bytes))
+    dealt = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # new names, as both sides may come from one table
+    left = queries.select(F.col("query_id").alias("id"), F.col("embedding").alias("vector"), dealt(queries, blocks).alias("qb")).withColumn("gb", every(parts))
+    right = gallery.withColumn("gb", dealt(gallery, parts)).withColumn("qb", every(blocks))
+
+    def meet(q: pa.Table, g: pa.Table) -> pa.Table:
+        if not q.num_rows or not g.num_rows:
+            return pa.Table.from_batches([], empty)
+        vectors = _matrix(q.column("vector").combine_chunks())
+        rows = g.select([*columns, "embedding"]).combine_chunks().to_batches(max_chunksize=2048)
+        return pa.Table.from_batches([b.cast(empty) for r in rows for b in multiplied(q.column("id").to_numpy(), vectors, r)], empty)
+
+    empty = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    return left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInArrow(meet, schema)
 
 
 def _scored(queries: DataFrame, gallery: DataFrame, best_of, block_bytes: int, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.scalars import seeded
 from lodestar.functions.vectors import dot, normalize, squared_l2
 from lodestar.operators.cumulative import running_totals
 
@@ -41,35 +42,44 @@ def repeated(rows: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def semi_hard_triplets(vectors: DataFrame, margin: float, most_positive: float | None = None, seed: int = 0) -> DataFrame:
-    """For each anchor and positive of ``vectors (id, label, embedding)`` in a batch, one semi-hard negative by a seeded hash.
+    """For each anchor and positive of ``vectors (id, label, embedding, batch)``, one semi-hard negative of their batch by a seeded hash.
 
-    Semi-hard: d(a, n) - d(a, p) < margin and d(a, p) < d(a, n), squared distances. ``batch`` bounds the
-    product; without such a column the rows are one batch, as a mini-batch is.
+    Semi-hard: d(a, n) - d(a, p) < margin and d(a, p) < d(a, n), squared distances. All pairs of a batch
+    are compared, so a batch is to be of the size of a mini-batch; ``in_batches`` makes such.
     """
-    rows = vectors if "batch" in vectors.columns else vectors.withColumn("batch", F.lit(0))
-    side = lambda p: rows.select("batch", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "label", "embedding")])
-    pairs = side("a").join(side("o"), "batch").where("a_id <> o_id").select("batch", "a_id", "o_id", (F.col("a_label") == F.col("o_label")).alias("same"), squared_l2(F.col("a_embedding"), F.col("o_embedding")).alias("d"))
+    side = lambda p: vectors.select("batch", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "label", "embedding")])
+    pairs = side("a").join(side("o"), "batch").where("a_id <> o_id")
+    pairs = pairs.select("batch", "a_id", "o_id", (F.col("a_label") == F.col("o_label")).alias("same"), squared_l2(F.col("a_embedding"), F.col("o_embedding")).alias("d"))
     positive = pairs.where("same and a_id < o_id").select("batch", "a_id", F.col("o_id").alias("p_id"), F.col("d").alias("ap"))
     positive = positive.where(F.col("ap") < most_positive) if most_positive else positive
     negative = pairs.where("not same").select("batch", "a_id", F.col("o_id").alias("n_id"), F.col("d").alias("an"))
     found = positive.join(negative, ["batch", "a_id"]).where((F.col("an") - F.col("ap") < margin) & (F.col("ap") < F.col("an")))
-    pick = F.struct(F.xxhash64("a_id", "p_id", "n_id", F.lit(seed)), F.col("n_id"))
-    return found.groupBy("a_id", "p_id").agg(F.min_by("n_id", pick).alias("n_id"))
+    pick = F.struct(seeded(seed, F.col("a_id"), F.col("p_id"), F.col("n_id")), F.col("n_id"))
+    return found.groupBy("batch", "a_id", "p_id").agg(F.min_by("n_id", pick).alias("n_id")).drop("batch")
+
+
+def in_batches(rows: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """``rows (id)`` with a ``batch`` of about ``size`` rows each, dealt by a seeded hash of the id."""
+    batches = F.lit(max(1, -(-rows.count() // size)))
+    return rows.withColumn("batch", seeded(seed, F.col("id")) % batches)
 
 
 def class_centre_sample(classes: DataFrame, positives: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """All positive classes and, up to ``n``, others by a seeded hash; (label, position), positions in order of label."""
+    """All positive classes and, up to ``n``, others by a seeded hash; (label, position), positions in order of label.
+
+    The first ``n`` of the order are found by a running count, so millions of classes are no one task's.
+    """
     flagged = classes.select("label").distinct().join(positives.select("label").distinct().withColumn("positive", F.lit(1)), "label", "left")
-    order = [F.coalesce("positive", F.lit(0)).desc(), F.xxhash64("label", F.lit(seed)), F.col("label")]
     forced = positives.select("label").distinct().count()
-    chosen = flagged.orderBy(*order).limit(max(n, forced))
-    return chosen.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("position"))
+    drawn = flagged.withColumn("draw", F.when(F.col("positive") == 1, F.lit(-1)).otherwise(seeded(seed, F.col("label")))).withColumn("one", F.lit(1))
+    placed = running_totals(drawn, "draw", ["one"], descending=False, ties=["label"])
+    chosen = placed.where(F.col("one_to_here") <= max(n, forced)).select("label", "one")
+    return running_totals(chosen, "label", ["one"], descending=False).select("label", (F.col("one_to_here") - 1).cast("long").alias("position"))
 
 
 def shuffled(rows: DataFrame, id_col: str, seed: int, shards: int) -> DataFrame:
     """A reproducible shuffle: rows dealt to shards, and ordered within them, by seeded hashes of the id."""
-    key = F.xxhash64(F.col(id_col), F.lit(seed))
-    return rows.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int")).withColumn("position", F.xxhash64(F.col(id_col), F.lit(seed + 1)))
+    return rows.withColumn("shard", (seeded(seed, F.col(id_col)) % shards).cast("int")).withColumn("position", seeded(seed + 1, F.col(id_col)))
 
 
 def identity_balanced(samples: DataFrame, per_identity: int, seed: int = 0) -> DataFrame:
@@ -77,7 +87,7 @@ def identity_balanced(samples: DataFrame, per_identity: int, seed: int = 0) -> D
 
     The rank limit applies before the shuffle too, so a label of any size sends a few rows a task.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    order = Window.partitionBy("label").orderBy(seeded(seed, F.col("id")), "id")
     ranked = samples.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_identity)
     sizes = samples.groupBy("label").agg(F.count("*").alias("n"))
     turns = F.ceil((F.lit(per_identity + 1) - F.col("r")) / F.col("n"))
@@ -96,10 +106,10 @@ def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return marked.groupBy(key, "run").agg(F.first(value).alias(value), F.count("*").alias("length"))
 
 
-def grouped_batches(rows: DataFrame, batch: int, seed: int = 0, buckets: int = 64) -> DataFrame:
+def grouped_batches(rows: DataFrame, batch: int, seed: int = 0) -> DataFrame:
     """``rows (id, group)`` in batches of one group each: a seeded order, filled up to a whole batch from its start."""
-    keyed = rows.withColumn("key", F.xxhash64("id", F.lit(seed)).cast("double")).withColumn("one", F.lit(1))
-    ranked = running_totals(keyed, "key", ["one"], descending=False, keys=["group"], ties=["id"], buckets=buckets)
+    keyed = rows.withColumn("key", seeded(seed, F.col("id"))).withColumn("one", F.lit(1))
+    ranked = running_totals(keyed, "key", ["one"], descending=False, keys=["group"], ties=["id"])
     sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
     total = F.ceil(F.col("n") / batch) * batch
     places = F.sequence((F.col("one_to_here") - 1).cast("long"), (total - 1).cast("long"), F.col("n").cast("long"))
@@ -107,10 +117,10 @@ def grouped_batches(rows: DataFrame, batch: int, seed: int = 0, buckets: int = 6
     return placed.select("id", "group", F.floor(F.col("place") / batch).alias("batch"), (F.col("place") % batch).alias("slot"))
 
 
-def replica_of(rows: DataFrame, replicas: int, seed: int = 0, buckets: int = 64) -> DataFrame:
+def replica_of(rows: DataFrame, replicas: int, seed: int = 0) -> DataFrame:
     """``rows (id)`` dealt to replicas in a seeded order, as many rows each: the first rows are dealt again to fill up."""
-    keyed = rows.withColumn("key", F.xxhash64("id", F.lit(seed)).cast("double"))
-    ranked = running_totals(keyed.withColumn("one", F.lit(1)), "key", ["one"], descending=False, ties=["id"], buckets=buckets).withColumn("place", F.col("one_to_here") - 1)
+    keyed = rows.withColumn("key", seeded(seed, F.col("id")))
+    ranked = running_totals(keyed.withColumn("one", F.lit(1)), "key", ["one"], descending=False, ties=["id"]).withColumn("place", F.col("one_to_here") - 1)
     n = F.lit(rows.count())
     places = F.sequence(F.col("place").cast("long"), (F.ceil(n / replicas) * replicas - 1).cast("long"), n.cast("long"))
     return ranked.withColumn("place", F.explode(places)).select("id", (F.col("place") % replicas).cast("int").alias("replica"), F.floor(F.col("place") / replicas).alias("step"))

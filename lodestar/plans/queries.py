@@ -12,6 +12,7 @@ from lodestar.functions import scalars as sc
 from lodestar.functions import vectors as vec
 from lodestar.operators import assignment, clustering, detection, detection_eval, evaluation, search, store, templates, training
 from lodestar.plans import fixtures as fx
+from lodestar.plans import sql
 from lodestar.plans.fixtures import sql_iou, with_
 from lodestar.streaming import monitor, tracking
 
@@ -125,7 +126,7 @@ def f_vector_functions(spark, d):
     return rounded(pairs.select("id", vec.norm(x).alias("norm"), cos.alias("cosine"), vec.squared_l2(x, y).alias("squared_l2"), vec.decision(cos, 0.1).alias("decision"), vec.calibrate(cos).alias("calibrated"), vec.profile_similarity(x, y, "int8_x736").alias("int8_x736")), "norm", "cosine", "squared_l2", "calibrated", "int8_x736")
 
 
-@register()
+@register(sql.F_HALF)
 def f_half_precision(spark, d):
     g = fx.gallery(spark, d)
     v = F.col("embedding")
@@ -174,7 +175,7 @@ def a16_tpr_at_fpr(spark, d):
     return rounded(evaluation.tpr_at_fpr(fx.binary_scores(spark, d), [0.01, 0.1, 0.3]), "tpr", "fpr")
 
 
-@register()
+@register(sql.A11)
 def a11_one_to_one(spark, d):
     return rounded(evaluation.one_to_one(fx.binary_scores(spark, d), [0.01, 0.1]), "value")
 
@@ -194,7 +195,7 @@ def a14_kfold_roc(spark, d):
     return rounded(evaluation.kfold_roc(fx.verification_pairs(spark, d)), "tpr", "fpr")
 
 
-@register()
+@register(sql.A15)
 def a15_kfold_val(spark, d):
     return rounded(evaluation.kfold_val(fx.verification_pairs(spark, d), 0.1), "threshold", "val", "far")
 
@@ -207,7 +208,7 @@ def _probe_scores(spark, d):
     return hits.groupBy("query_id", truth.alias("truth")).agg(F.min_by("person_id", "rank").alias("best"), F.max("score").alias("score"), wrong.alias("wrong_score"))
 
 
-@register()
+@register(sql.A12)
 def a12_open_set(spark, d):
     return rounded(evaluation.open_set(_probe_scores(spark, d), [0.01, 0.1, 0.5]), "threshold", "tar", "far")
 
@@ -387,7 +388,7 @@ def f_text_functions(spark, d):
     return e.select("event_id", sc.hhmmss(F.col("event_id") * 977).alias("hhmmss"), sc.contract_id("v1-sha256:", F.col("event_type"), F.col("user_id")).alias("contract"), sc.sex(F.col("user_id") % 2).alias("sex"), sc.valid_id(F.col("event_type")).alias("valid"))
 
 
-@register()
+@register(sql.F16)
 def f16_quality(spark, d):
     e = fx.table(spark, d, "events").select("event_id", (F.col("value") % 100 / 100).alias("q"), (F.col("user_id") % 90 - 45).alias("yaw"), (F.col("event_id") % 60 - 30).alias("pitch"), (F.col("event_id") % 40 - 20).alias("roll"))
     q, yaw, pitch, roll = (F.col(c) for c in ("q", "yaw", "pitch", "roll"))
@@ -397,16 +398,13 @@ def f16_quality(spark, d):
 
 # boxes and detections
 
-PIXEL_BOXES = with_("dets", "gts")
-
-
-@register(PIXEL_BOXES + f"""SELECT d.image, d.det, g.gt, round({sql_iou('d', 'g')}, 12) AS iou, round({sql_iou('d', 'g', 1)}, 12) AS iou_pixel,
-    round(greatest(least(d.x2, g.x2) - greatest(d.x1, g.x1), 0) * greatest(least(d.y2, g.y2) - greatest(d.y1, g.y1), 0) / ((d.x2 - d.x1) * (d.y2 - d.y1)), 12) AS iof FROM dets d JOIN gts g ON d.image = g.image AND d.class = g.class""")
+@register(sql.J8)
 def j8_iou(spark, d):
     g = fx.truths(spark, d).select("image", "class", "gt", *[F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")])
     pairs = fx.detections(spark, d).join(g, ["image", "class"])
     a, b = bx.box(), bx.box("g_")
-    return rounded(pairs.select("image", "det", "gt", bx.iou(a, b).alias("iou"), bx.iou(a, b, pixel=1).alias("iou_pixel"), bx.iou(a, b, "iof").alias("iof")), "iou", "iou_pixel", "iof", digits=12)
+    kinds = {"iou": bx.iou(a, b), "pixel": bx.iou(a, b, pixel=1), "iof": bx.iou(a, b, "iof"), "giou": bx.iou(a, b, "giou"), "interval": bx.interval_iou(a, b)}
+    return pairs.groupBy("image", "det").agg(F.count("*").alias("truths"), F.round(F.max(kinds["iou"]), 9).alias("best"), *[F.round(F.sum(v), 9).alias(k) for k, v in kinds.items()])
 
 
 @register(with_("dets") + """SELECT image, det, round((x1 + x2) / 2, 6) AS cx, 100 - x2 AS flipped_x1, round(ln((x2 - x1) / 32), 6) AS dw, round(((x1 + x2) * 0.5 - 16) / 32, 6) AS dx, greatest(0, least(x2, 50)) AS clipped_x2,
@@ -417,12 +415,12 @@ def f26_box_functions(spark, d):
     return rounded(fx.detections(spark, d).select("image", "det", bx.to_cxcywh(b)[0].alias("cx"), bx.flip(b, size, size)[0].alias("flipped_x1"), code[2].alias("dw"), code[0].alias("dx"), bx.clip(b, F.lit(50.0), F.lit(50.0))[2].alias("clipped_x2"), bx.centre_score(b, size, size).alias("centre")), "cx", "dw", "dx", "centre")
 
 
-@register()
+@register(sql.X1)
 def x1_nms(spark, d):
     return detection.nms(fx.detections(spark, d), 0.4)
 
 
-@register()
+@register(sql.X3)
 def x3_multiclass_nms(spark, d):
     return detection.multiclass_nms(fx.detections(spark, d), 0.05, 0.5, 10)
 
@@ -445,7 +443,7 @@ def x7_max_iou_assign(spark, d):
     return rounded(detection.max_iou_assign(fx.detections(spark, d), fx.truths(spark, d), least_positive=0.3), "iou")
 
 
-@register()
+@register(sql.X8)
 def x8_atss_assign(spark, d):
     return rounded(detection.atss_assign(fx.detections(spark, d).withColumn("level", F.col("class")), fx.truths(spark, d)), "iou")
 
@@ -455,7 +453,7 @@ def x9_hungarian_assign(spark, d):
     return detection.hungarian_assign(fx.detections(spark, d), fx.truths(spark, d))
 
 
-@register()
+@register(sql.X10_RANDOM)
 def x10_random_sample(spark, d):
     return detection.random_sample(detection.max_iou_assign(fx.detections(spark, d), fx.truths(spark, d)), 16, 0.25)
 
@@ -471,7 +469,7 @@ def a20_mark_default(spark, d):
     return detection.mark_default(fx.detections(spark, d), fx.truths(spark, d))
 
 
-@register()
+@register(sql.A24)
 def a24_face_ap(spark, d):
     return rounded(detection_eval.face_ap(fx.detections(spark, d), fx.truths(spark, d).withColumn("counts", ~F.col("ignore"))), "ap")
 
@@ -481,14 +479,14 @@ def a25_coco_summary(spark, d):
     return rounded(detection_eval.coco_summary(fx.detections(spark, d), fx.truths(spark, d)), "ap", "recall")
 
 
-@register()
+@register(sql.X6)
 def x6_merge_augmented(spark, d):
     b = fx.detections(spark, d).withColumn("weight", F.col("score"))
     moved = b.select("image", (F.floor(F.col("det") / 2)).alias("det"), *[F.col(c) for c in ("x1", "y1", "x2", "y2", "score", "weight")])
     return rounded(assignment.merge_augmented(moved, "weighted"), "x1", "y1", "x2", "y2", "score")
 
 
-@register()
+@register(sql.X9_APPROX)
 def x9_approx_assign(spark, d):
     b = fx.detections(spark, d)
     return assignment.approx_max_iou_assign(b, b.union(b.select("image", "class", (F.col("x1") + 2).alias("x1"), "y1", (F.col("x2") + 2).alias("x2"), "y2", "score", "det").select(*b.columns)), fx.truths(spark, d))
@@ -501,46 +499,46 @@ def x9_centre_region(spark, d):
     return assignment.centre_region_assign(fx.detections(spark, d), fx.truths(spark, d), 0.25, 0.5)
 
 
-@register()
+@register(sql.X9_GRID)
 def x9_grid_assign(spark, d):
     return assignment.grid_assign(fx.detections(spark, d).withColumn("responsible", F.col("det") % 2 == 0), fx.truths(spark, d))
 
 
-@register()
+@register(sql.X9_POINT)
 def x9_point_assign(spark, d):
     p = fx.detections(spark, d).select("image", "det", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.col("class").alias("level"))
     return assignment.point_assign(p, fx.truths(spark, d), nearest=3)
 
 
-@register()
+@register(sql.X10_INSTANCE)
 def x10_instance_balanced(spark, d):
     return assignment.instance_balanced_sample(detection.max_iou_assign(fx.detections(spark, d), fx.truths(spark, d)), 8)
 
 
-@register()
+@register(sql.X10_IOU)
 def x10_iou_balanced(spark, d):
     return assignment.iou_balanced_sample(detection.max_iou_assign(fx.detections(spark, d), fx.truths(spark, d)), 9)
 
 
-@register()
+@register(sql.X10_HARD)
 def x10_hard_examples(spark, d):
     b = fx.detections(spark, d)
     return assignment.hard_sample(detection.max_iou_assign(b, fx.truths(spark, d)).join(b.select("image", "det", F.col("score").alias("loss")), ["image", "det"]), 16, 0.25)
 
 
-@register()
+@register(sql.X10_RANK)
 def x10_hierarchical_rank(spark, d):
     return rounded(assignment.hierarchical_rank(fx.detections(spark, d)), "weight").select("image", "class", "det", "leader", "weight")
 
 
-@register()
+@register(sql.X14)
 def x14_strict_review(spark, d):
     q = fx.queries(spark, d).select((F.col("query_id") % 150).alias("request"), F.col("query_id").alias("position"), "query_id", "person_id", "embedding")
     enrolled = fx.gallery(spark, d).join(fx.queries(spark, d).select(F.col("query_id").alias("vector_id")), "vector_id", "left_anti")
     return rounded(assignment.strict_review(q, enrolled), "own", "other")
 
 
-@register()
+@register(sql.A21)
 def a21_mark_available(spark, d):
     return detection.mark_available(fx.detections(spark, d), fx.truths(spark, d).where("not ignore"))
 
@@ -561,7 +559,7 @@ def a19_eleven_points(spark, d):
     return rounded(detection.eval_map(fx.detections(spark, d), fx.truths(spark, d), mode="11points"), "ap")
 
 
-@register()
+@register(sql.A23)
 def a23_proposal_recall(spark, d):
     return rounded(detection.proposal_recall(fx.detections(spark, d), fx.truths(spark, d), [5, 20, 100], [0.5, 0.7]), "recall")
 
@@ -579,18 +577,18 @@ def t12_single_face(spark, d):
 # clusters and training sets
 
 
-@register()
+@register(sql.X11)
 def x11_dbscan(spark, d):
     return clustering.dbscan(fx.planted(spark, d, 2.0).select(F.col("vec_id").alias("id"), "embedding"), 0.8, 3)
 
 
-@register()
+@register(sql.X13)
 def x13_albums(spark, d):
     v = fx.planted(spark, d, 2.0).select(F.col("vec_id").alias("id"), (F.col("vec_id") % 100).alias("photo"), "embedding")
     return clustering.albums(clustering.numbered(clustering.dbscan(v.select("id", "embedding"), 0.8, 3)), v)
 
 
-@register()
+@register(sql.X12)
 def x12_sequential_clusters(spark, d):
     v = fx.planted(spark, d, 2.0).select(F.col("vec_id").alias("id"), (F.col("vec_id") % 8).alias("part"), "embedding")
     return clustering.sequential_clusters(v, 0.6, "part")
@@ -615,24 +613,24 @@ def x19_repeat_factors(spark, d):
     return rounded(training.repeat_factors(rows, 0.01), "factor")
 
 
-@register()
+@register(sql.X16)
 def x16_triplets(spark, d):
     v = fx.planted(spark, d, 1.0).select(F.col("vec_id").alias("id"), "label", "embedding", F.floor(F.col("vec_id") / 50).alias("batch"))
     return training.semi_hard_triplets(v, 0.2)
 
 
-@register()
+@register(sql.X17)
 def x17_class_centres(spark, d):
     classes = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("label"))
     return training.class_centre_sample(classes, classes.where("label <= 40"), 200)
 
 
-@register()
+@register(sql.K11)
 def k11_shuffled(spark, d):
     return training.shuffled(fx.table(spark, d, "embeddings").select(F.col("vec_id"), "label"), "vec_id", 7, 16)
 
 
-@register()
+@register(sql.X18)
 def x18_identity_balanced(spark, d):
     rows = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("label"))
     return training.identity_balanced(rows, 4)
@@ -677,13 +675,13 @@ def r2_latest_frames(spark, d):
     return rounded(monitor.latest_frames(fx.frames(spark, d).withColumnRenamed("face", "seq"), 300.0), "seconds", digits=3)
 
 
-@register()
+@register(sql.R1)
 def r1_rate_limited(spark, d):
     f = fx.frames(spark, d).select("monitor", "seconds", F.col("face").alias("seq"))
     return rounded(monitor.rate_limited(f, 1 / 120), "seconds", digits=3)
 
 
-@register()
+@register(sql.R6)
 def r6_cooled(spark, d):
     e = fx.table(spark, d, "events").select("event_id", "event_type", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("seconds"))
     return monitor.cooled(e, ["event_type", "user_id"], 3600.0)

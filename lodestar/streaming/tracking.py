@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lodestar.operators.detection import hungarian, iou_matrix
+from lodestar.operators.detection import BOX, hungarian, iou_matrix
+from lodestar.operators.grouped import fold_by_key
 
 # Fixed values of the published tracker.
 HIGH, NEW, FIRST, SECOND, UNSURE, SAME = 0.5, 0.6, 0.8, 0.5, 0.7, 0.15
@@ -118,15 +119,31 @@ class Tracker:
         self.tracks = [t for t in self.tracks if t["track"] not in gone]
 
 
-def track_boxes(detections: DataFrame, key: str = "video", buffer: int = 30) -> DataFrame:
-    """Tracks of ``detections (key, frame, det, x1, y1, x2, y2, score)``, one video folded in order of frame in one task."""
+class _Folded:
+    """A tracker over rows that come in order, in parts: the last frame waits, as its boxes may go on."""
+
+    def __init__(self, name: str, key: object, buffer: int):
+        self.name, self.key, self.tracker, self.waiting = name, key, Tracker(buffer), None
+
+    def _fold(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for frame, part in rows.groupby("frame", sort=False):
+            for track, score, b in self.tracker.frame(part[BOX].to_numpy(dtype=float), part["score"].to_numpy(dtype=float)):
+                out.append((self.key, frame, track, score, *b))
+        return pd.DataFrame(out, columns=[self.name, "frame", "track", "score", *BOX])
 
-    def run(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        tracker, rows = Tracker(buffer), []
-        for frame, part in g.sort_values(["frame", "det"]).groupby("frame", sort=True):
-            for track, score, b in tracker.frame(part[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float), part["score"].to_numpy(dtype=float)):
-                rows.append((k[0], frame, track, score, *b))
-        return pd.DataFrame(rows, columns=[key, "frame", "track", "score", "x1", "y1", "x2", "y2"])
+    def rows(self, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame if self.waiting is None else pd.concat([self.waiting, frame])
+        last = frame["frame"] == frame["frame"].iloc[-1]
+        self.waiting = frame[last]
+        return self._fold(frame[~last])
 
+    def end(self) -> pd.DataFrame:
+        return self._fold(self.waiting)
+
+
+def track_boxes(detections: DataFrame, key: str = "video", buffer: int = 30) -> DataFrame:
+    """Tracks of ``detections (key, frame, det, x1, y1, x2, y2, score)``, one video folded in order of frame in one task, a batch at a time."""
     kind = dict(detections.dtypes)[key]
-    return detections.groupBy(key).applyInPandas(run, f"{key} {kind}, frame long, track long, score double, x1 double, y1 double, x2 double, y2 double")
+    rows = detections.select(key, "frame", "det", *BOX, "score")
+    return fold_by_key(rows, [key], ["frame", "det"], lambda k: _Folded(key, k[0], buffer), f"{key} {kind}, frame long, track long, score double, x1 double, y1 double, x2 double, y2 double")

@@ -104,7 +104,7 @@ def test_batches_and_replicas_are_full(spark):
     got = training.grouped_batches(rows, 4).collect()
     assert all(n == 4 for n in {(x["group"], x["batch"]): sum((y["group"], y["batch"]) == (x["group"], x["batch"]) for y in got) for x in got}.values())
     assert {x["id"] for x in got} == set(range(21)) and len({x["group"] for x in got if x["id"] == 20}) == 1
-    dealt = training.replica_of(rows, 4, buckets=3).collect()
+    dealt = training.replica_of(rows, 4).collect()
     assert [sum(x["replica"] == r for x in dealt) for r in range(4)] == [6] * 4 and {x["id"] for x in dealt} == set(range(21))
 
 

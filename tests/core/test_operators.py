@@ -107,7 +107,7 @@ def test_running_totals_match_cumsum(spark, descending):
     x = np.unique(r.normal(size=500))
     n = r.integers(0, 9, size=len(x))
     df = spark.createDataFrame(pd.DataFrame({"x": x, "n": n})).repartition(7)
-    got = running_totals(df, "x", ["n"], descending, buckets=9).orderBy("x").toPandas()["n_to_here"].to_numpy()
+    got = running_totals(df, "x", ["n"], descending, part_rows=60).orderBy("x").toPandas()["n_to_here"].to_numpy()
     want = np.cumsum(n[::-1])[::-1] if descending else np.cumsum(n)
     assert (got == want).all()
 
@@ -268,7 +268,8 @@ def test_two_clusters_and_albums(spark):
 def test_triplets_are_semi_hard(spark):
     r = np.random.default_rng(0)
     rows = [(i, i % 4, (r.normal(size=3) + i % 4).tolist()) for i in range(24)]
-    got = training.semi_hard_triplets(spark.createDataFrame(rows, "id long, label long, embedding array<double>"), 2.0).collect()
+    vectors = spark.createDataFrame(rows, "id long, label long, embedding array<double>")
+    got = training.semi_hard_triplets(training.in_batches(vectors, 100), 2.0).collect()
     d = lambda a, b: sum((x - y) ** 2 for x, y in zip(rows[a][2], rows[b][2], strict=True))
     assert got and all(rows[t["a_id"]][1] == rows[t["p_id"]][1] != rows[t["n_id"]][1] and 0 < d(t["a_id"], t["n_id"]) - d(t["a_id"], t["p_id"]) < 2.0 for t in got)
 
