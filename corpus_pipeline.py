@@ -22,9 +22,6 @@ from lodestar.operators.graph import drop_checkpoint
 LEAST_SCORE = 0.5
 #: and so is one whose log probability per byte is this far below what is usual in that language.
 LEAST_FIT = -3.0
-#: Differing bits of fingerprints of 3-word shingles at which documents are near-duplicates: those of a
-#: similarity (5-word shingles) of 0.8 or more differ in 0 to 10 bits, mostly in 7 at most.
-NEAR_BITS = 7
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +39,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component: that of the smallest doc_id, of null id if all are such.
+    """Keep one document of each near-duplicate component: that of the smallest doc_id, of null id if all are such.
 
-    Of rows of that id, repeated or with different texts, one stays, by hash. Texts of no words, null
-    ones too, are near-duplicates of each other.
+    SimHash fingerprints find the pairs, at up to 11 bits; they link at a similarity of 0.8 or more of
+    their five-word shingles. Of rows of that id, repeated or with different texts, one stays, by hash.
+    Texts of no words, null ones too, are near-duplicates of each other.
     """
-    return keep_one_of_each(docs, bits=NEAR_BITS)
+    return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
