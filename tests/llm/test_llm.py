@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestar.llm import licenses
+from lodestar.llm import licenses, simhash
 from lodestar.llm.bpe import BytePairCodec, round_trip
 from lodestar.llm.chat_format import format_conversations
 from lodestar.operators.graph import connected_components
@@ -506,9 +506,69 @@ def test_simhash_matches_brute_force(spark):
     comp = components_of(len(texts), links)
     got = simhash_near_duplicates(docs(spark, texts)).orderBy("doc_id").collect()
     assert [(x["fingerprint"], x["component_id"]) for x in got] == [(f"{p:016x}", c) for p, c in zip(prints, comp, strict=True)]
+
+
+def brute_similarity(a, b, most=128):
+    """Of five-word shingles, by the least 32-bit hashes of each text."""
+
+    def least(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+        shingles = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or ([" ".join(words)] if words else [])
+        return sorted({xxhash.xxh64_intdigest(s.encode(), 42) & 0xFFFFFFFF for s in shingles})[:most]
+
+    x, y = least(a), least(b)
+    until = min(x[-1] if len(x) == most else 1 << 32, y[-1] if len(y) == most else 1 << 32)
+    x, y = ({h for h in s if h <= until} for s in (x, y))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def brute_kept(rows, bits=11, least=0.8):
+    """Ids of ``rows (id, text)`` that near-duplicate removal keeps."""
+    texts = list(dict.fromkeys(t for _, t in rows))
+    prints = [brute_fingerprint(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= bits and brute_similarity(texts[i], texts[j]) >= least]
+    comp = dict(zip(texts, components_of(len(texts), links), strict=True))
+    best = {}
+    for i, t in rows:
+        best[comp[t]] = min(best.get(comp[t], i), i)
+    return sorted(best.values())
+
+
+def edited(r, text, share):
+    words = (text or "").split(" ")
+    for k in r.sample(range(len(words)), int(len(words) * share)):
+        words[k] = r.choice(["new", "words", "here"])
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("tile", [None, 5])
+def test_one_of_each_matches_brute_force(spark, tile, monkeypatch):
+    if tile:  # crowded tiles
+        links = simhash.similar_links
+        monkeypatch.setattr(simhash, "similar_links", lambda nodes, bits, least: links(nodes, bits, least, tile_rows=tile))
+    r = random.Random(6)
+    base = [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()][:60]
+    texts = [*ODD, *base, *(edited(r, t, s) for t in base[:30] for s in (0.005, 0.02, 0.05)), *(base[7] + f" tail {i}" for i in range(30))]
     kept = keep_one_of_each(docs(spark, texts))
     assert kept.columns == docs(spark, []).columns
-    assert sorted(x["doc_id"] for x in kept.collect()) == [i for i, c in enumerate(comp) if i == c]
+    want = brute_kept(list(enumerate(texts)))
+    assert sorted(x["doc_id"] for x in kept.collect()) == want and 60 < len(want) < len(texts) - 40
+
+
+def test_similarity_is_exact_for_short_texts_and_near_for_long_ones():
+    r = random.Random(9)
+    for n, slack in ((60, 1e-9), (4000, 0.15)):
+        words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        other = list(words)
+        for k in r.sample(range(n), n // 50):
+            other[k] = "changed"
+        sets = [{" ".join(w[i : i + 5]) for i in range(n - 4)} for w in (words, other)]
+        sketches = np.full((2, simhash.SKETCH), simhash.MISSING, dtype=np.uint64)
+        for row, w in enumerate((words, other)):
+            raw = np.frombuffer(simhash.sketch_of([x.encode() for x in w], 5, 42), "<u4")
+            sketches[row, : len(raw)] = raw
+        got = simhash.similarity(sketches[0], sketches[1:])[0]
+        assert abs(got - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) <= slack
 
 
 @pytest.mark.parametrize("tile", [3, 50, 4096])
@@ -628,9 +688,7 @@ def test_pipeline_matches_brute_force(spark, codec, scanner):
     bench = [(str(x["item_id"]), x["text"]) for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     predicted = QUERIES["op5_language_id"](spark, sf).collect()
     kept = sorted(x["doc_id"] for x in predicted if x["lang_pred"] != "und" and x["score"] >= corpus_pipeline.LEAST_SCORE and x["fit"] >= corpus_pipeline.LEAST_FIT)
-    prints = [brute_fingerprint(source[i]["text"]) for i in kept]
-    comp = components_of(len(kept), [(i, j) for i in range(len(kept)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.NEAR_BITS])
-    kept = [d for i, d in enumerate(kept) if comp[i] == i]
+    kept = brute_kept([(i, source[i]["text"]) for i in kept])
     windows = Windows(bench, 13)
     want = {}
     for d in kept:
