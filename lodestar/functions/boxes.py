@@ -108,6 +108,37 @@ def box_to_distance(point: Box, b: Box, most: float | None = None, eps: float =
     return d if most is None else tuple(F.greatest(F.lit(0.0), F.least(x, F.lit(most - eps))) for x in d)
 
 
+def distance_to_landmarks(point: Sequence[Column], distances: Sequence[tuple[Column, Column]], width: Column | None = None, height: Column | None = None) -> list[tuple[Column, Column]]:
+    """Landmarks at signed distances of a point, clamped to the image if its size is given."""
+    to = lambda x, m: x if m is None else F.greatest(F.lit(0.0), F.least(x, m))
+    return [(to(point[0] + dx, width), to(point[1] + dy, height)) for dx, dy in distances]
+
+
+def landmarks_to_distance(point: Sequence[Column], landmarks: Sequence[tuple[Column, Column]], most: float | None = None, eps: float = 0.1) -> list[tuple[Column, Column]]:
+    """Signed distances of landmarks from a point; with ``most`` clamped to 0..most - eps."""
+    to = lambda d: d if most is None else F.greatest(F.lit(0.0), F.least(d, F.lit(most - eps)))
+    return [(to(x - point[0]), to(y - point[1])) for x, y in landmarks]
+
+
+def landmark_similarity(points: Column, truth: Column, box: Box, area: Column, sigmas: Sequence[float]) -> Column:
+    """Object keypoint similarity of ``points`` to ``truth``, arrays of (x, y) and (x, y, visible): the mean of
+    exp(-d^2 / (2 area (2 sigma)^2)) over visible points, or, if none is, of the distances by which points
+    lie outside the truth's box (x1, y1, x2, y2) widened by its own size on each side.
+    """
+    w, h = box[2] - box[0], box[3] - box[1]
+    beyond = lambda v, lo, hi: F.greatest(lo - v, F.lit(0.0)) + F.greatest(v - hi, F.lit(0.0))
+    spread = F.array(*[F.lit((2.0 * s) ** 2) for s in sigmas])
+
+    def term(dx: Column, dy: Column, i: Column) -> Column:
+        return F.exp(-(dx * dx + dy * dy) / F.get(spread, i) / (area + F.lit(2.0**-52)) / 2)
+
+    near = F.transform(points, lambda p, i: term(p["x"] - F.get(truth, i)["x"], p["y"] - F.get(truth, i)["y"], i))
+    seen = F.filter(near, lambda e, i: F.get(truth, i)["visible"] > 0)
+    outside = F.transform(points, lambda p, i: term(beyond(p["x"], box[0] - w, box[2] + w), beyond(p["y"], box[1] - h, box[3] + h), i))
+    used = F.when(F.size(seen) > 0, seen).otherwise(outside)
+    return F.aggregate(used, F.lit(0.0), lambda a, x: a + x) / F.size(used)
+
+
 def encode_delta(anchor: Box, target: Box, means: Sequence[float] = (0, 0, 0, 0), stds: Sequence[float] = (1, 1, 1, 1), pixel: float = 0.0) -> tuple[Column, ...]:
     """Centre offsets over the anchor's size and logs of size ratios, standardised; ``pixel`` 1 is the inclusive convention."""
     size = lambda b: (b[2] - b[0] + pixel, b[3] - b[1] + pixel)

@@ -183,6 +183,28 @@ def mark_available(dets: DataFrame, gts: DataFrame, threshold: float = 0.5) -> D
     return both.groupBy("image", "class").applyInPandas(run, schema)
 
 
+def mark_by_area(dets: DataFrame, gts: DataFrame, areas: dict[str, tuple[float, float]], threshold: float = 0.5) -> DataFrame:
+    """``mark_default`` for each of ``areas``, ranges [least, most) of a box's area, in a column ``area``.
+
+    Within a range, a best truth outside it makes a row neither, as one marked ``ignore`` does, and a row
+    that reaches no truth is a false positive only if it lies in the range itself. One matching serves all.
+    """
+    keys = ["image", "class"]
+    ranges = F.array(*[F.struct(F.lit(n).alias("area"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for n, (lo, hi) in areas.items()])
+    if "ignore" not in gts.columns:
+        gts = gts.withColumn("ignore", F.lit(False))
+    size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    pairs = _pairs(dets, gts, keys, 0.0, 1e-6).withColumn("g_size", size(box("g_")))
+    best = pairs.groupBy(*keys, "det").agg(F.max_by(F.struct("gt", "iou", "ignore", "g_size"), F.struct("iou", -F.col("gt"))).alias("b"))
+    matched = dets.join(best, [*keys, "det"], "left").withColumn("hit", F.coalesce(F.col("b.iou") >= threshold, F.lit(False))).withColumn("size", size(box()))
+    order = Window.partitionBy(*keys, F.col("hit"), F.col("b.gt")).orderBy(F.desc("score"), "det")
+    each = matched.withColumn("first", F.row_number().over(order) == 1).withColumn("r", F.explode(ranges))
+    inside = lambda c: (c >= F.col("r.lo")) & (c < F.col("r.hi"))
+    counts = F.col("hit") & ~F.coalesce("b.ignore", F.lit(False)) & inside(F.col("b.g_size"))
+    tp, fp = counts & F.col("first"), (counts & ~F.col("first")) | (~F.col("hit") & inside(F.col("size")))
+    return each.select(F.col("r.area").alias("area"), *dets.columns, tp.cast("int").alias("tp"), fp.cast("int").alias("fp"))
+
+
 def precision_recall(marked: DataFrame, gts: DataFrame) -> DataFrame:
     """Recall and precision of each class down the global order of score, then image, then det."""
     truths = gts.where(~F.col("ignore")) if "ignore" in gts.columns else gts
@@ -216,6 +238,20 @@ def eval_map(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, mode: str
     return truths.join(n, "class", "left").join(ap, "class", "left").select("class", "truths", F.coalesce("dets", F.lit(0)).alias("dets"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
+def eval_map_by_area(dets: DataFrame, gts: DataFrame, areas: dict[str, tuple[float, float]], threshold: float = 0.5) -> DataFrame:
+    """AP of each class and range of areas in which it has ground truth: (area, class, truths, ap)."""
+    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    inside = F.array_compact(F.array(*[F.when((size >= lo) & (size < hi), F.lit(n)) for n, (lo, hi) in areas.items()]))
+    truths = gts.withColumn("area", F.explode(inside))
+    both = F.struct("area", "class").alias("class")
+    marked = mark_by_area(dets, gts, areas, threshold)
+    named = lambda df: df.select(both, *[c for c in df.columns if c not in ("area", "class")])
+    ap = average_precision(precision_recall(named(marked), named(truths)))
+    real = truths.where(~F.col("ignore")) if "ignore" in gts.columns else truths
+    counts = named(real).groupBy("class").agg(F.count("*").alias("truths"))
+    return counts.join(ap, "class", "left").select("class.area", "class.class", "truths", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
 def proposal_recall(dets: DataFrame, gts: DataFrame, numbers: list[int], thresholds: list[float]) -> DataFrame:
     """Share of truths met at each IoU threshold by the best ``number`` boxes of an image, matched one to one by greatest IoU first."""
     both = dets.select("image", "det", "score", *BOX, F.lit(None).cast("long").alias("gt")).unionByName(gts.select("image", F.lit(None).cast("long").alias("det"), F.lit(None).cast("double").alias("score"), *BOX, "gt"))

@@ -129,6 +129,15 @@ def face_ap(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, steps: int
     return curve.withColumn("width", width).withColumn("envelope", F.max("precision").over(ahead)).agg(F.coalesce(F.sum(F.col("width") * F.col("envelope")), F.lit(0.0)).alias("ap"))
 
 
+def face_ap_settings(dets: DataFrame, gts: DataFrame, settings: list[str], threshold: float = 0.5, steps: int = 1000) -> DataFrame:
+    """``face_ap`` for each setting, a boolean column of ``gts`` that marks its truths (easy, medium, hard): (setting, ap)."""
+    out = None
+    for name in settings:
+        one = face_ap(dets, gts.withColumn("counts", F.col(name)), threshold, steps).withColumn("setting", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("setting", "ap")
+
+
 def evaluate_each(parts: dict[str, tuple[DataFrame, DataFrame]], evaluate) -> DataFrame:
     """``evaluate(dets, gts)`` of each named dataset, as one table with the column ``dataset``."""
     out = None

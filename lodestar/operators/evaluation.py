@@ -30,7 +30,7 @@ def score_curve(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def best_threshold(scores: DataFrame) -> DataFrame:
     """The score at which accepting it and above is most accurate, the lowest such; and that accuracy."""
-    accuracy = (F.col("pos_ge") + F.col("n") - F.col("neg_ge")) / (F.col("p") + F.col("n"))
+    accuracy = (F.col("pos_ge") + F.col("n") - F.col("neg_ge")) / (F.col("p") + F.col("n"))  # a curve has a row or more
     best = score_curve(scores).agg(F.max_by(F.struct("score", accuracy.alias("accuracy")), F.struct(accuracy.alias("accuracy"), -F.col("score"))).alias("b"))
     return best.select(F.col("b.score").alias("threshold"), F.col("b.accuracy").alias("accuracy"))
 
@@ -67,13 +67,14 @@ def tar_at_far_kyc(scores: DataFrame, targets: list[float]) -> DataFrame:
 
 
 def roc_auc(scores: DataFrame) -> DataFrame:
-    """Area under the full ROC curve by trapezoids over distinct scores."""
-    return score_curve(scores).agg(F.sum(F.col("neg") / F.col("n") * ((2 * F.col("pos_ge") - F.col("pos")) / F.col("p")) / 2).alias("auc"))
+    """Area under the full ROC curve by trapezoids over distinct scores; null without genuine or without impostor rows."""
+    height = F.try_divide(2 * F.col("pos_ge") - F.col("pos"), F.col("p"))
+    return score_curve(scores).agg(F.sum(F.try_divide("neg", "n") * height / 2).alias("auc"))
 
 
 def tpr_at_fpr(scores: DataFrame, targets: list[float]) -> DataFrame:
     """TPR where the curve's FPR is nearest to each target; of equally near points the highest TPR. The curve starts at (0, 0)."""
-    curve = score_curve(scores).select((F.col("neg_ge") / F.col("n")).alias("fpr"), (F.col("pos_ge") / F.col("p")).alias("tpr"))
+    curve = score_curve(scores).select(F.coalesce(F.try_divide("neg_ge", "n"), F.lit(0.0)).alias("fpr"), F.coalesce(F.try_divide("pos_ge", "p"), F.lit(0.0)).alias("tpr"))
     curve = curve.union(scores.sparkSession.createDataFrame([(0.0, 0.0)], "fpr double, tpr double"))
     goals = scores.sparkSession.createDataFrame([(float(t),) for t in targets], "target double")
     near = F.struct(F.abs(F.col("fpr") - F.col("target")), -F.col("tpr"))
@@ -108,7 +109,7 @@ def kfold_accuracy(pairs: DataFrame, k: int = 10, steps: int = 400, width: float
     """Per fold of ``pairs (pair_idx from 0, label, distance)``: the first threshold of best accuracy on the other folds, and the accuracy on its own."""
     counts = _fold_counts(pairs, k, steps, width).withColumn("right", F.col("pos") + F.col("n") - F.col("neg")).withColumn("size", F.col("p") + F.col("n"))
     everyone = Window.partitionBy("step")
-    train = counts.select("fold", "step", (F.col("right") / F.col("size")).alias("accuracy"), ((F.sum("right").over(everyone) - F.col("right")) / (F.sum("size").over(everyone) - F.col("size"))).alias("train"), (F.col("pos") / F.greatest("p", F.lit(1))).alias("tpr"), (F.col("neg") / F.greatest("n", F.lit(1))).alias("fpr"))
+    train = counts.select("fold", "step", (F.col("right") / F.col("size")).alias("accuracy"), F.coalesce(F.try_divide(F.sum("right").over(everyone) - F.col("right"), F.sum("size").over(everyone) - F.col("size")), F.lit(0.0)).alias("train"), (F.col("pos") / F.greatest("p", F.lit(1))).alias("tpr"), (F.col("neg") / F.greatest("n", F.lit(1))).alias("fpr"))
     best = train.groupBy("fold").agg(F.max_by(F.struct("step", "accuracy"), F.struct("train", -F.col("step"))).alias("b"))
     return best.select("fold", (F.col("b.step") * F.lit(width)).alias("threshold"), F.col("b.accuracy").alias("accuracy"))
 
@@ -176,3 +177,48 @@ def recall_at_far(positives: DataFrame, negatives: DataFrame, queries: int, fars
     goals = negatives.sparkSession.createDataFrame([(float(f), p) for f, p in places.items()], "far double, place long")
     limits = goals.crossJoin(curve).where(F.col("at_to_here") >= F.col("place")).groupBy("far").agg(F.max("score").alias("threshold"))
     return F.broadcast(limits).crossJoin(positives.select("score")).groupBy("far", "threshold").agg((F.sum((F.col("score") > F.col("threshold")).cast("long")) / F.lit(queries)).alias("recall"))
+
+
+def open_tpir(scored: DataFrame, fars: list[float]) -> DataFrame:
+    """1:N open-set identification of ``scored (query_id, own, other)`` against one gallery: (far, threshold, tpir).
+
+    ``own`` is a probe's score with its own subject, null if that is not enrolled; ``other`` its best score
+    with any other. The threshold is the max(int(n * far) - 1, 0)-th, from 0, of the n unenrolled probes'
+    best scores, largest first; an enrolled probe counts if its own score exceeds all others and it.
+    """
+    unknown = scored.where("own is null and other is not null")
+    n = unknown.count()
+    known = scored.where("own is not null")
+    curve = running_totals(unknown.groupBy(F.col("other").alias("score")).agg(F.count("*").alias("at")), "score", ["at"])
+    goals = scored.sparkSession.createDataFrame([(float(f), max(int(n * f) - 1, 0) + 1) for f in fars], "far double, place long")
+    limits = goals.crossJoin(curve).where(F.col("at_to_here") >= F.col("place")).groupBy("far").agg(F.max("score").alias("threshold"))
+    right = (F.col("own") > F.coalesce("other", F.lit(float("-inf")))) & (F.col("own") > F.col("threshold"))
+    hits = F.broadcast(limits).crossJoin(known.select("own", "other"))
+    return hits.groupBy("far", "threshold").agg((F.sum(right.cast("long")) / F.count("*")).alias("tpir"))
+
+
+def mean_open_tpir(galleries: list[DataFrame], fars: list[float]) -> DataFrame:
+    """``open_tpir`` of several galleries, and their mean: (far, tpir)."""
+    out = open_tpir(galleries[0], fars)
+    for scored in galleries[1:]:
+        out = out.unionByName(open_tpir(scored, fars))
+    return out.groupBy("far").agg(F.avg("tpir").alias("tpir"))
+
+
+def access_control(probes: DataFrame, hits: DataFrame, threshold: float, k: int = 5) -> DataFrame:
+    """One row: probes, top-1 and top-k accuracy over those of ``probes (query_id, truth)`` with a truth, and the share not accepted.
+
+    ``hits (query_id, rank, person_id, score)`` are the persons found; a probe is accepted if its first
+    reaches the threshold, and not if it has none. Accuracies are null if no truth is known.
+    """
+    own = hits.join(probes, "query_id").groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.min(F.when(F.col("person_id") == F.col("truth"), F.col("rank"))).alias("place"))
+    each = probes.join(own, "query_id", "left")
+    known = F.count("truth")
+    share = lambda most: F.when(known > 0, F.sum((F.col("truth").isNotNull() & F.coalesce(F.col("place") <= most, F.lit(False))).cast("long")) / known)
+    accepted = F.coalesce(F.col("top") >= threshold, F.lit(False))
+    return each.agg(F.count("*").alias("probes"), share(1).alias("top1"), share(k).alias("topk"), (F.sum((~accepted).cast("long")) / F.greatest(F.count("*"), F.lit(1))).alias("unknown_rejection_rate"))
+
+
+def latency(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs and mean, least and greatest ``elapsed_ms`` by ``keys``; null times don't count."""
+    return runs.groupBy(*keys).agg(F.count("elapsed_ms").alias("runs"), F.avg("elapsed_ms").alias("mean_ms"), F.min("elapsed_ms").alias("least_ms"), F.max("elapsed_ms").alias("most_ms"))

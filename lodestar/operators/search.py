@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestar.functions.vectors import profile_similarity
+from lodestar.functions.vectors import normalize, profile_similarity
 
 #: Bytes of query vectors (as doubles) that are broadcast at a time.
 BLOCK_BYTES = 32 << 20
@@ -255,3 +255,41 @@ def frame_search(faces: DataFrame, gallery: DataFrame, most: int, threshold: flo
 def argmax_by(df: DataFrame, keys: list[str], score: Column, position: str, columns: list[str]) -> DataFrame:
     """The row of each key with the highest score, first position on ties: one aggregate, no window."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(score, -F.col(position))).alias("row")).select(*keys, "row.*")
+
+
+def search_gallery(queries: DataFrame, gallery: DataFrame, k: int | None, threshold: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The persons of ``gallery (vector_id, person_id, embedding)`` by cosine, in the order of a list that was gone through once.
+
+    ``vector_id`` is a sample's place in the list. A person's sample is the first of its best ones; equal
+    persons come by their first sample, whichever scored. The best max(1, k) persons of each query are
+    given (all for None), with status ``matched`` at the threshold or over, else ``below_threshold``.
+    """
+    unit = lambda df: df.withColumn("embedding", normalize(F.col("embedding")))
+    pairs = _scored(unit(queries.select("query_id", "embedding")), unit(gallery), _best_of_persons, block_bytes, ["vector_id", "person_id"])
+    best = pairs.groupBy("query_id", "person_id").agg(F.max_by(F.struct("score", "vector_id"), F.struct("score", -F.col("vector_id"))).alias("b"))
+    first = gallery.where("embedding is not null").groupBy("person_id").agg(F.min("vector_id").alias("first"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("b.score"), "first")
+    ranked = best.join(first, "person_id").withColumn("rank", F.row_number().over(order))
+    ranked = ranked if k is None else ranked.where(F.col("rank") <= max(1, k))
+    status = F.when(F.col("b.score") >= threshold, "matched").otherwise("below_threshold")
+    return ranked.select("query_id", "rank", "person_id", "b.vector_id", "b.score", status.alias("status"))
+
+
+def rank_identities(probes: DataFrame, gallery: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All identities of the gallery for each probe: best score each, ties to the identity seen first. (query_id, rank, person_id, score)."""
+    return search_gallery(probes, gallery, None, 0.0, block_bytes).select("query_id", "rank", "person_id", "score")
+
+
+def labelled_pairs(probes: DataFrame, gallery: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every probe with every gallery row: (query_id, vector_id, label, score); label 1 for the same ``person_id``.
+
+    The result is the product by definition; counts by score (``score_curve``) need it only in passing.
+    """
+
+    def all_of(scores, own):
+        row, q = np.nonzero(np.ones_like(scores, dtype=bool))
+        return q, row, scores[row, q]
+
+    pairs = _scored(probes.select("query_id", "embedding"), gallery, all_of, block_bytes, ["vector_id", "person_id"])
+    own = probes.select("query_id", F.col("person_id").alias("truth"))
+    return pairs.join(own, "query_id").select("query_id", "vector_id", F.col("person_id").eqNullSafe(F.col("truth")).cast("int").alias("label"), "score")

@@ -10,6 +10,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.cumulative import running_totals
+
 
 def with_face_count(persons: DataFrame, samples: DataFrame) -> DataFrame:
     """All ``persons`` with the number of their ``samples`` (0 for none)."""
@@ -179,3 +181,84 @@ def validation_summary(expected: DataFrame, present: DataFrame) -> DataFrame:
     each = each.select("identity", F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("p", F.lit(0)).alias("p"))
     totals = each.agg(F.count("*").alias("identities"), F.sum(F.col("g") * F.col("p")).alias("positive_pairs"), (F.sum("g") * F.sum("p") - F.sum(F.col("g") * F.col("p"))).alias("negative_pairs"), F.sum((F.col("g") == 0).cast("long")).alias("missing_gallery"))
     return totals
+
+
+def index_snapshot(samples: DataFrame, changes: DataFrame) -> DataFrame:
+    """Vectors to build an index from, by vector_id, each with the ``revision`` and ``max_seq`` of the feed that they hold.
+
+    ``changes (seq, revision, ...)`` may be empty: both are 0 then. ``samples`` is an immutable snapshot,
+    so all rows are of one state.
+    """
+    state = changes.agg(F.coalesce(F.max("revision"), F.lit(0)).cast("long").alias("revision"), F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("max_seq"))
+    return samples.crossJoin(F.broadcast(state)).orderBy("vector_id")
+
+
+def all_faces(samples: DataFrame) -> DataFrame:
+    """All samples, by person, then sample."""
+    return samples.orderBy("person_id", "sample_id")
+
+
+def media_faces(faces: DataFrame, media: DataFrame) -> DataFrame:
+    """``faces (face_id, media_id, embedding, created)`` with a vector and their ``media (media_id, path, ...)``, newest first."""
+    return faces.where("embedding is not null").join(media, "media_id").orderBy(F.desc("created"), F.desc("face_id"))
+
+
+def insert_faces(added: DataFrame, samples: DataFrame, capacity: int, max_faces: int, last_vector: int, last_revision: int, last_seq: int) -> tuple[DataFrame, DataFrame]:
+    """New faces ``added (position, person_id, ...)`` of new or known persons: (samples with vector ids, change rows).
+
+    Ids follow ``last_vector`` in order of position and are never reused. A person's faces are one
+    revision, persons in order of their first face; each face is a change ``add``. ValueError, and nothing
+    is added, if they would break a limit.
+    """
+    if limit_violations(samples, added, capacity, max_faces).head(1):
+        raise ValueError("limit")
+    one = F.lit(1)
+    placed = running_totals(added.withColumn("one", one), "position", ["one"], descending=False).withColumnRenamed("one_to_here", "place")
+    firsts = added.groupBy("person_id").agg(F.min("position").alias("first")).withColumn("one", one)
+    turns = running_totals(firsts, "first", ["one"], descending=False).select("person_id", F.col("one_to_here").alias("turn"))
+    numbered = placed.join(turns, "person_id").withColumn("vector_id", (F.lit(last_vector) + F.col("place")).cast("long"))
+    feed = numbered.select((F.lit(last_seq) + F.col("place")).cast("long").alias("seq"), (F.lit(last_revision) + F.col("turn")).cast("long").alias("revision"), F.lit("add").alias("op"), "vector_id", "person_id")
+    return numbered.select("vector_id", *added.columns), feed
+
+
+def hub_insert(hub: DataFrame, rows: DataFrame, auto: bool = True) -> DataFrame:
+    """``hub (id, embedding)`` with ``rows (position, embedding)`` under ids after its greatest, in order of position, or (``auto`` false) under their own ``id``, which must be new."""
+    if auto:
+        last = hub.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+        placed = running_totals(rows.select("position", "embedding").withColumn("one", F.lit(1)), "position", ["one"], descending=False)
+        new = placed.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("one_to_here")).cast("long").alias("id"), "embedding")
+    else:
+        new = rows.select("id", "embedding")
+        if new.join(hub, "id", "left_semi").head(1) or new.groupBy("id").count().where("count > 1").head(1):
+            raise ValueError("id is taken")
+    return hub.unionByName(new)
+
+
+def hub_update(hub: DataFrame, rows: DataFrame) -> DataFrame:
+    """``hub`` with the vectors of ``rows (id, embedding)`` in place of its own; unknown ids change nothing."""
+    return patch(hub, rows.select("id", "embedding"), "id", ["embedding"])
+
+
+def hub_ids(hub: DataFrame) -> DataFrame:
+    return hub.select("id").orderBy("id")
+
+
+def hub_get(hub: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``ids (id)``, with a null vector where the hub has none."""
+    return ids.select("id").distinct().join(hub, "id", "left")
+
+
+def append_runs(runs: DataFrame, new: DataFrame, position: str = "position") -> DataFrame:
+    """``runs (id, created, ...)`` with ``new`` rows under ids after the greatest, in order of ``position``; missing columns are null.
+
+    Evaluation runs, recognition logs and album results are kept so: rows are added, never changed.
+    """
+    last = runs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    placed = running_totals(new.withColumn("one", F.lit(1)), position, ["one"], descending=False).crossJoin(F.broadcast(last))
+    made = placed.select((F.col("last") + F.col("one_to_here")).cast("long").alias("id"), *[c for c in new.columns if c != position])
+    return runs.unionByName(made, allowMissingColumns=True)
+
+
+def merged_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of ``a``, and those of ``b`` whose key ``a`` lacks: the join of two track lists; ``delete`` is their difference."""
+    return a.unionByName(b.join(a.select(key).distinct(), key, "left_anti"))

@@ -81,9 +81,10 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished orders as face samples."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    return o.select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("person_id"), (F.col("o_totalprice") / 1000).alias("quality"), F.when(F.col("o_orderpriority").startswith("1"), F.concat(F.lit("crops/"), F.col("o_orderkey").cast("string"))).alias("crop_path"))
+    """Orders as face samples; those not finished are of three persons, so that other persons have none and these have many."""
+    o = table(spark, sf_dir, "orders")
+    person = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(F.col("o_custkey") % 3)
+    return o.select(F.col("o_orderkey").alias("sample_id"), person.alias("person_id"), (F.col("o_totalprice") / 1000).alias("quality"), F.when(F.col("o_orderpriority").startswith("1"), F.concat(F.lit("crops/"), F.col("o_orderkey").cast("string"))).alias("crop_path"))
 
 
 SQL = {
@@ -105,7 +106,7 @@ SQL = {
     "frames": "frames AS (SELECT user_id % 4 AS monitor, epoch_us(ts) AS micros, epoch_us(ts) / 1e6 AS seconds, event_id AS face, CASE WHEN event_type <> 'error' THEN user_id END AS person, ts FROM events)",
     "feed": "feed AS (SELECT event_id AS seq, CASE WHEN event_type IN ('purchase', 'signup') THEN 'add' ELSE 'delete' END AS op, user_id AS vector_id FROM events WHERE event_type IN ('purchase', 'signup', 'error'))",
     "persons": "persons AS (SELECT c_custkey AS person_id, c_name AS name, c_mktsegment AS segment, c_custkey * 3 AS cover_sample_id FROM customer)",
-    "samples": "samples AS (SELECT o_orderkey AS sample_id, o_custkey AS person_id, o_totalprice / 1000 AS quality, CASE WHEN o_orderpriority LIKE '1%' THEN 'crops/' || o_orderkey END AS crop_path FROM orders WHERE o_orderstatus = 'F')",
+    "samples": "samples AS (SELECT o_orderkey AS sample_id, CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE o_custkey % 3 END AS person_id, o_totalprice / 1000 AS quality, CASE WHEN o_orderpriority LIKE '1%' THEN 'crops/' || o_orderkey END AS crop_path FROM orders)",
 }
 
 

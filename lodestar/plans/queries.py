@@ -11,6 +11,7 @@ from lodestar.functions import boxes as bx
 from lodestar.functions import scalars as sc
 from lodestar.functions import vectors as vec
 from lodestar.operators import assignment, clustering, detection, detection_eval, evaluation, search, store, templates, training
+from lodestar.operators.cumulative import running_totals
 from lodestar.plans import fixtures as fx
 from lodestar.plans import sql
 from lodestar.plans.fixtures import sql_iou, with_
@@ -340,11 +341,12 @@ def k8_merge_persons(spark, d):
     return rounded(store.merge_persons(fx.samples(spark, d), merges), "quality")
 
 
-@register("SELECT url AS path FROM pages")
+@register("""WITH r AS (SELECT DISTINCT array_to_string(string_split(url, '/')[1:4], '/') AS root FROM pages WHERE page_id % 3 = 0)
+SELECT url AS path FROM pages WHERE EXISTS (SELECT 1 FROM r WHERE url = root OR starts_with(url, root || '/'))""")
 def j9_under_roots(spark, d):
-    media = fx.table(spark, d, "pages").select(F.col("url").alias("path"))
-    roots = media.select(F.array_join(F.slice(F.split("path", "/"), 1, 3), "/").alias("root")).distinct()
-    return store.under_roots(media, roots)
+    pages = fx.table(spark, d, "pages")
+    roots = pages.where("page_id % 3 = 0").select(F.array_join(F.slice(F.split("url", "/"), 1, 4), "/").alias("root")).distinct()
+    return store.under_roots(pages.select(F.col("url").alias("path")), roots)
 
 
 @register(with_("persons", "samples") + "SELECT (SELECT count(DISTINCT person_id) FROM persons WHERE person_id NOT IN (SELECT person_id FROM samples)) = 0 AS equal, (SELECT count(DISTINCT person_id) FROM persons WHERE person_id NOT IN (SELECT person_id FROM samples)) AS only_a, (SELECT count(DISTINCT person_id) FROM samples WHERE person_id NOT IN (SELECT person_id FROM persons)) AS only_b")
@@ -704,3 +706,262 @@ def r8_error_edges(spark, d):
 @register()
 def r10_track_boxes(spark, d):
     return rounded(tracking.track_boxes(fx.track_frames(spark, d)), "x1", "y1", "x2", "y2", "score")
+
+
+# what the store, the hub, the studio and the samplers need besides
+
+
+def _list_and_probes(spark, d):
+    g = fx.gallery(spark, d)
+    return fx.queries(spark, d), g.where("vector_id % 50 <> 0")
+
+
+@register(sql.S1)
+def s1_index_snapshot(spark, d):
+    changes = fx.feed(spark, d).withColumn("revision", F.floor(F.col("seq") / 10))
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
+    return store.index_snapshot(fx.gallery(spark, d), changes).select("vector_id", "person_id", total.alias("total"), "revision", "max_seq")
+
+
+@register(sql.S3)
+def s3_all_faces(spark, d):
+    faces = store.all_faces(fx.samples(spark, d))
+    places = running_totals(faces.withColumn("one", F.lit(1)), "person_id", ["one"], descending=False, ties=["sample_id"])
+    return rounded(places.select("sample_id", "person_id", "quality", "crop_path", F.col("one_to_here").alias("place")), "quality")
+
+
+@register(sql.S5)
+def s5_media_faces(spark, d):
+    e = fx.table(spark, d, "embeddings")
+    faces = e.select(F.col("vec_id").alias("face_id"), (F.col("vec_id") % 300).alias("media_id"), F.when(F.col("vec_id") % 9 != 0, F.col("embedding")).alias("embedding"), F.floor(F.col("vec_id") / 7).alias("created"))
+    media = fx.table(spark, d, "pages").select(F.col("page_id").alias("media_id"), F.col("url").alias("path"))
+    found = store.media_faces(faces, media).withColumn("one", F.lit(1)).withColumn("back", -F.col("face_id"))
+    placed = running_totals(found, "created", ["one"], ties=["back"])
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
+    return placed.select("face_id", "media_id", "created", "path", total.alias("total"), F.col("one_to_here").alias("place"))
+
+
+@register(sql.T5)
+def t5_search_gallery(spark, d):
+    probes, rest = _list_and_probes(spark, d)
+    return rounded(search.search_gallery(probes, rest, 5, 0.3), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(sql.T7)
+def t7_rank_identities(spark, d):
+    probes, rest = _list_and_probes(spark, d)
+    return rounded(search.rank_identities(probes, rest), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(sql.J5)
+def j5_labelled_pairs(spark, d):
+    probes, rest = _list_and_probes(spark, d)
+    return rounded(search.labelled_pairs(probes, rest), "score")
+
+
+@register(sql.A13)
+def a13_access_control(spark, d):
+    probes, rest = _list_and_probes(spark, d)
+    truths = probes.select("query_id", F.when(F.col("person_id") % 3 != 0, F.col("person_id")).alias("truth"))
+    return rounded(evaluation.access_control(truths, search.search_gallery(probes, rest, 5, 0.36), 0.36), "top1", "topk", "unknown_rejection_rate")
+
+
+@register(sql.A18)
+def a18_open_tpir(spark, d):
+    v = fx.planted(spark, d, 1.0).select(F.col("vec_id").alias("vector_id"), F.col("label").alias("person_id"), "embedding")
+    probes = v.where("vector_id % 50 = 0").withColumnRenamed("vector_id", "query_id")
+    parts = [v.where(f"vector_id % 50 <> 0 and vector_id % 2 = {k} and person_id < 6") for k in (0, 1)]
+    return rounded(evaluation.mean_open_tpir([search.own_and_other(probes, g) for g in parts], [0.01, 0.3, 0.8]), "tpir")
+
+
+@register(sql.A22_AREAS)
+def a22_map_by_area(spark, d):
+    return rounded(detection.eval_map_by_area(fx.detections(spark, d), fx.truths(spark, d), sql.AREAS), "ap")
+
+
+@register(sql.A24_SETTINGS)
+def a24_face_settings(spark, d):
+    g = fx.truths(spark, d).withColumns({name: F.col("y2") - F.col("y1") >= side for name, side in sql.SETTINGS.items()})
+    return rounded(detection_eval.face_ap_settings(fx.detections(spark, d), g, list(sql.SETTINGS)), "ap")
+
+
+@register(sql.A28)
+def a28_latency(spark, d):
+    return rounded(evaluation.latency(fx.table(spark, d, "events").withColumnRenamed("value", "elapsed_ms"), ["event_type"]), "mean_ms")
+
+
+@register(sql.F25)
+def f25_distances(spark, d):
+    b, at = bx.box(), (F.lit(30.0), F.lit(40.0))
+    centre = ((b[0] + b[2]) / 2, F.lit(20.0))
+    marks = bx.landmarks_to_distance(at, [(b[0] + 5, b[3])])
+    held = bx.landmarks_to_distance(at, [(b[0] + 5, b[3])], most=10.0)
+    found = bx.distance_to_landmarks((b[0], b[1]), [(F.col("score") * 2, F.lit(0.0))], F.lit(45.0), F.lit(45.0))
+    decoded = bx.distance_to_box(centre, (F.lit(5.0), F.lit(6.0), F.lit(12.0), F.lit(7.0)), F.lit(50.0), F.lit(50.0))
+    out = fx.detections(spark, d).select("image", "det", bx.box_to_distance(centre, b)[0].alias("d_left"), bx.box_to_distance(centre, b, most=30.0)[3].alias("d_bottom"), decoded[2].alias("decoded_x2"), marks[0][0].alias("mark_dx"), held[0][1].alias("mark_dy"), found[0][0].alias("mark_x"))
+    return rounded(out, "d_left", "d_bottom")
+
+
+@register(sql.F25_OKS)
+def f25_landmark_similarity(spark, d):
+    b = bx.box()
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    mark = lambda x, y, v: F.struct(x.alias("x"), y.alias("y"), v.cast("int").alias("visible"))
+    points = F.array(point(b[0] + 1, b[1] + 2), point(b[0] + 4, b[1] + 4), point(b[2] - 3, b[3] - 60))
+    truth = F.array(mark(b[0], b[1], F.col("det") % 2), mark(b[0] + 2, b[1] + 2, F.col("det") % 3), mark(b[2], b[3], F.lit(0)))
+    oks = bx.landmark_similarity(points, truth, b, bx.area(b), [0.1, 0.05, 0.2])
+    return rounded(fx.detections(spark, d).select("image", "det", oks.alias("oks")), "oks")
+
+
+@register(sql.F27)
+def f27_box_codes(spark, d):
+    b, side, prior = bx.box(), F.lit(45.0), tuple(F.lit(x) for x in (0.0, 0.0, 40.0, 40.0))
+    public, share = bx.public_box((b[0], b[1], b[2] + 0.5, b[3]), side, side), bx.normalized(b, side, side)
+    yolo, inclusive = bx.encode_yolo(prior, b, 8.0), bx.encode_inclusive(prior, b)
+    out = fx.detections(spark, d).select("image", "det", public[0].alias("public_x1"), public[2].alias("public_x2"), share[2].alias("share_w"), bx.padded_crop(b, F.lit(50.0), F.lit(50.0))[0].alias("crop_x1"), bx.encode_tblr(prior, b)[0].alias("top"), ((bx.to_cxcywh(b)[0] - 20) / 8 + 0.5).alias("raw_x"), yolo[0].alias("yolo_x"), yolo[2].alias("yolo_w"), inclusive[0].alias("inclusive_dx"), inclusive[3].alias("inclusive_dh"), bx.encode_landmarks(prior, [(b[0] + 3, b[1])])[0][0].alias("mark_x"), bx.flip(b, F.lit(40.0), F.lit(40.0), "diagonal")[0].alias("flipped"), bx.rescale(b, 1.5)[0].alias("wider_x1"))
+    return rounded(out, "share_w", "top", "raw_x", "yolo_x", "yolo_w", "inclusive_dx", "inclusive_dh", "mark_x", "wider_x1")
+
+
+@register(sql.F15)
+def f15_server_quality(spark, d):
+    q, yaw, pitch, roll, w, h = F.col("value") % 100 / 100, F.col("user_id") % 90 - 45, F.col("event_id") % 60 - 30, F.col("event_id") % 40 - 20, F.col("event_id") % 120, F.col("user_id") % 100
+    why = {"dark": q < 0.3, "small": w < 40, "blurred": F.abs(yaw) > 30}
+    e = fx.table(spark, d, "events").select("event_id", sc.server_quality(q, 1 - q, q, w, h, yaw, pitch, roll).alias("server"), sc.studio_quality(q, w / 120, 1 - q, h / 100, q).alias("studio"), sc.sharpness(w).alias("sharp"), F.array_join(sc.flags(why), ",").alias("flags"))
+    return rounded(e, "server", "studio", "sharp")
+
+
+@register(sql.F23)
+def f23_normalized_iou(spark, d):
+    f = fx.frames(spark, d).select("face", "left", "top", "width", "height")
+    after = f.select((F.col("face") - 1).alias("face"), *[F.col(c).alias(f"n_{c}") for c in ("left", "top", "width", "height")])
+    side = lambda p: tuple(F.col(p + c) for c in ("left", "top", "width", "height"))
+    return rounded(f.join(after, "face", "left").select("face", bx.ltwh_iou(side(""), side("n_")).alias("iou")), "iou")
+
+
+@register(sql.F30)
+def f30_gaze(spark, d):
+    p, y = (F.col("event_id") % 60 - 30) / 40, (F.col("user_id") % 80 - 40) / 30
+    v = bx.gaze_vector(p, y)
+    back = bx.gaze_angles(*v)
+    return rounded(fx.table(spark, d, "events").select("event_id", v[0].alias("gx"), v[1].alias("gy"), v[2].alias("gz"), back[0].alias("pitch"), back[1].alias("yaw")), "gx", "gy", "gz", "pitch", "yaw")
+
+
+@register(sql.F37)
+def f37_trusted_vectors(spark, d):
+    e = F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0.0))).when(F.col("vec_id") % 7 == 0, F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 32)).otherwise(F.transform("embedding", lambda x: x.cast("double") * 3))
+    made = fx.table(spark, d, "embeddings").select("vec_id", sc.trusted_vector(e, F.lit(64)).alias("v"))
+    return rounded(made.select("vec_id", F.col("v").isNotNull().alias("trusted"), F.col("v")[0].alias("first")), "first")
+
+
+@register(sql.F38)
+def f38_nme(spark, d):
+    p = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("face"), (F.col("l_linenumber") % 3).alias("i"), (F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") % 30).alias("y"), F.col("l_quantity").alias("z"), (F.col("l_partkey") % 47).alias("tx"), (F.col("l_suppkey") % 31).alias("ty"), (F.col("l_quantity") + F.col("l_discount")).alias("tz"))
+    return rounded(templates.nme(p, by="box").where("nme is not null").withColumnRenamed("nme", "by_box"), "by_box")
+
+
+@register(sql.K3)
+def k3_insert_faces(spark, d):
+    s = fx.samples(spark, d)
+    added = s.where("crop_path is not null").select(F.col("sample_id").alias("position"), "person_id")
+    return store.insert_faces(added, s, 10**9, 10**9, 900_000, 70, 5000)[1]
+
+
+@register(sql.K10)
+def k10_append_runs(spark, d):
+    runs = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("note"))
+    return store.append_runs(runs, fx.table(spark, d, "customer").select(F.col("c_custkey").alias("position"), F.col("c_acctbal").alias("score")))
+
+
+@register(sql.K12)
+def k12_hub(spark, d):
+    v = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    hub = store.hub_insert(v.where("id % 3 <> 0"), v.where("id % 3 = 0").select(F.col("id").alias("position"), "embedding"))
+    turned = hub.where("id % 7 = 0").select("id", F.reverse("embedding").alias("embedding"))
+    left = store.delete(store.hub_update(hub, turned), hub.where("id % 11 = 0"), "id")
+    return rounded(left.select("id", F.col("embedding")[0].cast("double").alias("first")), "first")
+
+
+@register(sql.U4)
+def u4_merged_sets(spark, d):
+    a = fx.table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
+    return store.merged_sets(a, fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score")), "id")
+
+
+@register(sql.U6)
+def u6_repeated(spark, d):
+    rows = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_suppkey").alias("class"))
+    return training.repeated(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("image")), training.repeat_factors(rows, 0.01))
+
+
+@register(sql.J10)
+def j10_new_paths(spark, d):
+    pages = fx.table(spark, d, "pages").select("page_id", F.col("url").alias("path"))
+    return store.new_paths(pages.select("path"), pages.where("page_id % 4 = 1"))
+
+
+@register(sql.J11)
+def j11_gallery_positions(spark, d):
+    gallery = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("subject"), (F.col("n_nationkey") * 10).alias("template"))
+    return templates.gallery_positions(gallery, fx.table(spark, d, "customer").select(F.col("c_custkey").alias("probe"), F.col("c_nationkey").alias("subject")))
+
+
+@register(sql.R11)
+def r11_session_state(spark, d):
+    f = fx.frames(spark, d).select("monitor", F.col("face").alias("seq"), "seconds", F.col("person").isNotNull().cast("int").alias("matched"), F.col("person").isNull().cast("int").alias("unknown"))
+    return rounded(monitor.session_state(f), "last_seconds", digits=3)
+
+
+@register(sql.T8)
+def t8_hub_top1(spark, d):
+    probes, rest = _list_and_probes(spark, d)
+    return rounded(search.hub_top1(probes, rest, 0.35), "score")
+
+
+@register(sql.T8_TOP)
+def t8_hub_topk(spark, d):
+    probes, rest = _list_and_probes(spark, d)
+    return rounded(search.hub_topk(probes, rest, 5, 0.3), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(sql.T11)
+def t11_argmax(spark, d):
+    return rounded(search.argmax_by(fx.detections(spark, d), ["image", "class"], F.col("score"), "det", ["det", "score"]), "score")
+
+
+@register(sql.T17)
+def t17_frame_search(spark, d):
+    probes, rest = _list_and_probes(spark, d)
+    faces = probes.select("query_id", F.floor(F.col("query_id") / 200).alias("frame"), (F.col("query_id") * 37 % 101).alias("area"), "embedding")
+    return rounded(search.frame_search(faces, rest, 2, 0.35), "score").withColumn("place", F.col("place").cast("long"))
+
+
+@register(sql.X2)
+def x2_inclusive_nms(spark, d):
+    return detection.nms(fx.detections(spark, d), 0.5, inclusive=True)
+
+
+def _two_scales(spark, d):
+    one = fx.detections(spark, d).withColumn("class", F.lit(0))
+    return one, one.withColumns({"det": F.col("det") + 1000, "x1": F.col("x1") + 1, "x2": F.col("x2") + 1, "score": F.col("score") * 0.9})
+
+
+@register(sql.X5)
+def x5_merge_scales(spark, d):
+    return detection.merge_scales(list(_two_scales(spark, d)), 0.4, 12).select("image", "det", F.col("rank").cast("long").alias("rank"))
+
+
+@register(sql.X6_NMS)
+def x6_merge_proposals(spark, d):
+    one, two = _two_scales(spark, d)
+    return assignment.merge_proposals(one.unionByName(two), 0.4, 12).select("image", "det", F.col("rank").cast("long").alias("rank"))
+
+
+@register(sql.X18_GROUPS)
+def x18_grouped_batches(spark, d):
+    rows = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("group"))
+    return training.grouped_batches(rows, 64)
+
+
+@register(sql.X18_REPLICAS)
+def x18_replicas(spark, d):
+    return training.replica_of(fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id")), 7, seed=3)

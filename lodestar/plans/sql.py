@@ -320,3 +320,163 @@ let AS (
 
 R1 = recursive("frames").rstrip() + ", f AS (SELECT monitor, seconds, face AS seq FROM frames)" + followed("f", "monitor", "seq", "120::DOUBLE") + "SELECT monitor, round(seconds, 3) AS seconds, seq FROM f JOIN let USING (seq)"
 R6 = RECURSIVE + "e AS (SELECT event_id, event_type, user_id, epoch(date_trunc('second', ts)) AS seconds FROM events)" + followed("e", "event_type, user_id", "event_id", "3600") + "SELECT e.* FROM e JOIN let USING (event_id)"
+
+
+S1 = with_("gallery", "feed") + """, state AS (SELECT max(seq // 10)::BIGINT AS revision, max(seq) AS max_seq FROM feed)
+SELECT vector_id, person_id, round(list_sum(embedding), 6) AS total, revision, max_seq FROM gallery, state"""
+S3 = with_("samples") + "SELECT sample_id, person_id, round(quality, 6) AS quality, crop_path, row_number() OVER (ORDER BY person_id, sample_id) AS place FROM samples"
+S5 = """WITH f AS (SELECT vec_id AS face_id, vec_id % 300 AS media_id, CASE WHEN vec_id % 9 <> 0 THEN embedding::DOUBLE[] END AS e, vec_id // 7 AS created FROM embeddings)
+SELECT face_id, media_id, created, url AS path, round(list_sum(e), 6) AS total, row_number() OVER (ORDER BY created DESC, face_id DESC) AS place
+FROM f JOIN pages ON page_id = media_id WHERE e IS NOT NULL"""
+
+#: Persons of the gallery for each stated query, by best cosine; ties by the person seen first.
+_LISTED = with_("gallery") + """, queries AS (SELECT vector_id AS query_id, person_id AS own, embedding AS query FROM gallery WHERE vector_id % 50 = 0),
+pairs AS (SELECT query_id, own, vector_id, person_id, list_cosine_similarity(query, embedding) AS score FROM queries, gallery WHERE vector_id % 50 <> 0),
+best AS (SELECT query_id, own, person_id, max(score) AS score, arg_max(vector_id, (score, -vector_id)) AS vector_id FROM pairs GROUP BY ALL),
+seen AS (SELECT person_id, min(vector_id) AS first FROM gallery WHERE vector_id % 50 <> 0 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM best JOIN seen USING (person_id)) """
+T5 = _LISTED + """SELECT query_id, rank, person_id, vector_id, round(score, 6) AS score, CASE WHEN score >= 0.3 THEN 'matched' ELSE 'below_threshold' END AS status FROM ranked WHERE rank <= 5"""
+T7 = _LISTED + "SELECT query_id, rank, person_id, round(score, 6) AS score FROM ranked"
+J5 = with_("gallery") + """SELECT q.vector_id AS query_id, g.vector_id, (q.person_id = g.person_id)::INT AS label, round(list_inner_product(q.embedding, g.embedding), 6) AS score
+FROM gallery q, gallery g WHERE q.vector_id % 50 = 0 AND g.vector_id % 50 <> 0"""
+A13 = _LISTED + """, e AS (
+    SELECT query_id, any_value(CASE WHEN own % 3 <> 0 THEN own END) AS truth, max(score) FILTER (rank = 1) AS top, min(rank) FILTER (person_id = own AND own % 3 <> 0) AS place
+    FROM ranked WHERE rank <= 5 GROUP BY query_id)
+SELECT count(*) AS probes, round(count(*) FILTER (place <= 1) / count(truth), 6) AS top1, round(count(*) FILTER (place <= 5) / count(truth), 6) AS topk,
+    round(count(*) FILTER (top < 0.36) / count(*), 6) AS unknown_rejection_rate FROM e"""
+
+
+def _tpir(name: str, parity: int) -> str:
+    """CTEs of one gallery, planted vectors of ids of a parity and labels under 6; probes are the stated ones."""
+    return f""", {name}_s AS (
+    SELECT q.vec_id AS query_id, max(list_inner_product(q.e, g.e)) FILTER (g.label = q.label) AS own, max(list_inner_product(q.e, g.e)) FILTER (g.label <> q.label) AS other
+    FROM planted q JOIN planted g ON q.vec_id % 50 = 0 AND g.vec_id % 50 <> 0 AND g.vec_id % 2 = {parity} AND g.label < 6 GROUP BY ALL),
+{name}_n AS (SELECT other, row_number() OVER (ORDER BY other DESC) AS place, count(*) OVER () AS n FROM {name}_s WHERE own IS NULL),
+{name}_t AS (SELECT far, other AS threshold FROM fars JOIN {name}_n ON place = greatest(floor(n * far) - 1, 0) + 1),
+{name} AS (SELECT far, count(*) FILTER (own > other AND own > threshold) / count(*) AS tpir FROM {name}_t, {name}_s WHERE own IS NOT NULL GROUP BY far)"""
+
+
+A18 = with_("raised1", "planted").rstrip() + ", fars AS (SELECT unnest([0.01, 0.3, 0.8])::DOUBLE AS far)" + _tpir("a", 0) + _tpir("b", 1) + """
+SELECT far, round((a.tpir + b.tpir) / 2, 6) AS tpir FROM a JOIN b USING (far)"""
+
+AREAS = {"small": (0.0, 800.0), "large": (800.0, 1e6)}
+_CASES = " UNION ALL ".join(f"SELECT '{n}' AS area, {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi" for n, (lo, hi) in AREAS.items())
+A22_AREAS = with_("dets", "gts") + f""", areas AS ({_CASES}),
+b AS (
+    SELECT * FROM (
+        SELECT d.*, g.gt, g.ignored, (g.x2 - g.x1) * (g.y2 - g.y1) AS gs, {sql_iou('d', 'g')} AS iou,
+            row_number() OVER (PARTITION BY d.image, d.class, d.det ORDER BY {sql_iou('d', 'g')} DESC NULLS LAST, g.gt) AS r
+        FROM dets d LEFT JOIN gts g ON d.image = g.image AND d.class = g.class) WHERE r = 1),
+h AS (SELECT *, coalesce(iou >= 0.5, false) AS hit FROM b),
+f AS (SELECT *, row_number() OVER (PARTITION BY image, class, hit, gt ORDER BY score DESC, det) = 1 AS first FROM h),
+m AS (
+    SELECT area, class, image, det, score, (hit AND NOT ignored AND gs >= lo AND gs < hi AND first)::INT AS tp,
+        ((hit AND NOT ignored AND gs >= lo AND gs < hi AND NOT first) OR (NOT hit AND (x2 - x1) * (y2 - y1) >= lo AND (x2 - x1) * (y2 - y1) < hi))::INT AS fp
+    FROM f, areas),
+t AS (SELECT area, class, count(*) AS truths FROM gts JOIN areas ON (x2 - x1) * (y2 - y1) >= lo AND (x2 - x1) * (y2 - y1) < hi WHERE NOT ignored GROUP BY ALL),
+c AS (SELECT area, class, sum(coalesce(tp, 0)) OVER w AS tps, sum(coalesce(fp, 0)) OVER w AS fps FROM m WINDOW w AS (PARTITION BY area, class ORDER BY score DESC, image, det)),
+pr AS (SELECT area, class, tps / truths AS recall, max(tps / greatest(tps + fps, 1)) AS precision FROM c JOIN t USING (area, class) GROUP BY ALL),
+e AS (
+    SELECT area, class, max(precision) OVER (PARTITION BY area, class ORDER BY recall ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope,
+        recall - coalesce(lag(recall) OVER (PARTITION BY area, class ORDER BY recall), 0) AS width FROM pr),
+a AS (SELECT area, class, sum(width * envelope) AS ap FROM e GROUP BY ALL)
+SELECT area, class, truths, round(coalesce(ap, 0), 6) AS ap FROM t LEFT JOIN a USING (area, class)"""
+
+SETTINGS = {"easy": 30, "medium": 25, "hard": 0}
+
+
+def face_setting(side: int) -> str:
+    """``A24`` with the truths of at least ``side`` pixels of height."""
+    return A24.replace("g.ignored", f"g.y2 - g.y1 < {side} AS ignored").replace("FILTER (NOT ignored)", f"FILTER (y2 - y1 >= {side})")
+
+
+A24_SETTINGS = " UNION ALL ".join(f"SELECT '{name}' AS setting, ap FROM ({face_setting(side)})" for name, side in SETTINGS.items())
+
+F25 = with_("dets") + """SELECT image, det, round((x1 + x2) / 2 - x1, 6) AS d_left, round(greatest(0, least(y2 - 20, 29.9)), 6) AS d_bottom, greatest(0, least((x1 + x2) / 2 + 12, 50)) AS decoded_x2,
+    x1 + 5 - 30 AS mark_dx, greatest(0, least(y2 - 40, 9.9)) AS mark_dy, greatest(0, least(x1 + 2 * score, 45)) AS mark_x FROM dets"""
+
+F25_OKS = with_("dets") + """, o AS (
+    SELECT image, det, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS area, [det % 2, det % 3, 0] AS seen,
+        [[x1 + 1, y1 + 2], [x1 + 4, y1 + 4], [x2 - 3, y2 - 60]] AS p, [[x1, y1], [x1 + 2, y1 + 2], [x2, y2]] AS g FROM dets),
+e AS (
+    SELECT *, list_transform(range(1, 4), lambda i: exp(-(pow(p[i][1] - g[i][1], 2) + pow(p[i][2] - g[i][2], 2)) / pow(2 * [0.1, 0.05, 0.2][i], 2) / (area + pow(2.0::DOUBLE, -52)) / 2)) AS near,
+        list_transform(range(1, 4), lambda i: exp(-(pow(greatest(2 * x1 - x2 - p[i][1], 0) + greatest(p[i][1] - 2 * x2 + x1, 0), 2) + pow(greatest(2 * y1 - y2 - p[i][2], 0) + greatest(p[i][2] - 2 * y2 + y1, 0), 2))
+            / pow(2 * [0.1, 0.05, 0.2][i], 2) / (area + pow(2.0::DOUBLE, -52)) / 2)) AS far FROM o),
+u AS (SELECT image, det, CASE WHEN list_sum(seen) > 0 THEN list_filter(near, lambda x, i: seen[i] > 0) ELSE far END AS used FROM e)
+SELECT image, det, round(list_sum(used) / len(used), 6) AS oks FROM u"""
+
+F38 = """WITH p AS (SELECT l_orderkey AS face, l_linenumber % 3 AS i, l_partkey % 50 AS x, l_suppkey % 30 AS y, l_quantity AS z, l_partkey % 47 AS tx, l_suppkey % 31 AS ty, l_quantity + l_discount AS tz FROM lineitem)
+SELECT face, round(avg(sqrt(pow(x - tx, 2) + pow(y - ty, 2) + pow(z - tz, 2))) / sqrt(pow(max(tx) - min(tx), 2) + pow(max(ty) - min(ty), 2) + pow(max(tz) - min(tz), 2)), 6) AS by_box
+FROM p GROUP BY face HAVING max(abs(tx) + abs(ty) + abs(tz)) > 0 AND sqrt(pow(max(tx) - min(tx), 2) + pow(max(ty) - min(ty), 2) + pow(max(tz) - min(tz), 2)) > 0"""
+
+K3 = with_("samples") + """, a AS (SELECT sample_id AS position, person_id FROM samples WHERE crop_path IS NOT NULL),
+t AS (SELECT person_id, row_number() OVER (ORDER BY min(position)) AS turn FROM a GROUP BY person_id)
+SELECT 5000 + row_number() OVER (ORDER BY position) AS seq, 70 + turn AS revision, 'add' AS op, 900000 + row_number() OVER (ORDER BY position) AS vector_id, person_id FROM a JOIN t USING (person_id)"""
+
+K12 = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), top AS (SELECT max(vec_id) AS last FROM v WHERE vec_id % 3 <> 0),
+h AS (SELECT vec_id AS id, e FROM v WHERE vec_id % 3 <> 0 UNION ALL SELECT last + row_number() OVER (ORDER BY vec_id), e FROM v, top WHERE vec_id % 3 = 0)
+SELECT id, round(CASE WHEN id % 7 = 0 THEN e[64] ELSE e[1] END, 6) AS first FROM h WHERE id % 11 <> 0"""
+
+K10 = """WITH r AS (SELECT o_orderkey AS id, o_totalprice AS score, o_orderpriority AS note FROM orders), l AS (SELECT max(id) AS last FROM r)
+SELECT id, score, note FROM r UNION ALL SELECT last + row_number() OVER (ORDER BY c_custkey), c_acctbal, NULL FROM customer, l"""
+
+U4 = """SELECT c_custkey AS id, c_acctbal AS score FROM customer WHERE c_mktsegment <> 'BUILDING'
+UNION ALL SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')"""
+
+R11 = with_("frames") + """, f AS (SELECT monitor, face AS seq, seconds, (person IS NOT NULL)::INT AS matched, (person IS NULL)::INT AS unknown FROM frames),
+w AS (SELECT monitor, count(*) AS n, max(seconds) - min(seconds) AS span FROM (SELECT *, row_number() OVER (PARTITION BY monitor ORDER BY seq DESC) AS r FROM f) WHERE r <= 120 GROUP BY monitor),
+a AS (
+    SELECT monitor, count(*) AS processed, max(seq) - min(seq) + 1 AS decoded, max(seq) AS last_seq, max(seconds) AS last_seconds,
+        arg_max(matched, seq) AS matched, arg_max(unknown, seq) AS unknown FROM f GROUP BY monitor)
+SELECT monitor, processed, decoded, decoded - processed AS dropped, last_seq, round(last_seconds, 3) AS last_seconds, CASE WHEN n > 1 AND span > 0 THEN round((n - 1) / span, 3) ELSE 0 END AS actual_fps, matched, unknown
+FROM a JOIN w USING (monitor)"""
+
+A28 = "SELECT event_type, count(value) AS runs, round(avg(value), 6) AS mean_ms, min(value) AS least_ms, max(value) AS most_ms FROM events GROUP BY event_type"
+
+X2 = recursive("dets") + nms("dets", 0.5, 1).replace("> 0.5)", ">= 0.5)").replace(") > 0.5", ") >= 0.5") + "SELECT * FROM kept"
+_UNION = ", whole AS (SELECT image, 0 AS class, det, x1, y1, x2, y2, score FROM dets UNION ALL SELECT image, 0, det + 1000, x1 + 1, y1, x2 + 1, y2, score * 0.9 FROM dets)"
+X5 = recursive("dets").rstrip() + _UNION + nms("whole", 0.4, 1) + "SELECT image, det, rank FROM (SELECT image, det, row_number() OVER (PARTITION BY image ORDER BY score DESC, det) AS rank FROM kept) WHERE rank <= 12"
+X6_NMS = recursive("dets").rstrip() + _UNION + nms("whole", 0.4, 0) + "SELECT image, det, rank FROM (SELECT image, det, row_number() OVER (PARTITION BY image ORDER BY score DESC, det) AS rank FROM kept) WHERE rank <= 12"
+
+F27 = with_("dets") + """, b AS (SELECT *, x2 - x1 AS w, y2 - y1 AS h, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM dets)
+SELECT image, det, round(greatest(0, least(x1, 45)), 0)::INT AS public_x1, round_even(greatest(0, least(x2 + 0.5, 45)), 0)::INT AS public_x2, round((greatest(0, least(x2, 45)) - greatest(0, least(x1, 45))) / 45, 6) AS share_w,
+    floor(greatest(0, least(x1 - w * 0.1, 50)))::INT AS crop_x1, round((20 - y1) / 40 / 4, 6) AS top, round((cx - 20) / 8 + 0.5, 6) AS raw_x, round(greatest(1e-6, least((cx - 20) / 8 + 0.5, 1 - 1e-6)), 6) AS yolo_x, round(ln(w / 40), 6) AS yolo_w,
+    round((x1 + 0.5 * (w + 1 - 1) - 20) / (41 + 1e-14), 6) AS inclusive_dx, round(ln((h + 1) / 41), 6) AS inclusive_dh, round((x1 + 3 - 20) / 41, 6) AS mark_x, 40 - x2 AS flipped, round(cx - w * 0.75, 6) AS wider_x1
+FROM b"""
+
+F15 = """WITH e AS (SELECT event_id, value % 100 / 100 AS q, user_id % 90 - 45 AS yaw, event_id % 60 - 30 AS pitch, event_id % 40 - 20 AS roll, event_id % 120 AS w, user_id % 100 AS h FROM events)
+SELECT event_id, round(greatest(0, least(1, 0.35::DOUBLE * q + 0.25::DOUBLE * (1 - q) + 0.15::DOUBLE * greatest(0, least(1, 1 - abs(q - 0.5::DOUBLE) / 0.5)) + 0.15::DOUBLE * greatest(0, least(1, least(w, h) / 80)) + 0.1::DOUBLE * greatest(0, least(1, 1 - greatest(abs(yaw), abs(pitch), abs(roll)) / 90)))), 6) AS server,
+    round(0.28::DOUBLE * q + 0.22::DOUBLE * (w / 120) + 0.22::DOUBLE * (1 - q) + 0.18::DOUBLE * (h / 100) + 0.1::DOUBLE * q, 6) AS studio, round(greatest(0, least(1, 1 - exp(-w / 100))), 6) AS sharp,
+    array_to_string(list_sort(list_filter([CASE WHEN q < 0.3::DOUBLE THEN 'dark' END, CASE WHEN w < 40 THEN 'small' END, CASE WHEN abs(yaw) > 30 THEN 'blurred' END], lambda x: x IS NOT NULL)), ',') AS flags FROM e"""
+
+F30 = """WITH e AS (SELECT event_id, (event_id % 60 - 30) / 40 AS p, (user_id % 80 - 40) / 30 AS y FROM events)
+SELECT event_id, round(cos(p) * sin(y), 6) AS gx, round(sin(p), 6) AS gy, round(cos(p) * cos(y), 6) AS gz, round(asin(sin(p)), 6) AS pitch, round(atan2(cos(p) * sin(y), cos(p) * cos(y)), 6) AS yaw FROM e"""
+
+F37 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN list_transform(embedding, lambda x: 0.0::DOUBLE) WHEN vec_id % 7 = 0 THEN embedding[1:32]::DOUBLE[] ELSE list_transform(embedding, lambda x: x::DOUBLE * 3) END AS e FROM embeddings)
+SELECT vec_id, len(e) = 64 AND list_inner_product(e, e) > 0 AS trusted, CASE WHEN len(e) = 64 AND list_inner_product(e, e) > 0 THEN round(e[1] / sqrt(list_inner_product(e, e)), 6) END AS first FROM v"""
+
+T8 = with_("gallery", "queries", "pairs") + """, r AS (SELECT query_id, vector_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM pairs WHERE vector_id % 50 <> 0)
+SELECT q.query_id, coalesce(vector_id, -1)::BIGINT AS vector_id, round(coalesce(score, 0), 6) AS score FROM queries q LEFT JOIN (SELECT * FROM r WHERE rank = 1 AND score >= 0.35) r ON r.query_id = q.query_id"""
+T8_TOP = T8[: T8.index("SELECT q.query_id, coalesce")] + "SELECT query_id, rank, vector_id, round(score, 6) AS score FROM r WHERE rank <= 5 AND score >= 0.3"
+T11 = with_("dets") + "SELECT image, class, arg_max(det, (score, -det)) AS det, round(max(score), 6) AS score FROM dets GROUP BY ALL"
+T17 = with_("gallery") + """, f AS (SELECT vector_id AS query_id, vector_id // 200 AS frame, vector_id * 37 % 101 AS area, embedding AS query FROM gallery WHERE vector_id % 50 = 0),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY area DESC, query_id) AS place FROM f) WHERE place <= 2),
+b AS (
+    SELECT * FROM (
+        SELECT frame, place, query_id, person_id, list_inner_product(query, embedding) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(query, embedding) DESC, person_id) AS r
+        FROM t, gallery WHERE vector_id % 50 <> 0) WHERE r = 1)
+SELECT frame, place, query_id, CASE WHEN score >= 0.35 THEN person_id END AS person_id, round(score, 6) AS score, CASE WHEN score >= 0.35 THEN 'matched' ELSE 'unknown' END AS status FROM b"""
+
+X18_GROUPS = f"""WITH r AS (SELECT o_orderkey AS id, o_custkey % 7 AS "group", row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY {seeded('o_orderkey')}, o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY o_custkey % 7) AS n FROM orders),
+p AS (SELECT id, "group", unnest(range(place, (ceil(n / 64) * 64)::BIGINT, n)) AS place FROM r)
+SELECT id, "group", place // 64 AS batch, place % 64 AS slot FROM p"""
+X18_REPLICAS = f"""WITH r AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY {seeded('c_custkey', seed=3)}, c_custkey) - 1 AS place, count(*) OVER () AS n FROM customer),
+p AS (SELECT id, unnest(range(place, (ceil(n / 7) * 7)::BIGINT, n)) AS place FROM r) SELECT id, (place % 7)::INT AS replica, place // 7 AS step FROM p"""
+U6 = """WITH c AS (SELECT DISTINCT l_orderkey AS image, l_suppkey AS class FROM lineitem), f AS (SELECT class, greatest(1, sqrt(0.01::DOUBLE / (count(*) / (SELECT count(DISTINCT image) FROM c)))) AS f FROM c GROUP BY class),
+i AS (SELECT image, max(f) AS factor FROM c JOIN f USING (class) GROUP BY image)
+SELECT o_orderkey AS image, unnest(range(1, ceil(factor)::BIGINT + 1))::INT AS copy FROM orders JOIN i ON image = o_orderkey"""
+J10 = "SELECT url AS path FROM pages WHERE page_id % 4 <> 1"
+J11 = "SELECT c_custkey AS probe, c_nationkey AS subject, c_nationkey * 10 AS position FROM customer"
+F23 = with_("frames") + """, f AS (SELECT face, (face % 50) / 100 AS l, (face % 40) / 100 AS t FROM frames)
+SELECT a.face, round(coalesce(CASE WHEN b.face IS NULL THEN NULL ELSE greatest(0.3::DOUBLE - abs(a.l - b.l), 0) * greatest(0.3::DOUBLE - abs(a.t - b.t), 0) / (0.18::DOUBLE - greatest(0.3::DOUBLE - abs(a.l - b.l), 0) * greatest(0.3::DOUBLE - abs(a.t - b.t), 0)) END, 0), 6) AS iou
+FROM f a LEFT JOIN f b ON b.face = a.face + 1"""
