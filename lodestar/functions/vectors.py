@@ -30,6 +30,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)), dot(normalize(a), normalize(b))).otherwise(F.lit(0.0))
 
 
+def checked_cosine(a: Column, b: Column, normalized: bool = False) -> Column:
+    """Cosine, or the plain product of vectors that are ``normalized``; vectors of different or no lengths are an error."""
+    score = dot(a, b) if normalized else dot(normalize(a), normalize(b))
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), score).otherwise(F.raise_error(F.lit("vectors differ in size")).cast("double"))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Dot product clipped to [-1, 1]; for unit vectors."""
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b)))

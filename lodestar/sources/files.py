@@ -116,12 +116,16 @@ def read_coco(spark: SparkSession, path: str, least_side: float = 1.0) -> tuple[
 VOC = "filename string, size struct<width int, height int>, object array<struct<name string, difficult int, bndbox struct<xmin double, ymin double, xmax double, ymax double>>>"
 
 
-def read_voc(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
-    """Boxes of VOC XML, from 1-based to 0-based pixels; difficult objects are marked ignore, other classes left out."""
+def read_voc(spark: SparkSession, path: str, classes: list[str], least_side: float = 0.0) -> DataFrame:
+    """Boxes of VOC XML, from 1-based to 0-based pixels; other classes are left out.
+
+    Difficult objects are marked ignore, and so are those with a side under ``least_side``: WIDER's
+    annotations in this form are of the class ``face`` alone, with small faces to be ignored.
+    """
     doc = spark.read.format("xml").option("rowTag", "annotation").schema(VOC).load(path)
     found = doc.select("filename", F.posexplode("object").alias("gt", "o"))
     at = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("o.name")) - 1
-    return found.where(at >= 0).select(F.col("filename").alias("image"), at.cast("int").alias("class"), F.col("gt").cast("long").alias("gt"), *[(F.col(f"o.bndbox.{s}") - 1).alias(d) for s, d in (("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2"))], (F.coalesce("o.difficult", F.lit(0)) == 1).alias("ignore"))
+    return found.where(at >= 0).select(F.col("filename").alias("image"), at.cast("int").alias("class"), F.col("gt").cast("long").alias("gt"), *[(F.col(f"o.bndbox.{s}") - 1).alias(d) for s, d in (("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2"))], ((F.coalesce("o.difficult", F.lit(0)) == 1) | (F.least(F.col("o.bndbox.xmax") - F.col("o.bndbox.xmin"), F.col("o.bndbox.ymax") - F.col("o.bndbox.ymin")) < least_side)).alias("ignore"))
 
 
 def coco_results(dets: DataFrame) -> DataFrame:
@@ -143,8 +147,11 @@ def write_csv(path: str, *frames: DataFrame) -> None:
     csv_ready(*frames).write.csv(path, header=True, mode="overwrite")
 
 
-def read_feature_files(spark: SparkSession, folder: str, glob: str = "*.bin") -> DataFrame:
-    """(path, embedding) of binary features: four 32-bit integers (rows, columns, stride, type), then float32 values."""
+def read_feature_files(spark: SparkSession, folder: str, glob: str = "*.bin", fill: float | None = None) -> DataFrame:
+    """(path, embedding) of binary features: four 32-bit integers (rows, columns, stride, type), then float32 values.
+
+    With ``fill`` that number is added as a last element; it tells distractors from others where they are pooled.
+    """
     @F.pandas_udf("array<float>")
     def decode(content: pd.Series) -> pd.Series:
         def one(raw: bytes):
@@ -154,7 +161,8 @@ def read_feature_files(spark: SparkSession, folder: str, glob: str = "*.bin") ->
         return content.map(one)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", decode("content").alias("embedding"))
+    embedding = decode("content")
+    return files.select("path", (F.concat(embedding, F.array(F.lit(fill).cast("float"))) if fill is not None else embedding).alias("embedding"))
 
 
 def decode_float_blob(column: str):
@@ -196,3 +204,74 @@ def json_report(metrics: DataFrame, most: int = 1000) -> str:
     import json
 
     return json.dumps({r["metric"]: r["value"] for r in metrics.limit(most).collect()}, sort_keys=True)
+
+
+LVIS = "images array<struct<id long, coco_url string, file_name string, width long, height long, neg_category_ids array<long>, not_exhaustive_category_ids array<long>>>, annotations array<struct<id long, image_id long, category_id long, bbox array<double>, area double>>, categories array<struct<id long, name string, frequency string>>"
+
+
+def read_lvis(spark: SparkSession, path: str, least_side: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images, boxes and categories of LVIS JSON: as ``read_coco``, and of which classes an image is known to have none or not all.
+
+    A file is named by its last part where only its address is given; there are no crowds.
+    """
+    doc = spark.read.schema(LVIS).json(path, multiLine=True)
+    image = doc.select(F.explode("images").alias("i")).select("i.*")
+    name = F.coalesce("file_name", F.element_at(F.split("coco_url", "/"), -1))
+    images = image.select("id", name.alias("file_name"), "width", "height", "neg_category_ids", "not_exhaustive_category_ids")
+    ids = F.array_sort(F.transform("categories", lambda c: c["id"]))
+    classes = doc.select(F.posexplode(ids).alias("class", "category_id"))
+    categories = doc.select(F.explode("categories").alias("c")).select("c.*").join(F.broadcast(classes), F.col("id") == F.col("category_id")).select("class", "category_id", "name", "frequency")
+    notes = doc.select(F.explode("annotations").alias("a")).select("a.*")
+    x, y, w, h = (F.col("bbox")[i] for i in range(4))
+    kept = notes.where((w >= least_side) & (h >= least_side) & (F.col("area") > 0)).join(F.broadcast(classes), "category_id")
+    boxes = kept.select(F.col("image_id").alias("image"), "class", F.col("id").alias("gt"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), F.lit(False).alias("ignore"))
+    return images, boxes, categories
+
+
+def read_cityscapes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Images and boxes of street scenes in COCO's form: images without a box that counts are left out, and the city is the folder of the file."""
+    images, boxes = read_coco(spark, path)
+    counted = boxes.where("not ignore").select(F.col("image").alias("id")).distinct()
+    parts = F.split("file_name", "/")
+    return images.join(counted, "id", "left_semi").withColumn("city", F.when(F.size(parts) > 1, F.element_at(parts, -2))), boxes
+
+
+def decode_images(files: DataFrame, decode, most_bytes: int = 10 << 20, most_pixels: int = 40_000_000) -> DataFrame:
+    """The boundary to a decoder: ``files (path, content)`` to (path, status, height, width, channels, pixels).
+
+    ``decode(bytes)`` gives an array of height x width x channels bytes, upright, or raises. Contents over
+    ``most_bytes`` never leave the JVM. Status is ``ok``, ``empty``, ``too_large``, ``not_an_image`` or
+    ``too_many_pixels``; only ``ok`` rows have the rest.
+    """
+    size = F.coalesce(F.length("content"), F.lit(0))
+    early = F.when(size == 0, "empty").when(size > most_bytes, "too_large")
+    rows = files.select("path", early.alias("status"), F.when(early.isNull(), F.col("content")).alias("content"))
+
+    def one(path: str, status: str | None, content: bytes | None) -> tuple:
+        if status is not None:
+            return path, status, None, None, None, None
+        try:
+            image = np.asarray(decode(bytes(content)), dtype=np.uint8)
+            height, width, channels = image.shape
+        except Exception:  # noqa: BLE001: a decoder may raise anything at bad bytes
+            return path, "not_an_image", None, None, None, None
+        if height * width > most_pixels:
+            return path, "too_many_pixels", None, None, None, None
+        return path, "ok", height, width, channels, image.tobytes()
+
+    def run(frames):
+        for frame in frames:
+            made = [one(*row) for row in frame.itertuples(index=False)]
+            yield pd.DataFrame(made, columns=["path", "status", "height", "width", "channels", "pixels"]).astype({"height": "Int32", "width": "Int32", "channels": "Int32"})
+
+    return rows.mapInPandas(run, "path string, status string, height int, width int, channels int, pixels binary")
+
+
+def verification_pairs(images: DataFrame, same: DataFrame) -> DataFrame:
+    """(pair_idx, label, first, second) of interleaved ``images (idx, content)``: images 2k and 2k + 1 are pair k of ``same (pair_idx, label)``.
+
+    Pairs without both images are left out. Pickled sets are to be turned into tables once: a pickle of
+    unknown origin is a program.
+    """
+    side = lambda k, name: images.where(F.col("idx") % 2 == k).select(F.floor(F.col("idx") / 2).alias("pair_idx"), F.col("content").alias(name))
+    return same.select("pair_idx", "label").join(side(0, "first"), "pair_idx").join(side(1, "second"), "pair_idx")
