@@ -147,10 +147,11 @@ MORE_RULES: dict[str, str] = {
 #: A rule matches the line split only where the sentence split has none of these: a wrapped sentence is missing in lines.
 BUT_SENTENCES = {"BSD-3-Clause": " bsd-advert ", "BSD-2-Clause": " bsd-(advert|endorse) "}
 SENTENCE_END, LINE_END = r"[.!?;:]\s+|\n\s*\n", r"[.!?;:]\s+|\n"
-#: Every known sentence has one of these words or, as short names are parts of other words, one of the names by itself.
+#: Every known sentence has one of these words or, if it is short names, begins with one of them.
 ANCHORS = ("licen", "redistribut", "permission", "software", "reserved", "released", "distributed", "available", "warranties", "domain", "altered")
-ANCHOR_NAMES = ("apache", "mit", "gpl", "lgpl", "agpl", "bsd", "0bsd", "mpl", "cc", "cc0", "isc", "epl", "zlib", "bsl", "artistic", "cddl", "wtfpl", "ofl", "eupl", "postgresql")
-WORTH = f"{'|'.join(ANCHORS)}|(?<![a-z0-9])({'|'.join(ANCHOR_NAMES)})(?![a-z0-9])"
+FIRST = "(?:0bsd|a?gpl|lgpl|apache|artistic|bsd|bsl|cc|cc0|cddl|epl|eupl|isc|mit|mpl|ofl|postgresql|unlicense|wtfpl|zlib)(?![a-z0-9])"
+#: A name where a sentence of either split may begin.
+BEGINS = rf"(?:^|[.!?;:]\s|\n)[^a-z0-9]*{FIRST}"
 
 
 def normal(sentence: str) -> str:
@@ -179,6 +180,13 @@ def expression() -> tuple[str, str, dict[str, str]]:
     return one, f"^{one}(?: (?:and|or) {one}| with [a-z0-9 ]*exception(?: [0-9]+)*)*$", names
 
 
+def has_anchor(text: Column) -> Column:
+    some = F.lit(False)
+    for anchor in ANCHORS:
+        some = some | F.contains(text, F.lit(anchor))
+    return some
+
+
 def _identifiers(low: Column, ends: str) -> Column:
     """Identifiers of the known sentences of a text, in order; an SPDX expression gives one for each of its names."""
     table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
@@ -190,10 +198,11 @@ def _identifiers(low: Column, ends: str) -> Column:
 
     def of(s: Column) -> Column:
         listed = F.when(s.rlike(whole), F.transform(F.regexp_extract_all(s, F.lit(one), F.lit(0)), plain))
-        return F.coalesce(listed, F.array(F.coalesce(known[s], F.when(s.rlike("|".join(ANCHORS)), free(s)))))
+        return F.coalesce(listed, F.array(F.coalesce(known[s], F.when(has_anchor(s), free(s)))))
 
     sentences = F.transform(F.split(low, ends), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.array_compact(F.flatten(F.transform(sentences, of)))
+    likely = F.filter(sentences, lambda s: has_anchor(s) | s.rlike(f"^{FIRST}"))
+    return F.array_compact(F.flatten(F.transform(likely, of)))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +222,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = pick(df, id=id_col, text=text_col)
     none = F.array().cast("array<string>")
-    rows = rows.select("id", low.alias("low")).select("id", "low", F.col("low").rlike(WORTH).alias("worth"))
+    rows = rows.select("id", low.alias("low")).select("id", "low", (has_anchor(F.col("low")) | F.col("low").rlike(BEGINS)).alias("worth"))
     found = lambda ends: F.when(F.col("worth"), _identifiers(F.col("low"), ends)).otherwise(none)
     rows = rows.select("id", found(SENTENCE_END).alias("a"), found(LINE_END).alias("b"))
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
