@@ -275,3 +275,23 @@ def verification_pairs(images: DataFrame, same: DataFrame) -> DataFrame:
     """
     side = lambda k, name: images.where(F.col("idx") % 2 == k).select(F.floor(F.col("idx") / 2).alias("pair_idx"), F.col("content").alias(name))
     return same.select("pair_idx", "label").join(side(0, "first"), "pair_idx").join(side(1, "second"), "pair_idx")
+
+
+def pdf_report(title: str, metrics: DataFrame, most: int = 1000, lines: int = 48) -> bytes:
+    """A PDF of the rows of ``metrics (metric, value)``, at most ``most``, ``lines`` on a page; characters outside Latin-1 are shown as ?."""
+    rows = [f"{r['metric']}: {'insufficient data' if r['value'] is None else f'{r['value']:.6g}'}" for r in metrics.limit(most).collect()]
+    pages = [rows[i : i + lines] for i in range(0, len(rows), lines)] or [[]]
+    safe = lambda t: t.encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode(), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    for i, page in enumerate(pages):
+        shown = [title, "", *page]
+        text = b"BT /F1 11 Tf 14 TL 50 800 Td " + b" ".join(b"(" + safe(t) + b") Tj T*" for t in shown) + b" ET"
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * i} 0 R >>".encode())
+        objects.append(f"<< /Length {len(text)} >>\nstream\n".encode() + text + b"\nendstream")
+    out, at = b"%PDF-1.4\n", []
+    for i, body in enumerate(objects, 1):
+        at.append(len(out))
+        out += f"{i} 0 obj\n".encode() + body + b"\nendobj\n"
+    table = "".join(f"{n:010d} 00000 n \n" for n in at)
+    return out + f"xref\n0 {len(at) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(at) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF\n".encode()

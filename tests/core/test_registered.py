@@ -253,3 +253,14 @@ def test_settings_are_evaluated_apart(spark):
     dets = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 0, 2, 200.0, 0.0, 240.0, 40.0, 0.1)], "image long, class long, det long, x1 double, y1 double, x2 double, y2 double, score double")
     got = {x["setting"]: x["ap"] for x in detection_eval.face_ap_settings(dets, gts, ["easy", "hard"]).collect()}
     assert got == {"easy": pytest.approx(1.0), "hard": pytest.approx(0.5)}
+
+
+def test_pdf_reports_point_at_their_objects(spark):
+    metrics = spark.createDataFrame([(f"m{i} (x)", None if i == 2 else i / 3) for i in range(100)], "metric string, value double")
+    raw = files.pdf_report("Report \\ \u0416", metrics)
+    start = int(raw.rsplit(b"startxref\n", 1)[1].split()[0])
+    entries = raw[start:].split(b"\n")[3:]
+    offsets = [int(e[:10]) for e in entries if e.endswith(b"n ")]
+    assert raw.startswith(b"%PDF-1.4") and len(offsets) == 9 and raw.count(b"/Type /Page ") == 3
+    assert all(raw[o:].startswith(f"{i} 0 obj".encode()) for i, o in enumerate(offsets, 1))
+    assert b"(Report \\\\ ?) Tj" in raw and b"(m2 \\(x\\): insufficient data) Tj" in raw
