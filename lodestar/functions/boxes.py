@@ -108,13 +108,17 @@ def box_to_distance(point: Box, b: Box, most: float | None = None, eps: float =
     return d if most is None else tuple(F.greatest(F.lit(0.0), F.least(x, F.lit(most - eps))) for x in d)
 
 
-def distance_to_landmarks(point: Sequence[Column], distances: Sequence[tuple[Column, Column]], width: Column | None = None, height: Column | None = None) -> list[tuple[Column, Column]]:
+def distance_to_landmarks(
+    point: Sequence[Column], distances: Sequence[tuple[Column, Column]], width: Column | None = None, height: Column | None = None
+) -> list[tuple[Column, Column]]:
     """Landmarks at signed distances of a point, clamped to the image if its size is given."""
     to = lambda x, m: x if m is None else F.greatest(F.lit(0.0), F.least(x, m))
     return [(to(point[0] + dx, width), to(point[1] + dy, height)) for dx, dy in distances]
 
 
-def landmarks_to_distance(point: Sequence[Column], landmarks: Sequence[tuple[Column, Column]], most: float | None = None, eps: float = 0.1) -> list[tuple[Column, Column]]:
+def landmarks_to_distance(
+    point: Sequence[Column], landmarks: Sequence[tuple[Column, Column]], most: float | None = None, eps: float = 0.1
+) -> list[tuple[Column, Column]]:
     """Signed distances of landmarks from a point; with ``most`` clamped to 0..most - eps."""
     to = lambda d: d if most is None else F.greatest(F.lit(0.0), F.least(d, F.lit(most - eps)))
     return [(to(x - point[0]), to(y - point[1])) for x, y in landmarks]
@@ -139,7 +143,9 @@ def landmark_similarity(points: Column, truth: Column, box: Box, area: Column, s
     return F.aggregate(used, F.lit(0.0), lambda a, x: a + x) / F.size(used)
 
 
-def encode_delta(anchor: Box, target: Box, means: Sequence[float] = (0, 0, 0, 0), stds: Sequence[float] = (1, 1, 1, 1), pixel: float = 0.0) -> tuple[Column, ...]:
+def encode_delta(
+    anchor: Box, target: Box, means: Sequence[float] = (0, 0, 0, 0), stds: Sequence[float] = (1, 1, 1, 1), pixel: float = 0.0
+) -> tuple[Column, ...]:
     """Centre offsets over the anchor's size and logs of size ratios, standardised; ``pixel`` 1 is the inclusive convention."""
     size = lambda b: (b[2] - b[0] + pixel, b[3] - b[1] + pixel)
     (aw, ah), (tw, th) = size(anchor), size(target)
@@ -149,7 +155,15 @@ def encode_delta(anchor: Box, target: Box, means: Sequence[float] = (0, 0, 0, 0)
     return tuple((r - float(m)) / float(s) for r, m, s in zip(raw, means, stds, strict=True))
 
 
-def decode_delta(anchor: Box, delta: Box, means: Sequence[float] = (0, 0, 0, 0), stds: Sequence[float] = (1, 1, 1, 1), ratio_clip: float = 16 / 1000, width: Column | None = None, height: Column | None = None) -> tuple[Column, ...]:
+def decode_delta(
+    anchor: Box,
+    delta: Box,
+    means: Sequence[float] = (0, 0, 0, 0),
+    stds: Sequence[float] = (1, 1, 1, 1),
+    ratio_clip: float = 16 / 1000,
+    width: Column | None = None,
+    height: Column | None = None
+) -> tuple[Column, ...]:
     dx, dy, dw, dh = (d * float(s) + float(m) for d, m, s in zip(delta, means, stds, strict=True))
     most = abs(math.log(ratio_clip))
     held = lambda x: F.greatest(F.lit(-most), F.least(x, F.lit(most)))

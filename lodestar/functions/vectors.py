@@ -33,7 +33,9 @@ def cosine(a: Column, b: Column) -> Column:
 def checked_cosine(a: Column, b: Column, normalized: bool = False) -> Column:
     """Cosine, or the plain product of vectors that are ``normalized``; vectors of different or no lengths are an error."""
     score = dot(a, b) if normalized else dot(normalize(a), normalize(b))
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), score).otherwise(F.raise_error(F.lit("vectors differ in size")).cast("double"))
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), score).otherwise(
+        F.raise_error(F.lit("vectors differ in size")).cast("double")
+    )
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -53,7 +55,9 @@ def decision(score: Column, threshold: float, margin: float = 0.05) -> Column:
 
 def quantize_int8(a: Column, scale: int) -> Column:
     """Half away from zero after a product in single precision, clipped to -128..127."""
-    return F.transform(a, lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.round(x.cast("float") * F.lit(float(scale)).cast("float")).cast("int"))))
+    return F.transform(
+        a, lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.round(x.cast("float") * F.lit(float(scale)).cast("float")).cast("int")))
+    )
 
 
 def _rounded_to(bits: int, least: int, most: int):
@@ -94,11 +98,15 @@ def profile_similarity(a: Column, b: Column, profile: str = "fp32") -> Column:
     return dot(cast(a), cast(b))
 
 
-def calibrate(cos: Column, threshold: float = 0.48, middle: float = 0.6, steepness: float = 8.0, low: float = 0.01, high: float = 1.0) -> Column:
+def calibrate(
+    cos: Column, threshold: float = 0.48, middle: float = 0.6, steepness: float = 8.0, low: float = 0.01, high: float = 1.0
+) -> Column:
     """A logistic map of cosines onto [low, high] that takes ``threshold`` to ``middle``."""
     bias = -math.log((high - middle) / (middle - low))
     return F.lit(high - low) / (1 + F.exp(-(steepness * (cos - threshold)) - bias)) + low
 
 
 def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda acc, x: acc + x)
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda acc, x: acc + x
+    )

@@ -16,10 +16,21 @@ def _place(key: Column, cuts: list[Column]) -> Column:
     """The number of ``cuts``, which are in order, up to ``key``: by halving."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
     bounds = F.array(*cuts)
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) <= key), at + step).otherwise(at))
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) <= key), at + step).otherwise(at)
+    )
 
 
-def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = True, keys: list[str] | None = None, ties: list[str] | None = None, maxima: list[str] | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+def running_totals(
+    df: DataFrame,
+    order: str,
+    sums: list[str],
+    descending: bool = True,
+    keys: list[str] | None = None,
+    ties: list[str] | None = None,
+    maxima: list[str] | None = None,
+    part_rows: int = PART_ROWS
+) -> DataFrame:
     """Append ``<name>_to_here``: the total of each of ``sums`` (or greatest of ``maxima``) up to and with each row.
 
     Rows of equal ``order`` (numeric, not null) within ``keys`` are told apart by ``ties`` (ascending);
@@ -49,7 +60,9 @@ def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool
     before = [F.coalesce(F.sum(f"{c}_part").over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums]
     before += [F.max(f"{c}_part").over(earlier).alias(f"{c}_before") for c in maxima]
     offsets = totals.select(*keys, "part", *before)
-    own = Window.partitionBy(*keys, "part").orderBy(F.desc(order) if descending else F.asc(order), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*keys, "part").orderBy(
+        F.desc(order) if descending else F.asc(order), *ties
+    ).rowsBetween(Window.unboundedPreceding, 0)
     out = laid.join(offsets, [*keys, "part"])
     here = [(F.sum(c).over(own) + F.col(f"{c}_before")).alias(f"{c}_to_here") for c in sums]
     here += [F.greatest(F.max(c).over(own), F.col(f"{c}_before")).alias(f"{c}_to_here") for c in maxima]

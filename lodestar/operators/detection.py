@@ -28,7 +28,9 @@ def iou_matrix(a: np.ndarray, b: np.ndarray, pixel: float = 0.0, eps: float = 0.
     return inter / np.maximum(size(a)[:, None] + size(b)[None, :] - inter, eps or 1e-300)
 
 
-def greedy_keep(boxes: np.ndarray, threshold: float, pixel: float = 1.0, inclusive: bool = False, area_pixel: float | None = None, block: int = 1024) -> np.ndarray:
+def greedy_keep(
+    boxes: np.ndarray, threshold: float, pixel: float = 1.0, inclusive: bool = False, area_pixel: float | None = None, block: int = 1024
+) -> np.ndarray:
     """Positions kept of boxes in order: one is dropped if its IoU with a kept one exceeds (``inclusive``: reaches) the threshold.
 
     Overlaps are computed for ``block`` boxes at a time, and only for those that are still left.
@@ -48,9 +50,18 @@ def greedy_keep(boxes: np.ndarray, threshold: float, pixel: float = 1.0, inclusi
     return np.array(kept, dtype=np.int64)
 
 
-def nms(dets: DataFrame, threshold: float, keys: tuple[str, ...] = ("image", "class"), pixel: float = 1.0, inclusive: bool = False, area_pixel: float | None = None) -> DataFrame:
+def nms(
+    dets: DataFrame,
+    threshold: float,
+    keys: tuple[str, ...] = ("image", "class"),
+    pixel: float = 1.0,
+    inclusive: bool = False,
+    area_pixel: float | None = None
+) -> DataFrame:
     """Greedy non-maximum suppression within ``keys``: the rows kept, all columns."""
-    return keep_by_group(dets, list(keys), [F.desc("score"), F.col("det")], BOX, lambda b: greedy_keep(b, threshold, pixel, inclusive, area_pixel))
+    return keep_by_group(
+        dets, list(keys), [F.desc("score"), F.col("det")], BOX, lambda b: greedy_keep(b, threshold, pixel, inclusive, area_pixel)
+    )
 
 
 def multiclass_nms(dets: DataFrame, least_score: float, threshold: float, most: int, pixel: float = 0.0) -> DataFrame:
@@ -92,7 +103,12 @@ def single_face_policy(dets: DataFrame, policy: str, score: Column) -> DataFrame
     counted = dets.groupBy("image").agg(F.count("*").alias("faces"), F.max_by("det", F.struct(score, -F.col("det"))).alias("best"))
     several = F.col("faces") > 1
     if policy == "require_one":
-        return counted.select("image", "faces", F.when(~several, F.col("best")).alias("det"), F.when(several, "multiple_faces").otherwise("ok").alias("status"))
+        return counted.select(
+            "image",
+            "faces",
+            F.when(~several, F.col("best")).alias("det"),
+            F.when(several, "multiple_faces").otherwise("ok").alias("status")
+        )
     if policy == "skip":
         return counted.where(~several).select("image", "faces", F.col("best").alias("det"), F.lit("ok").alias("status"))
     return counted.select("image", "faces", F.col("best").alias("det"), F.lit("ok").alias("status"))
@@ -103,7 +119,9 @@ def _pairs(dets: DataFrame, gts: DataFrame, keys: list[str], pixel: float, eps:
     return dets.join(truth, keys).withColumn("iou", iou(box(), box("g_"), pixel=pixel, eps=eps))
 
 
-def max_iou_assign(dets: DataFrame, gts: DataFrame, positive: float = 0.5, negative: float = 0.4, least_positive: float = 0.0, low_quality: bool = True) -> DataFrame:
+def max_iou_assign(
+    dets: DataFrame, gts: DataFrame, positive: float = 0.5, negative: float = 0.4, least_positive: float = 0.0, low_quality: bool = True
+) -> DataFrame:
     """The ground truth of each box: gt, -1 for background (best IoU under ``negative``) or null between.
 
     With ``low_quality`` each ground truth whose best IoU is at least ``least_positive`` takes all boxes
@@ -119,7 +137,9 @@ def max_iou_assign(dets: DataFrame, gts: DataFrame, positive: float = 0.5, negat
         return out
     best = pairs.groupBy("image", "gt").agg(F.max("iou").alias("top")).where(F.col("top") >= least_positive)
     forced = pairs.join(best, ["image", "gt"]).where(F.col("iou") == F.col("top")).groupBy("image", "det").agg(F.max("gt").alias("forced"))
-    return out.join(forced, ["image", "det"], "left").select("image", "det", F.coalesce("forced", "assigned").cast("long").alias("assigned"), "iou")
+    return out.join(forced, ["image", "det"], "left").select(
+        "image", "det", F.coalesce("forced", "assigned").cast("long").alias("assigned"), "iou"
+    )
 
 
 def atss_assign(dets: DataFrame, gts: DataFrame, k: int = 9) -> DataFrame:
@@ -138,7 +158,9 @@ def atss_assign(dets: DataFrame, gts: DataFrame, k: int = 9) -> DataFrame:
     inside = F.least(cx - F.col("g_x1"), cy - F.col("g_y1"), F.col("g_x2") - cx, F.col("g_y2") - cy) > 0.01
     chosen = candidates.join(limits, ["image", "gt"]).where((F.round("iou", 9) >= F.col("limit")) & inside)
     best = chosen.groupBy("image", "det").agg(F.max_by(F.struct("gt", "iou"), F.struct("iou", -F.col("gt"))).alias("b"))
-    return dets.select("image", "det").join(best, ["image", "det"], "left").select("image", "det", F.coalesce("b.gt", F.lit(-1)).cast("long").alias("assigned"), F.col("b.iou").alias("iou"))
+    return dets.select("image", "det").join(best, ["image", "det"], "left").select(
+        "image", "det", F.coalesce("b.gt", F.lit(-1)).cast("long").alias("assigned"), F.col("b.iou").alias("iou")
+    )
 
 
 def mark_default(dets: DataFrame, gts: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -149,7 +171,9 @@ def mark_default(dets: DataFrame, gts: DataFrame, threshold: float = 0.5) -> Dat
     if "ignore" not in gts.columns:
         gts = gts.withColumn("ignore", F.lit(False))
     keys = ["image", "class"]
-    best = _pairs(dets, gts, keys, 0.0, 1e-6).groupBy(*keys, "det").agg(F.max_by(F.struct("gt", "iou", "ignore"), F.struct("iou", -F.col("gt"))).alias("b"))
+    best = _pairs(dets, gts, keys, 0.0, 1e-6).groupBy(*keys, "det").agg(
+        F.max_by(F.struct("gt", "iou", "ignore"), F.struct("iou", -F.col("gt"))).alias("b")
+    )
     matched = dets.join(best, [*keys, "det"], "left").withColumn("hit", F.coalesce(F.col("b.iou") >= threshold, F.lit(False)))
     order = Window.partitionBy(*keys, F.col("hit"), F.col("b.gt")).orderBy(F.desc("score"), "det")
     first = F.row_number().over(order) == 1
@@ -161,7 +185,9 @@ def mark_default(dets: DataFrame, gts: DataFrame, threshold: float = 0.5) -> Dat
 
 def mark_available(dets: DataFrame, gts: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``dets`` with tp and fp, each row by score taking its best truth that is still free; small truths need less overlap."""
-    both = dets.select("image", "class", "det", "score", *BOX, F.lit(None).cast("long").alias("gt")).unionByName(gts.select("image", "class", F.lit(None).cast("long").alias("det"), F.lit(None).cast("double").alias("score"), *BOX, "gt"))
+    both = dets.select("image", "class", "det", "score", *BOX, F.lit(None).cast("long").alias("gt")).unionByName(
+        gts.select("image", "class", F.lit(None).cast("long").alias("det"), F.lit(None).cast("double").alias("score"), *BOX, "gt")
+    )
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         d, t = g[g["det"].notna()].sort_values(["score", "det"], ascending=[False, True]), g[g["gt"].notna()].sort_values("gt")
@@ -190,13 +216,17 @@ def mark_by_area(dets: DataFrame, gts: DataFrame, areas: dict[str, tuple[float,
     that reaches no truth is a false positive only if it lies in the range itself. One matching serves all.
     """
     keys = ["image", "class"]
-    ranges = F.array(*[F.struct(F.lit(n).alias("area"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for n, (lo, hi) in areas.items()])
+    ranges = F.array(
+        *[F.struct(F.lit(n).alias("area"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for n, (lo, hi) in areas.items()]
+    )
     if "ignore" not in gts.columns:
         gts = gts.withColumn("ignore", F.lit(False))
     size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
     pairs = _pairs(dets, gts, keys, 0.0, 1e-6).withColumn("g_size", size(box("g_")))
     best = pairs.groupBy(*keys, "det").agg(F.max_by(F.struct("gt", "iou", "ignore", "g_size"), F.struct("iou", -F.col("gt"))).alias("b"))
-    matched = dets.join(best, [*keys, "det"], "left").withColumn("hit", F.coalesce(F.col("b.iou") >= threshold, F.lit(False))).withColumn("size", size(box()))
+    matched = dets.join(best, [*keys, "det"], "left").withColumn(
+        "hit", F.coalesce(F.col("b.iou") >= threshold, F.lit(False))
+    ).withColumn("size", size(box()))
     order = Window.partitionBy(*keys, F.col("hit"), F.col("b.gt")).orderBy(F.desc("score"), "det")
     each = matched.withColumn("first", F.row_number().over(order) == 1).withColumn("r", F.explode(ranges))
     inside = lambda c: (c >= F.col("r.lo")) & (c < F.col("r.hi"))
@@ -209,9 +239,19 @@ def precision_recall(marked: DataFrame, gts: DataFrame) -> DataFrame:
     """Recall and precision of each class down the global order of score, then image, then det."""
     truths = gts.where(~F.col("ignore")) if "ignore" in gts.columns else gts
     totals = truths.groupBy("class").agg(F.count("*").alias("truths"))
-    cum = running_totals(marked.select("class", "image", "det", "score", "tp", "fp"), "score", ["tp", "fp"], keys=["class"], ties=["image", "det"]).join(totals, "class")
+    cum = running_totals(
+        marked.select("class", "image", "det", "score", "tp", "fp"), "score", ["tp", "fp"], keys=["class"], ties=["image", "det"]
+    ).join(totals, "class")
     tps, fps = F.col("tp_to_here"), F.col("fp_to_here")
-    return cum.select("class", "image", "det", "score", "truths", (tps / F.col("truths")).alias("recall"), (tps / F.greatest(tps + fps, F.lit(1))).alias("precision"))
+    return cum.select(
+        "class",
+        "image",
+        "det",
+        "score",
+        "truths",
+        (tps / F.col("truths")).alias("recall"),
+        (tps / F.greatest(tps + fps, F.lit(1))).alias("precision")
+    )
 
 
 def average_precision(curve: DataFrame, mode: str = "area") -> DataFrame:
@@ -223,10 +263,14 @@ def average_precision(curve: DataFrame, mode: str = "area") -> DataFrame:
     points = curve.groupBy("class", "truths", "recall").agg(F.max("precision").alias("precision"))
     if mode == "11points":
         goals = curve.sparkSession.createDataFrame([(i / 10,) for i in range(11)], "goal double")
-        best = points.crossJoin(F.broadcast(goals)).groupBy("class", "goal").agg(F.coalesce(F.max(F.when(F.col("recall") >= F.col("goal") - 1e-12, F.col("precision"))), F.lit(0.0)).alias("p"))
+        best = points.crossJoin(F.broadcast(goals)).groupBy("class", "goal").agg(
+            F.coalesce(F.max(F.when(F.col("recall") >= F.col("goal") - 1e-12, F.col("precision"))), F.lit(0.0)).alias("p")
+        )
         return best.groupBy("class").agg((F.sum("p") / 11).alias("ap"))
     envelope = running_totals(points, "recall", [], keys=["class"], maxima=["precision"])
-    return envelope.groupBy("class").agg(F.sum(F.when(F.col("recall") > 0, F.col("precision_to_here") / F.col("truths")).otherwise(0.0)).alias("ap"))
+    return envelope.groupBy("class").agg(
+        F.sum(F.when(F.col("recall") > 0, F.col("precision_to_here") / F.col("truths")).otherwise(0.0)).alias("ap")
+    )
 
 
 def eval_map(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, mode: str = "area", mark=mark_default) -> DataFrame:
@@ -235,7 +279,9 @@ def eval_map(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, mode: str
     ap = average_precision(precision_recall(marked, gts), mode)
     truths = (gts.where(~F.col("ignore")) if "ignore" in gts.columns else gts).groupBy("class").agg(F.count("*").alias("truths"))
     n = dets.groupBy("class").agg(F.count("*").alias("dets"))
-    return truths.join(n, "class", "left").join(ap, "class", "left").select("class", "truths", F.coalesce("dets", F.lit(0)).alias("dets"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    return truths.join(n, "class", "left").join(ap, "class", "left").select(
+        "class", "truths", F.coalesce("dets", F.lit(0)).alias("dets"), F.coalesce("ap", F.lit(0.0)).alias("ap")
+    )
 
 
 def eval_map_by_area(dets: DataFrame, gts: DataFrame, areas: dict[str, tuple[float, float]], threshold: float = 0.5) -> DataFrame:
@@ -254,7 +300,9 @@ def eval_map_by_area(dets: DataFrame, gts: DataFrame, areas: dict[str, tuple[flo
 
 def proposal_recall(dets: DataFrame, gts: DataFrame, numbers: list[int], thresholds: list[float]) -> DataFrame:
     """Share of truths met at each IoU threshold by the best ``number`` boxes of an image, matched one to one by greatest IoU first."""
-    both = dets.select("image", "det", "score", *BOX, F.lit(None).cast("long").alias("gt")).unionByName(gts.select("image", F.lit(None).cast("long").alias("det"), F.lit(None).cast("double").alias("score"), *BOX, "gt"))
+    both = dets.select("image", "det", "score", *BOX, F.lit(None).cast("long").alias("gt")).unionByName(
+        gts.select("image", F.lit(None).cast("long").alias("det"), F.lit(None).cast("double").alias("score"), *BOX, "gt")
+    )
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         d, t = g[g["det"].notna()].sort_values(["score", "det"], ascending=[False, True]), g[g["gt"].notna()].sort_values("gt")
@@ -282,10 +330,14 @@ def random_sample(assigned: DataFrame, n: int, positive_share: float, seed: int
     """Of each image up to ``n`` boxes by a seeded hash: at most the positive share of positives, the rest negatives."""
     positive = F.col("assigned") >= 0
     shuffled = seeded(seed, F.col("image"), F.col("det"))
-    ranked = assigned.where("assigned is not null").withColumn("positive", positive).withColumn("rank", F.row_number().over(Window.partitionBy("image", "positive").orderBy(shuffled, "det")))
+    ranked = assigned.where("assigned is not null").withColumn("positive", positive).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("image", "positive").orderBy(shuffled, "det"))
+    )
     most = int(n * positive_share)
     taken = F.least(F.coalesce(F.max(F.when(F.col("positive"), F.col("rank"))).over(Window.partitionBy("image")), F.lit(0)), F.lit(most))
-    return ranked.withColumn("taken", taken).where(F.when(F.col("positive"), F.col("rank") <= most).otherwise(F.col("rank") <= F.lit(n) - F.col("taken"))).select("image", "det", "assigned")
+    return ranked.withColumn("taken", taken).where(
+        F.when(F.col("positive"), F.col("rank") <= most).otherwise(F.col("rank") <= F.lit(n) - F.col("taken"))
+    ).select("image", "det", "assigned")
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:
@@ -325,7 +377,9 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
 
 def hungarian_assign(dets: DataFrame, gts: DataFrame) -> DataFrame:
     """One box for each truth of an image such that the sum of 1 - IoU is least; -1 for the others."""
-    both = dets.select("image", "det", *BOX, F.lit(None).cast("long").alias("gt")).unionByName(gts.select("image", F.lit(None).cast("long").alias("det"), *BOX, "gt"))
+    both = dets.select("image", "det", *BOX, F.lit(None).cast("long").alias("gt")).unionByName(
+        gts.select("image", F.lit(None).cast("long").alias("det"), *BOX, "gt")
+    )
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         d, t = g[g["det"].notna()].sort_values("det"), g[g["gt"].notna()].sort_values("gt")

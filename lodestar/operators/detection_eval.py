@@ -8,17 +8,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.cumulative import running_totals
-from lodestar.operators.detection import BOX, iou_matrix
+from lodestar.operators.detection import BOX, iou_matrix, rank_sample
 
 # Fixed values of the COCO protocol.
 THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 
-def _both(dets: DataFrame, gts: DataFrame, keys: list[str]) -> DataFrame:
+def _both(dets: DataFrame, gts: DataFrame, keys: list[str], more: tuple[str, ...] = ()) -> DataFrame:
     ignore = F.col("ignore") if "ignore" in gts.columns else F.lit(False)
-    d = dets.select(*keys, "det", "score", *BOX, F.lit(None).cast("long").alias("gt"), F.lit(False).alias("ignore"))
-    return d.unionByName(gts.select(*keys, F.lit(None).cast("long").alias("det"), F.lit(None).cast("double").alias("score"), *BOX, "gt", ignore.alias("ignore")))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    d = dets.select(*keys, "det", "score", *BOX, *more, none("long", "gt"), F.lit(False).alias("ignore"))
+    return d.unionByName(gts.select(*keys, none("long", "det"), none("double", "score"), *BOX, *more, "gt", ignore.alias("ignore")))
+
+
+def oks_matrix(points: np.ndarray, truth: np.ndarray, boxes: np.ndarray, sigmas: np.ndarray) -> np.ndarray:
+    """Object keypoint similarity of ``points`` (n, k, 2) to ``truth`` (m, k, 3: x, y, visible) with ``boxes`` (m, 4).
+
+    The mean of exp(-d^2 / (2 area (2 sigma)^2)) over a truth's visible points; of one without such, over
+    the distances by which points lie outside its box widened by its own size on each side.
+    """
+    out = np.zeros((len(points), len(truth)))
+    for j, (t, b) in enumerate(zip(truth, boxes, strict=True)):
+        size, seen = b[2:] - b[:2], t[:, 2] > 0
+        if seen.any():
+            off = points[:, seen] - t[seen, :2]
+        else:
+            off = np.maximum(b[:2] - size - points, 0) + np.maximum(points - b[2:] - size, 0)
+        spread = (2 * sigmas[seen if seen.any() else slice(None)]) ** 2
+        out[:, j] = np.exp(-(off**2).sum(axis=2) / spread / (size.prod() + np.spacing(1)) / 2).mean(axis=1)
+    return out
 
 
 def _match(near: np.ndarray, ignored: np.ndarray, crowd: np.ndarray, threshold: float) -> np.ndarray:
@@ -34,20 +53,31 @@ def _match(near: np.ndarray, ignored: np.ndarray, crowd: np.ndarray, threshold:
     return out
 
 
-def coco_matches(dets: DataFrame, gts: DataFrame, most: int = 100) -> DataFrame:
+def coco_matches(dets: DataFrame, gts: DataFrame, most: int = 100, sigmas: list[float] | None = None) -> DataFrame:
     """(class, image, det, score, area, threshold, tp, fp) of the ``most`` best detections of each image and class.
 
     Truths marked ``ignore`` are crowds: overlap with them is over the detection's own area and makes
     it neither. Truths outside an area range, and unmatched detections outside it, don't count there.
+    With ``sigmas``, one for each keypoint, both sides have an array ``points`` (x, y and, of truths,
+    visible, one after the other), and overlap is keypoint similarity; truths without a visible point are
+    ignored.
     """
+    dets = rank_sample(dets, ["image", "class"], [F.desc("score"), F.col("det")], most)
+    more = ("points",) if sigmas else ()
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         d = g[g["det"].notna()].sort_values(["score", "det"], ascending=[False, True]).head(most)
         t = g[g["gt"].notna()].sort_values("gt")
         db, tb, crowd = d[BOX].to_numpy(dtype=float), t[BOX].to_numpy(dtype=float), t["ignore"].to_numpy(dtype=bool)
         size = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        near = iou_matrix(db, tb) if len(tb) else np.zeros((len(db), 0))
-        if crowd.any():
+        if sigmas:
+            k = len(sigmas)
+            seen = np.array([*t["points"]], dtype=float).reshape(-1, k, 3)
+            crowd = crowd | ~(seen[:, :, 2] > 0).any(axis=1)
+            near = oks_matrix(np.array([*d["points"]], dtype=float).reshape(-1, k, 2), seen, tb, np.array(sigmas))
+        else:
+            near = iou_matrix(db, tb) if len(tb) else np.zeros((len(db), 0))
+        if crowd.any() and not sigmas:
             w = np.minimum(db[:, None, 2], tb[None, :, 2]) - np.maximum(db[:, None, 0], tb[None, :, 0])
             h = np.minimum(db[:, None, 3], tb[None, :, 3]) - np.maximum(db[:, None, 1], tb[None, :, 1])
             near = np.where(crowd, np.maximum(w, 0) * np.maximum(h, 0) / size(db)[:, None], near)
@@ -59,37 +89,91 @@ def coco_matches(dets: DataFrame, gts: DataFrame, most: int = 100) -> DataFrame:
                 to = _match(near, ignored, crowd, threshold)
                 hit = to >= 0
                 skip = np.where(hit, ignored[to] if len(tb) else False, outside)
-                rows.append(pd.DataFrame({"image": key[0], "class": key[1], "det": d["det"].astype("int64"), "score": d["score"], "area": name, "threshold": threshold, "tp": (hit & ~skip).astype("int32"), "fp": (~hit & ~skip).astype("int32")}))
+                rows.append(
+                    pd.DataFrame(
+                        {
+                            "image": key[0],
+                            "class": key[1],
+                            "det": d["det"].astype("int64"),
+                            "score": d["score"],
+                            "area": name,
+                            "threshold": threshold,
+                            "tp": (hit & ~skip).astype("int32"),
+                            "fp": (~hit & ~skip).astype("int32")
+                        }
+                    )
+                )
         return pd.concat(rows)
 
     kinds = dict(dets.dtypes)
     schema = f"image {kinds['image']}, class {kinds['class']}, det long, score double, area string, threshold double, tp int, fp int"
-    return _both(dets, gts, ["image", "class"]).groupBy("image", "class").applyInPandas(run, schema)
+    return _both(dets, gts, ["image", "class"], more).groupBy("image", "class").applyInPandas(run, schema)
 
 
-def coco_summary(dets: DataFrame, gts: DataFrame, most: int = 100) -> DataFrame:
+def coco_summary(dets: DataFrame, gts: DataFrame, most: int = 100, sigmas: list[float] | None = None) -> DataFrame:
     """AP of each area and threshold by 101-point interpolation, and the greatest recall: mean over classes that have truths there."""
+    counts, each = _by_class(dets, gts, coco_matches(dets, gts, most, sigmas), sigmas)
+    grid = counts.crossJoin(dets.sparkSession.createDataFrame([(t,) for t in THRESHOLDS], "threshold double"))
+    every = grid.join(each, ["class", "area", "threshold"], "left")
+    return every.groupBy("area", "threshold").agg(
+        F.avg(F.coalesce("ap", F.lit(0.0))).alias("ap"), F.avg(F.coalesce("recall", F.lit(0.0))).alias("recall")
+    )
+
+
+def lvis_summary(dets: DataFrame, gts: DataFrame, images: DataFrame, categories: DataFrame, most: int = 300) -> DataFrame:
+    """AP over all thresholds of each ``frequency`` of LVIS classes, and of ``all``: (frequency, ap).
+
+    ``images (image, none, partly)`` has the classes that an image is known to have none of, and those not
+    marked in full; ``categories (class, frequency)``. Detections of a class that an image neither has nor
+    is known to lack are left out, and unmatched ones of a class not marked in full are neither.
+    """
+    here = gts.select("image", "class").union(images.select("image", F.explode("none").alias("class"))).distinct()
+    judged = dets.join(here, ["image", "class"], "left_semi")
+    partly = images.select("image", F.explode("partly").alias("class")).distinct().withColumn("partly", F.lit(True))
+    marked = coco_matches(judged, gts, most).where("area = 'all'").join(partly, ["image", "class"], "left")
+    marked = marked.withColumn("fp", F.when(F.col("partly"), F.lit(0)).otherwise(F.col("fp"))).drop("partly")
+    counts, each = _by_class(dets, gts, marked)
+    grid = counts.where("area = 'all'").crossJoin(dets.sparkSession.createDataFrame([(t,) for t in THRESHOLDS], "threshold double"))
+    every = grid.join(each, ["class", "area", "threshold"], "left").join(categories, "class")
+    named = every.select(F.explode(F.array(F.lit("all"), F.col("frequency"))).alias("frequency"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    return named.groupBy("frequency").agg(F.avg("ap").alias("ap"))
+
+
+def _by_class(dets: DataFrame, gts: DataFrame, matches: DataFrame, sigmas: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Truths of each class and area, and (class, area, threshold, recall, ap) of ``coco_matches``."""
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     real = gts.where(~F.col("ignore")) if "ignore" in gts.columns else gts
+    if sigmas:
+        seen = F.filter("points", lambda x, i: (i % 3 == 2) & (x > 0))
+        real = real.where(F.size(seen) > 0)
     counts = None
     for name, (low, high) in AREAS.items():
         part = real.where((size >= low) & (size <= high)).groupBy("class").agg(F.count("*").alias("truths")).withColumn("area", F.lit(name))
         counts = part if counts is None else counts.union(part)
     keys = ["class", "area", "threshold"]
-    marked = coco_matches(dets, gts, most).where("tp + fp > 0").select(*keys, "image", "det", "score", "tp", "fp")
-    cum = running_totals(marked, "score", ["tp", "fp"], keys=keys, ties=["image", "det"]).withColumnsRenamed({"tp_to_here": "tps", "fp_to_here": "fps"}).join(counts, ["class", "area"])
-    points = cum.select("class", "area", "threshold", (F.col("tps") / F.col("truths")).alias("recall"), (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision"))
+    marked = matches.where("tp + fp > 0").select(*keys, "image", "det", "score", "tp", "fp")
+    cum = running_totals(
+        marked, "score", ["tp", "fp"], keys=keys, ties=["image", "det"]
+    ).withColumnsRenamed({"tp_to_here": "tps", "fp_to_here": "fps"}).join(counts, ["class", "area"])
+    points = cum.select(
+        "class",
+        "area",
+        "threshold",
+        (F.col("tps") / F.col("truths")).alias("recall"),
+        (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision")
+    )
     points = points.groupBy("class", "area", "threshold", "recall").agg(F.max("precision").alias("precision"))
     # a recall r is the best precision for the goals up to r: floor(100 r) is the last, and a maximum carries it down
     last = F.floor(F.col("recall") * 100 + 1e-9).cast("int")
     at = points.groupBy("class", "area", "threshold", last.alias("goal")).agg(F.max("precision").alias("p"), F.max("recall").alias("r"))
-    full = at.groupBy("class", "area", "threshold").agg(F.max("r").alias("recall"), F.map_from_entries(F.collect_list(F.struct("goal", "p"))).alias("best"))  # at most 101 entries
-    later = lambda i: F.array_max(F.transform(F.sequence(i, F.lit(100)), lambda k: F.coalesce(F.try_element_at("best", k), F.lit(0.0))))
+    full = at.groupBy("class", "area", "threshold").agg(
+        F.max("r").alias("recall"), F.map_from_entries(F.collect_list(F.struct("goal", "p"))).alias("best")
+    )  # at most 101 entries
+    later = lambda i: F.array_max(
+        F.transform(F.sequence(i, F.lit(100)), lambda k: F.coalesce(F.try_element_at("best", k), F.lit(0.0)))
+    )
     ap = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(100)), later), F.lit(0.0), lambda a, x: a + x) / 101
-    each = full.select("class", "area", "threshold", "recall", ap.alias("ap"))
-    grid = counts.crossJoin(dets.sparkSession.createDataFrame([(t,) for t in THRESHOLDS], "threshold double"))
-    every = grid.join(each, ["class", "area", "threshold"], "left")
-    return every.groupBy("area", "threshold").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("ap"), F.avg(F.coalesce("recall", F.lit(0.0))).alias("recall"))
+    return counts, full.select("class", "area", "threshold", "recall", ap.alias("ap"))
 
 
 def face_ap(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, steps: int = 1000) -> DataFrame:
@@ -119,14 +203,24 @@ def face_ap(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, steps: int
         first = np.maximum(np.ceil((1 - d["score"].to_numpy(dtype=float)) * steps - 1 - 1e-9), 0).astype("int64")
         return pd.DataFrame({"step": np.minimum(first, steps - 1), "recalled": recalled, "proposals": proposal})
 
-    hits = both.groupBy("image").applyInPandas(run, "step long, recalled long, proposals long").groupBy("step").agg(F.sum("recalled").alias("recalled"), F.sum("proposals").alias("proposals"))
+    hits = both.groupBy("image").applyInPandas(run, "step long, recalled long, proposals long").groupBy("step").agg(
+        F.sum("recalled").alias("recalled"), F.sum("proposals").alias("proposals")
+    )
     truths = gts.agg(F.coalesce(F.sum(F.col("counts").cast("long")), F.lit(0)).alias("truths"))
     up = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # at most ``steps`` rows
-    curve = hits.select("step", F.sum("recalled").over(up).alias("r"), F.sum("proposals").over(up).alias("n")).crossJoin(F.broadcast(truths))
-    curve = curve.select("step", (F.col("r") / F.greatest("truths", F.lit(1))).alias("recall"), F.coalesce(F.col("r") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0)).alias("precision"))
+    curve = hits.select(
+        "step", F.sum("recalled").over(up).alias("r"), F.sum("proposals").over(up).alias("n")
+    ).crossJoin(F.broadcast(truths))
+    curve = curve.select(
+        "step",
+        (F.col("r") / F.greatest("truths", F.lit(1))).alias("recall"),
+        F.coalesce(F.col("r") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0)).alias("precision")
+    )
     ahead = Window.orderBy("step").rowsBetween(0, Window.unboundedFollowing)
     width = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy("step")), F.lit(0.0))
-    return curve.withColumn("width", width).withColumn("envelope", F.max("precision").over(ahead)).agg(F.coalesce(F.sum(F.col("width") * F.col("envelope")), F.lit(0.0)).alias("ap"))
+    return curve.withColumn("width", width).withColumn("envelope", F.max("precision").over(ahead)).agg(
+        F.coalesce(F.sum(F.col("width") * F.col("envelope")), F.lit(0.0)).alias("ap")
+    )
 
 
 def face_ap_settings(dets: DataFrame, gts: DataFrame, settings: list[str], threshold: float = 0.5, steps: int = 1000) -> DataFrame:

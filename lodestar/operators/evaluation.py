@@ -14,15 +14,24 @@ def confusion(scores: DataFrame, threshold: float) -> DataFrame:
     """Counts, accuracy, FAR = FP / max(1, N) and FRR = FN / max(1, P) of accepting score >= threshold."""
     hit, true = F.col("score") >= threshold, F.col("label") == 1
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
-    cells = scores.agg(count(hit & true).alias("tp"), count(~hit & ~true).alias("tn"), count(hit & ~true).alias("fp"), count(~hit & true).alias("fn"))
+    cells = scores.agg(
+        count(hit & true).alias("tp"), count(~hit & ~true).alias("tn"), count(hit & ~true).alias("fp"), count(~hit & true).alias("fn")
+    )
     total = F.greatest(F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"), F.lit(1))
-    return cells.select("*", ((F.col("tp") + F.col("tn")) / total).alias("accuracy"), (F.col("fp") / F.greatest(F.col("fp") + F.col("tn"), F.lit(1))).alias("far"), (F.col("fn") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))).alias("frr"))
+    return cells.select(
+        "*",
+        ((F.col("tp") + F.col("tn")) / total).alias("accuracy"),
+        (F.col("fp") / F.greatest(F.col("fp") + F.col("tn"), F.lit(1))).alias("far"),
+        (F.col("fn") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))).alias("frr")
+    )
 
 
 def score_curve(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A row for each distinct score: genuine and impostor rows at it (pos, neg) and at or above it (pos_ge, neg_ge), and the totals p and n."""
     keys = keys or []
-    at = scores.groupBy(*keys, "score").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") != 1).cast("long")).alias("neg"))
+    at = scores.groupBy(*keys, "score").agg(
+        F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") != 1).cast("long")).alias("neg")
+    )
     curve = running_totals(at, "score", ["pos", "neg"], keys=keys).withColumnsRenamed({"pos_to_here": "pos_ge", "neg_to_here": "neg_ge"})
     totals = at.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return curve.join(totals, keys) if keys else curve.crossJoin(F.broadcast(totals))
@@ -31,7 +40,9 @@ def score_curve(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def best_threshold(scores: DataFrame) -> DataFrame:
     """The score at which accepting it and above is most accurate, the lowest such; and that accuracy."""
     accuracy = (F.col("pos_ge") + F.col("n") - F.col("neg_ge")) / (F.col("p") + F.col("n"))  # a curve has a row or more
-    best = score_curve(scores).agg(F.max_by(F.struct("score", accuracy.alias("accuracy")), F.struct(accuracy.alias("accuracy"), -F.col("score"))).alias("b"))
+    best = score_curve(scores).agg(
+        F.max_by(F.struct("score", accuracy.alias("accuracy")), F.struct(accuracy.alias("accuracy"), -F.col("score"))).alias("b")
+    )
     return best.select(F.col("b.score").alias("threshold"), F.col("b.accuracy").alias("accuracy"))
 
 
@@ -44,7 +55,9 @@ def tar_at_far(scores: DataFrame, targets: list[float], positive_total: int | No
     curve = score_curve(scores)
     goals = scores.sparkSession.createDataFrame([(float(t),) for t in targets], "target double")
     top = scores.where("label <> 1").agg(F.max("score").alias("top"), F.count("*").alias("negatives"))
-    ranked = curve.crossJoin(F.broadcast(goals)).crossJoin(F.broadcast(top)).withColumn("budget", F.floor(F.col("target") * F.col("negatives")).cast("long"))
+    ranked = curve.crossJoin(F.broadcast(goals)).crossJoin(F.broadcast(top)).withColumn(
+        "budget", F.floor(F.col("target") * F.col("negatives")).cast("long")
+    )
     fits = (F.col("neg_ge") <= F.col("budget")) & (F.col("score") <= F.col("top"))
     chosen = ranked.where("budget > 0").groupBy("target", "budget").agg(
         F.max_by(F.struct("score", "pos_ge", "neg_ge"), F.when(fits, F.struct("pos_ge", -F.col("score")))).alias("b"),
@@ -52,7 +65,14 @@ def tar_at_far(scores: DataFrame, targets: list[float], positive_total: int | No
         F.first("top").alias("top"), F.first("p").alias("p"), F.first("negatives").alias("negatives"))
     exclusive = F.col("b").isNull()
     total = F.lit(positive_total) if positive_total is not None else F.col("p")
-    return chosen.select("target", "budget", F.when(exclusive, F.col("top")).otherwise(F.col("b.score")).alias("threshold"), exclusive.alias("exclusive"), (F.when(exclusive, F.col("above")).otherwise(F.col("b.pos_ge")) / F.greatest(total, F.lit(1))).alias("tar"), (F.when(exclusive, F.lit(0)).otherwise(F.col("b.neg_ge")) / F.col("negatives")).alias("far"))
+    return chosen.select(
+        "target",
+        "budget",
+        F.when(exclusive, F.col("top")).otherwise(F.col("b.score")).alias("threshold"),
+        exclusive.alias("exclusive"),
+        (F.when(exclusive, F.col("above")).otherwise(F.col("b.pos_ge")) / F.greatest(total, F.lit(1))).alias("tar"),
+        (F.when(exclusive, F.lit(0)).otherwise(F.col("b.neg_ge")) / F.col("negatives")).alias("far")
+    )
 
 
 def tar_at_far_kyc(scores: DataFrame, targets: list[float]) -> DataFrame:
@@ -60,10 +80,14 @@ def tar_at_far_kyc(scores: DataFrame, targets: list[float]) -> DataFrame:
     curve = score_curve(scores)
     goals = scores.sparkSession.createDataFrame([(float(t), max(20, int(1 / t))) for t in targets], "target double, least long")
     ranked = curve.crossJoin(F.broadcast(goals))
-    tar = F.max(F.when(F.col("neg_ge") / F.greatest(F.col("n"), F.lit(1)) <= F.col("target"), F.col("pos_ge") / F.greatest(F.col("p"), F.lit(1))))
+    tar = F.max(
+        F.when(F.col("neg_ge") / F.greatest(F.col("n"), F.lit(1)) <= F.col("target"), F.col("pos_ge") / F.greatest(F.col("p"), F.lit(1)))
+    )
     out = ranked.groupBy("target", "least").agg(F.coalesce(tar, F.lit(0.0)).alias("tar"), F.first("n").alias("n"))
     enough = F.col("n") >= F.col("least")
-    return out.select("target", F.when(enough, F.col("tar")).alias("tar"), F.when(enough, "ok").otherwise("insufficient data").alias("status"))
+    return out.select(
+        "target", F.when(enough, F.col("tar")).alias("tar"), F.when(enough, "ok").otherwise("insufficient data").alias("status")
+    )
 
 
 def roc_auc(scores: DataFrame) -> DataFrame:
@@ -74,7 +98,9 @@ def roc_auc(scores: DataFrame) -> DataFrame:
 
 def tpr_at_fpr(scores: DataFrame, targets: list[float]) -> DataFrame:
     """TPR where the curve's FPR is nearest to each target; of equally near points the highest TPR. The curve starts at (0, 0)."""
-    curve = score_curve(scores).select(F.coalesce(F.try_divide("neg_ge", "n"), F.lit(0.0)).alias("fpr"), F.coalesce(F.try_divide("pos_ge", "p"), F.lit(0.0)).alias("tpr"))
+    curve = score_curve(scores).select(
+        F.coalesce(F.try_divide("neg_ge", "n"), F.lit(0.0)).alias("fpr"), F.coalesce(F.try_divide("pos_ge", "p"), F.lit(0.0)).alias("tpr")
+    )
     curve = curve.union(scores.sparkSession.createDataFrame([(0.0, 0.0)], "fpr double, tpr double"))
     goals = scores.sparkSession.createDataFrame([(float(t),) for t in targets], "target double")
     near = F.struct(F.abs(F.col("fpr") - F.col("target")), -F.col("tpr"))
@@ -95,21 +121,44 @@ def _fold_counts(pairs: DataFrame, k: int, steps: int, width: float) -> DataFram
     # the number of i >= 0 with i * width <= distance: a quotient may be one off, so its neighbours are compared
     near = F.floor(F.col("distance") / width)
     reached = sum((((near + i) * F.lit(width) <= F.col("distance")).cast("long") for i in (0, 1)), F.lit(0))
-    step = F.least(F.greatest(near + reached - F.when(near > 0, ((near - 1) * F.lit(width) > F.col("distance")).cast("long")).otherwise(F.lit(0)), F.lit(0)), F.lit(steps)).cast("int")
+    step = F.least(
+        F.greatest(
+            near + reached - F.when(near > 0, ((near - 1) * F.lit(width) > F.col("distance")).cast("long")).otherwise(F.lit(0)), F.lit(0)
+        ),
+        F.lit(steps)
+    ).cast("int")
     binned = pairs.select(fold_of(F.col("pair_idx"), n, k).alias("fold"), step.alias("step"), (F.col("label") == 1).alias("true"))
-    counts = binned.groupBy("fold", "step").agg(F.sum(F.col("true").cast("long")).alias("pos"), F.sum((~F.col("true")).cast("long")).alias("neg"))
+    counts = binned.groupBy("fold", "step").agg(
+        F.sum(F.col("true").cast("long")).alias("pos"), F.sum((~F.col("true")).cast("long")).alias("neg")
+    )
     grid = pairs.sparkSession.range(steps).select(F.col("id").cast("int").alias("step")).crossJoin(counts.select("fold").distinct())
     full = grid.join(counts.where(F.col("step") < steps), ["fold", "step"], "left")
     so_far = Window.partitionBy("fold").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     sizes = binned.groupBy("fold").agg(F.sum(F.col("true").cast("long")).alias("p"), F.sum((~F.col("true")).cast("long")).alias("n"))
-    return full.select("fold", "step", F.sum(F.coalesce("pos", F.lit(0))).over(so_far).alias("pos"), F.sum(F.coalesce("neg", F.lit(0))).over(so_far).alias("neg")).join(sizes, "fold")
+    return full.select(
+        "fold",
+        "step",
+        F.sum(F.coalesce("pos", F.lit(0))).over(so_far).alias("pos"),
+        F.sum(F.coalesce("neg", F.lit(0))).over(so_far).alias("neg")
+    ).join(sizes, "fold")
 
 
 def kfold_accuracy(pairs: DataFrame, k: int = 10, steps: int = 400, width: float = 0.01) -> DataFrame:
     """Per fold of ``pairs (pair_idx from 0, label, distance)``: the first threshold of best accuracy on the other folds, and the accuracy on its own."""
-    counts = _fold_counts(pairs, k, steps, width).withColumn("right", F.col("pos") + F.col("n") - F.col("neg")).withColumn("size", F.col("p") + F.col("n"))
+    counts = _fold_counts(pairs, k, steps, width).withColumn(
+        "right", F.col("pos") + F.col("n") - F.col("neg")
+    ).withColumn("size", F.col("p") + F.col("n"))
     everyone = Window.partitionBy("step")
-    train = counts.select("fold", "step", (F.col("right") / F.col("size")).alias("accuracy"), F.coalesce(F.try_divide(F.sum("right").over(everyone) - F.col("right"), F.sum("size").over(everyone) - F.col("size")), F.lit(0.0)).alias("train"), (F.col("pos") / F.greatest("p", F.lit(1))).alias("tpr"), (F.col("neg") / F.greatest("n", F.lit(1))).alias("fpr"))
+    train = counts.select(
+        "fold",
+        "step",
+        (F.col("right") / F.col("size")).alias("accuracy"),
+        F.coalesce(
+            F.try_divide(F.sum("right").over(everyone) - F.col("right"), F.sum("size").over(everyone) - F.col("size")), F.lit(0.0)
+        ).alias("train"),
+        (F.col("pos") / F.greatest("p", F.lit(1))).alias("tpr"),
+        (F.col("neg") / F.greatest("n", F.lit(1))).alias("fpr")
+    )
     best = train.groupBy("fold").agg(F.max_by(F.struct("step", "accuracy"), F.struct("train", -F.col("step"))).alias("b"))
     return best.select("fold", (F.col("b.step") * F.lit(width)).alias("threshold"), F.col("b.accuracy").alias("accuracy"))
 
@@ -117,7 +166,10 @@ def kfold_accuracy(pairs: DataFrame, k: int = 10, steps: int = 400, width: float
 def kfold_roc(pairs: DataFrame, k: int = 10, steps: int = 400, width: float = 0.01) -> DataFrame:
     """Mean TPR and FPR over folds at each threshold."""
     counts = _fold_counts(pairs, k, steps, width)
-    return counts.groupBy("step").agg(F.avg(F.when(F.col("p") > 0, F.col("pos") / F.col("p")).otherwise(0.0)).alias("tpr"), F.avg(F.when(F.col("n") > 0, F.col("neg") / F.col("n")).otherwise(0.0)).alias("fpr"))
+    return counts.groupBy("step").agg(
+        F.avg(F.when(F.col("p") > 0, F.col("pos") / F.col("p")).otherwise(0.0)).alias("tpr"),
+        F.avg(F.when(F.col("n") > 0, F.col("neg") / F.col("n")).otherwise(0.0)).alias("fpr")
+    )
 
 
 def kfold_val(pairs: DataFrame, target: float = 1e-3, k: int = 10, steps: int = 4000, width: float = 0.001) -> DataFrame:
@@ -133,20 +185,42 @@ def kfold_val(pairs: DataFrame, target: float = 1e-3, k: int = 10, steps: int =
     below = train.where(F.col("far") <= target).groupBy("fold").agg(F.max(F.struct("step", "far")).alias("lo"))
     above = train.where(F.col("far") > target).groupBy("fold").agg(F.min(F.struct("step", "far")).alias("hi"))
     reach = train.groupBy("fold").agg(F.max("far").alias("most"))
-    t = F.when(F.col("most") < target, F.lit(0.0)).when(F.col("hi").isNull(), F.col("lo.step") * width).otherwise(width * (F.col("lo.step") + (target - F.col("lo.far")) / (F.col("hi.far") - F.col("lo.far")) * (F.col("hi.step") - F.col("lo.step"))))
+    t = F.when(F.col("most") < target, F.lit(0.0)).when(F.col("hi").isNull(), F.col("lo.step") * width).otherwise(
+        width * (
+            F.col("lo.step") + (target - F.col("lo.far")) / (F.col("hi.far") - F.col("lo.far")) * (F.col("hi.step") - F.col("lo.step"))
+        )
+    )
     chosen = reach.join(below, "fold", "left").join(above, "fold", "left").select("fold", F.coalesce(t, F.lit(0.0)).alias("threshold"))
     n = pairs.count()
     own = pairs.withColumn("fold", fold_of(F.col("pair_idx"), n, k)).join(F.broadcast(chosen), "fold")
     hit, true = F.col("distance") < F.col("threshold"), F.col("label") == 1
-    return own.groupBy("fold").agg(F.first("threshold").alias("threshold"), (F.sum((hit & true).cast("long")) / F.greatest(F.sum(true.cast("long")), F.lit(1))).alias("val"), (F.sum((hit & ~true).cast("long")) / F.greatest(F.sum((~true).cast("long")), F.lit(1))).alias("far"))
+    return own.groupBy("fold").agg(
+        F.first("threshold").alias("threshold"),
+        (F.sum((hit & true).cast("long")) / F.greatest(F.sum(true.cast("long")), F.lit(1))).alias("val"),
+        (F.sum((hit & ~true).cast("long")) / F.greatest(F.sum((~true).cast("long")), F.lit(1))).alias("far")
+    )
 
 
 def one_to_one(scores: DataFrame, targets: list[float]) -> DataFrame:
     """The 1:1 report as (metric, value): counts, mean scores, best threshold and its confusion, AUC, TAR at each target."""
     best = best_threshold(scores)
-    means = scores.agg(F.count("*").cast("double").alias("pairs"), F.avg(F.when(F.col("label") == 1, F.col("score"))).alias("mean_genuine"), F.avg(F.when(F.col("label") != 1, F.col("score"))).alias("mean_impostor"))
+    means = scores.agg(
+        F.count("*").cast("double").alias("pairs"),
+        F.avg(F.when(F.col("label") == 1, F.col("score"))).alias("mean_genuine"),
+        F.avg(F.when(F.col("label") != 1, F.col("score"))).alias("mean_impostor")
+    )
     fixed = means.crossJoin(best).crossJoin(roc_auc(scores))
-    long = fixed.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("pairs", "mean_genuine", "mean_impostor", "threshold", "accuracy", "auc")])).alias("m")).select("m.*")
+    long = fixed.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in (
+                        "pairs", "mean_genuine", "mean_impostor", "threshold", "accuracy", "auc"
+                    )
+                ]
+            )
+        ).alias("m")
+    ).select("m.*")
     return long.union(tar_at_far(scores, targets).select(F.concat(F.lit("tar@"), F.col("target").cast("string")), "tar"))
 
 
@@ -159,7 +233,9 @@ def open_set(probes: DataFrame, targets: list[float]) -> DataFrame:
     """
     known = F.col("truth").isNotNull()
     genuine = probes.where(known & (F.col("best") == F.col("truth"))).select(F.lit(1).alias("label"), "score")
-    impostor = probes.select(F.lit(0).alias("label"), F.when(known, F.col("wrong_score")).otherwise(F.col("score")).alias("score")).where("score is not null")
+    impostor = probes.select(
+        F.lit(0).alias("label"), F.when(known, F.col("wrong_score")).otherwise(F.col("score")).alias("score")
+    ).where("score is not null")
     total = probes.where(known).count()
     return tar_at_far(genuine.union(impostor), targets, positive_total=total)
 
@@ -176,7 +252,9 @@ def recall_at_far(positives: DataFrame, negatives: DataFrame, queries: int, fars
     curve = running_totals(negatives.groupBy("score").agg(F.count("*").alias("at")), "score", ["at"])
     goals = negatives.sparkSession.createDataFrame([(float(f), p) for f, p in places.items()], "far double, place long")
     limits = goals.crossJoin(curve).where(F.col("at_to_here") >= F.col("place")).groupBy("far").agg(F.max("score").alias("threshold"))
-    return F.broadcast(limits).crossJoin(positives.select("score")).groupBy("far", "threshold").agg((F.sum((F.col("score") > F.col("threshold")).cast("long")) / F.lit(queries)).alias("recall"))
+    return F.broadcast(limits).crossJoin(positives.select("score")).groupBy("far", "threshold").agg(
+        (F.sum((F.col("score") > F.col("threshold")).cast("long")) / F.lit(queries)).alias("recall")
+    )
 
 
 def open_tpir(scored: DataFrame, fars: list[float]) -> DataFrame:
@@ -211,14 +289,29 @@ def access_control(probes: DataFrame, hits: DataFrame, threshold: float, k: int
     ``hits (query_id, rank, person_id, score)`` are the persons found; a probe is accepted if its first
     reaches the threshold, and not if it has none. Accuracies are null if no truth is known.
     """
-    own = hits.join(probes, "query_id").groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.min(F.when(F.col("person_id") == F.col("truth"), F.col("rank"))).alias("place"))
+    own = hits.join(probes, "query_id").groupBy("query_id").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"),
+        F.min(F.when(F.col("person_id") == F.col("truth"), F.col("rank"))).alias("place")
+    )
     each = probes.join(own, "query_id", "left")
     known = F.count("truth")
-    share = lambda most: F.when(known > 0, F.sum((F.col("truth").isNotNull() & F.coalesce(F.col("place") <= most, F.lit(False))).cast("long")) / known)
+    share = lambda most: F.when(
+        known > 0, F.sum((F.col("truth").isNotNull() & F.coalesce(F.col("place") <= most, F.lit(False))).cast("long")) / known
+    )
     accepted = F.coalesce(F.col("top") >= threshold, F.lit(False))
-    return each.agg(F.count("*").alias("probes"), share(1).alias("top1"), share(k).alias("topk"), (F.sum((~accepted).cast("long")) / F.greatest(F.count("*"), F.lit(1))).alias("unknown_rejection_rate"))
+    return each.agg(
+        F.count("*").alias("probes"),
+        share(1).alias("top1"),
+        share(k).alias("topk"),
+        (F.sum((~accepted).cast("long")) / F.greatest(F.count("*"), F.lit(1))).alias("unknown_rejection_rate")
+    )
 
 
 def latency(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Runs and mean, least and greatest ``elapsed_ms`` by ``keys``; null times don't count."""
-    return runs.groupBy(*keys).agg(F.count("elapsed_ms").alias("runs"), F.avg("elapsed_ms").alias("mean_ms"), F.min("elapsed_ms").alias("least_ms"), F.max("elapsed_ms").alias("most_ms"))
+    return runs.groupBy(*keys).agg(
+        F.count("elapsed_ms").alias("runs"),
+        F.avg("elapsed_ms").alias("mean_ms"),
+        F.min("elapsed_ms").alias("least_ms"),
+        F.max("elapsed_ms").alias("most_ms")
+    )

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def keep_by_group(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def keep_by_group(
+    df: DataFrame, keys: list[str], order: list[Column], columns: list[str], kernel: Callable[[np.ndarray], np.ndarray]
+) -> DataFrame:
     """The rows of ``df`` that ``kernel`` keeps of each group.
 
     Rows are dealt out by ``keys`` and sorted by keys and ``order``; the kernel gets the matrix of a

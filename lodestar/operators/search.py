@@ -69,7 +69,9 @@ def blocked(queries: DataFrame, gallery: DataFrame, columns: list[str], kernel,
     dealt = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # new names, as both sides may come from one table
-    left = queries.select(F.col("query_id").alias("id"), F.col("embedding").alias("vector"), dealt(queries, blocks).alias("qb")).withColumn("gb", every(parts))
+    left = queries.select(
+        F.col("query_id").alias("id"), F.col("embedding").alias("vector"), dealt(queries, blocks).alias("qb")
+    ).withColumn("gb", every(parts))
     right = gallery.withColumn("gb", dealt(gallery, parts)).withColumn("qb", every(blocks))
 
     def meet(q: pa.Table, g: pa.Table) -> pa.Table:
@@ -90,7 +92,9 @@ def _scored(queries: DataFrame, gallery: DataFrame, best_of, block_bytes: int, c
         q, row, score = best_of(scores, own)
         return [ids[q], *(c[row] for c in own), score]
 
-    return blocked(queries, gallery, columns, kernel, ", ".join(["query_id long", *(f"{c} long" for c in columns), "score double"]), block_bytes)
+    return blocked(
+        queries, gallery, columns, kernel, ", ".join(["query_id long", *(f"{c} long" for c in columns), "score double"]), block_bytes
+    )
 
 
 def _top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +119,9 @@ def face_topk(queries: DataFrame, gallery: DataFrame, k: int, block_bytes: int =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vector_id", "score")
 
 
-def grouped_topk(queries: DataFrame, gallery: DataFrame, k: int, strategy: str = "gemm", profile: str = "fp32", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def grouped_topk(
+    queries: DataFrame, gallery: DataFrame, k: int, strategy: str = "gemm", profile: str = "fp32", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """The k best persons of ``gallery (vector_id, person_id, embedding)`` for each query.
 
     A person's score is that of the best vector, ties to the lowest vector_id; persons are ordered by
@@ -141,11 +147,17 @@ def grouped_topk(queries: DataFrame, gallery: DataFrame, k: int, strategy: str =
         pairs = _scored(queries, gallery, best, block_bytes, ["vector_id", "person_id"])
     else:
         small = F.broadcast(queries.where("embedding is not null").select("query_id", F.col("embedding").alias("query")))
-        pairs = gallery.where("embedding is not null").crossJoin(small).select("query_id", "vector_id", "person_id", profile_similarity(F.col("query"), F.col("embedding"), profile).alias("score"))
-    of_person = pairs.groupBy("query_id", "person_id").agg(F.max_by(F.struct("score", "vector_id"), F.struct("score", -F.col("vector_id"))).alias("best"))
+        pairs = gallery.where("embedding is not null").crossJoin(small).select(
+            "query_id", "vector_id", "person_id", profile_similarity(F.col("query"), F.col("embedding"), profile).alias("score")
+        )
+    of_person = pairs.groupBy("query_id", "person_id").agg(
+        F.max_by(F.struct("score", "vector_id"), F.struct("score", -F.col("vector_id"))).alias("best")
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("best.score"), "person_id", "best.vector_id")
     ranked = of_person.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "person_id", "best.vector_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "best.score")).alias("score"))
+    return ranked.select(
+        "query_id", "rank", "person_id", "best.vector_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "best.score")).alias("score")
+    )
 
 
 def server_search(queries: DataFrame, gallery: DataFrame, persons: DataFrame, k: int, threshold: float, **options) -> DataFrame:
@@ -160,7 +172,9 @@ def best_other_person(queries: DataFrame, gallery: DataFrame, **options) -> Data
     """The best person other than the query's own ``excluded``: top 2, of which at most one is left out."""
     hits = grouped_topk(queries, gallery, 2, **options).join(queries.select("query_id", "excluded"), "query_id")
     kept = hits.where(F.col("excluded").isNull() | (F.col("person_id") != F.col("excluded")))
-    return kept.groupBy("query_id").agg(F.min_by(F.struct("person_id", "vector_id", "score"), "rank").alias("hit")).select("query_id", "hit.*")
+    return kept.groupBy("query_id").agg(
+        F.min_by(F.struct("person_id", "vector_id", "score"), "rank").alias("hit")
+    ).select("query_id", "hit.*")
 
 
 def identify(queries: DataFrame, gallery: DataFrame, threshold: float, **options) -> DataFrame:
@@ -169,7 +183,12 @@ def identify(queries: DataFrame, gallery: DataFrame, threshold: float, **options
     out = queries.select("query_id").join(hits, "query_id", "left")
     score = F.coalesce("score", F.lit(0.0))
     known = F.coalesce(F.col("score") >= threshold, F.lit(False))
-    return out.select("query_id", F.when(known, F.col("person_id")).alias("person_id"), score.alias("score"), F.when(known, "matched").otherwise("unknown").alias("status"))
+    return out.select(
+        "query_id",
+        F.when(known, F.col("person_id")).alias("person_id"),
+        score.alias("score"),
+        F.when(known, "matched").otherwise("unknown").alias("status")
+    )
 
 
 def label_vote(queries: DataFrame, gallery: DataFrame, candidates: int, threshold: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -187,7 +206,9 @@ def label_vote(queries: DataFrame, gallery: DataFrame, candidates: int, threshol
     order = Window.partitionBy("query_id").orderBy(F.desc(F.abs("score")), "vector_id")
     top = found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= candidates) & (F.col("score") >= threshold))
     votes = top.groupBy("query_id", "person_id").agg(F.count("*").alias("votes"), F.max("score").alias("best"))
-    chosen = votes.groupBy("query_id").agg(F.max_by(F.struct("person_id", "votes"), F.struct("votes", "best", -F.col("person_id"))).alias("v")).select("query_id", "v.*")
+    chosen = votes.groupBy("query_id").agg(
+        F.max_by(F.struct("person_id", "votes"), F.struct("votes", "best", -F.col("person_id"))).alias("v")
+    ).select("query_id", "v.*")
     return queries.select("query_id").join(chosen, "query_id", "left")
 
 
@@ -207,8 +228,12 @@ def rank_of_truth(queries: DataFrame, gallery: DataFrame, block_bytes: int = BLO
     best = pairs.groupBy("query_id", "person_id").agg(F.max("score").alias("score"))
     own = best.join(queries.select("query_id", F.col("person_id").alias("truth")), "query_id")
     truth = own.groupBy("query_id").agg(F.max(F.when(F.col("person_id") == F.col("truth"), F.col("score"))).alias("own"))
-    above = own.join(truth, "query_id").groupBy("query_id").agg(F.first("own").alias("own"), F.sum((F.col("score") > F.col("own")).cast("long")).alias("above"))
-    return queries.select("query_id").join(above, "query_id", "left").select("query_id", F.when(F.col("own").isNotNull(), F.col("above") + 1).alias("rank"))
+    above = own.join(truth, "query_id").groupBy("query_id").agg(
+        F.first("own").alias("own"), F.sum((F.col("score") > F.col("own")).cast("long")).alias("above")
+    )
+    return queries.select("query_id").join(above, "query_id", "left").select(
+        "query_id", F.when(F.col("own").isNotNull(), F.col("above") + 1).alias("rank")
+    )
 
 
 def own_and_other(queries: DataFrame, gallery: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -216,7 +241,9 @@ def own_and_other(queries: DataFrame, gallery: DataFrame, block_bytes: int = BLO
     pairs = _scored(queries.select("query_id", "embedding"), gallery, _best_of_persons, block_bytes, ["vector_id", "person_id"])
     marked = pairs.join(queries.select("query_id", F.col("person_id").alias("truth")), "query_id")
     same = F.col("person_id") == F.col("truth")
-    best = marked.groupBy("query_id").agg(F.max(F.when(same, F.col("score"))).alias("own"), F.max(F.when(~same, F.col("score"))).alias("other"))
+    best = marked.groupBy("query_id").agg(
+        F.max(F.when(same, F.col("score"))).alias("own"), F.max(F.when(~same, F.col("score"))).alias("other")
+    )
     return queries.select("query_id").join(best, "query_id", "left")
 
 
@@ -237,7 +264,9 @@ def hub_top1(queries: DataFrame, hub: DataFrame, threshold: float, block_bytes:
     """The best id of ``hub (vector_id, embedding)`` for each query, or id -1 and score 0 if none reaches the threshold."""
     hits = face_topk(queries, hub, 1, block_bytes).where(F.col("score") >= threshold)
     out = queries.select("query_id").join(hits, "query_id", "left")
-    return out.select("query_id", F.coalesce("vector_id", F.lit(-1)).cast("long").alias("vector_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return out.select(
+        "query_id", F.coalesce("vector_id", F.lit(-1)).cast("long").alias("vector_id"), F.coalesce("score", F.lit(0.0)).alias("score")
+    )
 
 
 def hub_topk(queries: DataFrame, hub: DataFrame, k: int, threshold: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -266,7 +295,9 @@ def search_gallery(queries: DataFrame, gallery: DataFrame, k: int | None, thresh
     """
     unit = lambda df: df.withColumn("embedding", normalize(F.col("embedding")))
     pairs = _scored(unit(queries.select("query_id", "embedding")), unit(gallery), _best_of_persons, block_bytes, ["vector_id", "person_id"])
-    best = pairs.groupBy("query_id", "person_id").agg(F.max_by(F.struct("score", "vector_id"), F.struct("score", -F.col("vector_id"))).alias("b"))
+    best = pairs.groupBy("query_id", "person_id").agg(
+        F.max_by(F.struct("score", "vector_id"), F.struct("score", -F.col("vector_id"))).alias("b")
+    )
     first = gallery.where("embedding is not null").groupBy("person_id").agg(F.min("vector_id").alias("first"))
     order = Window.partitionBy("query_id").orderBy(F.desc("b.score"), "first")
     ranked = best.join(first, "person_id").withColumn("rank", F.row_number().over(order))
@@ -292,4 +323,6 @@ def labelled_pairs(probes: DataFrame, gallery: DataFrame, block_bytes: int = BLO
 
     pairs = _scored(probes.select("query_id", "embedding"), gallery, all_of, block_bytes, ["vector_id", "person_id"])
     own = probes.select("query_id", F.col("person_id").alias("truth"))
-    return pairs.join(own, "query_id").select("query_id", "vector_id", F.col("person_id").eqNullSafe(F.col("truth")).cast("int").alias("label"), "score")
+    return pairs.join(own, "query_id").select(
+        "query_id", "vector_id", F.col("person_id").eqNullSafe(F.col("truth")).cast("int").alias("label"), "score"
+    )

@@ -27,10 +27,19 @@ def hydrate(hits: DataFrame, samples: DataFrame, persons: DataFrame) -> DataFram
 def person_overview(persons: DataFrame, samples: DataFrame) -> DataFrame:
     """Persons with sample count, mean quality, and the cover crop, or else that of the lowest sample with one."""
     crop = F.col("crop_path").isNotNull()
-    stats = samples.groupBy("person_id").agg(F.count("*").alias("sample_count"), F.avg("quality").alias("avg_quality"), F.min_by("crop_path", F.when(crop, F.col("sample_id"))).alias("first_crop"))
+    stats = samples.groupBy("person_id").agg(
+        F.count("*").alias("sample_count"),
+        F.avg("quality").alias("avg_quality"),
+        F.min_by("crop_path", F.when(crop, F.col("sample_id"))).alias("first_crop")
+    )
     covers = samples.select(F.col("sample_id").alias("cover_sample_id"), F.col("crop_path").alias("cover_crop"))
     joined = persons.join(stats, "person_id", "left").join(covers, "cover_sample_id", "left")
-    return joined.select(*persons.columns, F.coalesce("sample_count", F.lit(0)).alias("sample_count"), "avg_quality", F.coalesce("cover_crop", "first_crop").alias("cover_path"))
+    return joined.select(
+        *persons.columns,
+        F.coalesce("sample_count", F.lit(0)).alias("sample_count"),
+        "avg_quality",
+        F.coalesce("cover_crop", "first_crop").alias("cover_path")
+    )
 
 
 def gallery(samples: DataFrame, persons: DataFrame) -> DataFrame:
@@ -41,14 +50,20 @@ def gallery(samples: DataFrame, persons: DataFrame) -> DataFrame:
 
 def collection_totals(samples: DataFrame) -> DataFrame:
     """Persons with samples, samples, and the most samples of a person."""
-    return samples.groupBy("person_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("persons"), F.coalesce(F.sum("n"), F.lit(0)).alias("faces"), F.coalesce(F.max("n"), F.lit(0)).alias("max_faces"))
+    return samples.groupBy("person_id").agg(F.count("*").alias("n")).agg(
+        F.count("*").alias("persons"), F.coalesce(F.sum("n"), F.lit(0)).alias("faces"), F.coalesce(F.max("n"), F.lit(0)).alias("max_faces")
+    )
 
 
 def limit_violations(samples: DataFrame, added: DataFrame, capacity: int, max_faces: int) -> DataFrame:
     """Limits that ``added (person_id)`` would break: rows (limit, person_id, wanted)."""
     wanted = samples.select("person_id").union(added.select("person_id"))
-    total = wanted.agg(F.count("*").alias("wanted")).where(F.col("wanted") > capacity).select(F.lit("capacity").alias("limit"), F.lit(None).cast("long").alias("person_id"), "wanted")
-    touched = wanted.join(added.select("person_id").distinct(), "person_id", "left_semi").groupBy("person_id").agg(F.count("*").alias("wanted"))
+    total = wanted.agg(F.count("*").alias("wanted")).where(F.col("wanted") > capacity).select(
+        F.lit("capacity").alias("limit"), F.lit(None).cast("long").alias("person_id"), "wanted"
+    )
+    touched = wanted.join(
+        added.select("person_id").distinct(), "person_id", "left_semi"
+    ).groupBy("person_id").agg(F.count("*").alias("wanted"))
     return total.union(touched.where(F.col("wanted") > max_faces).select(F.lit("max_faces_per_person"), "person_id", "wanted"))
 
 
@@ -94,13 +109,19 @@ def allocate_ids(rows: DataFrame, order: list[Column], last: int, id_col: str =
     """``rows`` with gapless ids from ``last + 1``, never reused, in order within hash buckets: no task numbers all rows."""
     parts = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = parts.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most ``buckets`` rows
+    before = F.coalesce(
+        F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )  # at most ``buckets`` rows
     offsets = counts.select("bucket", before.alias("before"))
     own = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
-    return parts.withColumn("own", own).join(F.broadcast(offsets), "bucket").withColumn(id_col, (F.lit(last) + F.col("before") + F.col("own")).cast("long")).select(id_col, *rows.columns)
+    return parts.withColumn("own", own).join(F.broadcast(offsets), "bucket").withColumn(
+        id_col, (F.lit(last) + F.col("before") + F.col("own")).cast("long")
+    ).select(id_col, *rows.columns)
 
 
-def patch(rows: DataFrame, changes: DataFrame, key: str, allowed: list[str], revision: str | None = None, watched: list[str] = ()) -> DataFrame:
+def patch(
+    rows: DataFrame, changes: DataFrame, key: str, allowed: list[str], revision: str | None = None, watched: list[str] = ()
+) -> DataFrame:
     """Rows with the non-null values of ``changes`` in the allowed columns; ``revision`` rises where a watched column changes."""
     unknown = set(changes.columns) - {key, *allowed}
     if unknown:
@@ -146,7 +167,9 @@ def merge_persons(samples: DataFrame, merges: DataFrame) -> DataFrame:
 
 def deletion_feed(samples: DataFrame, ids: DataFrame, last_seq: int) -> DataFrame:
     """The change rows of deleting ``ids (sample_id)``: (seq, op, vector_id)."""
-    gone = samples.join(ids.select("sample_id").distinct(), "sample_id", "left_semi").select(F.col("sample_id").alias("vector_id"), F.lit("delete").alias("op"))
+    gone = samples.join(ids.select("sample_id").distinct(), "sample_id", "left_semi").select(
+        F.col("sample_id").alias("vector_id"), F.lit("delete").alias("op")
+    )
     return allocate_ids(gone, [F.col("vector_id")], last_seq, "seq")
 
 
@@ -154,7 +177,9 @@ def under_roots(media: DataFrame, roots: DataFrame) -> DataFrame:
     """``media (path)`` under any of ``roots (root)``: a path's own ancestors are looked up, so the join is by equality."""
     parts = F.split("path", "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    found = media.select("path", F.explode(ancestors).alias("root")).join(roots.select(F.rtrim(F.regexp_replace("root", "/+$", "")).alias("root")).distinct(), "root", "left_semi")
+    found = media.select("path", F.explode(ancestors).alias("root")).join(
+        roots.select(F.rtrim(F.regexp_replace("root", "/+$", "")).alias("root")).distinct(), "root", "left_semi"
+    )
     return media.join(found.select("path").distinct(), "path", "left_semi")
 
 
@@ -165,7 +190,9 @@ def new_paths(paths: DataFrame, existing: DataFrame) -> DataFrame:
 def same_set(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: whether the two key sets are equal, and how many keys only one of them has."""
     flags = a.select(key).distinct().withColumn("a", F.lit(1)).join(b.select(key).distinct().withColumn("b", F.lit(1)), key, "full")
-    return flags.agg(F.count(F.when(F.col("a").isNull(), 1)).alias("only_b"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_a")).select((F.col("only_a") + F.col("only_b") == 0).alias("equal"), "only_a", "only_b")
+    return flags.agg(
+        F.count(F.when(F.col("a").isNull(), 1)).alias("only_b"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_a")
+    ).select((F.col("only_a") + F.col("only_b") == 0).alias("equal"), "only_a", "only_b")
 
 
 def first_occurrences(rows: DataFrame, key: str, position: str) -> DataFrame:
@@ -179,7 +206,12 @@ def validation_summary(expected: DataFrame, present: DataFrame) -> DataFrame:
     p = present.where("role = 'probe'").groupBy("identity").agg(F.count("*").alias("p"))
     each = expected.select("identity").distinct().join(g, "identity", "left").join(p, "identity", "left")
     each = each.select("identity", F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("p", F.lit(0)).alias("p"))
-    totals = each.agg(F.count("*").alias("identities"), F.sum(F.col("g") * F.col("p")).alias("positive_pairs"), (F.sum("g") * F.sum("p") - F.sum(F.col("g") * F.col("p"))).alias("negative_pairs"), F.sum((F.col("g") == 0).cast("long")).alias("missing_gallery"))
+    totals = each.agg(
+        F.count("*").alias("identities"),
+        F.sum(F.col("g") * F.col("p")).alias("positive_pairs"),
+        (F.sum("g") * F.sum("p") - F.sum(F.col("g") * F.col("p"))).alias("negative_pairs"),
+        F.sum((F.col("g") == 0).cast("long")).alias("missing_gallery")
+    )
     return totals
 
 
@@ -189,7 +221,10 @@ def index_snapshot(samples: DataFrame, changes: DataFrame) -> DataFrame:
     ``changes (seq, revision, ...)`` may be empty: both are 0 then. ``samples`` is an immutable snapshot,
     so all rows are of one state.
     """
-    state = changes.agg(F.coalesce(F.max("revision"), F.lit(0)).cast("long").alias("revision"), F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("max_seq"))
+    state = changes.agg(
+        F.coalesce(F.max("revision"), F.lit(0)).cast("long").alias("revision"),
+        F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("max_seq")
+    )
     return samples.crossJoin(F.broadcast(state)).orderBy("vector_id")
 
 
@@ -203,7 +238,9 @@ def media_faces(faces: DataFrame, media: DataFrame) -> DataFrame:
     return faces.where("embedding is not null").join(media, "media_id").orderBy(F.desc("created"), F.desc("face_id"))
 
 
-def insert_faces(added: DataFrame, samples: DataFrame, capacity: int, max_faces: int, last_vector: int, last_revision: int, last_seq: int) -> tuple[DataFrame, DataFrame]:
+def insert_faces(
+    added: DataFrame, samples: DataFrame, capacity: int, max_faces: int, last_vector: int, last_revision: int, last_seq: int
+) -> tuple[DataFrame, DataFrame]:
     """New faces ``added (position, person_id, ...)`` of new or known persons: (samples with vector ids, change rows).
 
     Ids follow ``last_vector`` in order of position and are never reused. A person's faces are one
@@ -217,12 +254,19 @@ def insert_faces(added: DataFrame, samples: DataFrame, capacity: int, max_faces:
     firsts = added.groupBy("person_id").agg(F.min("position").alias("first")).withColumn("one", one)
     turns = running_totals(firsts, "first", ["one"], descending=False).select("person_id", F.col("one_to_here").alias("turn"))
     numbered = placed.join(turns, "person_id").withColumn("vector_id", (F.lit(last_vector) + F.col("place")).cast("long"))
-    feed = numbered.select((F.lit(last_seq) + F.col("place")).cast("long").alias("seq"), (F.lit(last_revision) + F.col("turn")).cast("long").alias("revision"), F.lit("add").alias("op"), "vector_id", "person_id")
+    feed = numbered.select(
+        (F.lit(last_seq) + F.col("place")).cast("long").alias("seq"),
+        (F.lit(last_revision) + F.col("turn")).cast("long").alias("revision"),
+        F.lit("add").alias("op"),
+        "vector_id",
+        "person_id"
+    )
     return numbered.select("vector_id", *added.columns), feed
 
 
 def hub_insert(hub: DataFrame, rows: DataFrame, auto: bool = True) -> DataFrame:
-    """``hub (id, embedding)`` with ``rows (position, embedding)`` under ids after its greatest, in order of position, or (``auto`` false) under their own ``id``, which must be new."""
+    """``hub (id, embedding)`` with ``rows (position, embedding)`` under ids after its greatest, in order of position,
+        or (``auto`` false) under their own ``id``, which must be new."""
     if auto:
         last = hub.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
         placed = running_totals(rows.select("position", "embedding").withColumn("one", F.lit(1)), "position", ["one"], descending=False)

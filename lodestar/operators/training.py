@@ -19,8 +19,12 @@ def drop_noise(samples: DataFrame, centres: DataFrame, degrees: float = 75.0) ->
     dominant, and samples with cosine over cos(degrees) to it stay. Returns id, label, new_label.
     """
     unit = centres.select("label", "sub", normalize(F.col("embedding")).alias("centre"))
-    scored = samples.select("id", "label", normalize(F.col("embedding")).alias("e")).join(unit, "label").select("id", "label", "sub", dot(F.col("e"), F.col("centre")).alias("cos"))
-    votes = scored.groupBy("id", "label").agg(F.max_by("sub", F.struct("cos", -F.col("sub"))).alias("sub")).groupBy("label", "sub").agg(F.count("*").alias("votes"))
+    scored = samples.select("id", "label", normalize(F.col("embedding")).alias("e")).join(unit, "label").select(
+        "id", "label", "sub", dot(F.col("e"), F.col("centre")).alias("cos")
+    )
+    votes = scored.groupBy("id", "label").agg(
+        F.max_by("sub", F.struct("cos", -F.col("sub"))).alias("sub")
+    ).groupBy("label", "sub").agg(F.count("*").alias("votes"))
     dominant = votes.groupBy("label").agg(F.max_by("sub", F.struct("votes", -F.col("sub"))).alias("sub"))
     kept = scored.join(dominant, ["label", "sub"]).where(F.col("cos") > math.cos(math.radians(degrees)))
     labels = running_totals(kept.select("label").distinct().withColumn("one", F.lit(1)), "label", ["one"], descending=False)
@@ -49,7 +53,13 @@ def semi_hard_triplets(vectors: DataFrame, margin: float, most_positive: float |
     """
     side = lambda p: vectors.select("batch", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "label", "embedding")])
     pairs = side("a").join(side("o"), "batch").where("a_id <> o_id")
-    pairs = pairs.select("batch", "a_id", "o_id", (F.col("a_label") == F.col("o_label")).alias("same"), squared_l2(F.col("a_embedding"), F.col("o_embedding")).alias("d"))
+    pairs = pairs.select(
+        "batch",
+        "a_id",
+        "o_id",
+        (F.col("a_label") == F.col("o_label")).alias("same"),
+        squared_l2(F.col("a_embedding"), F.col("o_embedding")).alias("d")
+    )
     positive = pairs.where("same and a_id < o_id").select("batch", "a_id", F.col("o_id").alias("p_id"), F.col("d").alias("ap"))
     positive = positive.where(F.col("ap") < most_positive) if most_positive else positive
     negative = pairs.where("not same").select("batch", "a_id", F.col("o_id").alias("n_id"), F.col("d").alias("an"))
@@ -69,17 +79,25 @@ def class_centre_sample(classes: DataFrame, positives: DataFrame, n: int, seed:
 
     The first ``n`` of the order are found by a running count, so millions of classes are no one task's.
     """
-    flagged = classes.select("label").distinct().join(positives.select("label").distinct().withColumn("positive", F.lit(1)), "label", "left")
+    flagged = classes.select("label").distinct().join(
+        positives.select("label").distinct().withColumn("positive", F.lit(1)), "label", "left"
+    )
     forced = positives.select("label").distinct().count()
-    drawn = flagged.withColumn("draw", F.when(F.col("positive") == 1, F.lit(-1)).otherwise(seeded(seed, F.col("label")))).withColumn("one", F.lit(1))
+    drawn = flagged.withColumn(
+        "draw", F.when(F.col("positive") == 1, F.lit(-1)).otherwise(seeded(seed, F.col("label")))
+    ).withColumn("one", F.lit(1))
     placed = running_totals(drawn, "draw", ["one"], descending=False, ties=["label"])
     chosen = placed.where(F.col("one_to_here") <= max(n, forced)).select("label", "one")
-    return running_totals(chosen, "label", ["one"], descending=False).select("label", (F.col("one_to_here") - 1).cast("long").alias("position"))
+    return running_totals(chosen, "label", ["one"], descending=False).select(
+        "label", (F.col("one_to_here") - 1).cast("long").alias("position")
+    )
 
 
 def shuffled(rows: DataFrame, id_col: str, seed: int, shards: int) -> DataFrame:
     """A reproducible shuffle: rows dealt to shards, and ordered within them, by seeded hashes of the id."""
-    return rows.withColumn("shard", (seeded(seed, F.col(id_col)) % shards).cast("int")).withColumn("position", seeded(seed + 1, F.col(id_col)))
+    return rows.withColumn(
+        "shard", (seeded(seed, F.col(id_col)) % shards).cast("int")
+    ).withColumn("position", seeded(seed + 1, F.col(id_col)))
 
 
 def identity_balanced(samples: DataFrame, per_identity: int, seed: int = 0) -> DataFrame:
@@ -120,7 +138,11 @@ def grouped_batches(rows: DataFrame, batch: int, seed: int = 0) -> DataFrame:
 def replica_of(rows: DataFrame, replicas: int, seed: int = 0) -> DataFrame:
     """``rows (id)`` dealt to replicas in a seeded order, as many rows each: the first rows are dealt again to fill up."""
     keyed = rows.withColumn("key", seeded(seed, F.col("id")))
-    ranked = running_totals(keyed.withColumn("one", F.lit(1)), "key", ["one"], descending=False, ties=["id"]).withColumn("place", F.col("one_to_here") - 1)
+    ranked = running_totals(
+        keyed.withColumn("one", F.lit(1)), "key", ["one"], descending=False, ties=["id"]
+    ).withColumn("place", F.col("one_to_here") - 1)
     n = F.lit(rows.count())
     places = F.sequence(F.col("place").cast("long"), (F.ceil(n / replicas) * replicas - 1).cast("long"), n.cast("long"))
-    return ranked.withColumn("place", F.explode(places)).select("id", (F.col("place") % replicas).cast("int").alias("replica"), F.floor(F.col("place") / replicas).alias("step"))
+    return ranked.withColumn("place", F.explode(places)).select(
+        "id", (F.col("place") % replicas).cast("int").alias("replica"), F.floor(F.col("place") / replicas).alias("step")
+    )

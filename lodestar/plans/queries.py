@@ -39,53 +39,72 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 @register(with_("gallery", "queries", "pairs") + """
-SELECT query_id, rank, vector_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM pairs) WHERE rank <= 5""")
+SELECT query_id, rank, vector_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+    ORDER BY score DESC, vector_id) AS rank FROM pairs) WHERE rank <= 5""")
 def t1_face_topk(spark, d):
     return rounded(search.face_topk(fx.queries(spark, d), fx.gallery(spark, d), 5), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
-GROUPED = """best AS (SELECT query_id, own, person_id, vector_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, person_id ORDER BY score DESC, vector_id) AS r FROM pairs) WHERE r = 1),
+GROUPED = """best AS (SELECT query_id, own, person_id, vector_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, person_id
+    ORDER BY score DESC, vector_id) AS r FROM pairs) WHERE r = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, person_id, vector_id) AS rank FROM best) """
 
 
-@register(with_("gallery", "queries", "pairs") + ", " + GROUPED + "SELECT query_id, rank, person_id, vector_id, round(greatest(-1, least(1, score)), 6) AS score FROM ranked WHERE rank <= 5")
+@register(with_("gallery", "queries", "pairs") + ", " + GROUPED + """SELECT query_id, rank, person_id, vector_id, round(greatest(-1,
+    least(1, score)), 6) AS score FROM ranked WHERE rank <= 5""")
 def t2_grouped_topk(spark, d):
-    return rounded(search.grouped_topk(fx.queries(spark, d), fx.gallery(spark, d), 5), "score").withColumn("rank", F.col("rank").cast("long"))
+    return rounded(
+        search.grouped_topk(fx.queries(spark, d), fx.gallery(spark, d), 5), "score"
+    ).withColumn("rank", F.col("rank").cast("long"))
 
 
-@register(with_("gallery", "queries") + """, codes AS (SELECT vector_id, person_id, list_transform(embedding, lambda x: greatest(-128, least(127, round(x::FLOAT * 1000::FLOAT)))::INT) AS c FROM gallery),
-pairs AS (SELECT q.vector_id AS query_id, 0 AS own, g.vector_id, g.person_id, list_sum(list_transform(list_zip(q.c, g.c), lambda p: p[1] * p[2]))::DOUBLE / 1000000::DOUBLE AS score FROM codes q, codes g WHERE q.vector_id % 50 = 0),
+@register(with_("gallery", "queries") + """, codes AS (SELECT vector_id, person_id, list_transform(embedding, lambda x: greatest(-128,
+    least(127, round(x::FLOAT * 1000::FLOAT)))::INT) AS c FROM gallery),
+pairs AS (SELECT q.vector_id AS query_id, 0 AS own, g.vector_id, g.person_id, list_sum(list_transform(list_zip(q.c, g.c),
+    lambda p: p[1] * p[2]))::DOUBLE / 1000000::DOUBLE AS score FROM codes q, codes g WHERE q.vector_id % 50 = 0),
 """ + GROUPED + "SELECT query_id, rank, person_id, vector_id, round(greatest(-1, least(1, score)), 6) AS score FROM ranked WHERE rank <= 5")
 def t2_grouped_topk_int8(spark, d):
-    return rounded(search.grouped_topk(fx.queries(spark, d), fx.gallery(spark, d), 5, strategy="sql", profile="int8"), "score").withColumn("rank", F.col("rank").cast("long"))
+    return rounded(
+        search.grouped_topk(fx.queries(spark, d), fx.gallery(spark, d), 5, strategy="sql", profile="int8"), "score"
+    ).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register(with_("gallery", "queries", "pairs") + ", " + GROUPED + """
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY greatest(-1, least(1, score)) DESC, person_id::VARCHAR) AS rank, person_id, vector_id, 'person ' || person_id AS name, round(greatest(-1, least(1, score)), 6) AS score
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY greatest(-1, least(1, score)) DESC, person_id::VARCHAR) AS rank,
+    person_id, vector_id, 'person ' || person_id AS name, round(greatest(-1, least(1, score)), 6) AS score
 FROM ranked WHERE rank <= 5 AND score >= 0.25""")
 def t3_server_search(spark, d):
-    people = fx.gallery(spark, d).select("person_id", F.concat(F.lit("person "), F.col("person_id").cast("string")).alias("name")).distinct()
-    return rounded(search.server_search(fx.queries(spark, d), fx.gallery(spark, d), people, 5, 0.25), "score").withColumn("rank", F.col("rank").cast("long"))
+    people = fx.gallery(spark, d).select(
+        "person_id", F.concat(F.lit("person "), F.col("person_id").cast("string")).alias("name")
+    ).distinct()
+    return rounded(
+        search.server_search(fx.queries(spark, d), fx.gallery(spark, d), people, 5, 0.25), "score"
+    ).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register(with_("gallery", "queries", "pairs") + ", " + GROUPED + """
-SELECT query_id, person_id, vector_id, round(greatest(-1, least(1, score)), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM ranked WHERE person_id <> own) WHERE r = 1""")
+SELECT query_id, person_id, vector_id, round(greatest(-1, least(1, score)), 6) AS score FROM (SELECT *, row_number()
+    OVER (PARTITION BY query_id ORDER BY rank) AS r FROM ranked WHERE person_id <> own) WHERE r = 1""")
 def t4_best_other_person(spark, d):
     return rounded(search.best_other_person(fx.queries(spark, d).withColumnRenamed("person_id", "excluded"), fx.gallery(spark, d)), "score")
 
 
-@register(with_("gallery") + """, queries AS (SELECT vector_id AS query_id, person_id, embedding AS query FROM gallery WHERE vector_id % 50 = 0),
+@register(with_("gallery") + """, queries AS (SELECT vector_id AS query_id, person_id, embedding AS query FROM gallery
+    WHERE vector_id % 50 = 0),
 pairs AS (SELECT query_id, q.person_id AS own, vector_id, g.person_id, list_inner_product(query, embedding) AS score FROM queries q, gallery g WHERE g.vector_id NOT IN (SELECT query_id FROM queries)), """ + GROUPED + """
-SELECT query_id, CASE WHEN score >= 0.4 THEN person_id END AS person_id, round(greatest(-1, least(1, score)), 6) AS score, CASE WHEN score >= 0.4 THEN 'matched' ELSE 'unknown' END AS status FROM ranked WHERE rank = 1""")
+SELECT query_id, CASE WHEN score >= 0.4 THEN person_id END AS person_id, round(greatest(-1, least(1, score)), 6) AS score, CASE
+    WHEN score >= 0.4 THEN 'matched' ELSE 'unknown' END AS status FROM ranked WHERE rank = 1""")
 def t6_identify(spark, d):
     enrolled = fx.gallery(spark, d).join(fx.queries(spark, d).select(F.col("query_id").alias("vector_id")), "vector_id", "left_anti")
     return rounded(search.identify(fx.queries(spark, d), enrolled, 0.4), "score")
 
 
 @register(with_("gallery", "queries", "pairs") + """
-, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(score) DESC, vector_id) AS r FROM pairs) WHERE r <= 20 AND score >= 0.2),
+, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(score) DESC, vector_id) AS r FROM pairs)
+    WHERE r <= 20 AND score >= 0.2),
 votes AS (SELECT query_id, label, count(*) AS votes, max(score) AS best FROM top GROUP BY ALL),
-won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, best DESC, label) AS r FROM votes) WHERE r = 1)
+won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, best DESC, label) AS r FROM votes)
+    WHERE r = 1)
 SELECT query_id, label::BIGINT AS label, votes FROM queries LEFT JOIN won USING (query_id)""")
 def t9_label_vote(spark, d):
     g = fx.gallery(spark, d).select("vector_id", F.col("label").cast("long").alias("person_id"), "embedding")
@@ -99,68 +118,105 @@ def _probes_and_rest(spark, d):
     return probes, v.join(probes.select(F.col("query_id").alias("vector_id")), "vector_id", "left_anti")
 
 
-@register(with_("raised1", "planted") + """, best AS (SELECT q.vec_id AS query_id, q.label AS truth, g.label, max(list_inner_product(q.e, g.e)) AS score FROM planted q, planted g WHERE q.vec_id % 50 = 0 AND g.vec_id NOT IN (SELECT vec_id FROM planted WHERE vec_id % 50 = 0) GROUP BY ALL),
+@register(with_("raised1", "planted") + """, best AS (SELECT q.vec_id AS query_id, q.label AS truth, g.label, max(list_inner_product(q.e,
+    g.e)) AS score FROM planted q, planted g WHERE q.vec_id % 50 = 0 AND g.vec_id NOT IN (SELECT vec_id FROM planted WHERE vec_id % 50 = 0)
+        GROUP BY ALL),
 own AS (SELECT query_id, score AS own FROM best WHERE truth = label)
 SELECT query_id, 1 + count(*) FILTER (score > own) AS rank FROM best JOIN own USING (query_id) GROUP BY query_id""")
 def t14_rank_of_truth(spark, d):
     return search.rank_of_truth(*_probes_and_rest(spark, d))
 
 
-@register(with_("gallery") + "SELECT a.vector_id AS a, b.vector_id AS b, round(list_inner_product(a.embedding, b.embedding), 6) AS score FROM gallery a JOIN gallery b ON a.vector_id < b.vector_id AND list_inner_product(a.embedding, b.embedding) >= 0.4")
+@register(with_("gallery") + """SELECT a.vector_id AS a, b.vector_id AS b, round(list_inner_product(a.embedding, b.embedding), 6) AS score
+    FROM gallery a JOIN gallery b ON a.vector_id < b.vector_id AND list_inner_product(a.embedding, b.embedding) >= 0.4""")
 def j6_threshold_pairs(spark, d):
     g = fx.gallery(spark, d)
     pairs = search.threshold_pairs(g.select(F.col("vector_id").alias("query_id"), "embedding"), g, 0.4).where("query_id < vector_id")
     return rounded(pairs.select(F.col("query_id").alias("a"), F.col("vector_id").alias("b"), "score"), "score")
 
 
-@register(with_("gallery") + """, p AS (SELECT a.vector_id AS id, a.embedding AS x, b.embedding AS y, list_inner_product(a.embedding, b.embedding) / (sqrt(list_inner_product(a.embedding, a.embedding)) * sqrt(list_inner_product(b.embedding, b.embedding))) AS c
+@register(with_("gallery") + """, p AS (SELECT a.vector_id AS id, a.embedding AS x, b.embedding AS y, list_inner_product(a.embedding,
+    b.embedding) / (sqrt(list_inner_product(a.embedding, a.embedding)) * sqrt(list_inner_product(b.embedding, b.embedding))) AS c
 FROM gallery a JOIN gallery b ON b.vector_id = a.vector_id + 1)
-SELECT id, round(sqrt(list_inner_product(x, x)), 6) AS norm, round(c, 6) AS cosine, round(list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS squared_l2,
-    CASE WHEN c >= 0.1 THEN 'same' WHEN c >= 0.05 THEN 'uncertain' ELSE 'different' END AS decision, round(0.99 / (1 + exp(-(8 * (c - 0.48)) + ln(0.4 / 0.59))) + 0.01, 6) AS calibrated,
-    round(list_sum(list_transform(list_zip(x, y), lambda p: greatest(-128, least(127, round(p[1]::FLOAT * 736::FLOAT)))::INT * greatest(-128, least(127, round(p[2]::FLOAT * 736::FLOAT)))::INT))::DOUBLE / 541696, 6) AS int8_x736
+SELECT id, round(sqrt(list_inner_product(x, x)), 6) AS norm, round(c, 6) AS cosine, round(list_sum(list_transform(list_zip(x, y),
+    lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS squared_l2,
+    CASE WHEN c >= 0.1 THEN 'same' WHEN c >= 0.05 THEN 'uncertain' ELSE 'different' END AS decision,
+        round(0.99 / (1 + exp(-(8 * (c - 0.48)) + ln(0.4 / 0.59))) + 0.01, 6) AS calibrated,
+    round(list_sum(list_transform(list_zip(x, y), lambda p: greatest(-128, least(127,
+        round(p[1]::FLOAT * 736::FLOAT)))::INT * greatest(-128, least(127, round(p[2]::FLOAT * 736::FLOAT)))::INT))::DOUBLE / 541696,
+            6) AS int8_x736
 FROM p""")
 def f_vector_functions(spark, d):
     g = fx.gallery(spark, d)
-    pairs = g.select(F.col("vector_id").alias("id"), F.col("embedding").alias("x")).join(g.select((F.col("vector_id") - 1).alias("id"), F.col("embedding").alias("y")), "id")
+    pairs = g.select(F.col("vector_id").alias("id"), F.col("embedding").alias("x")).join(
+        g.select((F.col("vector_id") - 1).alias("id"), F.col("embedding").alias("y")), "id"
+    )
     x, y = F.col("x"), F.col("y")
     cos = vec.cosine(x, y)
-    return rounded(pairs.select("id", vec.norm(x).alias("norm"), cos.alias("cosine"), vec.squared_l2(x, y).alias("squared_l2"), vec.decision(cos, 0.1).alias("decision"), vec.calibrate(cos).alias("calibrated"), vec.profile_similarity(x, y, "int8_x736").alias("int8_x736")), "norm", "cosine", "squared_l2", "calibrated", "int8_x736")
+    return rounded(
+        pairs.select(
+            "id",
+            vec.norm(x).alias("norm"),
+            cos.alias("cosine"),
+            vec.squared_l2(x, y).alias("squared_l2"),
+            vec.decision(cos, 0.1).alias("decision"),
+            vec.calibrate(cos).alias("calibrated"),
+            vec.profile_similarity(x, y, "int8_x736").alias("int8_x736")
+        ),
+        "norm",
+        "cosine",
+        "squared_l2",
+        "calibrated",
+        "int8_x736"
+    )
 
 
 @register(sql.F_HALF)
 def f_half_precision(spark, d):
     g = fx.gallery(spark, d)
     v = F.col("embedding")
-    return rounded(g.select("vector_id", vec.profile_similarity(v, v, "fp16").alias("fp16"), vec.profile_similarity(v, v, "bf16").alias("bf16")), "fp16", "bf16")
+    return rounded(
+        g.select("vector_id", vec.profile_similarity(v, v, "fp16").alias("fp16"), vec.profile_similarity(v, v, "bf16").alias("bf16")),
+        "fp16",
+        "bf16"
+    )
 
 
 # evaluation
 
 
-@register(with_("scores") + """, c AS (SELECT count(*) FILTER (score >= 2 AND label = 1) AS tp, count(*) FILTER (score < 2 AND label <> 1) AS tn, count(*) FILTER (score >= 2 AND label <> 1) AS fp, count(*) FILTER (score < 2 AND label = 1) AS fn FROM scores)
-SELECT *, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(fp / greatest(fp + tn, 1), 6) AS far, round(fn / greatest(tp + fn, 1), 6) AS frr FROM c""")
+@register(with_("scores") + """, c AS (SELECT count(*) FILTER (score >= 2 AND label = 1) AS tp, count(*) FILTER (score < 2
+    AND label <> 1) AS tn, count(*) FILTER (score >= 2 AND label <> 1) AS fp, count(*) FILTER (score < 2 AND label = 1) AS fn FROM scores)
+SELECT *, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(fp / greatest(fp + tn, 1), 6) AS far, round(fn / greatest(tp + fn,
+    1), 6) AS frr FROM c""")
 def a7_confusion(spark, d):
     return rounded(evaluation.confusion(fx.binary_scores(spark, d), 2.0), "accuracy", "far", "frr")
 
 
-@register(with_("scores", "curve") + "SELECT score AS threshold, round((pos_ge + n - neg_ge) / (p + n), 6) AS accuracy FROM curve ORDER BY (pos_ge + n - neg_ge) / (p + n) DESC, score LIMIT 1")
+@register(with_("scores", "curve") + """SELECT score AS threshold, round((pos_ge + n - neg_ge) / (p + n), 6) AS accuracy FROM curve
+    ORDER BY (pos_ge + n - neg_ge) / (p + n) DESC, score LIMIT 1""")
 def a8_best_threshold(spark, d):
     return rounded(evaluation.best_threshold(fx.binary_scores(spark, d)), "accuracy")
 
 
-@register(with_("scores", "curve") + """, goals AS (SELECT unnest([0.0001, 0.01, 0.1, 0.5])::DOUBLE AS target), top AS (SELECT max(score) AS top, count(*) AS negatives FROM scores WHERE label <> 1),
+@register(with_("scores", "curve") + """, goals AS (SELECT unnest([0.0001, 0.01, 0.1, 0.5])::DOUBLE AS target),
+    top AS (SELECT max(score) AS top, count(*) AS negatives FROM scores WHERE label <> 1),
 b AS (SELECT target, floor(target * negatives)::BIGINT AS budget, top, negatives FROM goals, top),
-ok AS (SELECT * FROM (SELECT target, score, pos_ge, neg_ge, row_number() OVER (PARTITION BY target ORDER BY pos_ge DESC, score) AS r FROM curve JOIN b ON neg_ge <= budget AND score <= top) WHERE r = 1),
+ok AS (SELECT * FROM (SELECT target, score, pos_ge, neg_ge, row_number() OVER (PARTITION BY target ORDER BY pos_ge DESC, score) AS r
+    FROM curve JOIN b ON neg_ge <= budget AND score <= top) WHERE r = 1),
 above AS (SELECT count(*) FILTER (label = 1 AND score > top) AS above, count(*) FILTER (label = 1) AS p FROM scores, top)
-SELECT target, budget, coalesce(score, top) AS threshold, score IS NULL AS exclusive, round(coalesce(pos_ge, above) / p, 6) AS tar, round(coalesce(neg_ge, 0) / negatives, 6) AS far
+SELECT target, budget, coalesce(score, top) AS threshold, score IS NULL AS exclusive, round(coalesce(pos_ge, above) / p, 6) AS tar,
+    round(coalesce(neg_ge, 0) / negatives, 6) AS far
 FROM b LEFT JOIN ok USING (target), above WHERE budget > 0""")
 def a9_tar_at_far(spark, d):
     return rounded(evaluation.tar_at_far(fx.binary_scores(spark, d), [0.0001, 0.01, 0.1, 0.5]), "tar", "far")
 
 
 @register(with_("scores", "curve") + """, goals AS (SELECT unnest([0.001, 0.05, 0.2])::DOUBLE AS target)
-SELECT target, CASE WHEN any_value(n) >= greatest(20, floor(1 / target)) THEN round(coalesce(max(pos_ge / p) FILTER (neg_ge / n <= target), 0), 6) END AS tar,
-    CASE WHEN any_value(n) >= greatest(20, floor(1 / target)) THEN 'ok' ELSE 'insufficient data' END AS status FROM curve, goals GROUP BY target""")
+SELECT target, CASE WHEN any_value(n) >= greatest(20, floor(1 / target)) THEN round(coalesce(max(pos_ge / p) FILTER (neg_ge / n <= target),
+    0), 6) END AS tar,
+    CASE WHEN any_value(n) >= greatest(20, floor(1 / target)) THEN 'ok' ELSE 'insufficient data' END AS status FROM curve, goals
+        GROUP BY target""")
 def a10_tar_at_far_kyc(spark, d):
     return rounded(evaluation.tar_at_far_kyc(fx.binary_scores(spark, d), [0.001, 0.05, 0.2]), "tar")
 
@@ -170,8 +226,10 @@ def a16_roc_auc(spark, d):
     return rounded(evaluation.roc_auc(fx.binary_scores(spark, d)), "auc")
 
 
-@register(with_("scores", "curve") + """, goals AS (SELECT unnest([0.01, 0.1, 0.3])::DOUBLE AS target), points AS (SELECT neg_ge / n AS fpr, pos_ge / p AS tpr FROM curve UNION ALL SELECT 0.0, 0.0)
-SELECT target, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(fpr - target), tpr DESC) AS r FROM points, goals) WHERE r = 1""")
+@register(with_("scores", "curve") + """, goals AS (SELECT unnest([0.01, 0.1, 0.3])::DOUBLE AS target), points AS (SELECT neg_ge / n AS fpr,
+    pos_ge / p AS tpr FROM curve UNION ALL SELECT 0.0, 0.0)
+SELECT target, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM (SELECT *, row_number() OVER (PARTITION BY target
+    ORDER BY abs(fpr - target), tpr DESC) AS r FROM points, goals) WHERE r = 1""")
 def a16_tpr_at_fpr(spark, d):
     return rounded(evaluation.tpr_at_fpr(fx.binary_scores(spark, d), [0.01, 0.1, 0.3]), "tpr", "fpr")
 
@@ -182,16 +240,21 @@ def a11_one_to_one(spark, d):
 
 
 FOLDS = """, f AS (SELECT *, ntile(10) OVER (ORDER BY pair_idx) - 1 AS fold FROM vpairs), grid AS (SELECT unnest(range(400)) AS step),
-counts AS (SELECT fold, step, count(*) FILTER ((distance < step * 0.01::DOUBLE) = (label = 1)) AS right_, count(*) AS size, count(*) FILTER (distance < step * 0.01::DOUBLE AND label = 1) / count(*) FILTER (label = 1) AS tpr, count(*) FILTER (distance < step * 0.01::DOUBLE AND label <> 1) / count(*) FILTER (label <> 1) AS fpr FROM f, grid GROUP BY ALL) """
+counts AS (SELECT fold, step, count(*) FILTER ((distance < step * 0.01::DOUBLE) = (label = 1)) AS right_, count(*) AS size,
+    count(*) FILTER (distance < step * 0.01::DOUBLE AND label = 1) / count(*) FILTER (label = 1) AS tpr,
+        count(*) FILTER (distance < step * 0.01::DOUBLE AND label <> 1) / count(*) FILTER (label <> 1) AS fpr FROM f, grid GROUP BY ALL) """
 
 
-@register(with_("raised1", "planted", "vpairs") + FOLDS + """, train AS (SELECT *, (sum(right_) OVER s - right_) / (sum(size) OVER s - size) AS train FROM counts WINDOW s AS (PARTITION BY step))
-SELECT fold::INT AS fold, round(step * 0.01::DOUBLE, 6) AS threshold, round(right_ / size, 6) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train DESC, step) AS r FROM train) WHERE r = 1""")
+@register(with_("raised1", "planted", "vpairs") + FOLDS + """, train AS (SELECT *, (sum(right_) OVER s - right_) / (sum(size)
+    OVER s - size) AS train FROM counts WINDOW s AS (PARTITION BY step))
+SELECT fold::INT AS fold, round(step * 0.01::DOUBLE, 6) AS threshold, round(right_ / size, 6) AS accuracy FROM (SELECT *, row_number()
+    OVER (PARTITION BY fold ORDER BY train DESC, step) AS r FROM train) WHERE r = 1""")
 def a14_kfold_accuracy(spark, d):
     return rounded(evaluation.kfold_accuracy(fx.verification_pairs(spark, d)), "threshold", "accuracy")
 
 
-@register(with_("raised1", "planted", "vpairs") + FOLDS + "SELECT step::INT AS step, round(avg(tpr), 6) AS tpr, round(avg(fpr), 6) AS fpr FROM counts GROUP BY step")
+@register(with_("raised1", "planted", "vpairs") + FOLDS + """SELECT step::INT AS step, round(avg(tpr), 6) AS tpr, round(avg(fpr), 6) AS fpr
+    FROM counts GROUP BY step""")
 def a14_kfold_roc(spark, d):
     return rounded(evaluation.kfold_roc(fx.verification_pairs(spark, d)), "tpr", "fpr")
 
@@ -206,7 +269,9 @@ def _probe_scores(spark, d):
     hits = search.grouped_topk(probes, rest, 2).join(probes.select("query_id", F.col("person_id").alias("own")), "query_id")
     truth = F.when(F.col("own") < 7, F.col("own"))
     wrong = F.max(F.when(F.col("person_id") != F.col("own"), F.col("score")))
-    return hits.groupBy("query_id", truth.alias("truth")).agg(F.min_by("person_id", "rank").alias("best"), F.max("score").alias("score"), wrong.alias("wrong_score"))
+    return hits.groupBy("query_id", truth.alias("truth")).agg(
+        F.min_by("person_id", "rank").alias("best"), F.max("score").alias("score"), wrong.alias("wrong_score")
+    )
 
 
 @register(sql.A12)
@@ -214,15 +279,22 @@ def a12_open_set(spark, d):
     return rounded(evaluation.open_set(_probe_scores(spark, d), [0.01, 0.1, 0.5]), "threshold", "tar", "far")
 
 
-@register(with_("raised1", "planted") + """, pairs AS (SELECT q.vec_id AS query_id, q.label AS truth, g.label, list_inner_product(q.e, g.e) AS score FROM planted q, planted g WHERE q.vec_id % 50 = 0 AND g.vec_id NOT IN (SELECT vec_id FROM planted WHERE vec_id % 50 = 0)),
-best AS (SELECT query_id, truth, label, max(score) AS score FROM pairs GROUP BY ALL), own AS (SELECT query_id, score AS own FROM best WHERE truth = label), ranks AS (SELECT query_id, 1 + count(*) FILTER (score > own) AS rank FROM best JOIN own USING (query_id) GROUP BY query_id)
-SELECT round(count(*) FILTER (rank <= 1) / count(*), 6) AS rank_1, round(count(*) FILTER (rank <= 5) / count(*), 6) AS rank_5, round(count(*) FILTER (rank <= 10) / count(*), 6) AS rank_10 FROM ranks""")
+@register(with_("raised1", "planted") + """, pairs AS (SELECT q.vec_id AS query_id, q.label AS truth, g.label, list_inner_product(q.e,
+    g.e) AS score FROM planted q, planted g WHERE q.vec_id % 50 = 0 AND g.vec_id NOT IN (SELECT vec_id FROM planted WHERE vec_id % 50 = 0)),
+best AS (SELECT query_id, truth, label, max(score) AS score FROM pairs GROUP BY ALL), own AS (SELECT query_id, score AS own FROM best
+    WHERE truth = label), ranks AS (SELECT query_id, 1 + count(*) FILTER (score > own) AS rank FROM best JOIN own USING (query_id)
+        GROUP BY query_id)
+SELECT round(count(*) FILTER (rank <= 1) / count(*), 6) AS rank_1, round(count(*) FILTER (rank <= 5) / count(*), 6) AS rank_5,
+    round(count(*) FILTER (rank <= 10) / count(*), 6) AS rank_10 FROM ranks""")
 def a13_rank_rates(spark, d):
     return rounded(evaluation.rank_rates(t14_rank_of_truth(spark, d), [1, 5, 10]), "rank_1", "rank_5", "rank_10")
 
 
-@register(with_("scores") + """, goals AS (SELECT far, ceil(200 * far)::BIGINT AS place FROM (SELECT unnest([0.01, 0.1, 0.25])::DOUBLE AS far)), neg AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS r FROM scores WHERE label <> 1)
-SELECT far, neg.score AS threshold, round((SELECT count(*) FROM scores WHERE label = 1 AND scores.score > neg.score) / 200, 6) AS recall FROM goals JOIN neg ON r = place""")
+@register(with_("scores") + """, goals AS (SELECT far, ceil(200 * far)::BIGINT AS place
+    FROM (SELECT unnest([0.01, 0.1, 0.25])::DOUBLE AS far)), neg AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS r FROM scores
+        WHERE label <> 1)
+SELECT far, neg.score AS threshold, round((SELECT count(*) FROM scores WHERE label = 1 AND scores.score > neg.score) / 200, 6) AS recall
+    FROM goals JOIN neg ON r = place""")
 def a17_recall_at_far(spark, d):
     s = fx.binary_scores(spark, d)
     return rounded(evaluation.recall_at_far(s.where("label = 1"), s.where("label <> 1"), 200, [0.01, 0.1, 0.25]), "recall")
@@ -231,71 +303,96 @@ def a17_recall_at_far(spark, d):
 # templates
 
 
-@register(with_("gallery") + """, u AS (SELECT person_id, list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding))) AS e FROM gallery), m AS (SELECT person_id, i, avg(e[i]) AS x FROM u, range(1, 65) t(i) GROUP BY ALL),
-n AS (SELECT person_id, sqrt(sum(x * x)) AS n FROM m GROUP BY person_id) SELECT person_id, (i - 1)::INT AS i, round(x / n, 6) AS x FROM m JOIN n USING (person_id)""")
+@register(with_("gallery") + """, u AS (SELECT person_id, list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding,
+    embedding))) AS e FROM gallery), m AS (SELECT person_id, i, avg(e[i]) AS x FROM u, range(1, 65) t(i) GROUP BY ALL),
+n AS (SELECT person_id, sqrt(sum(x * x)) AS n FROM m GROUP BY person_id) SELECT person_id, (i - 1)::INT AS i, round(x / n, 6) AS x FROM m
+    JOIN n USING (person_id)""")
 def a3_person_embedding(spark, d):
     return rounded(templates.person_embedding(fx.gallery(spark, d)).select("person_id", F.posexplode("embedding").alias("i", "x")), "x")
 
 
-@register(with_("gallery") + """, m AS (SELECT person_id AS template, vector_id % 7 AS media, i, avg(embedding[i]) AS x FROM gallery, range(1, 65) t(i) GROUP BY ALL), s AS (SELECT template, i, sum(x) AS x FROM m GROUP BY ALL),
-n AS (SELECT template, sqrt(sum(x * x)) AS n FROM s GROUP BY template) SELECT template, (i - 1)::INT AS i, round(x / n, 6) AS x FROM s JOIN n USING (template)""")
+@register(with_("gallery") + """, m AS (SELECT person_id AS template, vector_id % 7 AS media, i, avg(embedding[i]) AS x
+    FROM gallery, range(1, 65) t(i) GROUP BY ALL), s AS (SELECT template, i, sum(x) AS x FROM m GROUP BY ALL),
+n AS (SELECT template, sqrt(sum(x * x)) AS n FROM s GROUP BY template) SELECT template, (i - 1)::INT AS i, round(x / n, 6) AS x FROM s
+    JOIN n USING (template)""")
 def a4_template_embedding(spark, d):
     faces = fx.gallery(spark, d).select(F.col("person_id").alias("template"), (F.col("vector_id") % 7).alias("media"), "embedding")
     return rounded(templates.template_embedding(faces).select("template", F.posexplode("embedding").alias("i", "x")), "x")
 
 
-@register(with_("gallery") + """, s AS (SELECT vector_id % 11 AS video, i, sum(embedding[i]) AS x FROM gallery, range(1, 65) t(i) GROUP BY ALL), n AS (SELECT video, sqrt(sum(x * x)) AS n FROM s GROUP BY video)
+@register(with_("gallery") + """, s AS (SELECT vector_id % 11 AS video, i, sum(embedding[i]) AS x FROM gallery, range(1, 65) t(i)
+    GROUP BY ALL), n AS (SELECT video, sqrt(sum(x * x)) AS n FROM s GROUP BY video)
 SELECT video, (i - 1)::INT AS i, round(x / n, 6) AS x FROM s JOIN n USING (video)""")
 def a6_video_embedding(spark, d):
     frames = fx.gallery(spark, d).select((F.col("vector_id") % 11).alias("video"), "embedding")
     return rounded(templates.video_embedding(frames).select("video", F.posexplode("embedding").alias("i", "x")), "x")
 
 
-@register(with_("gallery") + """, f AS (SELECT vector_id AS id, embedding AS e, list_reverse(embedding) AS r, 0.5 + (vector_id % 50) / 100 AS s FROM gallery), k AS (SELECT unnest([true, false]) AS b),
-g AS (SELECT id, s, N.b AS n, D.b AS d, F.b AS f, CASE WHEN F.b THEN list_transform(list_zip(e, r), lambda p: p[1] + p[2]) ELSE e END AS v FROM f, k N, k D, k F)
-SELECT id, 'N' || n::INT || 'D' || d::INT || 'F' || f::INT AS setting, round(list_sum(v) * CASE WHEN n THEN 1 / sqrt(list_inner_product(v, v)) ELSE 1 END * CASE WHEN d THEN s ELSE 1 END, 6) AS total FROM g""")
+@register(with_("gallery") + """, f AS (SELECT vector_id AS id, embedding AS e, list_reverse(embedding) AS r,
+    0.5 + (vector_id % 50) / 100 AS s FROM gallery), k AS (SELECT unnest([true, false]) AS b),
+g AS (SELECT id, s, N.b AS n, D.b AS d, F.b AS f, CASE WHEN F.b THEN list_transform(list_zip(e, r), lambda p: p[1] + p[2]) ELSE e END AS v
+    FROM f, k N, k D, k F)
+SELECT id, 'N' || n::INT || 'D' || d::INT || 'F' || f::INT AS setting, round(list_sum(v) * CASE
+    WHEN n THEN 1 / sqrt(list_inner_product(v, v)) ELSE 1 END * CASE WHEN d THEN s ELSE 1 END, 6) AS total FROM g""")
 def a5_prepared_grid(spark, d):
-    faces = fx.gallery(spark, d).select(F.col("vector_id").alias("id"), "embedding", F.reverse("embedding").alias("flipped"), (0.5 + (F.col("vector_id") % 50) / 100).alias("score"))
-    return rounded(templates.prepared_grid(faces).select("id", "setting", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
-
-
-@register(with_("raised1", "planted") + "SELECT a.vec_id AS p1, b.vec_id AS p2, (a.label = b.label)::INT AS label, round(list_inner_product(a.e, b.e), 6) AS score FROM planted a JOIN planted b ON b.vec_id = a.vec_id + 1")
+    faces = fx.gallery(spark, d).select(
+        F.col("vector_id").alias("id"),
+        "embedding",
+        F.reverse("embedding").alias("flipped"),
+        (0.5 + (F.col("vector_id") % 50) / 100).alias("score")
+    )
+    return rounded(
+        templates.prepared_grid(faces).select("id", "setting", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total")),
+        "total"
+    )
+
+
+@register(with_("raised1", "planted") + """SELECT a.vec_id AS p1, b.vec_id AS p2, (a.label = b.label)::INT AS label,
+    round(list_inner_product(a.e, b.e), 6) AS score FROM planted a JOIN planted b ON b.vec_id = a.vec_id + 1""")
 def j7_pair_scores(spark, d):
     v = fx.planted(spark, d, 1.0)
     t = v.select(F.col("vec_id").alias("template"), "embedding")
-    pairs = v.select(F.col("vec_id").alias("p1"), F.col("label").alias("a")).join(v.select((F.col("vec_id") - 1).alias("p1"), F.col("vec_id").alias("p2"), F.col("label").alias("b")), "p1")
+    pairs = v.select(F.col("vec_id").alias("p1"), F.col("label").alias("a")).join(
+        v.select((F.col("vec_id") - 1).alias("p1"), F.col("vec_id").alias("p2"), F.col("label").alias("b")), "p1"
+    )
     return rounded(templates.pair_scores(pairs.select("p1", "p2", (F.col("a") == F.col("b")).cast("int").alias("label")), t), "score")
 
 
 # store
 
 
-@register(with_("persons", "samples") + "SELECT person_id, name, segment, cover_sample_id, count(sample_id) AS face_count FROM persons LEFT JOIN samples USING (person_id) GROUP BY ALL")
+@register(with_("persons", "samples") + """SELECT person_id, name, segment, cover_sample_id, count(sample_id) AS face_count FROM persons
+    LEFT JOIN samples USING (person_id) GROUP BY ALL""")
 def j2_face_counts(spark, d):
     return store.with_face_count(fx.persons(spark, d), fx.samples(spark, d))
 
 
 @register(with_("persons", "samples") + """, c AS (SELECT person_id, count(*) AS face_count FROM samples GROUP BY person_id)
-SELECT sample_id, person_id, round(quality, 6) AS quality, crop_path, name, segment, cover_sample_id, face_count FROM samples JOIN persons USING (person_id) JOIN c USING (person_id)""")
+SELECT sample_id, person_id, round(quality, 6) AS quality, crop_path, name, segment, cover_sample_id, face_count FROM samples
+    JOIN persons USING (person_id) JOIN c USING (person_id)""")
 def j1_hydrate(spark, d):
     return rounded(store.hydrate(fx.samples(spark, d).select("sample_id"), fx.samples(spark, d), fx.persons(spark, d)), "quality")
 
 
-@register(with_("persons", "samples") + """, s AS (SELECT person_id, count(*) AS sample_count, avg(quality) AS avg_quality, arg_min(crop_path, sample_id) FILTER (crop_path IS NOT NULL) AS first_crop FROM samples GROUP BY person_id)
-SELECT p.person_id, name, segment, cover_sample_id, coalesce(sample_count, 0) AS sample_count, round(avg_quality, 9) AS avg_quality, coalesce(c.crop_path, first_crop) AS cover_path
+@register(with_("persons", "samples") + """, s AS (SELECT person_id, count(*) AS sample_count, avg(quality) AS avg_quality,
+    arg_min(crop_path, sample_id) FILTER (crop_path IS NOT NULL) AS first_crop FROM samples GROUP BY person_id)
+SELECT p.person_id, name, segment, cover_sample_id, coalesce(sample_count, 0) AS sample_count, round(avg_quality, 9) AS avg_quality,
+    coalesce(c.crop_path, first_crop) AS cover_path
 FROM persons p LEFT JOIN s USING (person_id) LEFT JOIN samples c ON c.sample_id = cover_sample_id""")
 def j3_person_overview(spark, d):
     return rounded(store.person_overview(fx.persons(spark, d), fx.samples(spark, d)), "avg_quality", digits=9)
 
 
-@register(with_("samples") + "SELECT count(*) AS persons, sum(n)::BIGINT AS faces, max(n) AS max_faces FROM (SELECT count(*) AS n FROM samples GROUP BY person_id)")
+@register(with_("samples") + """SELECT count(*) AS persons, sum(n)::BIGINT AS faces, max(n) AS max_faces FROM (SELECT count(*) AS n
+    FROM samples GROUP BY person_id)""")
 def a1_collection_totals(spark, d):
     return store.collection_totals(fx.samples(spark, d))
 
 
 @register(with_("samples") + """, w AS (SELECT person_id FROM samples UNION ALL SELECT person_id FROM samples WHERE crop_path IS NOT NULL)
 SELECT 'capacity' AS "limit", NULL::BIGINT AS person_id, count(*) AS wanted FROM w HAVING count(*) > 1000 UNION ALL
-SELECT 'max_faces_per_person', person_id, count(*) FROM w WHERE person_id IN (SELECT person_id FROM samples WHERE crop_path IS NOT NULL) GROUP BY person_id HAVING count(*) > 8""")
+SELECT 'max_faces_per_person', person_id, count(*) FROM w WHERE person_id IN (SELECT person_id FROM samples WHERE crop_path IS NOT NULL)
+    GROUP BY person_id HAVING count(*) > 8""")
 def k3_limit_violations(spark, d):
     s = fx.samples(spark, d)
     return store.limit_violations(s, s.where("crop_path is not null"), 1000, 8)
@@ -312,32 +409,45 @@ def k9_replay(spark, d):
 
 
 @register(with_("persons", "samples") + """, c AS (SELECT person_id, count(*) AS n FROM samples GROUP BY person_id)
-SELECT person_id, CASE WHEN n > 5 THEN name || '*' ELSE name END AS name, segment, cover_sample_id + (coalesce(n, 0) > 5)::INT AS cover_sample_id FROM persons LEFT JOIN c USING (person_id)""")
+SELECT person_id, CASE WHEN n > 5 THEN name || '*' ELSE name END AS name, segment, cover_sample_id + (coalesce(n,
+    0) > 5)::INT AS cover_sample_id FROM persons LEFT JOIN c USING (person_id)""")
 def k6_patch(spark, d):
     p = fx.persons(spark, d)
-    changes = store.with_face_count(p, fx.samples(spark, d)).where("face_count > 5").select("person_id", F.concat("name", F.lit("*")).alias("name"))
+    changes = store.with_face_count(p, fx.samples(spark, d)).where("face_count > 5").select(
+        "person_id", F.concat("name", F.lit("*")).alias("name")
+    )
     return store.patch(p, changes, "person_id", ["name"], revision="cover_sample_id", watched=["name"])
 
 
-@register(with_("persons") + "SELECT person_id, CASE WHEN segment = 'BUILDING' THEN 'upserted' ELSE name END AS name, segment, cover_sample_id FROM persons")
+@register(with_("persons") + """SELECT person_id, CASE WHEN segment = 'BUILDING' THEN 'upserted' ELSE name END AS name, segment,
+    cover_sample_id FROM persons""")
 def k7_upsert(spark, d):
     p = fx.persons(spark, d)
     return store.upsert(p, p.where("segment = 'BUILDING'").withColumn("name", F.lit("upserted")), "person_id")
 
 
-@register(with_("persons", "samples") + "SELECT sample_id, CASE WHEN segment = 'BUILDING' THEN NULL ELSE person_id END AS person_id, round(quality, 6) AS quality, crop_path FROM samples JOIN persons USING (person_id)")
+@register(with_("persons", "samples") + """SELECT sample_id, CASE
+    WHEN segment = 'BUILDING' THEN NULL ELSE person_id END AS person_id, round(quality, 6) AS quality, crop_path FROM samples
+        JOIN persons USING (person_id)""")
 def k8_delete_person(spark, d):
     return rounded(store.delete_person(fx.samples(spark, d), fx.persons(spark, d).where("segment = 'BUILDING'"), True), "quality")
 
 
-@register(with_("persons", "samples") + "SELECT sample_id, person_id, round(quality, 6) AS quality, crop_path FROM samples WHERE person_id NOT IN (SELECT person_id FROM persons WHERE segment = 'BUILDING')")
+@register(with_("persons", "samples") + """SELECT sample_id, person_id, round(quality, 6) AS quality, crop_path FROM samples
+    WHERE person_id NOT IN (SELECT person_id FROM persons WHERE segment = 'BUILDING')""")
 def k5_delete(spark, d):
-    return rounded(store.delete(fx.samples(spark, d), fx.persons(spark, d).where("segment = 'BUILDING'"), "person_id"), "quality").select("sample_id", "person_id", "quality", "crop_path")
+    return rounded(
+        store.delete(fx.samples(spark, d), fx.persons(spark, d).where("segment = 'BUILDING'"), "person_id"), "quality"
+    ).select("sample_id", "person_id", "quality", "crop_path")
 
 
-@register(with_("persons", "samples") + "SELECT sample_id, CASE WHEN segment = 'MACHINERY' THEN person_id // 2 + 1 ELSE person_id END AS person_id, round(quality, 6) AS quality, crop_path FROM samples JOIN persons USING (person_id)")
+@register(with_("persons", "samples") + """SELECT sample_id, CASE
+    WHEN segment = 'MACHINERY' THEN person_id // 2 + 1 ELSE person_id END AS person_id, round(quality, 6) AS quality, crop_path FROM samples
+        JOIN persons USING (person_id)""")
 def k8_merge_persons(spark, d):
-    merges = fx.persons(spark, d).where("segment = 'MACHINERY'").select(F.col("person_id").alias("source"), (F.floor(F.col("person_id") / 2) + 1).alias("target"))
+    merges = fx.persons(spark, d).where("segment = 'MACHINERY'").select(
+        F.col("person_id").alias("source"), (F.floor(F.col("person_id") / 2) + 1).alias("target")
+    )
     return rounded(store.merge_persons(fx.samples(spark, d), merges), "quality")
 
 
@@ -349,7 +459,10 @@ def j9_under_roots(spark, d):
     return store.under_roots(pages.select(F.col("url").alias("path")), roots)
 
 
-@register(with_("persons", "samples") + "SELECT (SELECT count(DISTINCT person_id) FROM persons WHERE person_id NOT IN (SELECT person_id FROM samples)) = 0 AS equal, (SELECT count(DISTINCT person_id) FROM persons WHERE person_id NOT IN (SELECT person_id FROM samples)) AS only_a, (SELECT count(DISTINCT person_id) FROM samples WHERE person_id NOT IN (SELECT person_id FROM persons)) AS only_b")
+@register(with_("persons", "samples") + """SELECT (SELECT count(DISTINCT person_id) FROM persons WHERE person_id NOT IN (SELECT person_id
+    FROM samples)) = 0 AS equal, (SELECT count(DISTINCT person_id) FROM persons WHERE person_id NOT IN (SELECT person_id
+        FROM samples)) AS only_a, (SELECT count(DISTINCT person_id) FROM samples WHERE person_id NOT IN (SELECT person_id
+            FROM persons)) AS only_b""")
 def u3_same_set(spark, d):
     return store.same_set(fx.persons(spark, d), fx.samples(spark, d), "person_id")
 
@@ -362,17 +475,23 @@ def u5_first_occurrences(spark, d):
 LAYOUT = "present AS (SELECT o_custkey AS identity, CASE WHEN o_orderstatus = 'F' THEN 'gallery' ELSE 'probe' END AS role FROM orders)"
 
 
-@register(f"""WITH {LAYOUT}, e AS (SELECT c_custkey AS identity, count(*) FILTER (role = 'gallery') AS g, count(*) FILTER (role = 'probe') AS p FROM customer LEFT JOIN present ON identity = c_custkey GROUP BY ALL)
-SELECT count(*) AS identities, sum(g * p)::BIGINT AS positive_pairs, (sum(g) * sum(p) - sum(g * p))::BIGINT AS negative_pairs, count(*) FILTER (g = 0) AS missing_gallery FROM e""")
+@register(f"""WITH {LAYOUT}, e AS (SELECT c_custkey AS identity, count(*) FILTER (role = 'gallery') AS g,
+    count(*) FILTER (role = 'probe') AS p FROM customer LEFT JOIN present ON identity = c_custkey GROUP BY ALL)
+SELECT count(*) AS identities, sum(g * p)::BIGINT AS positive_pairs, (sum(g) * sum(p) - sum(g * p))::BIGINT AS negative_pairs,
+    count(*) FILTER (g = 0) AS missing_gallery FROM e""")
 def a27_validation_summary(spark, d):
-    present = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("identity"), F.when(F.col("o_orderstatus") == "F", "gallery").otherwise("probe").alias("role"))
+    present = fx.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("identity"), F.when(F.col("o_orderstatus") == "F", "gallery").otherwise("probe").alias("role")
+    )
     return store.validation_summary(fx.table(spark, d, "customer").select(F.col("c_custkey").alias("identity")), present)
 
 
 # scalar functions
 
 
-@register("SELECT page_id, regexp_replace(regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@', '\\1'), '[?#].*$', '') AS url FROM pages")
+@register(
+    "SELECT page_id, regexp_replace(regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@', '\\1'), '[?#].*$', '') AS url FROM pages"
+)
 def f34_redact_url(spark, d):
     return fx.table(spark, d, "pages").select("page_id", sc.redact_url(F.col("url")).alias("url"))
 
@@ -383,19 +502,39 @@ def f35_contains(spark, d):
     return c.where(sc.contains_ci("1_5", F.col("c_name"), F.col("c_mktsegment"))).select("c_custkey")
 
 
-@register("""SELECT event_id, printf('%02d:%02d:%02d', event_id * 977 // 3600000, event_id * 977 // 60000 % 60, event_id * 977 // 1000 % 60) AS hhmmss,
-    'v1-sha256:' || sha256('["' || event_type || '","' || user_id || '"]') AS contract, CASE WHEN user_id % 2 = 1 THEN 'M' ELSE 'F' END AS sex, regexp_matches(event_type, '^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$') AS valid FROM events""")
+@register("""SELECT event_id, printf('%02d:%02d:%02d', event_id * 977 // 3600000, event_id * 977 // 60000 % 60,
+    event_id * 977 // 1000 % 60) AS hhmmss,
+    'v1-sha256:' || sha256('["' || event_type || '","' || user_id || '"]') AS contract, CASE
+        WHEN user_id % 2 = 1 THEN 'M' ELSE 'F' END AS sex, regexp_matches(event_type, '^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$') AS valid
+            FROM events""")
 def f_text_functions(spark, d):
     e = fx.table(spark, d, "events")
-    return e.select("event_id", sc.hhmmss(F.col("event_id") * 977).alias("hhmmss"), sc.contract_id("v1-sha256:", F.col("event_type"), F.col("user_id")).alias("contract"), sc.sex(F.col("user_id") % 2).alias("sex"), sc.valid_id(F.col("event_type")).alias("valid"))
+    return e.select(
+        "event_id",
+        sc.hhmmss(F.col("event_id") * 977).alias("hhmmss"),
+        sc.contract_id("v1-sha256:", F.col("event_type"), F.col("user_id")).alias("contract"),
+        sc.sex(F.col("user_id") % 2).alias("sex"),
+        sc.valid_id(F.col("event_type")).alias("valid")
+    )
 
 
 @register(sql.F16)
 def f16_quality(spark, d):
-    e = fx.table(spark, d, "events").select("event_id", (F.col("value") % 100 / 100).alias("q"), (F.col("user_id") % 90 - 45).alias("yaw"), (F.col("event_id") % 60 - 30).alias("pitch"), (F.col("event_id") % 40 - 20).alias("roll"))
+    e = fx.table(spark, d, "events").select(
+        "event_id",
+        (F.col("value") % 100 / 100).alias("q"),
+        (F.col("user_id") % 90 - 45).alias("yaw"),
+        (F.col("event_id") % 60 - 30).alias("pitch"),
+        (F.col("event_id") % 40 - 20).alias("roll")
+    )
     q, yaw, pitch, roll = (F.col(c) for c in ("q", "yaw", "pitch", "roll"))
     why = {"blurry": q < 0.3, "profile": F.abs(yaw) > 30, "tilted": F.abs(roll) > 15}
-    return e.select("event_id", sc.public_quality(F.lit(None).cast("double"), q, q, yaw, pitch, roll).alias("quality"), F.array_join(sc.reasons(why), ",").alias("reasons"), sc.first_reason(list(why.items())).alias("first"))
+    return e.select(
+        "event_id",
+        sc.public_quality(F.lit(None).cast("double"), q, q, yaw, pitch, roll).alias("quality"),
+        F.array_join(sc.reasons(why), ",").alias("reasons"),
+        sc.first_reason(list(why.items())).alias("first")
+    )
 
 
 # boxes and detections
@@ -405,16 +544,42 @@ def j8_iou(spark, d):
     g = fx.truths(spark, d).select("image", "class", "gt", *[F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")])
     pairs = fx.detections(spark, d).join(g, ["image", "class"])
     a, b = bx.box(), bx.box("g_")
-    kinds = {"iou": bx.iou(a, b), "pixel": bx.iou(a, b, pixel=1), "iof": bx.iou(a, b, "iof"), "giou": bx.iou(a, b, "giou"), "interval": bx.interval_iou(a, b)}
-    return pairs.groupBy("image", "det").agg(F.count("*").alias("truths"), F.round(F.max(kinds["iou"]), 9).alias("best"), *[F.round(F.sum(v), 9).alias(k) for k, v in kinds.items()])
-
-
-@register(with_("dets") + """SELECT image, det, round((x1 + x2) / 2, 6) AS cx, 100 - x2 AS flipped_x1, round(ln((x2 - x1) / 32), 6) AS dw, round(((x1 + x2) * 0.5 - 16) / 32, 6) AS dx, greatest(0, least(x2, 50)) AS clipped_x2,
+    kinds = {
+        "iou": bx.iou(a, b),
+        "pixel": bx.iou(a, b, pixel=1),
+        "iof": bx.iou(a, b, "iof"),
+        "giou": bx.iou(a, b, "giou"),
+        "interval": bx.interval_iou(a, b)
+    }
+    return pairs.groupBy("image", "det").agg(
+        F.count("*").alias("truths"),
+        F.round(F.max(kinds["iou"]), 9).alias("best"),
+        *[F.round(F.sum(v), 9).alias(k) for k, v in kinds.items()]
+    )
+
+
+@register(with_("dets") + """SELECT image, det, round((x1 + x2) / 2, 6) AS cx, 100 - x2 AS flipped_x1, round(ln((x2 - x1) / 32), 6) AS dw,
+    round(((x1 + x2) * 0.5 - 16) / 32, 6) AS dx, greatest(0, least(x2, 50)) AS clipped_x2,
     round((x2 - x1) * (y2 - y1) - 2 * (pow((x1 + x2) / 2 - 50, 2) + pow((y1 + y2) / 2 - 50, 2)), 6) AS centre FROM dets""")
 def f26_box_functions(spark, d):
     b, size, anchor = bx.box(), F.lit(100.0), tuple(F.lit(x) for x in (0.0, 0.0, 32.0, 32.0))
     code = bx.encode_delta(anchor, b)
-    return rounded(fx.detections(spark, d).select("image", "det", bx.to_cxcywh(b)[0].alias("cx"), bx.flip(b, size, size)[0].alias("flipped_x1"), code[2].alias("dw"), code[0].alias("dx"), bx.clip(b, F.lit(50.0), F.lit(50.0))[2].alias("clipped_x2"), bx.centre_score(b, size, size).alias("centre")), "cx", "dw", "dx", "centre")
+    return rounded(
+        fx.detections(spark, d).select(
+            "image",
+            "det",
+            bx.to_cxcywh(b)[0].alias("cx"),
+            bx.flip(b, size, size)[0].alias("flipped_x1"),
+            code[2].alias("dw"),
+            code[0].alias("dx"),
+            bx.clip(b, F.lit(50.0), F.lit(50.0))[2].alias("clipped_x2"),
+            bx.centre_score(b, size, size).alias("centre")
+        ),
+        "cx",
+        "dw",
+        "dx",
+        "centre"
+    )
 
 
 @register(sql.X1)
@@ -430,17 +595,23 @@ def x3_multiclass_nms(spark, d):
 FAST = """, r AS (SELECT *, row_number() OVER (PARTITION BY image, class ORDER BY score DESC, det) AS rank FROM dets) """
 
 
-@register(with_("dets") + FAST + f"SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE a.image = b.image AND a.class = b.class AND b.rank < a.rank AND {sql_iou('a', 'b')} > 0.5)")
+@register(with_("dets") + FAST + f"""SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE a.image = b.image AND a.class = b.class
+    AND b.rank < a.rank AND {sql_iou('a', 'b')} > 0.5)""")
 def x4_fast_nms(spark, d):
     return detection.fast_nms(fx.detections(spark, d), 0.5).withColumn("rank", F.col("rank").cast("long"))
 
 
-ASSIGN = with_("dets", "gts") + f""", p AS (SELECT d.image, d.det, g.gt, {sql_iou('d', 'g')} AS iou FROM dets d JOIN gts g ON d.image = g.image) """
+ASSIGN = with_("dets", "gts") + f""", p AS (SELECT d.image, d.det, g.gt, {sql_iou('d', 'g')} AS iou FROM dets d JOIN gts g
+    ON d.image = g.image) """
 
 
-@register(ASSIGN + """, own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, det ORDER BY iou DESC, gt) AS r FROM p) WHERE r = 1), best AS (SELECT image, gt, max(iou) AS top FROM p GROUP BY ALL),
-forced AS (SELECT p.image, det, max(p.gt) AS forced FROM p JOIN best b ON p.image = b.image AND p.gt = b.gt AND p.iou = top AND top >= 0.3 GROUP BY ALL)
-SELECT d.image, d.det, coalesce(forced, CASE WHEN iou >= 0.5 THEN gt WHEN coalesce(iou, 0) < 0.4 THEN -1 END)::BIGINT AS assigned, round(coalesce(iou, 0), 6) AS iou FROM dets d LEFT JOIN own USING (image, det) LEFT JOIN forced USING (image, det)""")
+@register(ASSIGN + """, own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, det ORDER BY iou DESC, gt) AS r FROM p)
+    WHERE r = 1), best AS (SELECT image, gt, max(iou) AS top FROM p GROUP BY ALL),
+forced AS (SELECT p.image, det, max(p.gt) AS forced FROM p JOIN best b ON p.image = b.image AND p.gt = b.gt AND p.iou = top AND top >= 0.3
+    GROUP BY ALL)
+SELECT d.image, d.det, coalesce(forced, CASE WHEN iou >= 0.5 THEN gt
+    WHEN coalesce(iou, 0) < 0.4 THEN -1 END)::BIGINT AS assigned, round(coalesce(iou, 0), 6) AS iou FROM dets d LEFT
+        JOIN own USING (image, det) LEFT JOIN forced USING (image, det)""")
 def x7_max_iou_assign(spark, d):
     return rounded(detection.max_iou_assign(fx.detections(spark, d), fx.truths(spark, d), least_positive=0.3), "iou")
 
@@ -460,10 +631,13 @@ def x10_random_sample(spark, d):
     return detection.random_sample(detection.max_iou_assign(fx.detections(spark, d), fx.truths(spark, d)), 16, 0.25)
 
 
-MARK = with_("dets", "gts") + f""", b AS (SELECT * FROM (SELECT d.*, g.gt, g.ignored, {sql_iou('d', 'g')} AS iou, row_number() OVER (PARTITION BY d.image, d.class, d.det ORDER BY {sql_iou('d', 'g')} DESC NULLS LAST, g.gt) AS r
+MARK = with_("dets", "gts") + f""", b AS (SELECT * FROM (SELECT d.*, g.gt, g.ignored, {sql_iou('d', 'g')} AS iou, row_number()
+    OVER (PARTITION BY d.image, d.class, d.det ORDER BY {sql_iou('d', 'g')} DESC NULLS LAST, g.gt) AS r
     FROM dets d LEFT JOIN gts g ON d.image = g.image AND d.class = g.class) WHERE r = 1),
-m AS (SELECT *, coalesce(iou >= 0.5, false) AS hit, row_number() OVER (PARTITION BY image, class, coalesce(iou >= 0.5, false), gt ORDER BY score DESC, det) = 1 AS first FROM b),
-marked AS (SELECT image, class, det, score, x1, y1, x2, y2, (hit AND first AND NOT ignored)::INT AS tp, CASE WHEN hit AND ignored THEN 0 ELSE 1 - (hit AND first AND NOT ignored)::INT END AS fp FROM m) """
+m AS (SELECT *, coalesce(iou >= 0.5, false) AS hit, row_number() OVER (PARTITION BY image, class, coalesce(iou >= 0.5, false), gt
+    ORDER BY score DESC, det) = 1 AS first FROM b),
+marked AS (SELECT image, class, det, score, x1, y1, x2, y2, (hit AND first AND NOT ignored)::INT AS tp, CASE WHEN hit
+    AND ignored THEN 0 ELSE 1 - (hit AND first AND NOT ignored)::INT END AS fp FROM m) """
 
 
 @register(MARK + "SELECT image, class, det, score, x1, y1, x2, y2, coalesce(tp, 0) AS tp, coalesce(fp, 1) AS fp FROM marked")
@@ -491,12 +665,24 @@ def x6_merge_augmented(spark, d):
 @register(sql.X9_APPROX)
 def x9_approx_assign(spark, d):
     b = fx.detections(spark, d)
-    return assignment.approx_max_iou_assign(b, b.union(b.select("image", "class", (F.col("x1") + 2).alias("x1"), "y1", (F.col("x2") + 2).alias("x2"), "y2", "score", "det").select(*b.columns)), fx.truths(spark, d))
-
-
-@register(with_("dets", "gts") + """, p AS (SELECT d.image, d.det, g.gt, (g.x2 - g.x1) * (g.y2 - g.y1) AS size, 2 * abs((d.x1 + d.x2) - (g.x1 + g.x2)) / (g.x2 - g.x1) AS u, 2 * abs((d.y1 + d.y2) - (g.y1 + g.y2)) / (g.y2 - g.y1) AS v FROM dets d JOIN gts g ON d.image = g.image),
-m AS (SELECT image, det, arg_min(gt, (size, gt)) FILTER (greatest(u, v) < 2 * 0.25) AS core, bool_or(greatest(u, v) < 2 * 0.5) AS shadow FROM p GROUP BY ALL)
-SELECT d.image, d.det, CASE WHEN core IS NOT NULL THEN core WHEN coalesce(shadow, false) THEN NULL ELSE -1 END::BIGINT AS assigned FROM dets d LEFT JOIN m USING (image, det)""")
+    return assignment.approx_max_iou_assign(
+        b,
+        b.union(
+            b.select(
+                "image", "class", (F.col("x1") + 2).alias("x1"), "y1", (F.col("x2") + 2).alias("x2"), "y2", "score", "det"
+            ).select(*b.columns)
+        ),
+        fx.truths(spark, d)
+    )
+
+
+@register(with_("dets", "gts") + """, p AS (SELECT d.image, d.det, g.gt, (g.x2 - g.x1) * (g.y2 - g.y1) AS size,
+    2 * abs((d.x1 + d.x2) - (g.x1 + g.x2)) / (g.x2 - g.x1) AS u, 2 * abs((d.y1 + d.y2) - (g.y1 + g.y2)) / (g.y2 - g.y1) AS v FROM dets d
+        JOIN gts g ON d.image = g.image),
+m AS (SELECT image, det, arg_min(gt, (size, gt)) FILTER (greatest(u, v) < 2 * 0.25) AS core, bool_or(greatest(u, v) < 2 * 0.5) AS shadow
+    FROM p GROUP BY ALL)
+SELECT d.image, d.det, CASE WHEN core IS NOT NULL THEN core WHEN coalesce(shadow, false) THEN NULL ELSE -1 END::BIGINT AS assigned
+    FROM dets d LEFT JOIN m USING (image, det)""")
 def x9_centre_region(spark, d):
     return assignment.centre_region_assign(fx.detections(spark, d), fx.truths(spark, d), 0.25, 0.5)
 
@@ -508,7 +694,13 @@ def x9_grid_assign(spark, d):
 
 @register(sql.X9_POINT)
 def x9_point_assign(spark, d):
-    p = fx.detections(spark, d).select("image", "det", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.col("class").alias("level"))
+    p = fx.detections(spark, d).select(
+        "image",
+        "det",
+        ((F.col("x1") + F.col("x2")) / 2).alias("x"),
+        ((F.col("y1") + F.col("y2")) / 2).alias("y"),
+        F.col("class").alias("level")
+    )
     return assignment.point_assign(p, fx.truths(spark, d), nearest=3)
 
 
@@ -525,7 +717,11 @@ def x10_iou_balanced(spark, d):
 @register(sql.X10_HARD)
 def x10_hard_examples(spark, d):
     b = fx.detections(spark, d)
-    return assignment.hard_sample(detection.max_iou_assign(b, fx.truths(spark, d)).join(b.select("image", "det", F.col("score").alias("loss")), ["image", "det"]), 16, 0.25)
+    return assignment.hard_sample(
+        detection.max_iou_assign(b, fx.truths(spark, d)).join(b.select("image", "det", F.col("score").alias("loss")), ["image", "det"]),
+        16,
+        0.25
+    )
 
 
 @register(sql.X10_RANK)
@@ -535,7 +731,9 @@ def x10_hierarchical_rank(spark, d):
 
 @register(sql.X14)
 def x14_strict_review(spark, d):
-    q = fx.queries(spark, d).select((F.col("query_id") % 150).alias("request"), F.col("query_id").alias("position"), "query_id", "person_id", "embedding")
+    q = fx.queries(spark, d).select(
+        (F.col("query_id") % 150).alias("request"), F.col("query_id").alias("position"), "query_id", "person_id", "embedding"
+    )
     enrolled = fx.gallery(spark, d).join(fx.queries(spark, d).select(F.col("query_id").alias("vector_id")), "vector_id", "left_anti")
     return rounded(assignment.strict_review(q, enrolled), "own", "other")
 
@@ -545,18 +743,25 @@ def a21_mark_available(spark, d):
     return detection.mark_available(fx.detections(spark, d), fx.truths(spark, d).where("not ignore"))
 
 
-AP = MARK + """, t AS (SELECT class, count(*) AS truths FROM gts WHERE NOT ignored GROUP BY class), c AS (SELECT class, image, det, sum(coalesce(tp, 0)) OVER w AS tps, sum(coalesce(fp, 1)) OVER w AS fps FROM marked WINDOW w AS (PARTITION BY class ORDER BY score DESC, image, det)),
+AP = MARK + """, t AS (SELECT class, count(*) AS truths FROM gts WHERE NOT ignored
+    GROUP BY class), c AS (SELECT class, image, det, sum(coalesce(tp, 0)) OVER w AS tps, sum(coalesce(fp, 1)) OVER w AS fps FROM marked
+        WINDOW w AS (PARTITION BY class ORDER BY score DESC, image, det)),
 pr AS (SELECT class, tps / truths AS recall, max(tps / greatest(tps + fps, 1)) AS precision FROM c JOIN t USING (class) GROUP BY ALL),
-e AS (SELECT class, recall, max(precision) OVER (PARTITION BY class ORDER BY recall ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope, recall - coalesce(lag(recall) OVER (PARTITION BY class ORDER BY recall), 0) AS width FROM pr),
+e AS (SELECT class, recall, max(precision) OVER (PARTITION BY class ORDER BY recall ROWS BETWEEN CURRENT ROW
+    AND UNBOUNDED FOLLOWING) AS envelope, recall - coalesce(lag(recall) OVER (PARTITION BY class ORDER BY recall), 0) AS width FROM pr),
 n AS (SELECT class, count(*) AS dets FROM dets GROUP BY class) """
 
 
-@register(AP + "SELECT class, any_value(truths) AS truths, any_value(dets) AS dets, round(sum(width * envelope), 6) AS ap FROM e JOIN t USING (class) JOIN n USING (class) GROUP BY class")
+@register(AP + """SELECT class, any_value(truths) AS truths, any_value(dets) AS dets, round(sum(width * envelope), 6) AS ap FROM e
+    JOIN t USING (class) JOIN n USING (class) GROUP BY class""")
 def a22_eval_map(spark, d):
     return rounded(detection.eval_map(fx.detections(spark, d), fx.truths(spark, d)), "ap")
 
 
-@register(AP + ", goals AS (SELECT unnest(range(11)) / 10 AS goal), picks AS (SELECT class, goal, coalesce(max(precision) FILTER (recall >= goal - 1e-12), 0) AS p FROM pr, goals GROUP BY ALL) SELECT class, any_value(truths) AS truths, any_value(dets) AS dets, round(sum(p) / 11, 6) AS ap FROM picks JOIN t USING (class) JOIN n USING (class) GROUP BY class")
+@register(AP + """, goals AS (SELECT unnest(range(11)) / 10 AS goal), picks AS (SELECT class, goal,
+    coalesce(max(precision) FILTER (recall >= goal - 1e-12), 0) AS p FROM pr, goals GROUP BY ALL)
+        SELECT class, any_value(truths) AS truths, any_value(dets) AS dets, round(sum(p) / 11, 6) AS ap FROM picks JOIN t USING (class)
+            JOIN n USING (class) GROUP BY class""")
 def a19_eleven_points(spark, d):
     return rounded(detection.eval_map(fx.detections(spark, d), fx.truths(spark, d), mode="11points"), "ap")
 
@@ -566,12 +771,14 @@ def a23_proposal_recall(spark, d):
     return rounded(detection.proposal_recall(fx.detections(spark, d), fx.truths(spark, d), [5, 20, 100], [0.5, 0.7]), "recall")
 
 
-@register(with_("dets") + "SELECT image, det, (x2 - x1) * (y2 - y1) AS metric FROM dets QUALIFY row_number() OVER (PARTITION BY image ORDER BY (x2 - x1) * (y2 - y1) DESC, det) <= 3")
+@register(with_("dets") + """SELECT image, det, (x2 - x1) * (y2 - y1) AS metric FROM dets QUALIFY row_number() OVER (PARTITION BY image
+    ORDER BY (x2 - x1) * (y2 - y1) DESC, det) <= 3""")
 def t10_top_detections(spark, d):
     return detection.top_detections(fx.detections(spark, d), 3, bx.area(bx.box())).select("image", "det", "metric")
 
 
-@register(with_("dets") + "SELECT image, count(*) AS faces, CASE WHEN count(*) = 1 THEN max(det) END AS det, CASE WHEN count(*) > 1 THEN 'multiple_faces' ELSE 'ok' END AS status FROM dets GROUP BY image")
+@register(with_("dets") + """SELECT image, count(*) AS faces, CASE WHEN count(*) = 1 THEN max(det) END AS det, CASE
+    WHEN count(*) > 1 THEN 'multiple_faces' ELSE 'ok' END AS status FROM dets GROUP BY image""")
 def t12_single_face(spark, d):
     return detection.single_face_policy(fx.detections(spark, d), "require_one", F.col("score"))
 
@@ -596,17 +803,24 @@ def x12_sequential_clusters(spark, d):
     return clustering.sequential_clusters(v, 0.6, "part")
 
 
-@register(with_("raised1", "planted") + """, c AS (SELECT label, vec_id % 3 AS sub, i, avg(e[i]) AS x FROM planted, range(1, 65) t(i) GROUP BY ALL), centres AS (SELECT label, sub, list(x ORDER BY i) AS c FROM c GROUP BY ALL),
-s AS (SELECT vec_id AS id, label, sub, list_inner_product(e, c) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(c, c))) AS cos FROM planted JOIN centres USING (label)),
-votes AS (SELECT label, sub, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, sub) AS r FROM s) WHERE r = 1 GROUP BY ALL), dominant AS (SELECT label, sub FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, sub) AS r FROM votes) WHERE r = 1)
-SELECT id, label, dense_rank() OVER (ORDER BY label) - 1 AS new_label FROM s JOIN dominant USING (label, sub) WHERE cos > cos(radians(50))""")
+@register(with_("raised1", "planted") + """, c AS (SELECT label, vec_id % 3 AS sub, i, avg(e[i]) AS x FROM planted, range(1, 65) t(i)
+    GROUP BY ALL), centres AS (SELECT label, sub, list(x ORDER BY i) AS c FROM c GROUP BY ALL),
+s AS (SELECT vec_id AS id, label, sub, list_inner_product(e, c) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(c, c))) AS cos
+    FROM planted JOIN centres USING (label)),
+votes AS (SELECT label, sub, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, sub) AS r FROM s)
+    WHERE r = 1 GROUP BY ALL), dominant AS (SELECT label, sub FROM (SELECT *, row_number() OVER (PARTITION BY label
+        ORDER BY n DESC, sub) AS r FROM votes) WHERE r = 1)
+SELECT id, label, dense_rank() OVER (ORDER BY label) - 1 AS new_label FROM s JOIN dominant USING (label, sub)
+    WHERE cos > cos(radians(50))""")
 def x15_drop_noise(spark, d):
     v = fx.planted(spark, d, 1.0).withColumnRenamed("vec_id", "id")
     centres = templates.combine(v.select("label", (F.col("id") % 3).alias("sub"), "embedding"), ["label", "sub"])
     return training.drop_noise(v, centres, 50)
 
 
-REPEAT = "WITH c AS (SELECT DISTINCT l_orderkey AS image, l_suppkey AS class FROM lineitem), f AS (SELECT class, greatest(1, sqrt(0.01::DOUBLE / (count(*) / (SELECT count(DISTINCT image) FROM c)))) AS f FROM c GROUP BY class)"
+REPEAT = """WITH c AS (SELECT DISTINCT l_orderkey AS image, l_suppkey AS class
+    FROM lineitem), f AS (SELECT class, greatest(1, sqrt(0.01::DOUBLE / (count(*) / (SELECT count(DISTINCT image) FROM c)))) AS f FROM c
+        GROUP BY class)"""
 
 
 @register(REPEAT + " SELECT image, round(max(f), 6) AS factor FROM c JOIN f USING (class) GROUP BY image")
@@ -638,13 +852,18 @@ def x18_identity_balanced(spark, d):
     return training.identity_balanced(rows, 4)
 
 
-@register("SELECT o_custkey AS label, count(*) AS images, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders GROUP BY o_custkey")
+@register("""SELECT o_custkey AS label, count(*) AS images, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders
+    GROUP BY o_custkey""")
 def k11_dataset_properties(spark, d):
-    return training.dataset_properties(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("label")))
+    return training.dataset_properties(
+        fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("label"))
+    )
 
 
-@register("""WITH m AS (SELECT user_id, event_id, event_type, (event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id))::INT AS new FROM events),
-r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m) SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, count(*) AS length FROM r GROUP BY user_id, run""")
+@register("""WITH m AS (SELECT user_id, event_id, event_type, (event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id
+    ORDER BY event_id))::INT AS new FROM events),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m)
+    SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, count(*) AS length FROM r GROUP BY user_id, run""")
 def w6_runs(spark, d):
     return training.runs(fx.table(spark, d, "events"), "user_id", "event_id", "event_type")
 
@@ -665,14 +884,19 @@ def r3_monitor_events(spark, d):
     return monitor.monitor_events(fx.frames(spark, d), RULES)
 
 
-@register(with_("frames") + """, s AS (SELECT *, (micros >= lag(micros) OVER w + 1800000000 OR lag(micros) OVER w IS NULL)::INT AS new FROM frames WHERE person IS NOT NULL WINDOW w AS (PARTITION BY monitor, person ORDER BY micros)),
-g AS (SELECT *, sum(new) OVER (PARTITION BY monitor, person ORDER BY micros) AS k FROM s) SELECT monitor, person, count(*) AS frames, min(micros) AS first_seen, max(micros) AS last_seen FROM g GROUP BY monitor, person, k""")
+@register(with_("frames") + """, s AS (SELECT *, (micros >= lag(micros) OVER w + 1800000000 OR lag(micros) OVER w IS NULL)::INT AS new
+    FROM frames WHERE person IS NOT NULL WINDOW w AS (PARTITION BY monitor, person ORDER BY micros)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY monitor, person ORDER BY micros) AS k FROM s)
+    SELECT monitor, person, count(*) AS frames, min(micros) AS first_seen, max(micros) AS last_seen FROM g GROUP BY monitor, person, k""")
 def r5_presence_sessions(spark, d):
     s = monitor.presence_sessions(fx.frames(spark, d), 1800)
-    return s.select("monitor", "person", "frames", F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("last_seen").alias("last_seen"))
+    return s.select(
+        "monitor", "person", "frames", F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("last_seen").alias("last_seen")
+    )
 
 
-@register(with_("frames") + "SELECT monitor, floor(seconds / 300)::BIGINT AS slot, max(face) AS seq, round(arg_max(seconds, face), 3) AS seconds, count(*) - 1 AS skipped FROM frames GROUP BY ALL")
+@register(with_("frames") + """SELECT monitor, floor(seconds / 300)::BIGINT AS slot, max(face) AS seq, round(arg_max(seconds, face),
+    3) AS seconds, count(*) - 1 AS skipped FROM frames GROUP BY ALL""")
 def r2_latest_frames(spark, d):
     return rounded(monitor.latest_frames(fx.frames(spark, d).withColumnRenamed("face", "seq"), 300.0), "seconds", digits=3)
 
@@ -685,21 +909,34 @@ def r1_rate_limited(spark, d):
 
 @register(sql.R6)
 def r6_cooled(spark, d):
-    e = fx.table(spark, d, "events").select("event_id", "event_type", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("seconds"))
+    e = fx.table(spark, d, "events").select(
+        "event_id", "event_type", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("seconds")
+    )
     return monitor.cooled(e, ["event_type", "user_id"], 3600.0)
 
 
-@register("WITH e AS (SELECT event_id AS sequence, event_type AS type FROM events), n AS (SELECT max(sequence) AS newest FROM e) SELECT sequence, type, newest - 500 > 10 AS truncated, newest > greatest(10, newest - 500) + 100 AS has_more FROM e, n WHERE sequence > greatest(10, newest - 500) AND sequence <= greatest(10, newest - 500) + 100")
+@register("""WITH e AS (SELECT event_id AS sequence, event_type AS type FROM events), n AS (SELECT max(sequence) AS newest FROM e)
+    SELECT sequence, type, newest - 500 > 10 AS truncated, newest > greatest(10, newest - 500) + 100 AS has_more FROM e, n
+        WHERE sequence > greatest(10, newest - 500) AND sequence <= greatest(10, newest - 500) + 100""")
 def r9_event_page(spark, d):
     e = fx.table(spark, d, "events").select(F.col("event_id").alias("sequence"), F.col("event_type").alias("type"))
     return monitor.event_page(e, 500, 10, 100)
 
 
-@register("""WITH s AS (SELECT user_id % 3 AS monitor, event_id AS seconds, user_id AS source, event_type = 'error' AS failed FROM events), c AS (SELECT *, failed::INT - coalesce(lag(failed) OVER (PARTITION BY monitor, source ORDER BY seconds)::INT, 0) AS change FROM s),
-g AS (SELECT monitor, seconds, sum(change) AS change FROM c WHERE change <> 0 GROUP BY ALL), f AS (SELECT *, sum(change) OVER (PARTITION BY monitor ORDER BY seconds) AS failing FROM g)
-SELECT monitor, seconds, CASE WHEN failing - change = 0 THEN 'error' ELSE 'recovered' END AS type FROM f WHERE (failing - change = 0 AND failing > 0) OR (failing - change > 0 AND failing = 0)""")
+@register("""WITH s AS (SELECT user_id % 3 AS monitor, event_id AS seconds, user_id AS source, event_type = 'error' AS failed
+    FROM events), c AS (SELECT *, failed::INT - coalesce(lag(failed) OVER (PARTITION BY monitor, source ORDER BY seconds)::INT, 0) AS change
+        FROM s),
+g AS (SELECT monitor, seconds, sum(change) AS change FROM c WHERE change <> 0 GROUP BY ALL), f AS (SELECT *, sum(change)
+    OVER (PARTITION BY monitor ORDER BY seconds) AS failing FROM g)
+SELECT monitor, seconds, CASE WHEN failing - change = 0 THEN 'error' ELSE 'recovered' END AS type FROM f WHERE (failing - change = 0
+    AND failing > 0) OR (failing - change > 0 AND failing = 0)""")
 def r8_error_edges(spark, d):
-    s = fx.table(spark, d, "events").select((F.col("user_id") % 3).alias("monitor"), F.col("event_id").alias("seconds"), F.col("user_id").alias("source"), (F.col("event_type") == "error").alias("failed"))
+    s = fx.table(spark, d, "events").select(
+        (F.col("user_id") % 3).alias("monitor"),
+        F.col("event_id").alias("seconds"),
+        F.col("user_id").alias("source"),
+        (F.col("event_type") == "error").alias("failed")
+    )
     return monitor.error_edges(s)
 
 
@@ -733,7 +970,12 @@ def s3_all_faces(spark, d):
 @register(sql.S5)
 def s5_media_faces(spark, d):
     e = fx.table(spark, d, "embeddings")
-    faces = e.select(F.col("vec_id").alias("face_id"), (F.col("vec_id") % 300).alias("media_id"), F.when(F.col("vec_id") % 9 != 0, F.col("embedding")).alias("embedding"), F.floor(F.col("vec_id") / 7).alias("created"))
+    faces = e.select(
+        F.col("vec_id").alias("face_id"),
+        (F.col("vec_id") % 300).alias("media_id"),
+        F.when(F.col("vec_id") % 9 != 0, F.col("embedding")).alias("embedding"),
+        F.floor(F.col("vec_id") / 7).alias("created")
+    )
     media = fx.table(spark, d, "pages").select(F.col("page_id").alias("media_id"), F.col("url").alias("path"))
     found = store.media_faces(faces, media).withColumn("one", F.lit(1)).withColumn("back", -F.col("face_id"))
     placed = running_totals(found, "created", ["one"], ties=["back"])
@@ -763,7 +1005,9 @@ def j5_labelled_pairs(spark, d):
 def a13_access_control(spark, d):
     probes, rest = _list_and_probes(spark, d)
     truths = probes.select("query_id", F.when(F.col("person_id") % 3 != 0, F.col("person_id")).alias("truth"))
-    return rounded(evaluation.access_control(truths, search.search_gallery(probes, rest, 5, 0.36), 0.36), "top1", "topk", "unknown_rejection_rate")
+    return rounded(
+        evaluation.access_control(truths, search.search_gallery(probes, rest, 5, 0.36), 0.36), "top1", "topk", "unknown_rejection_rate"
+    )
 
 
 @register(sql.A18)
@@ -798,7 +1042,16 @@ def f25_distances(spark, d):
     held = bx.landmarks_to_distance(at, [(b[0] + 5, b[3])], most=10.0)
     found = bx.distance_to_landmarks((b[0], b[1]), [(F.col("score") * 2, F.lit(0.0))], F.lit(45.0), F.lit(45.0))
     decoded = bx.distance_to_box(centre, (F.lit(5.0), F.lit(6.0), F.lit(12.0), F.lit(7.0)), F.lit(50.0), F.lit(50.0))
-    out = fx.detections(spark, d).select("image", "det", bx.box_to_distance(centre, b)[0].alias("d_left"), bx.box_to_distance(centre, b, most=30.0)[3].alias("d_bottom"), decoded[2].alias("decoded_x2"), marks[0][0].alias("mark_dx"), held[0][1].alias("mark_dy"), found[0][0].alias("mark_x"))
+    out = fx.detections(spark, d).select(
+        "image",
+        "det",
+        bx.box_to_distance(centre, b)[0].alias("d_left"),
+        bx.box_to_distance(centre, b, most=30.0)[3].alias("d_bottom"),
+        decoded[2].alias("decoded_x2"),
+        marks[0][0].alias("mark_dx"),
+        held[0][1].alias("mark_dy"),
+        found[0][0].alias("mark_x")
+    )
     return rounded(out, "d_left", "d_bottom")
 
 
@@ -818,7 +1071,23 @@ def f27_box_codes(spark, d):
     b, side, prior = bx.box(), F.lit(45.0), tuple(F.lit(x) for x in (0.0, 0.0, 40.0, 40.0))
     public, share = bx.public_box((b[0], b[1], b[2] + 0.5, b[3]), side, side), bx.normalized(b, side, side)
     yolo, inclusive = bx.encode_yolo(prior, b, 8.0), bx.encode_inclusive(prior, b)
-    out = fx.detections(spark, d).select("image", "det", public[0].alias("public_x1"), public[2].alias("public_x2"), share[2].alias("share_w"), bx.padded_crop(b, F.lit(50.0), F.lit(50.0))[0].alias("crop_x1"), bx.encode_tblr(prior, b)[0].alias("top"), ((bx.to_cxcywh(b)[0] - 20) / 8 + 0.5).alias("raw_x"), yolo[0].alias("yolo_x"), yolo[2].alias("yolo_w"), inclusive[0].alias("inclusive_dx"), inclusive[3].alias("inclusive_dh"), bx.encode_landmarks(prior, [(b[0] + 3, b[1])])[0][0].alias("mark_x"), bx.flip(b, F.lit(40.0), F.lit(40.0), "diagonal")[0].alias("flipped"), bx.rescale(b, 1.5)[0].alias("wider_x1"))
+    out = fx.detections(spark, d).select(
+        "image",
+        "det",
+        public[0].alias("public_x1"),
+        public[2].alias("public_x2"),
+        share[2].alias("share_w"),
+        bx.padded_crop(b, F.lit(50.0), F.lit(50.0))[0].alias("crop_x1"),
+        bx.encode_tblr(prior, b)[0].alias("top"),
+        ((bx.to_cxcywh(b)[0] - 20) / 8 + 0.5).alias("raw_x"),
+        yolo[0].alias("yolo_x"),
+        yolo[2].alias("yolo_w"),
+        inclusive[0].alias("inclusive_dx"),
+        inclusive[3].alias("inclusive_dh"),
+        bx.encode_landmarks(prior, [(b[0] + 3, b[1])])[0][0].alias("mark_x"),
+        bx.flip(b, F.lit(40.0), F.lit(40.0), "diagonal")[0].alias("flipped"),
+        bx.rescale(b, 1.5)[0].alias("wider_x1")
+    )
     return rounded(out, "share_w", "top", "raw_x", "yolo_x", "yolo_w", "inclusive_dx", "inclusive_dh", "mark_x", "wider_x1")
 
 
@@ -826,7 +1095,13 @@ def f27_box_codes(spark, d):
 def f15_server_quality(spark, d):
     q, yaw, pitch, roll, w, h = F.col("value") % 100 / 100, F.col("user_id") % 90 - 45, F.col("event_id") % 60 - 30, F.col("event_id") % 40 - 20, F.col("event_id") % 120, F.col("user_id") % 100
     why = {"dark": q < 0.3, "small": w < 40, "blurred": F.abs(yaw) > 30}
-    e = fx.table(spark, d, "events").select("event_id", sc.server_quality(q, 1 - q, q, w, h, yaw, pitch, roll).alias("server"), sc.studio_quality(q, w / 120, 1 - q, h / 100, q).alias("studio"), sc.sharpness(w).alias("sharp"), F.array_join(sc.flags(why), ",").alias("flags"))
+    e = fx.table(spark, d, "events").select(
+        "event_id",
+        sc.server_quality(q, 1 - q, q, w, h, yaw, pitch, roll).alias("server"),
+        sc.studio_quality(q, w / 120, 1 - q, h / 100, q).alias("studio"),
+        sc.sharpness(w).alias("sharp"),
+        F.array_join(sc.flags(why), ",").alias("flags")
+    )
     return rounded(e, "server", "studio", "sharp")
 
 
@@ -843,19 +1118,39 @@ def f30_gaze(spark, d):
     p, y = (F.col("event_id") % 60 - 30) / 40, (F.col("user_id") % 80 - 40) / 30
     v = bx.gaze_vector(p, y)
     back = bx.gaze_angles(*v)
-    return rounded(fx.table(spark, d, "events").select("event_id", v[0].alias("gx"), v[1].alias("gy"), v[2].alias("gz"), back[0].alias("pitch"), back[1].alias("yaw")), "gx", "gy", "gz", "pitch", "yaw")
+    return rounded(
+        fx.table(spark, d, "events").select(
+            "event_id", v[0].alias("gx"), v[1].alias("gy"), v[2].alias("gz"), back[0].alias("pitch"), back[1].alias("yaw")
+        ),
+        "gx",
+        "gy",
+        "gz",
+        "pitch",
+        "yaw"
+    )
 
 
 @register(sql.F37)
 def f37_trusted_vectors(spark, d):
-    e = F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0.0))).when(F.col("vec_id") % 7 == 0, F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 32)).otherwise(F.transform("embedding", lambda x: x.cast("double") * 3))
+    e = F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0.0))).when(
+        F.col("vec_id") % 7 == 0, F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 32)
+    ).otherwise(F.transform("embedding", lambda x: x.cast("double") * 3))
     made = fx.table(spark, d, "embeddings").select("vec_id", sc.trusted_vector(e, F.lit(64)).alias("v"))
     return rounded(made.select("vec_id", F.col("v").isNotNull().alias("trusted"), F.col("v")[0].alias("first")), "first")
 
 
 @register(sql.F38)
 def f38_nme(spark, d):
-    p = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("face"), (F.col("l_linenumber") % 3).alias("i"), (F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") % 30).alias("y"), F.col("l_quantity").alias("z"), (F.col("l_partkey") % 47).alias("tx"), (F.col("l_suppkey") % 31).alias("ty"), (F.col("l_quantity") + F.col("l_discount")).alias("tz"))
+    p = fx.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("face"),
+        (F.col("l_linenumber") % 3).alias("i"),
+        (F.col("l_partkey") % 50).alias("x"),
+        (F.col("l_suppkey") % 30).alias("y"),
+        F.col("l_quantity").alias("z"),
+        (F.col("l_partkey") % 47).alias("tx"),
+        (F.col("l_suppkey") % 31).alias("ty"),
+        (F.col("l_quantity") + F.col("l_discount")).alias("tz")
+    )
     return rounded(templates.nme(p, by="box").where("nme is not null").withColumnRenamed("nme", "by_box"), "by_box")
 
 
@@ -868,8 +1163,12 @@ def k3_insert_faces(spark, d):
 
 @register(sql.K10)
 def k10_append_runs(spark, d):
-    runs = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("note"))
-    return store.append_runs(runs, fx.table(spark, d, "customer").select(F.col("c_custkey").alias("position"), F.col("c_acctbal").alias("score")))
+    runs = fx.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("note")
+    )
+    return store.append_runs(
+        runs, fx.table(spark, d, "customer").select(F.col("c_custkey").alias("position"), F.col("c_acctbal").alias("score"))
+    )
 
 
 @register(sql.K12)
@@ -883,8 +1182,12 @@ def k12_hub(spark, d):
 
 @register(sql.U4)
 def u4_merged_sets(spark, d):
-    a = fx.table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
-    return store.merged_sets(a, fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score")), "id")
+    a = fx.table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(
+        F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score")
+    )
+    return store.merged_sets(
+        a, fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score")), "id"
+    )
 
 
 @register(sql.U6)
@@ -902,12 +1205,20 @@ def j10_new_paths(spark, d):
 @register(sql.J11)
 def j11_gallery_positions(spark, d):
     gallery = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("subject"), (F.col("n_nationkey") * 10).alias("template"))
-    return templates.gallery_positions(gallery, fx.table(spark, d, "customer").select(F.col("c_custkey").alias("probe"), F.col("c_nationkey").alias("subject")))
+    return templates.gallery_positions(
+        gallery, fx.table(spark, d, "customer").select(F.col("c_custkey").alias("probe"), F.col("c_nationkey").alias("subject"))
+    )
 
 
 @register(sql.R11)
 def r11_session_state(spark, d):
-    f = fx.frames(spark, d).select("monitor", F.col("face").alias("seq"), "seconds", F.col("person").isNotNull().cast("int").alias("matched"), F.col("person").isNull().cast("int").alias("unknown"))
+    f = fx.frames(spark, d).select(
+        "monitor",
+        F.col("face").alias("seq"),
+        "seconds",
+        F.col("person").isNotNull().cast("int").alias("matched"),
+        F.col("person").isNull().cast("int").alias("unknown")
+    )
     return rounded(monitor.session_state(f), "last_seconds", digits=3)
 
 
@@ -931,7 +1242,9 @@ def t11_argmax(spark, d):
 @register(sql.T17)
 def t17_frame_search(spark, d):
     probes, rest = _list_and_probes(spark, d)
-    faces = probes.select("query_id", F.floor(F.col("query_id") / 200).alias("frame"), (F.col("query_id") * 37 % 101).alias("area"), "embedding")
+    faces = probes.select(
+        "query_id", F.floor(F.col("query_id") / 200).alias("frame"), (F.col("query_id") * 37 % 101).alias("area"), "embedding"
+    )
     return rounded(search.frame_search(faces, rest, 2, 0.35), "score").withColumn("place", F.col("place").cast("long"))
 
 

@@ -37,7 +37,9 @@ def read_landmarks(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``name 10 numbers score``: (image, landmarks array of 5 points, face_score)."""
     parts = F.split(F.trim("value"), r"\s+")
     numbers = F.transform(F.slice(parts, 2, 10), lambda x: x.cast("double"))
-    points = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.array(F.element_at(numbers, 2 * i + 1), F.element_at(numbers, 2 * i + 2)))
+    points = F.transform(
+        F.sequence(F.lit(0), F.lit(4)), lambda i: F.array(F.element_at(numbers, 2 * i + 1), F.element_at(numbers, 2 * i + 2))
+    )
     return spark.read.text(path).select(parts[0].alias("image"), points.alias("landmarks"), parts[11].cast("double").alias("face_score"))
 
 
@@ -46,7 +48,11 @@ def read_pairs_csv(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.csv(path, header=True)
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     pick = lambda *names: F.coalesce(*[F.col(n) for n in names if n in df.columns], F.lit(None))
-    return df.select(pick("image1", "image1_path").alias("image1"), pick("image2", "image2_path").alias("image2"), F.coalesce(pick("label").cast("int"), F.lit(0)).alias("label"))
+    return df.select(
+        pick("image1", "image1_path").alias("image1"),
+        pick("image2", "image2_path").alias("image2"),
+        F.coalesce(pick("label").cast("int"), F.lit(0)).alias("label")
+    )
 
 
 def match_truth(images: DataFrame, truth: DataFrame) -> DataFrame:
@@ -82,21 +88,49 @@ def read_face_labels(lines: DataFrame, least: float = 0.0) -> DataFrame:
     head = F.split(F.trim(F.regexp_replace("section.value", r"^#\s*", "")), r"\s+")
     rows = rows.select("file", F.col("section.line").alias("section"), "line", head.alias("head"), numbers.alias("n"))
     x1, y1, x2, y2 = (F.element_at("n", i) for i in (1, 2, 3, 4))
-    point = lambda k: F.struct(F.element_at("n", F.lit(5 + 3 * k)).alias("x"), F.element_at("n", F.lit(6 + 3 * k)).alias("y"), F.when(F.element_at("n", F.lit(5 + 3 * k)) < 0, 0.0).otherwise(1.0).alias("weight"))
+    point = lambda k: F.struct(
+        F.element_at("n", F.lit(5 + 3 * k)).alias("x"),
+        F.element_at("n", F.lit(6 + 3 * k)).alias("y"),
+        F.when(F.element_at("n", F.lit(5 + 3 * k)) < 0, 0.0).otherwise(1.0).alias("weight")
+    )
     marks = F.when(F.size("n") == 19, F.array(*[point(k) for k in range(5)]))
     ignore = F.greatest(x2 - x1, y2 - y1) < least
     order = Window.partitionBy("file", "section").orderBy("line")
-    return rows.select(F.col("head")[0].alias("image"), F.try_element_at("head", F.lit(2)).cast("int").alias("width"), F.try_element_at("head", F.lit(3)).cast("int").alias("height"), (F.row_number().over(order) - 1).alias("box"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), marks.alias("landmarks"), ignore.alias("ignore"))
+    return rows.select(
+        F.col("head")[0].alias("image"),
+        F.try_element_at("head", F.lit(2)).cast("int").alias("width"),
+        F.try_element_at("head", F.lit(3)).cast("int").alias("height"),
+        (F.row_number().over(order) - 1).alias("box"),
+        x1.alias("x1"),
+        y1.alias("y1"),
+        x2.alias("x2"),
+        y2.alias("y2"),
+        marks.alias("landmarks"),
+        ignore.alias("ignore")
+    )
 
 
 def read_face_boxes(lines: DataFrame) -> DataFrame:
     """Lists of ``--image.jpg`` lines (or bare image paths), a count and box rows ``x y w h ...``; the last image counts too."""
     rows = sections(lines, r"(?i)(^--|\.(jpg|png)$)")
     parts = F.split(F.trim("value"), r"\s+")
-    boxes = rows.where(F.size(parts) >= 4).select("file", F.col("section.value").alias("image"), F.col("section.line").alias("section"), "line", F.transform(parts, lambda x: x.cast("double")).alias("n"))
+    boxes = rows.where(F.size(parts) >= 4).select(
+        "file",
+        F.col("section.value").alias("image"),
+        F.col("section.line").alias("section"),
+        "line",
+        F.transform(parts, lambda x: x.cast("double")).alias("n")
+    )
     order = Window.partitionBy("file", "section").orderBy("line")
     n = lambda i: F.element_at("n", F.lit(i))
-    return boxes.select(F.regexp_replace("image", "^--", "").alias("image"), (F.row_number().over(order) - 1).alias("box"), n(1).alias("x1"), n(2).alias("y1"), (n(1) + n(3)).alias("x2"), (n(2) + n(4)).alias("y2"))
+    return boxes.select(
+        F.regexp_replace("image", "^--", "").alias("image"),
+        (F.row_number().over(order) - 1).alias("box"),
+        n(1).alias("x1"),
+        n(2).alias("y1"),
+        (n(1) + n(3)).alias("x2"),
+        (n(2) + n(4)).alias("y2")
+    )
 
 
 COCO = "images array<struct<id long, file_name string, width long, height long>>, annotations array<struct<id long, image_id long, category_id long, bbox array<double>, area double, iscrowd int>>, categories array<struct<id long, name string>>"
@@ -110,7 +144,16 @@ def read_coco(spark: SparkSession, path: str, least_side: float = 1.0) -> tuple[
     notes = doc.select(F.explode("annotations").alias("a")).select("a.*")
     x, y, w, h = (F.col("bbox")[i] for i in range(4))
     boxes = notes.where((w >= least_side) & (h >= least_side) & (F.col("area") > 0)).join(F.broadcast(categories), "category_id")
-    return images, boxes.select(F.col("image_id").alias("image"), "class", F.col("id").alias("gt"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), (F.coalesce("iscrowd", F.lit(0)) == 1).alias("ignore"))
+    return images, boxes.select(
+        F.col("image_id").alias("image"),
+        "class",
+        F.col("id").alias("gt"),
+        x.alias("x1"),
+        y.alias("y1"),
+        (x + w).alias("x2"),
+        (y + h).alias("y2"),
+        (F.coalesce("iscrowd", F.lit(0)) == 1).alias("ignore")
+    )
 
 
 VOC = "filename string, size struct<width int, height int>, object array<struct<name string, difficult int, bndbox struct<xmin double, ymin double, xmax double, ymax double>>>"
@@ -125,12 +168,27 @@ def read_voc(spark: SparkSession, path: str, classes: list[str], least_side: flo
     doc = spark.read.format("xml").option("rowTag", "annotation").schema(VOC).load(path)
     found = doc.select("filename", F.posexplode("object").alias("gt", "o"))
     at = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("o.name")) - 1
-    return found.where(at >= 0).select(F.col("filename").alias("image"), at.cast("int").alias("class"), F.col("gt").cast("long").alias("gt"), *[(F.col(f"o.bndbox.{s}") - 1).alias(d) for s, d in (("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2"))], ((F.coalesce("o.difficult", F.lit(0)) == 1) | (F.least(F.col("o.bndbox.xmax") - F.col("o.bndbox.xmin"), F.col("o.bndbox.ymax") - F.col("o.bndbox.ymin")) < least_side)).alias("ignore"))
+    return found.where(at >= 0).select(
+        F.col("filename").alias("image"),
+        at.cast("int").alias("class"),
+        F.col("gt").cast("long").alias("gt"),
+        *[(F.col(f"o.bndbox.{s}") - 1).alias(d) for s, d in (("xmin", "x1"), ("ymin", "y1"), ("xmax", "x2"), ("ymax", "y2"))],
+        (
+            (F.coalesce("o.difficult", F.lit(0)) == 1) | (
+                F.least(F.col("o.bndbox.xmax") - F.col("o.bndbox.xmin"), F.col("o.bndbox.ymax") - F.col("o.bndbox.ymin")) < least_side
+            )
+        ).alias("ignore")
+    )
 
 
 def coco_results(dets: DataFrame) -> DataFrame:
     """Detections as COCO result lines: one JSON object a row."""
-    body = F.struct(F.col("image").alias("image_id"), F.col("class").alias("category_id"), F.array("x1", "y1", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")).alias("bbox"), "score")
+    body = F.struct(
+        F.col("image").alias("image_id"),
+        F.col("class").alias("category_id"),
+        F.array("x1", "y1", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")).alias("bbox"),
+        "score"
+    )
     return dets.select(F.to_json(body).alias("value"))
 
 
@@ -162,7 +220,9 @@ def read_feature_files(spark: SparkSession, folder: str, glob: str = "*.bin", fi
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
     embedding = decode("content")
-    return files.select("path", (F.concat(embedding, F.array(F.lit(fill).cast("float"))) if fill is not None else embedding).alias("embedding"))
+    return files.select(
+        "path", (F.concat(embedding, F.array(F.lit(fill).cast("float"))) if fill is not None else embedding).alias("embedding")
+    )
 
 
 def decode_float_blob(column: str):
@@ -183,20 +243,35 @@ def markdown_report(title: str, metrics: DataFrame, most: int = 1000) -> str:
 
 def read_face_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Folders ``event/image.txt`` of a name, a count and rows ``x y w h score``: detections by image, in file order."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").withColumn("file", F.input_file_name())
+    files = spark.read.text(
+        folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt"
+    ).withColumn("file", F.input_file_name())
     lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     parts = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double"))
-    rows = lines.where((F.col("line") >= 2) & (F.size(F.split(F.trim("value"), r"\s+")) >= 5)).select("file", F.col("line").cast("long").alias("line"), parts.alias("n"))
+    rows = lines.where(
+        (F.col("line") >= 2) & (F.size(F.split(F.trim("value"), r"\s+")) >= 5)
+    ).select("file", F.col("line").cast("long").alias("line"), parts.alias("n"))
     n = lambda i: F.element_at("n", F.lit(i))
     path = F.split("file", "/")
-    return rows.select(F.element_at(path, -2).alias("event"), F.regexp_replace(F.element_at(path, -1), r"\.txt$", "").alias("image"), (F.col("line") - 2).alias("det"), n(1).alias("x1"), n(2).alias("y1"), (n(1) + n(3)).alias("x2"), (n(2) + n(4)).alias("y2"), n(5).alias("score"))
+    return rows.select(
+        F.element_at(path, -2).alias("event"),
+        F.regexp_replace(F.element_at(path, -1), r"\.txt$", "").alias("image"),
+        (F.col("line") - 2).alias("det"),
+        n(1).alias("x1"),
+        n(2).alias("y1"),
+        (n(1) + n(3)).alias("x2"),
+        (n(2) + n(4)).alias("y2"),
+        n(5).alias("score")
+    )
 
 
 def html_report(title: str, metrics: DataFrame, most: int = 1000) -> str:
     """An HTML table of ``metrics (metric, value)``, at most ``most`` rows."""
     from html import escape
 
-    cells = [f"<tr><td>{escape(str(r['metric']))}</td><td>{'insufficient data' if r['value'] is None else f'{r['value']:.6g}'}</td></tr>" for r in metrics.limit(most).collect()]
+    cells = [
+        f"<tr><td>{escape(str(r['metric']))}</td><td>{'insufficient data' if r['value'] is None else f'{r['value']:.6g}'}</td></tr>" for r in metrics.limit(most).collect()
+    ]
     return f"<!doctype html><title>{escape(title)}</title><h1>{escape(title)}</h1><table>{''.join(cells)}</table>\n"
 
 
@@ -220,11 +295,22 @@ def read_lvis(spark: SparkSession, path: str, least_side: float = 1.0) -> tuple[
     images = image.select("id", name.alias("file_name"), "width", "height", "neg_category_ids", "not_exhaustive_category_ids")
     ids = F.array_sort(F.transform("categories", lambda c: c["id"]))
     classes = doc.select(F.posexplode(ids).alias("class", "category_id"))
-    categories = doc.select(F.explode("categories").alias("c")).select("c.*").join(F.broadcast(classes), F.col("id") == F.col("category_id")).select("class", "category_id", "name", "frequency")
+    categories = doc.select(F.explode("categories").alias("c")).select("c.*").join(
+        F.broadcast(classes), F.col("id") == F.col("category_id")
+    ).select("class", "category_id", "name", "frequency")
     notes = doc.select(F.explode("annotations").alias("a")).select("a.*")
     x, y, w, h = (F.col("bbox")[i] for i in range(4))
     kept = notes.where((w >= least_side) & (h >= least_side) & (F.col("area") > 0)).join(F.broadcast(classes), "category_id")
-    boxes = kept.select(F.col("image_id").alias("image"), "class", F.col("id").alias("gt"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), F.lit(False).alias("ignore"))
+    boxes = kept.select(
+        F.col("image_id").alias("image"),
+        "class",
+        F.col("id").alias("gt"),
+        x.alias("x1"),
+        y.alias("y1"),
+        (x + w).alias("x2"),
+        (y + h).alias("y2"),
+        F.lit(False).alias("ignore")
+    )
     return images, boxes, categories
 
 
@@ -262,7 +348,9 @@ def decode_images(files: DataFrame, decode, most_bytes: int = 10 << 20, most_pix
     def run(frames):
         for frame in frames:
             made = [one(*row) for row in frame.itertuples(index=False)]
-            yield pd.DataFrame(made, columns=["path", "status", "height", "width", "channels", "pixels"]).astype({"height": "Int32", "width": "Int32", "channels": "Int32"})
+            yield pd.DataFrame(
+                made, columns=["path", "status", "height", "width", "channels", "pixels"]
+            ).astype({"height": "Int32", "width": "Int32", "channels": "Int32"})
 
     return rows.mapInPandas(run, "path string, status string, height int, width int, channels int, pixels binary")
 
@@ -273,7 +361,9 @@ def verification_pairs(images: DataFrame, same: DataFrame) -> DataFrame:
     Pairs without both images are left out. Pickled sets are to be turned into tables once: a pickle of
     unknown origin is a program.
     """
-    side = lambda k, name: images.where(F.col("idx") % 2 == k).select(F.floor(F.col("idx") / 2).alias("pair_idx"), F.col("content").alias(name))
+    side = lambda k, name: images.where(F.col("idx") % 2 == k).select(
+        F.floor(F.col("idx") / 2).alias("pair_idx"), F.col("content").alias(name)
+    )
     return same.select("pair_idx", "label").join(side(0, "first"), "pair_idx").join(side(1, "second"), "pair_idx")
 
 
@@ -283,11 +373,17 @@ def pdf_report(title: str, metrics: DataFrame, most: int = 1000, lines: int = 48
     pages = [rows[i : i + lines] for i in range(0, len(rows), lines)] or [[]]
     safe = lambda t: t.encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
     kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode(), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode(),
+        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"
+    ]
     for i, page in enumerate(pages):
         shown = [title, "", *page]
         text = b"BT /F1 11 Tf 14 TL 50 800 Td " + b" ".join(b"(" + safe(t) + b") Tj T*" for t in shown) + b" ET"
-        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * i} 0 R >>".encode())
+        objects.append(
+            f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * i} 0 R >>".encode()
+        )
         objects.append(f"<< /Length {len(text)} >>\nstream\n".encode() + text + b"\nendstream")
     out, at = b"%PDF-1.4\n", []
     for i, body in enumerate(objects, 1):

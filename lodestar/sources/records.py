@@ -41,10 +41,14 @@ def _decoded(files: DataFrame, rows_of, names: list[str], types: list[pa.DataTyp
                     held.append((path, *row))
                     size += len(row[-1])
                     if size > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names
+                        )
                         held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names
+                    )
 
     return files.select("path", "content").mapInArrow(run, schema)
 
@@ -53,7 +57,13 @@ def read_records(spark: SparkSession, folder: str, glob: str = "*.rec") -> DataF
     """(path, id, labels, content) of record files; the row of id 0 with two labels is a header of id ranges, where there is one."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
     types = [pa.string(), pa.int64(), pa.list_(pa.float32()), pa.binary()]
-    return _decoded(files, lambda raw: map(parse_record, split_records(raw)), ["path", "id", "labels", "content"], types, "path string, id long, labels array<float>, content binary")
+    return _decoded(
+        files,
+        lambda raw: map(parse_record, split_records(raw)),
+        ["path", "id", "labels", "content"],
+        types,
+        "path string, id long, labels array<float>, content binary"
+    )
 
 
 def split_pairs(raw: bytes) -> Iterator[tuple[bytes, bytes]]:

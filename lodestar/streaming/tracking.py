@@ -22,7 +22,11 @@ class Motion:
     def __init__(self, z: np.ndarray):
         h = z[3]
         self.mean = np.concatenate([z, np.zeros(4)])
-        self.cov = np.diag(np.square([2 * POSITION * h, 2 * POSITION * h, 1e-2, 2 * POSITION * h, 10 * VELOCITY * h, 10 * VELOCITY * h, 1e-5, 10 * VELOCITY * h]))
+        self.cov = np.diag(
+            np.square(
+                [2 * POSITION * h, 2 * POSITION * h, 1e-2, 2 * POSITION * h, 10 * VELOCITY * h, 10 * VELOCITY * h, 1e-5, 10 * VELOCITY * h]
+            )
+        )
 
     def predict(self, moving: bool) -> None:
         if not moving:
@@ -101,7 +105,17 @@ class Tracker:
         for j in left:
             if high_scores[j] >= NEW:
                 self.last += 1
-                self.tracks.append({"track": self.last, "motion": Motion(_z(high[j])), "state": "tracked", "seen": self.now, "born": self.now, "score": high_scores[j], "sure": self.now == 1})
+                self.tracks.append(
+                    {
+                        "track": self.last,
+                        "motion": Motion(_z(high[j])),
+                        "state": "tracked",
+                        "seen": self.now,
+                        "born": self.now,
+                        "score": high_scores[j],
+                        "sure": self.now == 1
+                    }
+                )
         self.tracks = [t for t in self.tracks if (t["sure"] or t["seen"] == self.now) and self.now - t["seen"] <= self.buffer]
         self._drop_twins()
         return [(t["track"], float(t["score"]), t["motion"].box()) for t in self.tracks if t["sure"] and t["state"] == "tracked"]
@@ -146,4 +160,10 @@ def track_boxes(detections: DataFrame, key: str = "video", buffer: int = 30) ->
     """Tracks of ``detections (key, frame, det, x1, y1, x2, y2, score)``, one video folded in order of frame in one task, a batch at a time."""
     kind = dict(detections.dtypes)[key]
     rows = detections.select(key, "frame", "det", *BOX, "score")
-    return fold_by_key(rows, [key], ["frame", "det"], lambda k: _Folded(key, k[0], buffer), f"{key} {kind}, frame long, track long, score double, x1 double, y1 double, x2 double, y2 double")
+    return fold_by_key(
+        rows,
+        [key],
+        ["frame", "det"],
+        lambda k: _Folded(key, k[0], buffer),
+        f"{key} {kind}, frame long, track long, score double, x1 double, y1 double, x2 double, y2 double"
+    )

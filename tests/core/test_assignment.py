@@ -45,14 +45,20 @@ def test_coco_summary_matches_plain_interpolation(spark):
     hits = np.cumsum([m[3] for m in sorted(marks)])
     recall, precision = hits / len(grows), hits / np.arange(1, len(hits) + 1)
     want = np.mean([max(precision[recall >= t - 1e-9], default=0.0) for t in np.linspace(0, 1, 101)])
-    got = detection_eval.coco_summary(spark.createDataFrame(drows, DETS), spark.createDataFrame(grows, GTS)).where("area = 'all' and threshold = 0.5").first()
+    got = detection_eval.coco_summary(
+        spark.createDataFrame(drows, DETS), spark.createDataFrame(grows, GTS)
+    ).where("area = 'all' and threshold = 0.5").first()
     assert got["ap"] == pytest.approx(want) and got["recall"] == pytest.approx(recall[-1])
 
 
 def test_crowds_make_detections_neither(spark):
     gts = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 100.0, 100.0, True), (1, 0, 2, 200.0, 0.0, 240.0, 40.0, False)], GTS)
-    dets = spark.createDataFrame([(1, 0, k, 10.0 * k, 10.0, 10.0 * k + 9, 20.0, 0.9) for k in range(5)] + [(1, 0, 9, 200.0, 0.0, 240.0, 40.0, 0.5)], DETS)
-    assert detection_eval.coco_matches(dets, gts).where("area = 'all' and threshold = 0.5").agg(F.sum("tp"), F.sum("fp")).first()[:] == (1, 0)
+    dets = spark.createDataFrame(
+        [(1, 0, k, 10.0 * k, 10.0, 10.0 * k + 9, 20.0, 0.9) for k in range(5)] + [(1, 0, 9, 200.0, 0.0, 240.0, 40.0, 0.5)], DETS
+    )
+    assert detection_eval.coco_matches(dets, gts).where(
+        "area = 'all' and threshold = 0.5"
+    ).agg(F.sum("tp"), F.sum("fp")).first()[:] == (1, 0)
     assert detection_eval.face_ap(dets, gts.withColumn("counts", ~F.col("ignore")), 0.5).first()["ap"] < 1.0
 
 
@@ -64,7 +70,10 @@ def test_similarity_transform_is_recovered():
 
 
 def test_samplers_balance(spark):
-    rows = spark.createDataFrame([(1, k, k % 2 if k < 6 else (2 if k == 6 else -1), 0.05 * (k % 10)) for k in range(40)], "image long, det long, assigned long, iou double")
+    rows = spark.createDataFrame(
+        [(1, k, k % 2 if k < 6 else (2 if k == 6 else -1), 0.05 * (k % 10)) for k in range(40)],
+        "image long, det long, assigned long, iou double"
+    )
     got = assignment.instance_balanced_sample(rows, 3).collect()
     assert {x["assigned"] for x in got} == {0, 1, 2}
     slots = [x["slot"] for x in assignment.iou_balanced_sample(rows, 9).collect()]
@@ -76,7 +85,9 @@ def test_samplers_balance(spark):
 def test_strict_review_extends_its_references(spark):
     refs = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 2, [0.0, 1.0])], "vector_id long, person_id long, embedding array<double>")
     rows = [(5, 0, 10, 3, [0.6, 0.8]), (5, 1, 11, 3, [0.61, 0.79]), (5, 2, 12, 1, [0.1, 0.99]), (6, 0, 13, 1, [0.9, 0.4])]
-    out = assignment.strict_review(spark.createDataFrame(rows, "request long, position long, query_id long, person_id long, embedding array<double>"), refs).orderBy("request", "position").collect()
+    out = assignment.strict_review(
+        spark.createDataFrame(rows, "request long, position long, query_id long, person_id long, embedding array<double>"), refs
+    ).orderBy("request", "position").collect()
     assert [x["accepted"] for x in out] == [True, True, False, True]
 
 
@@ -93,7 +104,13 @@ def test_landmark_and_bucket_codes_are_inverse(spark):
     a, b = tuple(F.lit(float(x)) for x in (10, 20, 50, 80)), tuple(F.lit(float(x)) for x in (14, 18, 61, 90))
     ((x, y),) = bx.decode_landmarks(a, bx.encode_landmarks(a, [(F.lit(33.0), F.lit(44.0))]))
     codes = bx.encode_buckets(a, b, 14)
-    row = spark.range(1).select(x.alias("x"), y.alias("y"), F.array(*bx.decode_inclusive(a, bx.encode_inclusive(a, b))).alias("d"), F.array(*bx.decode_buckets(a, codes, 14)).alias("k"), codes[0]["offset"].alias("o")).first()
+    row = spark.range(1).select(
+        x.alias("x"),
+        y.alias("y"),
+        F.array(*bx.decode_inclusive(a, bx.encode_inclusive(a, b))).alias("d"),
+        F.array(*bx.decode_buckets(a, codes, 14)).alias("k"),
+        codes[0]["offset"].alias("o")
+    ).first()
     assert (row["x"], row["y"]) == pytest.approx((33, 44)) and row["d"] == pytest.approx([14, 18, 61, 90]) and row["k"] == pytest.approx([14, 18, 61, 90]) and abs(row["o"]) <= 0.5
 
 
@@ -102,7 +119,11 @@ def test_batches_and_replicas_are_full(spark):
 
     rows = spark.createDataFrame([(i, i % 3 if i < 20 else 5) for i in range(21)], "id long, group long")
     got = training.grouped_batches(rows, 4).collect()
-    assert all(n == 4 for n in {(x["group"], x["batch"]): sum((y["group"], y["batch"]) == (x["group"], x["batch"]) for y in got) for x in got}.values())
+    assert all(
+        n == 4 for n in {
+            (x["group"], x["batch"]): sum((y["group"], y["batch"]) == (x["group"], x["batch"]) for y in got) for x in got
+        }.values()
+    )
     assert {x["id"] for x in got} == set(range(21)) and len({x["group"] for x in got if x["id"] == 20}) == 1
     dealt = training.replica_of(rows, 4).collect()
     assert [sum(x["replica"] == r for x in dealt) for r in range(4)] == [6] * 4 and {x["id"] for x in dealt} == set(range(21))
@@ -114,7 +135,9 @@ def test_prediction_folders_and_reports(spark, tmp_path):
     (tmp_path / "p" / "0--Parade").mkdir(parents=True)
     (tmp_path / "p" / "0--Parade" / "a_1.txt").write_text("0--Parade/a_1.jpg\n2\n1 2 3 4 0.9\n5 6 7 8 0.5\n")
     got = files.read_face_predictions(spark, str(tmp_path / "p")).orderBy("det").collect()
-    assert [(x["event"], x["image"], x["det"], x["x2"], x["score"]) for x in got] == [("0--Parade", "a_1", 0, 4.0, 0.9), ("0--Parade", "a_1", 1, 12.0, 0.5)]
+    assert [(x["event"], x["image"], x["det"], x["x2"], x["score"]) for x in got] == [
+        ("0--Parade", "a_1", 0, 4.0, 0.9), ("0--Parade", "a_1", 1, 12.0, 0.5)
+    ]
     metrics = spark.createDataFrame([("a<b", 0.25)], "metric string, value double")
     assert "a&lt;b</td><td>0.25" in files.html_report("T", metrics) and files.json_report(metrics) == '{"a<b": 0.25}'
 

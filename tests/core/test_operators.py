@@ -43,7 +43,16 @@ def test_half_precisions_match_numpy(spark):
 
 def test_cosine_of_odd_vectors(spark):
     null = F.lit(None).cast("array<double>")
-    row = one(spark, a=vec.cosine(arr(1, 0), arr(0, 1)), b=vec.cosine(arr(1, 0), arr(1)), c=vec.cosine(null, arr(1)), d=vec.cosine(arr(2, 0), arr(3, 0)), z=vec.normalize(arr(0, 0)), u=vec.is_unit(arr(1, 0), 2), n=vec.is_unit(arr(1, float("nan")), 2))
+    row = one(
+        spark,
+        a=vec.cosine(arr(1, 0), arr(0, 1)),
+        b=vec.cosine(arr(1, 0), arr(1)),
+        c=vec.cosine(null, arr(1)),
+        d=vec.cosine(arr(2, 0), arr(3, 0)),
+        z=vec.normalize(arr(0, 0)),
+        u=vec.is_unit(arr(1, 0), 2),
+        n=vec.is_unit(arr(1, float("nan")), 2)
+    )
     assert (row["a"], row["b"], row["c"], row["d"], row["z"], row["u"], row["n"]) == (0.0, 0.0, 0.0, 1.0, [0.0, 0.0], True, False)
 
 
@@ -60,8 +69,13 @@ def test_search_matches_numpy_in_any_blocks(spark, block_bytes):
     r = np.random.default_rng(4)
     g = r.normal(size=(200, 8)).round(1)
     person = r.integers(0, 20, size=200)
-    gallery = spark.createDataFrame([(i, int(person[i]), g[i].tolist()) for i in range(200)] + [(999, 1, None)], "vector_id long, person_id long, embedding array<double>").repartition(5)
-    queries = spark.createDataFrame([(i, int(person[i]), g[i].tolist()) for i in range(0, 200, 20)], "query_id long, person_id long, embedding array<double>")
+    gallery = spark.createDataFrame(
+        [(i, int(person[i]), g[i].tolist()) for i in range(200)] + [(999, 1, None)],
+        "vector_id long, person_id long, embedding array<double>"
+    ).repartition(5)
+    queries = spark.createDataFrame(
+        [(i, int(person[i]), g[i].tolist()) for i in range(0, 200, 20)], "query_id long, person_id long, embedding array<double>"
+    )
     scores = g[::20] @ g.T
     faces, persons = {}, {}
     for k, s in enumerate(scores):
@@ -143,7 +157,10 @@ def test_kfold_accuracy_matches_numpy(spark):
 
 
 def test_open_set_counts_failures_in_the_denominator(spark):
-    probes = spark.createDataFrame([(1, 1, 1, 0.9, 0.2), (2, 2, 3, 0.6, 0.6), (3, None, 5, 0.5, None), (4, None, 5, 0.4, None)], "query_id long, truth long, best long, score double, wrong_score double")
+    probes = spark.createDataFrame(
+        [(1, 1, 1, 0.9, 0.2), (2, 2, 3, 0.6, 0.6), (3, None, 5, 0.5, None), (4, None, 5, 0.4, None)],
+        "query_id long, truth long, best long, score double, wrong_score double"
+    )
     got = evaluation.open_set(probes, [0.25]).first()
     assert got["budget"] == 1 and got["tar"] == 0.5
 
@@ -184,7 +201,9 @@ def test_nms_matches_plain_greed(spark, pixel, inclusive):
         want |= {r[2] for r in kept}
     assert {x["det"] for x in detection.nms(dets, 0.4, pixel=pixel, inclusive=inclusive).collect()} == want
     assert detection.nms(dets.limit(0), 0.4).count() == 0
-    assert detection.greedy_keep(boxes(np.random.default_rng(5), 300), 0.3, block=7).tolist() == detection.greedy_keep(boxes(np.random.default_rng(5), 300), 0.3).tolist()
+    assert detection.greedy_keep(
+        boxes(np.random.default_rng(5), 300), 0.3, block=7
+    ).tolist() == detection.greedy_keep(boxes(np.random.default_rng(5), 300), 0.3).tolist()
 
 
 def test_hungarian_is_optimal():
@@ -194,26 +213,41 @@ def test_hungarian_is_optimal():
         to = detection.hungarian(cost)
         got = sum(cost[i, j] for i, j in enumerate(to) if j >= 0)
         a, b = (cost, m) if n <= m else (cost.T, n)
-        assert (to >= 0).sum() == min(n, m) and got == pytest.approx(min(sum(a[i, p[i]] for i in range(len(a))) for p in itertools.permutations(range(b), len(a))))
+        assert (to >= 0).sum() == min(n, m) and got == pytest.approx(
+            min(sum(a[i, p[i]] for i in range(len(a))) for p in itertools.permutations(range(b), len(a)))
+        )
 
 
 def test_each_truth_is_matched_once(spark):
     dets, rows = frame(spark, np.random.default_rng(2), images=3, n=30)
-    gts = dets.where("det % 4 = 0").select("image", "class", F.col("det").alias("gt"), *[(F.col(c) + 1).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    gts = dets.where("det % 4 = 0").select(
+        "image", "class", F.col("det").alias("gt"), *[(F.col(c) + 1).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    )
     for mark in (detection.mark_default, detection.mark_available):
         out = mark(dets, gts, 0.5).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")).first()
         assert out["tp"] + out["fp"] == 90 and 0 < out["tp"] <= gts.count()
     recall = {(x["number"], x["threshold"]): x["recall"] for x in detection.proposal_recall(dets, gts, [5, 30], [0.5, 0.99]).collect()}
     assert recall[30, 0.5] > 0.9 and recall[5, 0.5] < recall[30, 0.5] and recall[30, 0.99] == 0
     assert detection.hungarian_assign(dets, gts).where("assigned >= 0").groupBy("image", "assigned").count().where("count > 1").count() == 0
-    ap = {x["class"]: x["ap"] for x in detection.eval_map(gts.select("image", "class", F.col("gt").alias("det"), "x1", "y1", "x2", "y2", F.lit(1.0).alias("score")), gts).collect()}
+    ap = {
+        x["class"]: x["ap"] for x in detection.eval_map(
+            gts.select("image", "class", F.col("gt").alias("det"), "x1", "y1", "x2", "y2", F.lit(1.0).alias("score")), gts
+        ).collect()
+    }
     assert all(v > 0.9 for v in ap.values())
 
 
 def test_codecs_are_inverse(spark):
     a, b = tuple(F.lit(float(x)) for x in (10, 20, 50, 80)), tuple(F.lit(float(x)) for x in (14, 18, 61, 90))
     point = (F.lit(30.0), F.lit(50.0))
-    trips = [bx.decode_delta(a, bx.encode_delta(a, b, stds=(0.1, 0.1, 0.2, 0.2)), stds=(0.1, 0.1, 0.2, 0.2)), bx.decode_tblr(a, bx.encode_tblr(a, b)), bx.decode_yolo(a, bx.encode_yolo(a, b, 32), 32), bx.distance_to_box(point, bx.box_to_distance(point, b)), bx.from_cxcywh(bx.to_cxcywh(b)), bx.flip(bx.flip(b, F.lit(99.0), F.lit(99.0), "diagonal"), F.lit(99.0), F.lit(99.0), "diagonal")]
+    trips = [
+        bx.decode_delta(a, bx.encode_delta(a, b, stds=(0.1, 0.1, 0.2, 0.2)), stds=(0.1, 0.1, 0.2, 0.2)),
+        bx.decode_tblr(a, bx.encode_tblr(a, b)),
+        bx.decode_yolo(a, bx.encode_yolo(a, b, 32), 32),
+        bx.distance_to_box(point, bx.box_to_distance(point, b)),
+        bx.from_cxcywh(bx.to_cxcywh(b)),
+        bx.flip(bx.flip(b, F.lit(99.0), F.lit(99.0), "diagonal"), F.lit(99.0), F.lit(99.0), "diagonal")
+    ]
     row = one(spark, **{f"c{i}": F.array(*t) for i, t in enumerate(trips)})
     assert all(row[i] == pytest.approx([14, 18, 61, 90]) for i in range(len(trips)))
 
@@ -221,7 +255,18 @@ def test_codecs_are_inverse(spark):
 def test_box_functions(spark):
     a, b = tuple(F.lit(float(x)) for x in (0, 0, 10, 10)), tuple(F.lit(float(x)) for x in (5, 5, 15, 15))
     far = tuple(F.lit(float(x)) for x in (20, 0, 30, 10))
-    row = one(spark, i=bx.iou(a, b), p=bx.iou(a, b, pixel=1), f=bx.iou(a, b, "iof"), g=bx.iou(a, far, "giou"), n=bx.interval_iou(a, b), z=bx.ltwh_iou(a, tuple(F.lit(None).cast("double") for _ in range(4))), r=F.array(*bx.public_box(tuple(F.lit(x) for x in (0.5, 1.5, 200.0, 9.0)), F.lit(100.0), F.lit(100.0))), v=F.array(*bx.gaze_vector(*bx.gaze_angles(F.lit(0.0), F.lit(0.6), F.lit(0.8)))))
+    row = one(
+        spark,
+        i=bx.iou(a, b),
+        p=bx.iou(a, b, pixel=1),
+        f=bx.iou(a, b, "iof"),
+        g=bx.iou(a, far, "giou"),
+        n=bx.interval_iou(a, b),
+        z=bx.ltwh_iou(a, tuple(F.lit(None).cast("double") for _ in range(4))), r=F.array(
+            *bx.public_box(tuple(F.lit(x) for x in (0.5, 1.5, 200.0, 9.0)), F.lit(100.0), F.lit(100.0))
+        ),
+        v=F.array(*bx.gaze_vector(*bx.gaze_angles(F.lit(0.0), F.lit(0.6), F.lit(0.8))))
+    )
     assert row["i"] == pytest.approx(25 / 175) and row["p"] == pytest.approx(36 / 206) and row["f"] == 0.25 and row["n"] == pytest.approx(25 / 175)
     assert row["g"] == pytest.approx(-100 / 300) and row["z"] == 0.0 and row["r"] == [0, 2, 100, 9] and row["v"] == pytest.approx([0.0, 0.6, 0.8])
     assert bx.anchors(16, [1.0], [8.0]) == [(-56.0, -56.0, 71.0, 71.0)]
@@ -259,7 +304,10 @@ def test_dbscan_matches_plain_code(spark, block_bytes):
 
 
 def test_two_clusters_and_albums(spark):
-    v = spark.createDataFrame([(0, 7, [1.0, 0.0]), (1, 7, [0.98, 0.08]), (2, 8, [0.0, 1.0]), (3, 9, [0.08, 0.98]), (4, 9, [-1.0, 0.0])], "id long, photo long, embedding array<double>")
+    v = spark.createDataFrame(
+        [(0, 7, [1.0, 0.0]), (1, 7, [0.98, 0.08]), (2, 8, [0.0, 1.0]), (3, 9, [0.08, 0.98]), (4, 9, [-1.0, 0.0])],
+        "id long, photo long, embedding array<double>"
+    )
     clusters = clustering.numbered(clustering.dbscan(v.select("id", "embedding"), 0.9, 2))
     assert {x["id"]: x["album"] for x in clusters.collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
     assert [(x["album"], x["faces"], x["photos"]) for x in clustering.albums(clusters, v).collect()] == [(0, 2, 1), (1, 2, 2), (2, 1, 1)]
@@ -271,12 +319,16 @@ def test_triplets_are_semi_hard(spark):
     vectors = spark.createDataFrame(rows, "id long, label long, embedding array<double>")
     got = training.semi_hard_triplets(training.in_batches(vectors, 100), 2.0).collect()
     d = lambda a, b: sum((x - y) ** 2 for x, y in zip(rows[a][2], rows[b][2], strict=True))
-    assert got and all(rows[t["a_id"]][1] == rows[t["p_id"]][1] != rows[t["n_id"]][1] and 0 < d(t["a_id"], t["n_id"]) - d(t["a_id"], t["p_id"]) < 2.0 for t in got)
+    assert got and all(
+        rows[t["a_id"]][1] == rows[t["p_id"]][1] != rows[t["n_id"]][1] and 0 < d(t["a_id"], t["n_id"]) - d(t["a_id"], t["p_id"]) < 2.0 for t in got
+    )
 
 
 def test_samplers(spark):
     rows = spark.createDataFrame([(i, i % 3 if i < 30 else 9) for i in range(31)], "id long, label long")
-    assert {(x["label"], x["count"]) for x in training.identity_balanced(rows, 4).groupBy("label").count().collect()} == {(0, 4), (1, 4), (2, 4), (9, 4)}
+    assert {
+        (x["label"], x["count"]) for x in training.identity_balanced(rows, 4).groupBy("label").count().collect()
+    } == {(0, 4), (1, 4), (2, 4), (9, 4)}
     chosen = training.class_centre_sample(rows, rows.where("label = 9"), 2).collect()
     assert len(chosen) == 2 and 9 in {x["label"] for x in chosen} and {x["position"] for x in chosen} == {0, 1}
 
@@ -307,7 +359,10 @@ def test_ids_have_no_gaps(spark):
 
 
 def test_replay_honours_clear(spark):
-    feed = spark.createDataFrame([(1, "add", 1), (2, "add", 2), (3, "clear", None), (4, "add", 3), (5, "add", 4), (6, "delete", 4), (7, "add", 1)], "seq long, op string, vector_id long")
+    feed = spark.createDataFrame(
+        [(1, "add", 1), (2, "add", 2), (3, "clear", None), (4, "add", 3), (5, "add", 4), (6, "delete", 4), (7, "add", 1)],
+        "seq long, op string, vector_id long"
+    )
     assert sorted(x["vector_id"] for x in store.replay(feed).collect()) == [1, 3]
 
 
@@ -326,7 +381,14 @@ def test_subject_must_be_enrolled_once(spark):
 
 
 def test_scalar_text(spark):
-    row = one(spark, u=sc.redact_url(F.lit("rtsp://user:pw@host:554/live?key=1")), t=sc.hhmmss(F.lit(3_723_000)), f=sc.far_label(F.lit(1e-4)), i=sc.valid_id(F.lit("-x")), r=sc.first_reason([("a", F.lit(False)), ("b", F.lit(True))]))
+    row = one(
+        spark,
+        u=sc.redact_url(F.lit("rtsp://user:pw@host:554/live?key=1")),
+        t=sc.hhmmss(F.lit(3_723_000)),
+        f=sc.far_label(F.lit(1e-4)),
+        i=sc.valid_id(F.lit("-x")),
+        r=sc.first_reason([("a", F.lit(False)), ("b", F.lit(True))])
+    )
     assert tuple(row) == ("rtsp://host:554/live", "01:02:03", "1e-4", False, "b")
 
 
@@ -337,7 +399,10 @@ RULES = monitor.Rules(confirm_frames=2, absence_seconds=5.0, cooldown_seconds=0.
 
 
 def dets(spark, rows):
-    return spark.createDataFrame([(m, float(s), i, p, x, 0.2, 0.3, 0.3) for i, (m, s, p, x) in enumerate(rows)], "monitor long, seconds double, face long, person long, left double, top double, width double, height double")
+    return spark.createDataFrame(
+        [(m, float(s), i, p, x, 0.2, 0.3, 0.3) for i, (m, s, p, x) in enumerate(rows)],
+        "monitor long, seconds double, face long, person long, left double, top double, width double, height double"
+    )
 
 
 def events_of(df):
@@ -348,7 +413,9 @@ def test_confirm_change_and_absence(spark):
     rows = [(1, 0, 7, 0.1), (1, 1, 7, 0.1), (1, 2, 8, 0.8), (1, 3, 7, 0.1), (1, 9, 7, 0.1)]
     assert events_of(monitor.monitor_events(dets(spark, rows), RULES)) == [("person_enter", 1.0, 7)]
     rows = [(1, 0, 7, 0.1), (1, 1, 7, 0.1), (1, 2, None, 0.1), (1, 3, None, 0.1), (1, 20, 9, 0.9)]
-    assert events_of(monitor.monitor_events(dets(spark, rows), RULES)) == [("person_enter", 1.0, 7), ("person_exit", 2.0, 7), ("unknown_enter", 3.0, None), ("unknown_exit", 20.0, None)]
+    assert events_of(monitor.monitor_events(dets(spark, rows), RULES)) == [
+        ("person_enter", 1.0, 7), ("person_exit", 2.0, 7), ("unknown_enter", 3.0, None), ("unknown_exit", 20.0, None)
+    ]
 
 
 def test_cooldown_keeps_the_clock_and_numbers(spark):
@@ -357,7 +424,9 @@ def test_cooldown_keeps_the_clock_and_numbers(spark):
     for now in (0.0, 3.0, 6.0, 10.0):
         out += m.frame(now, [(5, [0.1, 0.1, 0.2, 0.2])])
         out += m.frame(now + 1.5, [])
-    assert [(e[0], e[1], e[2]) for e in out] == [(1, "person_enter", 0.0), (2, "person_exit", 1.5), (3, "person_enter", 10.0), (4, "person_exit", 11.5)]
+    assert [(e[0], e[1], e[2]) for e in out] == [
+        (1, "person_enter", 0.0), (2, "person_exit", 1.5), (3, "person_enter", 10.0), (4, "person_exit", 11.5)
+    ]
 
 
 def test_stream_gives_the_events_of_the_table(spark, tmp_path):
@@ -365,7 +434,9 @@ def test_stream_gives_the_events_of_the_table(spark, tmp_path):
     table = dets(spark, rows).withColumn("at", F.timestamp_seconds("seconds"))
     table.repartition(1).sortWithinPartitions("seconds").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
-    query = monitor.monitor_stream(stream, RULES).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = monitor.monitor_stream(stream, RULES).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start()
     assert query.awaitTermination(180)
     got = events_of(spark.read.parquet(str(tmp_path / "out")))
     want = events_of(monitor.monitor_events(table, RULES))
@@ -401,13 +472,21 @@ def test_rate_limit_and_latest_frame(spark):
 
 
 def test_text_sources(spark, tmp_path):
-    (tmp_path / "label.txt").write_text("# a/1.jpg 640 480\n10 20 50 80\n1 1 4 4\n# a/2.jpg 10 10\n" + " ".join(["5", "5", "9", "9"] + ["6", "6", "0"] * 4 + ["-1", "-1", "-1"]) + "\n")
+    (tmp_path / "label.txt").write_text(
+        "# a/1.jpg 640 480\n10 20 50 80\n1 1 4 4\n# a/2.jpg 10 10\n" + " ".join(
+            ["5", "5", "9", "9"] + ["6", "6", "0"] * 4 + ["-1", "-1", "-1"]
+        ) + "\n"
+    )
     got = files.read_face_labels(files.read_lines(spark, str(tmp_path / "label.txt")), least=10).orderBy("image", "box").collect()
-    assert [(x["image"], x["width"], x["x2"], x["ignore"]) for x in got] == [("a/1.jpg", 640, 50.0, False), ("a/1.jpg", 640, 4.0, True), ("a/2.jpg", 10, 9.0, True)]
+    assert [(x["image"], x["width"], x["x2"], x["ignore"]) for x in got] == [
+        ("a/1.jpg", 640, 50.0, False), ("a/1.jpg", 640, 4.0, True), ("a/2.jpg", 10, 9.0, True)
+    ]
     assert got[0]["landmarks"] is None and [p["weight"] for p in got[2]["landmarks"]] == [1.0, 1.0, 1.0, 1.0, 0.0]
     (tmp_path / "wider.txt").write_text("0--Parade/x.jpg\n2\n1 2 3 4 0 0\n5 6 7 8 0 0\n1--Fire/y.jpg\n1\n9 9 2 2 0 0\n")
     got = files.read_face_boxes(files.read_lines(spark, str(tmp_path / "wider.txt"))).orderBy("image", "box").collect()
-    assert [(x["image"], x["x1"], x["x2"]) for x in got] == [("0--Parade/x.jpg", 1.0, 4.0), ("0--Parade/x.jpg", 5.0, 12.0), ("1--Fire/y.jpg", 9.0, 11.0)]
+    assert [(x["image"], x["x1"], x["x2"]) for x in got] == [
+        ("0--Parade/x.jpg", 1.0, 4.0), ("0--Parade/x.jpg", 5.0, 12.0), ("1--Fire/y.jpg", 9.0, 11.0)
+    ]
     (tmp_path / "marks.txt").write_text("1.jpg " + " ".join(str(i) for i in range(10)) + " 0.99\n")
     assert files.read_landmarks(spark, str(tmp_path / "marks.txt")).first()["landmarks"][1] == [2.0, 3.0]
     (tmp_path / "pairs.csv").write_bytes(b"\xef\xbb\xbfimage1_path,image2,label\na,b,1\nc,d,\n")
@@ -415,11 +494,17 @@ def test_text_sources(spark, tmp_path):
 
 
 def test_annotation_sources(spark, tmp_path):
-    (tmp_path / "coco.json").write_text('{"images":[{"id":1,"file_name":"a.jpg","width":9,"height":9}],"annotations":[{"id":5,"image_id":1,"category_id":7,"bbox":[1,2,3,4],"area":12,"iscrowd":0},{"id":6,"image_id":1,"category_id":3,"bbox":[1,2,0,4],"area":0}],"categories":[{"id":7,"name":"x"},{"id":3,"name":"y"}]}')
+    (tmp_path / "coco.json").write_text(
+        '{"images":[{"id":1,"file_name":"a.jpg","width":9,"height":9}],"annotations":[{"id":5,"image_id":1,"category_id":7,"bbox":[1,2,3,4],"area":12,"iscrowd":0},{"id":6,"image_id":1,"category_id":3,"bbox":[1,2,0,4],"area":0}],"categories":[{"id":7,"name":"x"},{"id":3,"name":"y"}]}'
+    )
     images, found = files.read_coco(spark, str(tmp_path / "coco.json"))
     assert images.count() == 1 and [(x["image"], x["class"], x["x2"], x["ignore"]) for x in found.collect()] == [(1, 1, 4.0, False)]
-    (tmp_path / "voc.xml").write_text("<annotation><filename>a.jpg</filename><object><name>cat</name><difficult>1</difficult><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object><object><name>dog</name><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object></annotation>")
-    assert [(x["image"], x["class"], x["x1"], x["ignore"]) for x in files.read_voc(spark, str(tmp_path / "voc.xml"), ["cat"]).collect()] == [("a.jpg", 0, 0.0, True)]
+    (tmp_path / "voc.xml").write_text(
+        "<annotation><filename>a.jpg</filename><object><name>cat</name><difficult>1</difficult><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object><object><name>dog</name><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object></annotation>"
+    )
+    assert [
+        (x["image"], x["class"], x["x1"], x["ignore"]) for x in files.read_voc(spark, str(tmp_path / "voc.xml"), ["cat"]).collect()
+    ] == [("a.jpg", 0, 0.0, True)]
     (tmp_path / "f.bin").write_bytes(np.array([1, 3, 4, 5], "<i4").tobytes() + np.array([1, 2, 3], "<f4").tobytes())
     assert files.read_feature_files(spark, str(tmp_path)).first()["embedding"] == [1.0, 2.0, 3.0]
 
@@ -429,10 +514,15 @@ def test_folders_and_exports(spark, tmp_path):
         (tmp_path / "set" / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "set" / p).write_bytes(b"x")
     got = files.identity_layout(files.list_images(spark, str(tmp_path / "set"))).collect()
-    assert {(x["identity"], x["name"], x["role"]) for x in got} == {("0001", "gallery.jpg", "gallery"), ("0001", "probe.PNG", "probe"), ("unknown", "x.jpg", "unknown")}
+    assert {(x["identity"], x["name"], x["role"]) for x in got} == {
+        ("0001", "gallery.jpg", "gallery"), ("0001", "probe.PNG", "probe"), ("unknown", "x.jpg", "unknown")
+    }
     out = files.csv_ready(spark.createDataFrame([(1, [1, 2])], "b int, a array<int>"), spark.createDataFrame([("x",)], "c string"))
     assert out.columns == ["a", "b", "c"] and sorted(map(tuple, out.collect()), key=str) == [("[1,2]", 1, None), (None, None, "x")]
-    truth = files.match_truth(spark.createDataFrame([("/a/x.jpg",), ("/b/y.jpg",)], "path string"), spark.createDataFrame([("/a/x.jpg", "X"), ("y.jpg", "Y")], "path string, identity string"))
+    truth = files.match_truth(
+        spark.createDataFrame([("/a/x.jpg",), ("/b/y.jpg",)], "path string"),
+        spark.createDataFrame([("/a/x.jpg", "X"), ("y.jpg", "Y")], "path string, identity string")
+    )
     assert sorted(x["identity"] for x in truth.collect()) == ["X", "Y"]
     report = files.markdown_report("R", spark.createDataFrame([("auc", 0.5), ("tar", None)], "metric string, value double"))
     assert "| auc | 0.5 |" in report and "insufficient data" in report
@@ -462,7 +552,17 @@ def test_record_files(spark, tmp_path):
 def test_face_quality(spark):
     points = F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((30, 40), (70, 40), (50, 58), (35, 80), (65, 80))])
     yaw, pitch, roll = sc.landmark_pose(points)
-    row = one(spark, yaw=yaw, pitch=pitch, roll=roll, q=sc.server_quality(F.lit(0.9), F.lit(0.8), F.lit(0.5), F.lit(100.0), F.lit(80.0), yaw, pitch, roll), s=sc.sharpness(F.lit(100.0)), t=sc.trusted_vector(arr(3, 4), F.lit(2)), bad=sc.trusted_vector(arr(0, 0), F.lit(2)), f=sc.flags({"b": F.lit(True), "a": F.lit(True)}))
+    row = one(
+        spark,
+        yaw=yaw,
+        pitch=pitch,
+        roll=roll,
+        q=sc.server_quality(F.lit(0.9), F.lit(0.8), F.lit(0.5), F.lit(100.0), F.lit(80.0), yaw, pitch, roll),
+        s=sc.sharpness(F.lit(100.0)),
+        t=sc.trusted_vector(arr(3, 4), F.lit(2)),
+        bad=sc.trusted_vector(arr(0, 0), F.lit(2)),
+        f=sc.flags({"b": F.lit(True), "a": F.lit(True)})
+    )
     assert (row["yaw"], row["roll"]) == (0.0, 0.0) and row["pitch"] == pytest.approx(0.0, abs=1e-9)
     assert row["q"] == pytest.approx(0.35 * 0.9 + 0.25 * 0.8 + 0.4) and row["s"] == pytest.approx(1 - math.exp(-1))
     assert row["t"] == [0.6, 0.8] and row["bad"] is None and row["f"] == ["a", "b"]
@@ -470,8 +570,13 @@ def test_face_quality(spark):
 
 def test_feature_hub_and_frames(spark):
     hub = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 2, [0.0, 1.0])], "vector_id long, person_id long, embedding array<double>")
-    q = spark.createDataFrame([(10, 1, 50.0, [0.9, 0.1]), (11, 1, 80.0, [-1.0, 0.0]), (12, 1, 10.0, [0.0, 1.0])], "query_id long, frame long, area double, embedding array<double>")
-    assert [(x["query_id"], x["vector_id"]) for x in search.hub_top1(q, hub, 0.5).orderBy("query_id").collect()] == [(10, 1), (11, -1), (12, 2)]
+    q = spark.createDataFrame(
+        [(10, 1, 50.0, [0.9, 0.1]), (11, 1, 80.0, [-1.0, 0.0]), (12, 1, 10.0, [0.0, 1.0])],
+        "query_id long, frame long, area double, embedding array<double>"
+    )
+    assert [
+        (x["query_id"], x["vector_id"]) for x in search.hub_top1(q, hub, 0.5).orderBy("query_id").collect()
+    ] == [(10, 1), (11, -1), (12, 2)]
     got = search.frame_search(q, hub, 2, 0.5).orderBy("place").collect()
     assert [(x["query_id"], x["person_id"], x["status"]) for x in got] == [(11, None, "unknown"), (10, 1, "matched")]
 

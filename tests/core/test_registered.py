@@ -41,7 +41,11 @@ def test_r3_equals_a_plain_simulation(spark):
         for now in sorted(instants):
             taken = set()
             for _, person, box in sorted(instants[now]):
-                ranked = sorted((-overlap(t["box"], box), n) for n, t in live.items() if n not in taken and (None in (person, t["person"]) or person == t["person"]))
+                ranked = sorted(
+                    (-overlap(t["box"], box), n) for n, t in live.items() if n not in taken and (
+                        None in (person, t["person"]) or person == t["person"]
+                    )
+                )
                 if ranked and -ranked[0][0] > RULES.least_iou:
                     n = ranked[0][1]
                     t = live[n]
@@ -90,7 +94,11 @@ def test_r10_equals_one_tracker_a_video(spark):
         for frame in sorted(own):
             m = np.array(own[frame])
             want += [(video, frame, t, *np.round([*b, s], 6)) for t, s, b in tracker.frame(m[:, :4], m[:, 4])]
-    got = [(x["video"], x["frame"], x["track"], *(x[c] for c in ("x1", "y1", "x2", "y2", "score"))) for x in QUERIES["r10_track_boxes"](spark, SF).collect()]
+    got = [
+        (
+            x["video"], x["frame"], x["track"], *(x[c] for c in ("x1", "y1", "x2", "y2", "score"))
+        ) for x in QUERIES["r10_track_boxes"](spark, SF).collect()
+    ]
     assert len(got) == len(want) and np.allclose(np.array(sorted(got), dtype=float), np.array(sorted(want), dtype=float), atol=2e-6)
 
 
@@ -120,7 +128,9 @@ def test_x9_hungarian_is_least_in_total(spark):
             best = after
         chosen = [(d.index(k), g.index(v)) for k, v in to[image].items() if v >= 0]
         assert len({j for _, j in chosen}) == len(chosen) == min(len(d), len(g))
-        assert sum(1 - near[i, j] for i, j in chosen) == pytest.approx(best[-1] if len(d) >= len(g) else min(best[s] for s in sets if bin(s).count("1") == len(d)))
+        assert sum(1 - near[i, j] for i, j in chosen) == pytest.approx(
+            best[-1] if len(d) >= len(g) else min(best[s] for s in sets if bin(s).count("1") == len(d))
+        )
 
 
 def test_a25_equals_plain_matching(spark):
@@ -157,16 +167,26 @@ def test_a25_equals_plain_matching(spark):
         ap[c] = np.mean([max(precision[recall >= t - 1e-9], default=0.0) for t in np.linspace(0, 1, 101)])
         top[c] = recall[-1]
     got = QUERIES["a25_coco_summary"](spark, SF).where("area = 'all' and threshold = 0.5").first()
-    assert got["ap"] == pytest.approx(np.mean(list(ap.values())), abs=2e-6) and got["recall"] == pytest.approx(np.mean(list(top.values())), abs=2e-6)
+    assert got["ap"] == pytest.approx(np.mean(list(ap.values())), abs=2e-6) and got["recall"] == pytest.approx(
+        np.mean(list(top.values())), abs=2e-6
+    )
 
 
 @pytest.mark.parametrize("rows", [40, 10_000])
 def test_running_totals_of_ties_and_keys(spark, rows):
     r = np.random.default_rng(2)
-    data = [(int(k), float(s), i, int(v)) for i, (k, s, v) in enumerate(zip(r.integers(0, 3, 900), r.choice([1.0, 2.0, 2.0, 2.0, 3.5], 900), r.integers(0, 9, 900), strict=True))]
+    data = [
+        (int(k), float(s), i, int(v)) for i, (k, s, v) in enumerate(
+            zip(r.integers(0, 3, 900), r.choice([1.0, 2.0, 2.0, 2.0, 3.5], 900), r.integers(0, 9, 900), strict=True)
+        )
+    ]
     df = spark.createDataFrame(data, "k long, s double, i long, v long").repartition(5)
     for descending in (True, False):
-        got = {x["i"]: (x["v_to_here"], x["v_most"]) for x in running_totals(df.withColumn("m", F.col("v")), "s", ["v"], descending, ["k"], ["i"], ["m"], part_rows=rows).withColumnRenamed("m_to_here", "v_most").collect()}
+        got = {
+            x["i"]: (x["v_to_here"], x["v_most"]) for x in running_totals(
+                df.withColumn("m", F.col("v")), "s", ["v"], descending, ["k"], ["i"], ["m"], part_rows=rows
+            ).withColumnRenamed("m_to_here", "v_most").collect()
+        }
         total, most = defaultdict(int), defaultdict(int)
         for k, _, i, v in sorted(data, key=lambda x: (-x[1] if descending else x[1], x[2])):
             total[k] += v
@@ -175,11 +195,20 @@ def test_running_totals_of_ties_and_keys(spark, rows):
 
 
 def test_gallery_ties_go_to_what_was_seen_first(spark):
-    gallery = spark.createDataFrame([(1, 20, [1.0, 0.0]), (2, 10, [2.0, 0.0]), (3, 30, [0.0, 1.0]), (4, 10, [1.0, 0.0]), (5, 40, None)], "vector_id long, person_id long, embedding array<double>")
+    gallery = spark.createDataFrame(
+        [(1, 20, [1.0, 0.0]), (2, 10, [2.0, 0.0]), (3, 30, [0.0, 1.0]), (4, 10, [1.0, 0.0]), (5, 40, None)],
+        "vector_id long, person_id long, embedding array<double>"
+    )
     probe = spark.createDataFrame([(7, [3.0, 0.0])], "query_id long, embedding array<double>")
-    got = [(x["rank"], x["person_id"], x["vector_id"], x["score"], x["status"]) for x in search.search_gallery(probe, gallery, 0, 0.5).collect()]
+    got = [
+        (
+            x["rank"], x["person_id"], x["vector_id"], x["score"], x["status"]
+        ) for x in search.search_gallery(probe, gallery, 0, 0.5).collect()
+    ]
     assert got == [(1, 20, 1, 1.0, "matched")]
-    got = [(x["person_id"], x["vector_id"], x["status"]) for x in search.search_gallery(probe, gallery, None, 0.5).orderBy("rank").collect()]
+    got = [
+        (x["person_id"], x["vector_id"], x["status"]) for x in search.search_gallery(probe, gallery, None, 0.5).orderBy("rank").collect()
+    ]
     assert got == [(20, 1, "matched"), (10, 2, "matched"), (30, 3, "below_threshold")]
 
 
@@ -195,7 +224,9 @@ def test_faces_are_inserted_whole_or_not_at_all(spark):
     hub = spark.createDataFrame([(4, [1.0]), (9, [2.0])], "id long, embedding array<double>")
     with pytest.raises(ValueError, match="taken"):
         store.hub_insert(hub, spark.createDataFrame([(9, [3.0])], "id long, embedding array<double>"), auto=False)
-    assert {x["id"]: x["embedding"] for x in store.hub_get(hub, spark.createDataFrame([(4,), (5,)], "id long")).collect()} == {4: [1.0], 5: None}
+    assert {
+        x["id"]: x["embedding"] for x in store.hub_get(hub, spark.createDataFrame([(4,), (5,)], "id long")).collect()
+    } == {4: [1.0], 5: None}
 
 
 def test_access_control_of_no_hits(spark):
@@ -216,23 +247,38 @@ def test_decoding_is_bounded(spark):
 
     image = b"P6\n2 1\n255\n" + bytes(range(6))
     rows = [("a", image), ("b", b""), ("c", None), ("d", b"x" * 500), ("e", b"P6\nbad"), ("f", b"P6\n30 3\n255\n" + bytes(270))]
-    got = files.decode_images(spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary"), ppm, 400, 50).orderBy("path").collect()
+    got = files.decode_images(
+        spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary"), ppm, 400, 50
+    ).orderBy("path").collect()
     assert [x["status"] for x in got] == ["ok", "empty", "empty", "too_large", "not_an_image", "too_many_pixels"]
     assert (got[0]["height"], got[0]["width"], bytes(got[0]["pixels"])) == (1, 2, bytes(range(6))) and got[5]["pixels"] is None
 
 
 def test_annotation_dialects(spark, tmp_path):
-    (tmp_path / "lvis.json").write_text('{"images":[{"id":1,"coco_url":"http://x/val/7.jpg","width":9,"height":9,"neg_category_ids":[4],"not_exhaustive_category_ids":[]}],"annotations":[{"id":5,"image_id":1,"category_id":8,"bbox":[1,2,3,4],"area":12},{"id":6,"image_id":1,"category_id":4,"bbox":[1,2,0.5,4],"area":2}],"categories":[{"id":8,"name":"b","frequency":"r"},{"id":4,"name":"a","frequency":"f"}]}')
+    (tmp_path / "lvis.json").write_text(
+        '{"images":[{"id":1,"coco_url":"http://x/val/7.jpg","width":9,"height":9,"neg_category_ids":[4],"not_exhaustive_category_ids":[]}],"annotations":[{"id":5,"image_id":1,"category_id":8,"bbox":[1,2,3,4],"area":12},{"id":6,"image_id":1,"category_id":4,"bbox":[1,2,0.5,4],"area":2}],"categories":[{"id":8,"name":"b","frequency":"r"},{"id":4,"name":"a","frequency":"f"}]}'
+    )
     images, boxes, categories = files.read_lvis(spark, str(tmp_path / "lvis.json"))
     assert images.first()["file_name"] == "7.jpg" and images.first()["neg_category_ids"] == [4]
-    assert [tuple(x)[:7] for x in boxes.collect()] == [(1, 1, 5, 1.0, 2.0, 4.0, 6.0)] and {x["class"]: x["frequency"] for x in categories.collect()} == {0: "f", 1: "r"}
-    (tmp_path / "city.json").write_text('{"images":[{"id":1,"file_name":"train/ulm/1.png"},{"id":2,"file_name":"train/jena/2.png"}],"annotations":[{"id":5,"image_id":1,"category_id":3,"bbox":[1,2,3,4],"area":12,"iscrowd":0},{"id":6,"image_id":2,"category_id":3,"bbox":[1,2,3,4],"area":12,"iscrowd":1}],"categories":[{"id":3,"name":"car"}]}')
+    assert [tuple(x)[:7] for x in boxes.collect()] == [(1, 1, 5, 1.0, 2.0, 4.0, 6.0)] and {
+        x["class"]: x["frequency"] for x in categories.collect()
+    } == {0: "f", 1: "r"}
+    (tmp_path / "city.json").write_text(
+        '{"images":[{"id":1,"file_name":"train/ulm/1.png"},{"id":2,"file_name":"train/jena/2.png"}],"annotations":[{"id":5,"image_id":1,"category_id":3,"bbox":[1,2,3,4],"area":12,"iscrowd":0},{"id":6,"image_id":2,"category_id":3,"bbox":[1,2,3,4],"area":12,"iscrowd":1}],"categories":[{"id":3,"name":"car"}]}'
+    )
     images, boxes = files.read_cityscapes(spark, str(tmp_path / "city.json"))
     assert [(x["id"], x["city"]) for x in images.collect()] == [(1, "ulm")] and boxes.count() == 2
-    (tmp_path / "a.xml").write_text("<annotation><filename>a.jpg</filename><object><name>face</name><bndbox><xmin>1</xmin><ymin>1</ymin><xmax>5</xmax><ymax>31</ymax></bndbox></object><object><name>face</name><bndbox><xmin>1</xmin><ymin>1</ymin><xmax>51</xmax><ymax>31</ymax></bndbox></object></annotation>")
+    (tmp_path / "a.xml").write_text(
+        "<annotation><filename>a.jpg</filename><object><name>face</name><bndbox><xmin>1</xmin><ymin>1</ymin><xmax>5</xmax><ymax>31</ymax></bndbox></object><object><name>face</name><bndbox><xmin>1</xmin><ymin>1</ymin><xmax>51</xmax><ymax>31</ymax></bndbox></object></annotation>"
+    )
     assert sorted(x["ignore"] for x in files.read_voc(spark, str(tmp_path / "a.xml"), ["face"], 10.0).collect()) == [False, True]
-    pairs = files.verification_pairs(spark.createDataFrame([(i, bytearray([i])) for i in range(5)], "idx long, content binary"), spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "pair_idx long, label int"))
-    assert sorted((x["pair_idx"], bytes(x["first"]), bytes(x["second"])) for x in pairs.collect()) == [(0, b"\x00", b"\x01"), (1, b"\x02", b"\x03")]
+    pairs = files.verification_pairs(
+        spark.createDataFrame([(i, bytearray([i])) for i in range(5)], "idx long, content binary"),
+        spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "pair_idx long, label int")
+    )
+    assert sorted(
+        (x["pair_idx"], bytes(x["first"]), bytes(x["second"])) for x in pairs.collect()
+    ) == [(0, b"\x00", b"\x01"), (1, b"\x02", b"\x03")]
 
 
 def test_checked_cosine_refuses_other_sizes(spark):
@@ -244,13 +290,21 @@ def test_checked_cosine_refuses_other_sizes(spark):
 
 
 def test_hard_examples_leave_ignored_boxes_out(spark):
-    rows = spark.createDataFrame([(1, k, a, float(k)) for k, a in enumerate([3, -1, None, -1, 5, None])], "image long, det long, assigned long, loss double")
+    rows = spark.createDataFrame(
+        [(1, k, a, float(k)) for k, a in enumerate([3, -1, None, -1, 5, None])], "image long, det long, assigned long, loss double"
+    )
     assert sorted((x["det"], x["assigned"]) for x in assignment.hard_sample(rows, 3, 0.34).collect()) == [(1, -1), (3, -1), (4, 5)]
 
 
 def test_settings_are_evaluated_apart(spark):
-    gts = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 10.0, 10.0, True, True), (1, 0, 2, 50.0, 0.0, 90.0, 40.0, False, True)], "image long, class long, gt long, x1 double, y1 double, x2 double, y2 double, easy boolean, hard boolean")
-    dets = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 0, 2, 200.0, 0.0, 240.0, 40.0, 0.1)], "image long, class long, det long, x1 double, y1 double, x2 double, y2 double, score double")
+    gts = spark.createDataFrame(
+        [(1, 0, 1, 0.0, 0.0, 10.0, 10.0, True, True), (1, 0, 2, 50.0, 0.0, 90.0, 40.0, False, True)],
+        "image long, class long, gt long, x1 double, y1 double, x2 double, y2 double, easy boolean, hard boolean"
+    )
+    dets = spark.createDataFrame(
+        [(1, 0, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 0, 2, 200.0, 0.0, 240.0, 40.0, 0.1)],
+        "image long, class long, det long, x1 double, y1 double, x2 double, y2 double, score double"
+    )
     got = {x["setting"]: x["ap"] for x in detection_eval.face_ap_settings(dets, gts, ["easy", "hard"]).collect()}
     assert got == {"easy": pytest.approx(1.0), "hard": pytest.approx(0.5)}
 
@@ -264,3 +318,28 @@ def test_pdf_reports_point_at_their_objects(spark):
     assert raw.startswith(b"%PDF-1.4") and len(offsets) == 9 and raw.count(b"/Type /Page ") == 3
     assert all(raw[o:].startswith(f"{i} 0 obj".encode()) for i, o in enumerate(offsets, 1))
     assert b"(Report \\\\ ?) Tj" in raw and b"(m2 \\(x\\): insufficient data) Tj" in raw
+
+
+def test_keypoint_and_partly_marked_summaries(spark):
+    sigmas = [0.1, 0.05]
+    gts = spark.createDataFrame(
+        [(1, 0, 1, 0.0, 0.0, 40.0, 40.0, [5.0, 5.0, 2.0, 30.0, 30.0, 1.0]), (1, 0, 2, 60.0, 0.0, 100.0, 40.0, [0.0] * 6)],
+        "image long, class long, gt long, x1 double, y1 double, x2 double, y2 double, points array<double>",
+    )
+    found = [(1, 0, 1, 0.0, 0.0, 40.0, 40.0, 0.9, [5.0, 6.0, 30.0, 31.0]), (1, 0, 2, 60.0, 0.0, 99.0, 40.0, 0.8, [70.0, 5.0, 80.0, 9.0])]
+    dets = spark.createDataFrame(found, "image long, class long, det long, x1 double, y1 double, x2 double, y2 double, score double, points array<double>")
+    out = {(x["area"], x["threshold"]): x["ap"] for x in detection_eval.coco_summary(dets, gts, sigmas=sigmas).collect()}
+    similar = (np.exp(-1 / 0.04 / 1600 / 2) + np.exp(-1 / 0.01 / 1600 / 2)) / 2
+    assert all(out["all", t] == pytest.approx(float(similar >= t)) for t in detection_eval.THRESHOLDS) and similar > 0.95
+    far = detection_eval.oks_matrix(np.array([[[5.0, 6.0], [300.0, 31.0]]]), np.zeros((1, 2, 3)), np.array([[0.0, 0, 40, 40]]), np.array(sigmas))
+    assert far[0, 0] == pytest.approx((1 + np.exp(-(220.0**2) / 0.01 / 1600 / 2)) / 2)
+
+    box = (0.0, 0.0, 40.0, 40.0)
+    truths = spark.createDataFrame([(1, 0, 1, *box), (2, 1, 2, *box), (3, 2, 3, *box)], "image long, class long, gt long, x1 double, y1 double, x2 double, y2 double")
+    # of class 0 one box is found, with a better one in an image known to lack it; of class 1 a better one where it is marked in part
+    rows = [(1, 0, 1, *box, 0.5), (4, 0, 2, *box, 0.9), (2, 1, 3, *box, 0.5), (5, 1, 4, *box, 0.9), (4, 2, 5, *box, 0.9), (3, 2, 6, *box, 0.5)]
+    dets = spark.createDataFrame(rows, "image long, class long, det long, x1 double, y1 double, x2 double, y2 double, score double")
+    images = spark.createDataFrame([(4, [0], []), (5, [1], [1]), (1, [], [])], "image long, none array<long>, partly array<long>")
+    kinds = spark.createDataFrame([(0, "r"), (1, "c"), (2, "f")], "class long, frequency string")
+    got = {x["frequency"]: x["ap"] for x in detection_eval.lvis_summary(dets, truths, images, kinds).collect()}
+    assert got == {"r": pytest.approx(0.5), "c": pytest.approx(1.0), "f": pytest.approx(1.0), "all": pytest.approx(2.5 / 3)}
