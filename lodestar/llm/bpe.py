@@ -29,7 +29,16 @@ EXPECTED = {
     "normalizer": None,
     "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
     "decoder": {"type": "ByteLevel"},
-    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    "model": {
+        "type": "BPE",
+        "dropout": None,
+        "unk_token": None,
+        "continuing_subword_prefix": None,
+        "end_of_word_suffix": None,
+        "fuse_unk": False,
+        "byte_fallback": False,
+        "ignore_merges": False
+    },
 }
 
 

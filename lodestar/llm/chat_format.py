@@ -54,7 +54,9 @@ def parse(formatted: Column) -> Column:
     def turn(part: Column) -> Column:
         inner = lambda a, b: unescape(F.substring(part, F.lit(len(a) + 1), F.length(part) - len(a) - len(b)))
         named = F.substring_index(part, "]", 1)  # an escaped role has no ]
-        role, text = unescape(F.substring(named, F.lit(len(OTHER[0]) + 1), F.length(named))), unescape(F.substring(part, F.length(named) + 1 + len(OTHER[1]), F.length(part) - F.length(named) - len(OTHER[1]) - len(OTHER[2])))
+        role, text = unescape(F.substring(named, F.lit(len(OTHER[0]) + 1), F.length(named))), unescape(
+            F.substring(part, F.length(named) + 1 + len(OTHER[1]), F.length(part) - F.length(named) - len(OTHER[1]) - len(OTHER[2]))
+        )
         for name, (a, b) in MARKS.items():
             here = part.startswith(a)
             role, text = F.when(here, F.lit(name)).otherwise(role), F.when(here, inner(a, b)).otherwise(text)
@@ -63,7 +65,9 @@ def parse(formatted: Column) -> Column:
     return F.transform(F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0)), turn)
 
 
-def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(
+    df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+) -> DataFrame:
     """A row for each conversation: its id, ``formatted``, ``segments`` and ``turns``.
 
     Every text with a control string or a backslash is escaped, others are rendered as they are; if the
@@ -79,10 +83,16 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     ignored. A conversation is one row of the result, so its turns must fit in a task.
     """
     rows = pick(df, id=conv_col, turn=turn_col, role=role_col, text=text_col)
-    turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    turn = F.struct(
+        "turn",
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
     rows = rows.withColumn("lone", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))  # only tells rows apart
     grouped = rows.groupBy("id", "lone").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
-    grouped = grouped.select("id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
+    grouped = grouped.select(
+        "id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source")
+    )
     grouped = grouped.withColumn("s1", render(F.col("source"), 1)).withColumn("same1", parse(joined(F.col("s1"))) == F.col("source"))
     segments = F.when(F.col("same1"), F.col("s1")).otherwise(render(F.col("source"), 2))
     out = grouped.select("id", segments.alias("segments")).withColumn("formatted", joined(F.col("segments")))

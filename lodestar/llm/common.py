@@ -80,7 +80,14 @@ def bound_batches(spark: SparkSession) -> None:
 Kernel = Callable[[list], Sequence[pa.Array]]
 
 
-def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], kernel: Callable[[], Kernel], keep: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def map_texts(
+    df: DataFrame,
+    text_col: str,
+    fields: list[T.StructField],
+    kernel: Callable[[], Kernel],
+    keep: list[str] | None = None,
+    chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """Append ``fields`` computed from whole texts, in one Arrow pass without a shuffle.
 
     ``kernel()`` runs once a task and returns a function from a list of texts (None for null) to one

@@ -97,7 +97,12 @@ class Windows:
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_spans", T.ArrayType(SPAN))]
+FIELDS = [
+    T.StructField("n_words", T.LongType()),
+    T.StructField("hit_words", T.ArrayType(T.IntegerType())),
+    T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("hit_spans", T.ArrayType(SPAN))
+]
 
 
 def _arrays(rows: list[tuple]) -> list[pa.Array]:
@@ -145,7 +150,18 @@ def _scan_by_turns(parts, window: int, text_at: int, keep: list[int], before: li
     return run
 
 
-def find_benchmark(df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text_col: str = "text", window: int = 13, automaton_chars: int = 4_000_000, group_bytes: int = 64 << 20, waiting: int = WAITING) -> DataFrame:
+def find_benchmark(
+    df: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    keep: list[str] | None = None,
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 13,
+    automaton_chars: int = 4_000_000,
+    group_bytes: int = 64 << 20,
+    waiting: int = WAITING
+) -> DataFrame:
     """Append what of the benchmark each whole text holds, without a shuffle of the texts.
 
     New columns: ``n_words``; ``hit_words``, indices of the words inside any occurrence of a window;
@@ -164,7 +180,9 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
     gives no rows. All columns (or ``keep``) go through, but for those of the new names.
     """
     spark = df.sparkSession
-    items = pick(benchmark, item=item_col, text=item_text_col).where("item is not null and text is not null").select(F.col("item").cast("string").alias("item"), "text")
+    items = pick(benchmark, item=item_col, text=item_text_col).where("item is not null and text is not null").select(
+        F.col("item").cast("string").alias("item"), "text"
+    )
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     count = max(1, -(-size * window // automaton_chars))
     groups = max(1, -(-size // group_bytes))
@@ -196,7 +214,9 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
             found = found.select(*flat, "hit_words", "items").checkpoint()
         parts = [shared(k) for k in range(count) if k % groups == g]
         before = [len(flat), len(flat) + 1] if g else None
-        found = found.mapInArrow(_scan_by_turns(parts, window, flat.index(f"x{text_at}"), list(range(len(flat))), before, out.names, waiting), out)
+        found = found.mapInArrow(
+            _scan_by_turns(parts, window, flat.index(f"x{text_at}"), list(range(len(flat))), before, out.names, waiting), out
+        )
     return found.select(*[f"x{i}" for i in through], *new).toDF(*[names[i] for i in through], *new)
 
 

@@ -139,7 +139,14 @@ def _exact(threshold: float):
     return run
 
 
-def embedding_near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", tile_numbers: int = 1 << 20) -> DataFrame:
+def embedding_near_duplicates(
+    df: DataFrame,
+    threshold: float = 0.93,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    label_col: str | None = "label",
+    tile_numbers: int = 1 << 20
+) -> DataFrame:
     """Links, components and one kept vector of each component, for all rows of ``df``.
 
     Two vectors link if their labels are equal (all are, without ``label_col``), their lengths are
@@ -169,7 +176,9 @@ def embedding_near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: st
     if not label_col:
         rows = rows.withColumn("label", F.lit(0))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    valid = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & F.forall("raw", finite) & F.exists("raw", lambda x: x != 0), F.lit(False))
+    valid = F.coalesce(
+        F.col("id").isNotNull() & F.col("label").isNotNull() & F.forall("raw", finite) & F.exists("raw", lambda x: x != 0), F.lit(False)
+    )
     rows = rows.select(F.col("id").cast("long").alias("id"), "label", F.when(valid, F.col("raw")).alias("vector"))
     hashes = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")]
     key, kind = ["label", "h1", "h2"], dict(rows.dtypes)["label"]
@@ -177,7 +186,9 @@ def embedding_near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: st
     classes = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     classes = classes.select("label", F.size("vector").alias("size"), *hashes, "vector", "id", "weight").checkpoint()
     sizes = classes.groupBy("label", "size").agg(F.ceil(F.count("*") * F.col("size") / tile_numbers).alias("blocks"))
-    coded = classes.select("label", "size", "h1", "h2", "vector").mapInArrow(_coded, f"label {kind}, size int, h1 long, h2 long, codes binary, step double, error double")
+    coded = classes.select("label", "size", "h1", "h2", "vector").mapInArrow(
+        _coded, f"label {kind}, size int, h1 long, h2 long, codes binary, step double, error double"
+    )
     dealt = tiled(coded.join(sizes, ["label", "size"]), ["label", "size"], "h1", F.col("blocks")).drop("blocks")
     tile = ["label", "size", "ti", "tj"]
     may = dealt.groupBy(*tile).applyInArrow(_may_link(threshold), f"label {kind}, size int, ti int, tj int, side int, h1 long, h2 long")
@@ -188,7 +199,14 @@ def embedding_near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: st
     # two classes may share the smallest id only if an id is repeated: they are one node here
     components = connected_components(found.where("a is not null").select("a", "b"))
     of_class = classes.select(*key, "id", "weight").join(counts, key, "left").join(components, F.col("id") == F.col("node"), "left")
-    of_class = of_class.select(*key, (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("component"))
+    of_class = of_class.select(
+        *key, (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("component")
+    )
     own = rows.select("id", "label", *[F.when(F.col("vector").isNotNull(), h).alias(n) for h, n in zip(hashes, ("h1", "h2"), strict=True)])
     component = F.coalesce("component", "id")
-    return own.join(of_class, key, "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return own.join(of_class, key, "left").select(
+        F.col("id").alias(id_col),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
+    )

@@ -153,7 +153,9 @@ class UnigramLanguages:
         return used[:-1]
 
     @classmethod
-    def train(cls, trie: PieceTrie, n_pieces: int, counts: dict[str, dict[bytes, int]], rounds: int = 3, smooth: float = 0.05) -> UnigramLanguages:
+    def train(
+        cls, trie: PieceTrie, n_pieces: int, counts: dict[str, dict[bytes, int]], rounds: int = 3, smooth: float = 0.05
+    ) -> UnigramLanguages:
         """Expectation maximisation from equal probabilities; ``counts`` has the words of each language."""
         languages = sorted(counts)
         model = cls(trie, languages, np.full((n_pieces, len(languages)), 1.0 / n_pieces))
@@ -217,7 +219,9 @@ def _count_words(batches):
         yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], names=["lang", "key", "word", "n"])
 
 
-def sample_words(df: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int, max_chars: int, max_languages: int, max_words: int) -> dict[str, dict[bytes, int]]:
+def sample_words(
+    df: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int, max_chars: int, max_languages: int, max_words: int
+) -> dict[str, dict[bytes, int]]:
     """Counts of the words of a bounded sample, by language.
 
     Of a language the ``per_language`` distinct rows of the least hash of (lang, id, text) are drawn
@@ -241,7 +245,9 @@ def sample_words(df: DataFrame, text_col: str, lang_col: str, id_col: str, per_l
     chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "key")
     # at most per_language x max_languages rows of a name and a number
     sample = rows.join(F.broadcast(chosen), ["lang", "key"], "left_semi").select("lang", "key", "text")
-    each = sample.mapInArrow(_count_words, "lang string, key long, word binary, n long").groupBy("lang", "key", "word").agg(F.max("n").alias("n"))
+    each = sample.mapInArrow(
+        _count_words, "lang string, key long, word binary, n long"
+    ).groupBy("lang", "key", "word").agg(F.max("n").alias("n"))
     words = each.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     common = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     most = min(50_000, max(1, max_words // len(sizes)))
@@ -252,7 +258,18 @@ def sample_words(df: DataFrame, text_col: str, lang_col: str, id_col: str, per_l
     return counts
 
 
-def train_languages(df: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, max_chars: int = 50_000, max_languages: int = 200, max_words: int = 2_000_000, rounds: int = 3):
+def train_languages(
+    df: DataFrame,
+    vocabulary: str,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    id_col: str = "doc_id",
+    per_language: int = 400,
+    max_chars: int = 50_000,
+    max_languages: int = 200,
+    max_words: int = 2_000_000,
+    rounds: int = 3
+):
     """Fit piece probabilities; returns a factory of the model for the workers.
 
     The fit is on a bounded sample of labelled rows: at most ``per_language`` distinct rows of each

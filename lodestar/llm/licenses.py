@@ -21,28 +21,70 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "name-mpl2": ("MPL-2.0",),
     "name-cc-by": ("CC-BY-4.0",),
     "name-cc0": ("CC0-1.0",),
-    "apache2-short": ("Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0", "This work is licensed under the Apache License, Version 2.0"),
-    "apache2-grant": ('Licensed under the Apache License, Version 2.0 (the "License")', 'This file is licensed under the Apache License, Version 2.0 (the "License")'),
+    "apache2-short": (
+        "Licensed under the Apache License, Version 2.0",
+        "Released under the Apache License, Version 2.0",
+        "This work is licensed under the Apache License, Version 2.0"
+    ),
+    "apache2-grant": (
+        'Licensed under the Apache License, Version 2.0 (the "License")',
+        'This file is licensed under the Apache License, Version 2.0 (the "License")'
+    ),
     "apache2-comply": ("you may not use this file except in compliance with the License",),
     "apache2-copy": ("You may obtain a copy of the License at",),
-    "apache2-warranty": ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',),
+    "apache2-warranty": (
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
+    ),
     "mit-short": ("Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License"),
     "mit-title": ("MIT License", "The MIT License (MIT)", "The MIT License"),
-    "mit-grant": ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',),
-    "mit-notice": ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",),
-    "mit-warranty": ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',),
-    "gpl3-short": ("This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Released under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0"),
-    "gpl2-short": ("This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "Released under the GNU General Public License, version 2"),
+    "mit-grant": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+    ),
+    "mit-notice": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ),
+    "mit-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+    ),
+    "gpl3-short": (
+        "This work is licensed under the GNU General Public License, version 3",
+        "Licensed under the GNU General Public License, version 3",
+        "Released under the GNU General Public License, version 3",
+        "Licensed under the GNU General Public License v3.0"
+    ),
+    "gpl2-short": (
+        "This work is licensed under the GNU General Public License, version 2",
+        "Licensed under the GNU General Public License, version 2",
+        "Released under the GNU General Public License, version 2"
+    ),
     "gpl-grant": ("This program is free software",),
-    "gpl3-terms": ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
-    "gpl2-terms": ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",),
-    "bsd-grant": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
-    "bsd-endorse": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
-    "bsd-warranty": ('THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',),
+    "gpl3-terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ),
+    "gpl2-terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+    ),
+    "bsd-grant": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ),
+    "bsd-endorse": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "bsd-warranty": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    ),
     "mpl2-grant": ("This Source Code Form is subject to the terms of the Mozilla Public License, v",),
-    "cc-by-short": ("Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    "cc-by-sa-short": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "cc-by-nc-short": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "cc-by-short": (
+        "Licensed under CC BY 4.0",
+        "This work is licensed under CC BY 4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License"
+    ),
+    "cc-by-sa-short": (
+        "Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"
+    ),
+    "cc-by-nc-short": (
+        "Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"
+    ),
     "rights": ("All rights reserved",),
 }
 
@@ -67,11 +109,18 @@ RULES: tuple[tuple[str, str], ...] = (
 
 # What the DuckDB twin has no part in: more sentences, patterns for those with free names or many wordings, and their rules.
 MORE_SENTENCES: dict[str, tuple[str, ...]] = {
-    "bsl-grant": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",),
+    "bsl-grant": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
+    ),
     "zlib-warranty": ("This software is provided 'as-is', without any express or implied warranty",),
-    "zlib-altered": ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",),
+    "zlib-altered": (
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+    ),
     "unlicense-grant": ("This is free and unencumbered software released into the public domain",),
-    "bsd-advert": ("All advertising materials mentioning features or use of this software must display the following acknowledgement", "All advertising materials mentioning features or use of this software must display the following acknowledgment"),
+    "bsd-advert": (
+        "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+        "All advertising materials mentioning features or use of this software must display the following acknowledgment"
+    ),
     "either-3": ("either version 3 of the License, or (at your option) any later version", "either version 3 of the License"),
     "either-21": ("either version 2.1 of the License, or (at your option) any later version", "either version 2.1 of the License"),
     "either-2": ("either version 2 of the License, or (at your option) any later version", "either version 2 of the License"),
@@ -92,13 +141,40 @@ _NUMBER = {"3": "3( 0)?", "21": "2 1", "2": "2( 0)?"}
 _GNU_VERSIONS = (("gpl", "3"), ("gpl", "2"), ("lgpl", "3"), ("lgpl", "21"), ("lgpl", "2"), ("agpl", "3"))
 #: (identifier, pattern that a whole normalised sentence must match); the first that does counts.
 PATTERNS: tuple[tuple[str, str], ...] = (
-    ("bsd-grant", "redistribution and use (of .+ )?in source and binary forms with or without modification (are|is) permitted provided that the following conditions are met"),
-    ("bsd-endorse", "(.+ )?(may (not )?be used|be used) to endorse or promote products derived from this software without (specific )?prior written permission( of .+| from .+)?"),
-    ("bsd-warranty", "(.+ )?as is and any express(ed)? or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
-    ("isc-grant", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    *((f"{kind}{v}-terms", f"(.+ )?under the terms of (the )?gnu {_GNU[kind][0]}general public license (version {_NUMBER[v]} as published by the free software foundation|as published by the free software foundation (either )?version {_NUMBER[v]}( of the license)?){_LATER}") for kind, v in _GNU_VERSIONS),
-    *((f"{kind}-terms", f"(.+ )?under the terms of (the )?gnu {_GNU[kind][0]}general public license as published by the free software foundation") for kind in _GNU),
-    *((f"{kind}{v}-short", f"{_SHORT}(gnu {_GNU[kind][0]}general public license ((version|v) ?)?{_NUMBER[v]}|(gnu )?{_GNU[kind][1]} ?((version|v) ?)?{_NUMBER[v]}){_LATER}( license)?") for kind, v in _GNU_VERSIONS),
+    (
+        "bsd-grant",
+        "redistribution and use (of .+ )?in source and binary forms with or without modification (are|is) permitted provided that the following conditions are met"
+    ),
+    (
+        "bsd-endorse",
+        "(.+ )?(may (not )?be used|be used) to endorse or promote products derived from this software without (specific )?prior written permission( of .+| from .+)?"
+    ),
+    (
+        "bsd-warranty",
+        "(.+ )?as is and any express(ed)? or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+    ),
+    (
+        "isc-grant",
+        "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+    ),
+    *(
+        (
+            f"{kind}{v}-terms",
+            f"(.+ )?under the terms of (the )?gnu {_GNU[kind][0]}general public license (version {_NUMBER[v]} as published by the free software foundation|as published by the free software foundation (either )?version {_NUMBER[v]}( of the license)?){_LATER}"
+        ) for kind, v in _GNU_VERSIONS
+    ),
+    *(
+        (
+            f"{kind}-terms",
+            f"(.+ )?under the terms of (the )?gnu {_GNU[kind][0]}general public license as published by the free software foundation"
+        ) for kind in _GNU
+    ),
+    *(
+        (
+            f"{kind}{v}-short",
+            f"{_SHORT}(gnu {_GNU[kind][0]}general public license ((version|v) ?)?{_NUMBER[v]}|(gnu )?{_GNU[kind][1]} ?((version|v) ?)?{_NUMBER[v]}){_LATER}( license)?"
+        ) for kind, v in _GNU_VERSIONS
+    ),
     *((f"epl{v}-grant", f"(.+ )?under the terms of the eclipse public license ((version|v) ?)?{v} 0( which .+| and .+)?") for v in "21"),
     *((f"epl{v}-short", f"{_SHORT}(eclipse public license|epl) ?((version|v) ?)?{v} 0( license)?") for v in "21"),
     ("apache2-short", f"{_SHORT}apache (license )?((version|v) ?)?2( 0)?( license)?"),
@@ -148,7 +224,9 @@ MORE_RULES: dict[str, str] = {
 BUT_SENTENCES = {"BSD-3-Clause": " bsd-advert ", "BSD-2-Clause": " bsd-(advert|endorse) "}
 SENTENCE_END, LINE_END = r"[.!?;:]\s+|\n\s*\n", r"[.!?;:]\s+|\n"
 #: Every known sentence has one of these words or, if it is short names, begins with one of them.
-ANCHORS = ("licen", "redistribut", "permission", "software", "reserved", "released", "distributed", "available", "warranties", "domain", "altered")
+ANCHORS = (
+    "licen", "redistribut", "permission", "software", "reserved", "released", "distributed", "available", "warranties", "domain", "altered"
+)
 FIRST = "(?:0bsd|a?gpl|lgpl|apache|artistic|bsd|bsl|cc|cc0|cddl|epl|eupl|isc|mit|mpl|ofl|postgresql|unlicense|wtfpl|zlib)(?![a-z0-9])"
 #: A name where a sentence of either split may begin.
 BEGINS = rf"(?:^|[.!?;:]\s|\n)[^a-z0-9]*{FIRST}"
@@ -234,4 +312,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     named = F.array_compact(F.array(*[F.when(F.col("sa").rlike(rule) | lines(name, rule), F.lit(name)) for name, rule in rules().items()]))
     some = (F.size("a") > 0) | (F.size("b") > 0)
-    return rows.select(F.col("id").alias(id_col), F.col("a").alias("sentence_ids"), F.col("b").alias("line_ids"), F.when(some, named).otherwise(none).alias("licenses"))
+    return rows.select(
+        F.col("id").alias(id_col),
+        F.col("a").alias("sentence_ids"),
+        F.col("b").alias("line_ids"),
+        F.when(some, named).otherwise(none).alias("licenses")
+    )

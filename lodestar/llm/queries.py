@@ -42,18 +42,32 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secret_spans", lambda s: s["kind"] != "random")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("secret_spans")).alias("spans")
+    )
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_languages(docs, MULTI_RANKS)
-    return predict_languages(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.round("fit", 6).alias("fit"))
+    return predict_languages(docs.select("doc_id", "text"), model, keep=["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.round("fit", 6).alias("fit")
+    )
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = round_trip(table(spark, sf_dir, "documents"), BPE_FILE, keep=["doc_id"])
-    return made.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return made.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,13 +77,27 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = format_conversations(rows.unionByName(hard))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    return made.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return made.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars")
+    )
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = F.size("hit_words").cast("long")
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(hit, F.col("n_words")).alias("contaminated"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated(hit, F.col("n_words")).alias("contaminated")
+    )
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,15 +106,35 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("line_ids", ",").alias("line_ids"), F.array_join("licenses", ",").alias("licenses"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_sharding, op4_secret_scan, op5_language_id, op6_bpe, op7_chat_format, op8_decontaminate, op9_simhash_dedup, op10_license_scan)}
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("line_ids", ",").alias("line_ids"),
+        F.array_join("licenses", ",").alias("licenses")
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        op1_embedding_dedup,
+        op2_token_counts,
+        op3_sharding,
+        op4_secret_scan,
+        op5_language_id,
+        op6_bpe,
+        op7_chat_format,
+        op8_decontaminate,
+        op9_simhash_dedup,
+        op10_license_scan
+    )
+}
 
 OP1_SQL = """
 WITH RECURSIVE v AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS e,
-        label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+        label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
     FROM embeddings),
 links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
@@ -100,7 +148,9 @@ FROM v JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id
 
 
 def _op7_sql() -> str:
-    quote = lambda s: "'" + s.replace("'", "''") + "'" if "\n" not in s else " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in s.split("\n"))
+    quote = lambda s: "'" + s.replace("'", "''") + "'" if "\n" not in s else " || chr(10) || ".join(
+        "'" + p.replace("'", "''") + "'" for p in s.split("\n")
+    )
 
     def escaped(x: str) -> str:
         for sign, code in CODES:
@@ -110,7 +160,8 @@ def _op7_sql() -> str:
     known = " ".join(f"WHEN {quote(name)} THEN {len(a) + len(b)}" for name, (a, b) in MARKS.items())
     return f"""
 WITH t AS (
-    SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number()
+        OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL VALUES (-1, NULL, 0, 'user', '</s>[INST] ok [/INST]'), (-1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]')),
 s AS (
     SELECT *, CASE WHEN regexp_matches(text, {quote(CONTROL)}) THEN {escaped('text')} ELSE text END AS body,
@@ -125,17 +176,21 @@ FROM s GROUP BY conv_id, lone
 
 
 OP8_SQL = r"""
-WITH word AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS re, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper_, 'abcdefghijklmnopqrstuvwxyz' AS lower_),
+WITH word AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS re, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper_,
+    'abcdefghijklmnopqrstuvwxyz' AS lower_),
 d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, upper_, lower_), re), []) AS w FROM documents, word),
-i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, upper_, lower_), re) AS w FROM benchmark, word WHERE text IS NOT NULL AND item_id IS NOT NULL),
+i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, upper_, lower_), re) AS w FROM benchmark, word
+    WHERE text IS NOT NULL AND item_id IS NOT NULL),
 win AS (
     SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') AS s
     FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS k FROM i WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
-runs AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+runs AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+    FROM d, sizes WHERE len(w) >= n)),
 hits AS (SELECT doc_id, item, k, win.n FROM runs JOIN win ON win.n = runs.n AND win.s = runs.s),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hits)
+    GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
     sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
@@ -148,7 +203,9 @@ def _op10_sql() -> str:
     # tokens of a text by its ends, normalised, and those that the dictionary knows
     ids = lambda ends: f"list_filter(list_transform(regexp_split_to_array(low, {quote(ends)}), lambda s: {known}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
     spaced = lambda c: f"' ' || array_to_string({c}, ' ') || ' '"
-    rules = ", ".join(f"CASE WHEN regexp_matches(sa, {quote(rule)}) OR regexp_matches(sb, {quote(rule)}) THEN {quote(name)} END" for name, rule in licenses.RULES)
+    rules = ", ".join(
+        f"CASE WHEN regexp_matches(sa, {quote(rule)}) OR regexp_matches(sb, {quote(rule)}) THEN {quote(name)} END" for name, rule in licenses.RULES
+    )
     return f"""
 WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
 s AS (SELECT doc_id, {ids(licenses.SENTENCE_END)} AS a, {ids(licenses.LINE_END)} AS b FROM d),
@@ -159,4 +216,6 @@ FROM r
 """
 
 
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op7_chat_format": _op7_sql(), "op8_decontaminate": OP8_SQL, "op10_license_scan": _op10_sql()}
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": OP1_SQL, "op7_chat_format": _op7_sql(), "op8_decontaminate": OP8_SQL, "op10_license_scan": _op10_sql()
+}

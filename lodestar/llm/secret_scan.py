@@ -129,7 +129,9 @@ def scan_secrets(df: DataFrame, vocabulary: str, text_col: str = "text", keep: l
 
     def kernel():
         scanner = make()
-        return lambda texts: [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in scanner.spans(t)] for t in texts], type=pa.list_(kind))]
+        return lambda texts: [
+            pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in scanner.spans(t)] for t in texts], type=pa.list_(kind))
+        ]
 
     return map_texts(df, text_col, [T.StructField("secret_spans", T.ArrayType(SPAN))], kernel, keep)
 

@@ -26,7 +26,15 @@ def rendezvous(key: Column, weights: Mapping[int, float]) -> Column:
     return F.array_min(F.array(*[draw(s, w) for s, w in weights.items()]))["shard"]
 
 
-def shard_documents(df: DataFrame, weights: Mapping[int, float], grown: Mapping[int, float] | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = 4096, copies: int = 1 << 20) -> DataFrame:
+def shard_documents(
+    df: DataFrame,
+    weights: Mapping[int, float],
+    grown: Mapping[int, float] | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    buckets: int = 4096,
+    copies: int = 1 << 20
+) -> DataFrame:
     """Assign each row a shard by its key alone (law ``key``) and a gapless slot within the shard.
 
     Returns the id, ``size`` (UTF-8 bytes of the text plus 8), ``text_crc32``, ``law``, ``shard``,
@@ -44,13 +52,24 @@ def shard_documents(df: DataFrame, weights: Mapping[int, float], grown: Mapping[
     columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = pick(df, id=id_col, text=text_col).select("id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("crc"))
+    rows = pick(df, id=id_col, text=text_col).select(
+        "id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("crc")
+    )
     same = rows.groupBy("id", "size", "crc").agg(F.count("*").alias("n"))
     parts = same.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / copies).cast("int"))))
     key = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("crc32:"), F.col("crc").cast("string")))
-    parts = parts.select("id", "size", "crc", "part", F.least(F.lit(copies), F.col("n") - F.col("part") * F.lit(copies)).cast("long").alias("n"), key.alias("key"))
     parts = parts.select(
-        "*", rendezvous(F.col("key"), weights).alias("shard"), (rendezvous(F.col("key"), grown) if grown else F.lit(None).cast("int")).alias("grown"),
+        "id",
+        "size",
+        "crc",
+        "part",
+        F.least(F.lit(copies), F.col("n") - F.col("part") * F.lit(copies)).cast("long").alias("n"),
+        key.alias("key")
+    )
+    parts = parts.select(
+        "*",
+        rendezvous(F.col("key"), weights).alias("shard"),
+        (rendezvous(F.col("key"), grown) if grown else F.lit(None).cast("int")).alias("grown"),
         F.pmod(F.xxhash64(F.lit("bucket"), "key", "size", "crc", "part"), F.lit(buckets)).cast("int").alias("bucket"))
     own = Window.partitionBy("shard", "bucket").orderBy("key", "crc", "size", "part", F.col("id").isNull())
     placed = parts.withColumn("until", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)))

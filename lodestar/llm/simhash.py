@@ -74,7 +74,9 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 3, seed: int = 42, keep: list[str] | None = None, sketch: int = 0) -> DataFrame:
+def fingerprints(
+    df: DataFrame, text_col: str = "text", shingle: int = 3, seed: int = 42, keep: list[str] | None = None, sketch: int = 0
+) -> DataFrame:
     """Append ``fingerprint`` (long, the 64 bits as signed) of each whole text; 0 for a text of no words or null.
 
     With ``sketch``, a number of words, also ``sketch``: the least hashes of the shingles of as many words.
@@ -202,11 +204,19 @@ def simhash_links(nodes: DataFrame, bits: int = 3, tile_rows: int = 4096) -> Dat
     """
     set_checkpoint_dir(nodes.sparkSession)
     entries = _entries(nodes, bits)
-    each = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("fp").alias("differ"))
+    each = entries.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.max("own").alias("own"),
+        F.min("node").alias("a"),
+        F.max("node").alias("b"),
+        F.bit_xor("fp").alias("differ")
+    )
     met = each.where("n > 1 and own = 1").select("key", "n", "a", "b", "differ").checkpoint()
     pairs = met.where((F.col("n") == 2) & (F.bit_count("differ") <= bits)).select("a", "b")
     tiles = _tiles(entries, met.where("n > 2").select("key", "n"), tile_rows)
-    dense = tiles.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(_by_tile(lambda t, tile: _forest(t, tile, bits)), "a long, b long")
+    dense = tiles.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(
+        _by_tile(lambda t, tile: _forest(t, tile, bits)), "a long, b long"
+    )
     found = pairs.union(dense).distinct().checkpoint()
     drop_checkpoint(met)
     return found
@@ -307,7 +317,9 @@ def similar_links(nodes: DataFrame, bits: int = 11, least: float = 0.8, tile_row
     return found
 
 
-def simhash_near_duplicates(df: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_near_duplicates(
+    df: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Fingerprint and near-duplicate component of each row of ``df``.
 
     Returns the id, ``fingerprint`` (16 lowercase hex digits) and ``component_id``, the smallest id
@@ -323,10 +335,23 @@ def simhash_near_duplicates(df: DataFrame, bits: int = 3, shingle: int = 3, seed
     components = connected_components(simhash_links(nodes, bits))
     of_fp = nodes.join(components, "node", "left").select(F.col("fp").alias("own"), F.coalesce("component", "node").alias("component"))
     out = docs.join(of_fp, F.col("fp") == F.col("own"), "left")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
-
-
-def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 11, similar: float = 0.8, words: int = 5, shingle: int = 3, seed: int = 42) -> DataFrame:
+    return out.select(
+        F.col("id").alias(id_col),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id")
+    )
+
+
+def keep_one_of_each(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bits: int = 11,
+    similar: float = 0.8,
+    words: int = 5,
+    shingle: int = 3,
+    seed: int = 42
+) -> DataFrame:
     """One row of each near-duplicate component of ``df``, all columns kept, whatever their names.
 
     Texts link if their fingerprints (of 3-word shingles) differ in ``bits`` bits at most and their

@@ -15,6 +15,13 @@ def tiled(rows: DataFrame, keys: list[str], id_col: str, blocks: Column) -> Data
     a tile holds two blocks, however large the group is.
     """
     names = rows.columns
-    dealt = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64(id_col), F.col("blocks").cast("long")).cast("int"))
+    dealt = rows.withColumn("blocks", blocks.cast("int")).withColumn(
+        "block", F.pmod(F.xxhash64(id_col), F.col("blocks").cast("long")).cast("int")
+    )
     copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return copies.select(*names, F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return copies.select(
+        *names,
+        F.least("block", "other").alias("ti"),
+        F.greatest("block", "other").alias("tj"),
+        (F.col("block") > F.col("other")).cast("int").alias("side")
+    )

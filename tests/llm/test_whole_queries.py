@@ -45,7 +45,9 @@ def components_of(keys, linked):
 def test_op1_of_planted_copies_equals_its_sql(spark, tmp_path):
     r = np.random.default_rng(8)
     base = r.normal(size=(20, 24))
-    rows = [(i, [float(np.float32(x)) for x in base[i % 20] + r.normal(size=24) * (0, 0.1, 0.25, 0.4)[i % 4]], int(i % 3)) for i in range(240)]
+    rows = [
+        (i, [float(np.float32(x)) for x in base[i % 20] + r.normal(size=24) * (0, 0.1, 0.25, 0.4)[i % 4]], int(i % 3)) for i in range(240)
+    ]
     rows += [(900 + i, rows[0][1], 0) for i in range(40)] + [(990, None, 1), (991, [0.0] * 24, 1), (992, rows[0][1], None)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted(map(tuple, QUERIES["op1_embedding_dedup"](spark, str(tmp_path)).collect()))
@@ -65,7 +67,13 @@ def test_op2_equals_plain_dynamic_programming(spark, texts):
         if word not in known:
             w, best = word.encode(), [(0.0, 0)]
             for e in range(1, len(w) + 1):
-                best.append(max((best[s][0] - math.log(rank[w[s:e]] + 100.0), best[s][1] - 1) for s in range(max(0, e - longest), e) if w[s:e] in rank))
+                best.append(
+                    max(
+                        (
+                            best[s][0] - math.log(rank[w[s:e]] + 100.0), best[s][1] - 1
+                        ) for s in range(max(0, e - longest), e) if w[s:e] in rank
+                    )
+                )
             known[word] = -best[-1][1]
         return known[word]
 
@@ -115,7 +123,12 @@ def test_op6_equals_the_library(spark, texts):
 
 def test_vocabulary_files_with_other_settings_are_refused():
     raw = open(BPE_FILE, "rb").read()
-    for old, new in ((b'"add_prefix_space":false', b'"add_prefix_space":true'), (b'"normalizer":null', b'"normalizer":{"type":"NFC"}'), (b'"lstrip":false', b'"lstrip":true'), (b'"byte_fallback":false', b'"byte_fallback":true')):
+    for old, new in (
+        (b'"add_prefix_space":false', b'"add_prefix_space":true'),
+        (b'"normalizer":null', b'"normalizer":{"type":"NFC"}'),
+        (b'"lstrip":false', b'"lstrip":true'),
+        (b'"byte_fallback":false', b'"byte_fallback":true')
+    ):
         squeezed = re.sub(rb'": +', b'":', raw) if old not in raw else raw
         assert old in squeezed
         with pytest.raises(ValueError, match="unsupported"):
@@ -134,7 +147,9 @@ def test_op9_equals_brute_force(spark, texts):
     near = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (prints[a] ^ prints[b]).bit_count() <= 3]
     want = components_of(ids, near)
     got = QUERIES["op9_simhash_dedup"](spark, SF).collect()
-    assert {x["doc_id"]: (x["fingerprint"], x["component_id"]) for x in got} == {d: (f"{prints[d]:016x}", want[d]) for d in ids} and len(got) == len(ids)
+    assert {
+        x["doc_id"]: (x["fingerprint"], x["component_id"]) for x in got
+    } == {d: (f"{prints[d]:016x}", want[d]) for d in ids} and len(got) == len(ids)
     assert any(a != want[a] for a in ids)
 
 
@@ -154,7 +169,14 @@ def test_links_at_any_radius(spark, bits):
 
 
 def test_op7_rows_of_no_conversation_equal_its_sql(spark, tmp_path):
-    rows = [(None, 0, "user", "a\\b"), (None, 0, "user", "a\\b"), (None, None, "assistant", None), (1, 0, "assistant", "x"), (1, 0, "assistant", "x"), (1, None, None, "<s>")]
+    rows = [
+        (None, 0, "user", "a\\b"),
+        (None, 0, "user", "a\\b"),
+        (None, None, "assistant", None),
+        (1, 0, "assistant", "x"),
+        (1, 0, "assistant", "x"),
+        (1, None, None, "<s>")
+    ]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted(map(tuple, QUERIES["op7_chat_format"](spark, str(tmp_path)).collect()), key=str)
     con = duckdb.connect()
