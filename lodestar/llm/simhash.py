@@ -48,18 +48,32 @@ def sketch_of(words: list[bytes], shingle: int, seed: int) -> bytes:
     return least[:SKETCH].astype("<u4").tobytes()
 
 
-def similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of a text's shingles with those of others, by sketches padded with MISSING; 1 if both have none.
-
-    Up to the lesser of two full sketches' greatest hashes both hold all of their texts' hashes: the
-    similarity is that of these, an estimate (standard error 0.035 at 0.8) or, of short texts, exact.
-    """
-    top = lambda m: np.where(m[..., -1] < MISSING, m[..., -1], MISSING - 1)
-    until = np.minimum(top(one), top(others))
-    within = others <= until[:, None]
-    common = (np.isin(others, one) & within).sum(axis=1)
-    union = np.searchsorted(one, until, "right") + within.sum(axis=1) - common
-    return np.where(union == 0, 1.0, common / np.maximum(union, 1))
+class Sketches:
+    """Sketches of many texts, to be compared with one another."""
+
+    def __init__(self, packed: list[bytes]):
+        self.rows = np.full((len(packed), SKETCH), MISSING, dtype=np.uint64)
+        for row, raw in enumerate(packed):
+            self.rows[row, : len(raw) // 4] = np.frombuffer(raw, "<u4")
+        distinct, codes = np.unique(self.rows, return_inverse=True)
+        self.codes = codes.reshape(self.rows.shape)
+        self.mark = np.zeros(len(distinct), dtype=bool)
+        last = self.rows[:, -1] if len(packed) else np.zeros(0, dtype=np.uint64)
+        self.top = np.where(last < MISSING, last, MISSING - np.uint64(1))
+
+    def similarity(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Jaccard similarity of text i's shingles with those of others; 1 if both have none.
+
+        Up to the lesser of two full sketches' greatest hashes both hold all of their texts' hashes: the
+        similarity is that of these, an estimate (standard error 0.035 at 0.8) or, of short texts, exact.
+        """
+        until = np.minimum(self.top[i], self.top[others])
+        within = self.rows[others] <= until[:, None]
+        self.mark[self.codes[i]] = True
+        common = (self.mark[self.codes[others]] & within).sum(axis=1)
+        self.mark[self.codes[i]] = False
+        union = np.searchsorted(self.rows[i], until, "right") + within.sum(axis=1) - common
+        return np.where(union == 0, 1.0, common / np.maximum(union, 1))
 
 
 def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -281,13 +295,11 @@ def _similar(bits: int, least: float):
         for one in _tile_slices(t, tile):
             one = one.sort_by("node")
             fp, node = one.column("fp").to_numpy().view(np.uint64), one.column("node").to_numpy()
-            sketches = np.full((len(fp), SKETCH), MISSING, dtype=np.uint64)
-            for row, raw in enumerate(one.column("sketch").to_pylist()):
-                sketches[row, : len(raw) // 4] = np.frombuffer(raw, "<u4")
+            sketches = Sketches(one.column("sketch").to_pylist())
             label = np.arange(len(fp))
             for i, j in _near_rows(fp, one.column("key")[0].as_py(), bits, width):
                 j = j[label[j] != label[i]]
-                j = j[similarity(sketches[i], sketches[j]) >= least]
+                j = j[sketches.similarity(i, j) >= least]
                 label = union_labels(label, np.full(len(j), i), j)
             child = np.nonzero(label != np.arange(len(fp)))[0]
             yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[label[child]])], names=["a", "b"])

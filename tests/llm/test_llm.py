@@ -681,11 +681,10 @@ def test_similarity_is_exact_for_short_texts_and_near_for_long_ones():
         for k in r.sample(range(n), n // 50):
             other[k] = "changed"
         sets = [{" ".join(w[i : i + 5]) for i in range(n - 4)} for w in (words, other)]
-        sketches = np.full((2, simhash.SKETCH), simhash.MISSING, dtype=np.uint64)
-        for row, w in enumerate((words, other)):
-            raw = np.frombuffer(simhash.sketch_of([x.encode() for x in w], 5, 42), "<u4")
-            sketches[row, : len(raw)] = raw
-        got = simhash.similarity(sketches[0], sketches[1:])[0]
+        packed = [simhash.sketch_of([x.encode() for x in w], 5, 42) for w in (words, other)]
+        got = simhash.Sketches([*packed, b"", b""]).similarity(0, np.array([1, 2]))
+        assert got[1] == 0 and simhash.Sketches([*packed, b"", b""]).similarity(2, np.array([3]))[0] == 1
+        got = got[0]
         assert abs(got - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) <= slack
 
 
