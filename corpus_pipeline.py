@@ -64,7 +64,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     made = redact_secrets(flat.withColumn("before", F.col(text)), BPE_RANKS, text_col=text)
     if "n_chars" in names:
         count = f"x{names.index('n_chars')}"
-        made = made.withColumn(count, F.when(F.col(text) == F.col("before"), F.col(count)).otherwise(F.length(text)).cast(flat.schema[count].dataType))
+        made = made.withColumn(
+            count, F.when(F.col(text) == F.col("before"), F.col(count)).otherwise(F.length(text)).cast(flat.schema[count].dataType)
+        )
     return made.select(*flat.columns).toDF(*names)
 
 
@@ -78,7 +80,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("tokens", tokens)
+]
 
 #: Fingerprints, components, trained languages and BPE are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
