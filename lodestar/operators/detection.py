@@ -7,16 +7,17 @@ Greedy operators work on one image (and class) at a time, in order of score desc
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.boxes import box, iou
 from lodestar.functions.scalars import seeded
 from lodestar.operators.cumulative import running_totals
-from lodestar.operators.grouped import keep_by_group
+from lodestar.operators.grouped import Rows, keep_by_group, map_groups
 
 BOX = ["x1", "y1", "x2", "y2"]
+#: Detections by score, then number, and truths by number.
+BY_SCORE = ["score desc nulls last", "det", "gt"]
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray, pixel: float = 0.0, eps: float = 0.0, area_pixel: float | None = None) -> np.ndarray:
@@ -183,30 +184,40 @@ def mark_default(dets: DataFrame, gts: DataFrame, threshold: float = 0.5) -> Dat
     return counted.select(*dets.columns, tp.alias("tp"), F.when(ignored, 0).otherwise(1 - tp).alias("fp"))
 
 
+def boxes_of(rows: Rows, some: np.ndarray) -> np.ndarray:
+    return np.column_stack([rows[c][some].astype(float) for c in BOX])
+
+
+def with_truths(dets: DataFrame, gts: DataFrame, keys: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """Both in one table, to meet by group: ``gt`` is null in rows of ``dets``, ``det`` and ``score`` in those of ``gts``."""
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    score = F.col("score").cast("double").alias("score") if "score" in dets.columns else none("double", "score")
+    left = dets.select(*keys, "det", score, *BOX, none("long", "gt"), *more)
+    return left.unionByName(gts.select(*keys, none("long", "det"), none("double", "score"), *BOX, "gt", *more))
+
+
 def mark_available(dets: DataFrame, gts: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``dets`` with tp and fp, each row by score taking its best truth that is still free; small truths need less overlap."""
-    both = dets.select("image", "class", "det", "score", *BOX, F.lit(None).cast("long").alias("gt")).unionByName(
-        gts.select("image", "class", F.lit(None).cast("long").alias("det"), F.lit(None).cast("double").alias("score"), *BOX, "gt")
-    )
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        d, t = g[g["det"].notna()].sort_values(["score", "det"], ascending=[False, True]), g[g["gt"].notna()].sort_values("gt")
-        tp = np.zeros(len(d), dtype=np.int32)
-        if len(t):
-            tb = t[BOX].to_numpy(dtype=float)
-            near = iou_matrix(d[BOX].to_numpy(dtype=float), tb - np.array([0, 0, 1, 1.0]), pixel=1.0)
+    def run(g: Rows) -> Rows:
+        d, t = ~np.isnan(g["det"].astype(float)), ~np.isnan(g["gt"].astype(float))
+        tp = np.zeros(int(d.sum()), dtype=np.int32)
+        tb = boxes_of(g, t)
+        if len(tb) and len(tp):
+            near = iou_matrix(boxes_of(g, d), tb - np.array([0, 0, 1, 1.0]), pixel=1.0)
             w, h = tb[:, 2] - tb[:, 0], tb[:, 3] - tb[:, 1]
-            need = np.minimum(w * h / ((w + 10) * (h + 10)), threshold)
-            free = np.ones(len(t), dtype=bool)
-            for i in range(len(d)):
-                fits = free & (near[i] >= need)
+            able = near >= np.minimum(w * h / ((w + 10) * (h + 10)), threshold)
+            free = np.ones(len(tb), dtype=bool)
+            for i in np.nonzero(able.any(axis=1))[0]:
+                fits = free & able[i]
                 if fits.any():
                     j = int(np.where(fits, near[i], -1).argmax())
                     free[j], tp[i] = False, 1
-        return d[["image", "class", "det", "score"]].assign(det=d.det.astype("int64"), tp=tp, fp=1 - tp)
+        return {"image": g["image"][d], "class": g["class"][d], "det": g["det"][d].astype(np.int64), "score": g["score"][d], "tp": tp, "fp": 1 - tp}
 
-    schema = ", ".join(f"{c} {dict(dets.dtypes)[c]}" for c in ("image", "class")) + ", det long, score double, tp int, fp int"
-    return both.groupBy("image", "class").applyInPandas(run, schema)
+    kinds = dict(dets.dtypes)
+    schema = f"image {kinds['image']}, class {kinds['class']}, det long, score double, tp int, fp int"
+    return map_groups(with_truths(dets, gts, ["image", "class"]), ["image", "class"], BY_SCORE, run, schema)
 
 
 def mark_by_area(dets: DataFrame, gts: DataFrame, areas: dict[str, tuple[float, float]], threshold: float = 0.5) -> DataFrame:
@@ -300,24 +311,23 @@ def eval_map_by_area(dets: DataFrame, gts: DataFrame, areas: dict[str, tuple[flo
 
 def proposal_recall(dets: DataFrame, gts: DataFrame, numbers: list[int], thresholds: list[float]) -> DataFrame:
     """Share of truths met at each IoU threshold by the best ``number`` boxes of an image, matched one to one by greatest IoU first."""
-    both = dets.select("image", "det", "score", *BOX, F.lit(None).cast("long").alias("gt")).unionByName(
-        gts.select("image", F.lit(None).cast("long").alias("det"), F.lit(None).cast("double").alias("score"), *BOX, "gt")
-    )
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        d, t = g[g["det"].notna()].sort_values(["score", "det"], ascending=[False, True]), g[g["gt"].notna()].sort_values("gt")
+    def run(g: Rows) -> Rows:
+        d, t = ~np.isnan(g["det"].astype(float)), ~np.isnan(g["gt"].astype(float))
         rows = []
+        whole = iou_matrix(boxes_of(g, t), boxes_of(g, d), eps=1e-6)
         for n in numbers:
-            near = iou_matrix(t[BOX].to_numpy(dtype=float), d[BOX].to_numpy(dtype=float)[:n], eps=1e-6)
-            met = np.zeros(len(t))
+            near = whole[:, :n].copy()
+            met = np.zeros(len(whole))
             for k in range(min(near.shape)):
                 i, j = np.unravel_index(near.argmax(), near.shape)
                 met[k] = near[i, j]
                 near[i, :], near[:, j] = -1, -1
-            rows += [(n, th, int((met >= th).sum()), len(t)) for th in thresholds]
-        return pd.DataFrame(rows, columns=["number", "threshold", "met", "truths"])
+            rows += [(n, th, int((met >= th).sum()), len(whole)) for th in thresholds]
+        return {name: np.array(column) for name, column in zip(("number", "threshold", "met", "truths"), zip(*rows, strict=True), strict=True)}
 
-    found = both.groupBy("image").applyInPandas(run, "number int, threshold double, met long, truths long")
+    schema = "number int, threshold double, met long, truths long"
+    found = map_groups(with_truths(dets, gts, ["image"]), ["image"], BY_SCORE, run, schema)
     return found.groupBy("number", "threshold").agg((F.sum("met") / F.greatest(F.sum("truths"), F.lit(1))).alias("recall"))
 
 
@@ -377,16 +387,14 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
 
 def hungarian_assign(dets: DataFrame, gts: DataFrame) -> DataFrame:
     """One box for each truth of an image such that the sum of 1 - IoU is least; -1 for the others."""
-    both = dets.select("image", "det", *BOX, F.lit(None).cast("long").alias("gt")).unionByName(
-        gts.select("image", F.lit(None).cast("long").alias("det"), *BOX, "gt")
-    )
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        d, t = g[g["det"].notna()].sort_values("det"), g[g["gt"].notna()].sort_values("gt")
-        of = np.full(len(d), -1, dtype=np.int64)
-        if len(d) and len(t):
-            to = hungarian(1 - iou_matrix(d[BOX].to_numpy(dtype=float), t[BOX].to_numpy(dtype=float), eps=1e-6))
-            of = np.where(to >= 0, t["gt"].to_numpy(dtype=np.int64)[to], -1)
-        return pd.DataFrame({"image": d.image, "det": d.det.astype("int64"), "assigned": of})
+    def run(g: Rows) -> Rows:
+        d, t = ~np.isnan(g["det"].astype(float)), ~np.isnan(g["gt"].astype(float))
+        of = np.full(int(d.sum()), -1, dtype=np.int64)
+        if len(of) and t.any():
+            to = hungarian(1 - iou_matrix(boxes_of(g, d), boxes_of(g, t), eps=1e-6))
+            of = np.where(to >= 0, g["gt"][t].astype(np.int64)[to], -1)
+        return {"image": g["image"][d], "det": g["det"][d].astype(np.int64), "assigned": of}
 
-    return both.groupBy("image").applyInPandas(run, f"image {dict(dets.dtypes)['image']}, det long, assigned long")
+    schema = f"image {dict(dets.dtypes)['image']}, det long, assigned long"
+    return map_groups(with_truths(dets, gts, ["image"]), ["image"], [F.col("det"), F.col("gt")], run, schema)

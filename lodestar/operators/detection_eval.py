@@ -3,25 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.cumulative import running_totals
-from lodestar.operators.detection import BOX, iou_matrix, rank_sample
+from lodestar.operators.detection import BY_SCORE, boxes_of, iou_matrix, rank_sample, with_truths
+from lodestar.operators.grouped import Rows, map_groups
 
 # Fixed values of the COCO protocol.
 THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 
-def _both(dets: DataFrame, gts: DataFrame, keys: list[str], more: tuple[str, ...] = ()) -> DataFrame:
-    ignore = F.col("ignore") if "ignore" in gts.columns else F.lit(False)
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    d = dets.select(*keys, "det", "score", *BOX, *more, none("long", "gt"), F.lit(False).alias("ignore"))
-    return d.unionByName(gts.select(*keys, none("long", "det"), none("double", "score"), *BOX, *more, "gt", ignore.alias("ignore")))
-
-
 def oks_matrix(points: np.ndarray, truth: np.ndarray, boxes: np.ndarray, sigmas: np.ndarray) -> np.ndarray:
     """Object keypoint similarity of ``points`` (n, k, 2) to ``truth`` (m, k, 3: x, y, visible) with ``boxes`` (m, 4).
 
@@ -65,23 +58,23 @@ def coco_matches(dets: DataFrame, gts: DataFrame, most: int = 100, sigmas: list[
     dets = rank_sample(dets, ["image", "class"], [F.desc("score"), F.col("det")], most)
     more = ("points",) if sigmas else ()
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        d = g[g["det"].notna()].sort_values(["score", "det"], ascending=[False, True]).head(most)
-        t = g[g["gt"].notna()].sort_values("gt")
-        db, tb, crowd = d[BOX].to_numpy(dtype=float), t[BOX].to_numpy(dtype=float), t["ignore"].to_numpy(dtype=bool)
+    def run(g: Rows) -> Rows:
+        d, t = ~np.isnan(g["det"].astype(float)), ~np.isnan(g["gt"].astype(float))
+        db, tb, crowd = boxes_of(g, d), boxes_of(g, t), g["ignore"][t].astype(bool)
         size = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
         if sigmas:
             k = len(sigmas)
-            seen = np.array([*t["points"]], dtype=float).reshape(-1, k, 3)
+            points = lambda some, width: np.array([*g["points"][some]], dtype=float).reshape(-1, k, width)
+            seen = points(t, 3)
             crowd = crowd | ~(seen[:, :, 2] > 0).any(axis=1)
-            near = oks_matrix(np.array([*d["points"]], dtype=float).reshape(-1, k, 2), seen, tb, np.array(sigmas))
+            near = oks_matrix(points(d, 2), seen, tb, np.array(sigmas))
         else:
             near = iou_matrix(db, tb) if len(tb) else np.zeros((len(db), 0))
         if crowd.any() and not sigmas:
             w = np.minimum(db[:, None, 2], tb[None, :, 2]) - np.maximum(db[:, None, 0], tb[None, :, 0])
             h = np.minimum(db[:, None, 3], tb[None, :, 3]) - np.maximum(db[:, None, 1], tb[None, :, 1])
             near = np.where(crowd, np.maximum(w, 0) * np.maximum(h, 0) / size(db)[:, None], near)
-        rows = []
+        n, parts = len(db), []
         for name, (low, high) in AREAS.items():
             ignored = crowd | (size(tb) < low) | (size(tb) > high)
             outside = (size(db) < low) | (size(db) > high)
@@ -89,25 +82,17 @@ def coco_matches(dets: DataFrame, gts: DataFrame, most: int = 100, sigmas: list[
                 to = _match(near, ignored, crowd, threshold)
                 hit = to >= 0
                 skip = np.where(hit, ignored[to] if len(tb) else False, outside)
-                rows.append(
-                    pd.DataFrame(
-                        {
-                            "image": key[0],
-                            "class": key[1],
-                            "det": d["det"].astype("int64"),
-                            "score": d["score"],
-                            "area": name,
-                            "threshold": threshold,
-                            "tp": (hit & ~skip).astype("int32"),
-                            "fp": (~hit & ~skip).astype("int32")
-                        }
-                    )
-                )
-        return pd.concat(rows)
+                parts.append((np.full(n, name, dtype=object), np.full(n, threshold), hit & ~skip, ~hit & ~skip))
+        area, threshold, tp, fp = (np.concatenate(c) for c in zip(*parts, strict=True))
+        own = {c: np.tile(g[c][d], len(parts)) for c in ("image", "class", "score")}
+        det = np.tile(g["det"][d].astype(np.int64), len(parts))
+        return own | {"det": det, "area": area, "threshold": threshold, "tp": tp.astype(np.int32), "fp": fp.astype(np.int32)}
 
     kinds = dict(dets.dtypes)
     schema = f"image {kinds['image']}, class {kinds['class']}, det long, score double, area string, threshold double, tp int, fp int"
-    return _both(dets, gts, ["image", "class"], more).groupBy("image", "class").applyInPandas(run, schema)
+    ignore = F.col("ignore") if "ignore" in gts.columns else F.lit(False)
+    both = with_truths(dets.withColumn("ignore", F.lit(False)), gts.withColumn("ignore", ignore), ["image", "class"], ("ignore", *more))
+    return map_groups(both, ["image", "class"], BY_SCORE, run, schema)
 
 
 def coco_summary(dets: DataFrame, gts: DataFrame, most: int = 100, sigmas: list[float] | None = None) -> DataFrame:
@@ -185,27 +170,25 @@ def face_ap(dets: DataFrame, gts: DataFrame, threshold: float = 0.5, steps: int
     ends = dets.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
     span = (ends["hi"] - ends["lo"]) if ends["hi"] is not None and ends["hi"] > ends["lo"] else 1.0
     scaled = dets.withColumn("score", (F.col("score") - F.lit(float(ends["lo"] or 0.0))) / F.lit(float(span)))
-    both = _both(scaled, gts.withColumn("ignore", ~F.col("counts")), ["image"])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        d, t = g[g["det"].notna()].sort_values(["score", "det"], ascending=[False, True]), g[g["gt"].notna()].sort_values("gt")
-        ignored, used = t["ignore"].to_numpy(dtype=bool), np.zeros(len(t), dtype=bool)
-        near = iou_matrix(d[BOX].to_numpy(dtype=float), t[BOX].to_numpy(dtype=float), pixel=1.0)
-        recalled, proposal = np.zeros(len(d), dtype=np.int64), np.ones(len(d), dtype=np.int64)
-        for i in range(len(d) if len(t) else 0):
+    both = with_truths(scaled.withColumn("ignore", F.lit(False)), gts.withColumn("ignore", ~F.col("counts")), ["image"], ("ignore",))
+
+    def run(g: Rows) -> Rows:
+        d, t = ~np.isnan(g["det"].astype(float)), ~np.isnan(g["gt"].astype(float))
+        ignored, used = g["ignore"][t].astype(bool), np.zeros(int(t.sum()), dtype=bool)
+        near = iou_matrix(boxes_of(g, d), boxes_of(g, t), pixel=1.0)
+        recalled, proposal = np.zeros(len(near), dtype=np.int64), np.ones(len(near), dtype=np.int64)
+        for i in np.nonzero((near >= threshold).any(axis=1))[0]:
             j = int(near[i].argmax())
-            if near[i, j] >= threshold:
-                if ignored[j]:
-                    proposal[i] = 0
-                elif not used[j]:
-                    used[j], recalled[i] = True, 1
+            if ignored[j]:
+                proposal[i] = 0
+            elif not used[j]:
+                used[j], recalled[i] = True, 1
         # threshold k keeps scores >= 1 - (k + 1) / steps; a detection counts from its first on
-        first = np.maximum(np.ceil((1 - d["score"].to_numpy(dtype=float)) * steps - 1 - 1e-9), 0).astype("int64")
-        return pd.DataFrame({"step": np.minimum(first, steps - 1), "recalled": recalled, "proposals": proposal})
+        first = np.maximum(np.ceil((1 - g["score"][d].astype(float)) * steps - 1 - 1e-9), 0).astype("int64")
+        return {"step": np.minimum(first, steps - 1), "recalled": recalled, "proposals": proposal}
 
-    hits = both.groupBy("image").applyInPandas(run, "step long, recalled long, proposals long").groupBy("step").agg(
-        F.sum("recalled").alias("recalled"), F.sum("proposals").alias("proposals")
-    )
+    each = map_groups(both, ["image"], BY_SCORE, run, "step long, recalled long, proposals long")
+    hits = each.groupBy("step").agg(F.sum("recalled").alias("recalled"), F.sum("proposals").alias("proposals"))
     truths = gts.agg(F.coalesce(F.sum(F.col("counts").cast("long")), F.lit(0)).alias("truths"))
     up = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # at most ``steps`` rows
     curve = hits.select(

@@ -589,7 +589,7 @@ def x1_nms(spark, d):
 
 @register(sql.X3)
 def x3_multiclass_nms(spark, d):
-    return detection.multiclass_nms(fx.detections(spark, d), 0.05, 0.5, 10)
+    return detection.multiclass_nms(fx.detections(spark, d), 0.05, 0.5, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 FAST = """, r AS (SELECT *, row_number() OVER (PARTITION BY image, class ORDER BY score DESC, det) AS rank FROM dets) """
@@ -659,7 +659,7 @@ def a25_coco_summary(spark, d):
 def x6_merge_augmented(spark, d):
     b = fx.detections(spark, d).withColumn("weight", F.col("score"))
     moved = b.select("image", (F.floor(F.col("det") / 2)).alias("det"), *[F.col(c) for c in ("x1", "y1", "x2", "y2", "score", "weight")])
-    return rounded(assignment.merge_augmented(moved, "weighted"), "x1", "y1", "x2", "y2", "score")
+    return rounded(assignment.merge_augmented(moved, "weighted"), "x1", "y1", "x2", "y2", "score", digits=9)
 
 
 @register(sql.X9_APPROX)
@@ -1236,7 +1236,7 @@ def t8_hub_topk(spark, d):
 
 @register(sql.T11)
 def t11_argmax(spark, d):
-    return rounded(search.argmax_by(fx.detections(spark, d), ["image", "class"], F.col("score"), "det", ["det", "score"]), "score")
+    return search.argmax_by(fx.detections(spark, d), ["image", "class"], F.col("score"), "det", ["det", "score"])
 
 
 @register(sql.T17)

@@ -149,10 +149,10 @@ X1 = recursive("dets") + nms("dets", 0.4, 1) + "SELECT * FROM kept"
 X3 = recursive("dets") + ", scored AS (SELECT * FROM dets WHERE score > 0.05)" + nms("scored", 0.5, 0) + """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, det) AS rank FROM kept) WHERE rank <= 10"""
 
-X6 = with_("dets") + """SELECT image, det // 2 AS det, round(sum(x1 * score) / sum(score), 6) AS x1, round(sum(y1 * score) / sum(score),
-    6) AS y1,
-    round(sum(x2 * score) / sum(score), 6) AS x2, round(sum(y2 * score) / sum(score), 6) AS y2, round(sum(score * score) / sum(score),
-        6) AS score FROM dets GROUP BY ALL"""
+X6 = with_("dets") + """SELECT image, det // 2 AS det, round(sum(x1 * score) / sum(score), 9) AS x1, round(sum(y1 * score) / sum(score),
+    9) AS y1,
+    round(sum(x2 * score) / sum(score), 9) AS x2, round(sum(y2 * score) / sum(score), 9) AS y2, round(sum(score * score) / sum(score),
+        9) AS score FROM dets GROUP BY ALL"""
 
 _PAIRS = f""", p AS (SELECT d.image, d.det, d.class, d.score, d.x1, d.y1, d.x2, d.y2, g.gt, g.x1 AS gx1, g.y1 AS gy1, g.x2 AS gx2,
     g.y2 AS gy2, {sql_iou('d', 'g')} AS iou
@@ -565,7 +565,7 @@ SELECT q.query_id, coalesce(vector_id, -1)::BIGINT AS vector_id, round(coalesce(
     FROM r WHERE rank = 1 AND score >= 0.35) r ON r.query_id = q.query_id"""
 T8_TOP = T8[: T8.index("SELECT q.query_id, coalesce")] + """SELECT query_id, rank, vector_id, round(score, 6) AS score FROM r
     WHERE rank <= 5 AND score >= 0.3"""
-T11 = with_("dets") + "SELECT image, class, arg_max(det, (score, -det)) AS det, round(max(score), 6) AS score FROM dets GROUP BY ALL"
+T11 = with_("dets") + "SELECT image, class, arg_max(det, (score, -det)) AS det, max(score) AS score FROM dets GROUP BY ALL"
 T17 = with_("gallery") + """, f AS (SELECT vector_id AS query_id, vector_id // 200 AS frame, vector_id * 37 % 101 AS area,
     embedding AS query FROM gallery WHERE vector_id % 50 = 0),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY area DESC, query_id) AS place FROM f) WHERE place <= 2),
