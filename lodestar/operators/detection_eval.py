@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.cumulative import running_totals
-from lodestar.operators.detection import BY_SCORE, boxes_of, iou_matrix, rank_sample, with_truths
+from lodestar.operators.cumulative import part_of
+from lodestar.operators.detection import BOX, BY_SCORE, boxes_of, iou_matrix, rank_sample, with_truths
 from lodestar.operators.grouped import Rows, map_groups
 
 # Fixed values of the COCO protocol.
 THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+SETTINGS = len(AREAS) * len(THRESHOLDS)
+#: Cells of the arrays over groups, settings and truths, or groups, detections and truths, at a time.
+CELLS = 1 << 21
 
 
 def oks_matrix(points: np.ndarray, truth: np.ndarray, boxes: np.ndarray, sigmas: np.ndarray) -> np.ndarray:
@@ -33,71 +38,144 @@ def oks_matrix(points: np.ndarray, truth: np.ndarray, boxes: np.ndarray, sigmas:
     return out
 
 
-def _match(near: np.ndarray, ignored: np.ndarray, crowd: np.ndarray, threshold: float) -> np.ndarray:
-    """The truth of each detection in order, -1 for none: the best free one at the threshold; real truths before ignored ones, crowds never used up."""
-    free, out = np.ones(near.shape[1], dtype=bool), np.full(near.shape[0], -1, dtype=np.int64)
-    for i in range(near.shape[0]):
-        for group in (~ignored, ignored):
-            fits = group & (free | crowd) & (near[i] >= min(threshold, 1 - 1e-10))
-            if fits.any():
-                j = near.shape[1] - 1 - int(np.where(fits, near[i], -1.0)[::-1].argmax())
-                out[i], free[j] = j, False
-                break
-    return out
+def _match_many(near: np.ndarray, valid: np.ndarray, ignored: np.ndarray, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each detection, in order, takes a truth, and whether that is an ignored one: (groups, detections, areas, thresholds).
 
+    ``near`` is (groups, detections, truths), ``valid`` and ``crowd`` (groups, truths), ``ignored`` (groups,
+    areas, truths). A detection takes the best free truth at the threshold, the first of equal ones; real
+    truths before ignored ones; crowds are never used up. All areas and thresholds go on side by side.
+    """
+    groups, n, _ = near.shape
+    free = np.broadcast_to(valid[:, None, None, :], (groups, len(AREAS), len(THRESHOLDS), valid.shape[1])).copy()
+    hit = np.zeros((groups, n, len(AREAS), len(THRESHOLDS)), dtype=bool)
+    skip, least = hit.copy(), np.minimum(THRESHOLDS, 1 - 1e-10)
+    near = np.where(valid[:, None, :], near, -1.0)
+    for i in range(n):
+        at = np.nonzero((near[:, i] >= least[0]).any(axis=1))[0]
+        if not len(at):
+            continue
+        own, without = near[at, i], ignored[at]
+        fits = (free[at] | crowd[at][:, None, None, :]) & (own[:, None, :] >= least[:, None])[:, None]
+        real = fits & ~without[:, :, None, :]
+        fits = np.where(real.any(axis=3, keepdims=True), real, fits)
+        j = np.where(fits, own[:, None, None, :], -1.0).argmax(axis=3)
+        found = fits.any(axis=3)
+        hit[at, i] = found
+        g, a, t = np.nonzero(found)
+        j = j[g, a, t]
+        skip[at[g], i, a, t] = without[g, a, j]
+        free[at[g], a, t, j] = False
+    return hit, skip
 
-def coco_matches(dets: DataFrame, gts: DataFrame, most: int = 100, sigmas: list[float] | None = None) -> DataFrame:
-    """(class, image, det, score, area, threshold, tp, fp) of the ``most`` best detections of each image and class.
 
-    Truths marked ``ignore`` are crowds: overlap with them is over the detection's own area and makes
-    it neither. Truths outside an area range, and unmatched detections outside it, don't count there.
-    With ``sigmas``, one for each keypoint, both sides have an array ``points`` (x, y and, of truths,
-    visible, one after the other), and overlap is keypoint similarity; truths without a visible point are
-    ignored.
+def _chunks(detections: np.ndarray, truths: np.ndarray) -> list[np.ndarray]:
+    """Groups of like numbers of truths, as many at a time as keep the padded arrays to a few million cells."""
+    order, out, start, most = np.lexsort((detections, truths)), [], 0, 0
+    for at, g in enumerate(order.tolist()):
+        most = max(most, int(detections[g]))
+        if at > start and (at + 1 - start) * max(int(truths[g]), 1) * max(most, SETTINGS) > CELLS:
+            out.append(order[start:at])
+            start, most = at, int(detections[g])
+    return [*out, order[start:]] if len(order) else []
+
+
+def coco_marks(dets: DataFrame, gts: DataFrame, most: int = 100, sigmas: list[float] | None = None) -> DataFrame:
+    """(class, image, det, score, tp, fp) of the ``most`` best detections of each image and class.
+
+    ``tp`` and ``fp`` have a bit for each area and threshold: bit 10 a + t for area a and threshold t, in the
+    order of ``AREAS`` and ``THRESHOLDS``. For the rest see ``coco_matches``.
     """
     dets = rank_sample(dets, ["image", "class"], [F.desc("score"), F.col("det")], most)
     more = ("points",) if sigmas else ()
+    bit = 1 << np.arange(SETTINGS, dtype=np.int64)
 
-    def run(g: Rows) -> Rows:
-        d, t = ~np.isnan(g["det"].astype(float)), ~np.isnan(g["gt"].astype(float))
-        db, tb, crowd = boxes_of(g, d), boxes_of(g, t), g["ignore"][t].astype(bool)
-        size = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    def overlap(db: np.ndarray, tb: np.ndarray, crowd: np.ndarray) -> np.ndarray:
+        size = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
+        w = np.minimum(db[:, :, None, 2], tb[:, None, :, 2]) - np.maximum(db[:, :, None, 0], tb[:, None, :, 0])
+        h = np.minimum(db[:, :, None, 3], tb[:, None, :, 3]) - np.maximum(db[:, :, None, 1], tb[:, None, :, 1])
+        inter, own = np.maximum(w, 0) * np.maximum(h, 0), size(db)[:, :, None]
+        near = inter / np.maximum(own + size(tb)[:, None, :] - inter, 1e-300)
+        if not crowd.any():
+            return near
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(crowd[:, None, :], inter / own, near)
+
+    def run(g: Rows, starts: np.ndarray) -> Rows:
+        is_det, is_gt = ~np.isnan(g["det"].astype(float)), ~np.isnan(g["gt"].astype(float))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(is_det))))
+        d, t = np.nonzero(is_det)[0], np.nonzero(is_gt)[0]
+        boxes = np.column_stack([g[c].astype(float) for c in BOX])
+        size = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+        crowd = np.zeros(len(is_det), dtype=bool)
+        crowd[t] = g["ignore"][t].astype(bool)
         if sigmas:
             k = len(sigmas)
-            points = lambda some, width: np.array([*g["points"][some]], dtype=float).reshape(-1, k, width)
-            seen = points(t, 3)
-            crowd = crowd | ~(seen[:, :, 2] > 0).any(axis=1)
-            near = oks_matrix(points(d, 2), seen, tb, np.array(sigmas))
-        else:
-            near = iou_matrix(db, tb) if len(tb) else np.zeros((len(db), 0))
-        if crowd.any() and not sigmas:
-            w = np.minimum(db[:, None, 2], tb[None, :, 2]) - np.maximum(db[:, None, 0], tb[None, :, 0])
-            h = np.minimum(db[:, None, 3], tb[None, :, 3]) - np.maximum(db[:, None, 1], tb[None, :, 1])
-            near = np.where(crowd, np.maximum(w, 0) * np.maximum(h, 0) / size(db)[:, None], near)
-        n, parts = len(db), []
-        for name, (low, high) in AREAS.items():
-            ignored = crowd | (size(tb) < low) | (size(tb) > high)
-            outside = (size(db) < low) | (size(db) > high)
-            for threshold in THRESHOLDS:
-                to = _match(near, ignored, crowd, threshold)
-                hit = to >= 0
-                skip = np.where(hit, ignored[to] if len(tb) else False, outside)
-                parts.append((np.full(n, name, dtype=object), np.full(n, threshold), hit & ~skip, ~hit & ~skip))
-        area, threshold, tp, fp = (np.concatenate(c) for c in zip(*parts, strict=True))
-        own = {c: np.tile(g[c][d], len(parts)) for c in ("image", "class", "score")}
-        det = np.tile(g["det"][d].astype(np.int64), len(parts))
-        return own | {"det": det, "area": area, "threshold": threshold, "tp": tp.astype(np.int32), "fp": fp.astype(np.int32)}
+            points = {i: np.array(g["points"][i], dtype=float).reshape(k, -1) for i in np.nonzero(is_det | is_gt)[0].tolist()}
+            crowd[t] |= np.array([not (points[i][:, 2] > 0).any() for i in t.tolist()], dtype=bool)
+        dn, tn = np.bincount(group[d], minlength=len(starts)), np.bincount(group[t], minlength=len(starts))
+        d_from, t_from = np.append(0, np.cumsum(dn)), np.append(0, np.cumsum(tn))
+        tp, fp = np.zeros(len(d), dtype=np.int64), np.zeros(len(d), dtype=np.int64)
+        for some in _chunks(dn, tn):
+            n, m = int(dn[some].max()), int(tn[some].max())
+            if not n:
+                continue
+            has = np.arange(n) < dn[some][:, None]
+            place = np.where(has, d_from[some][:, None] + np.arange(n), 0)
+            row = d[place]
+            outside = np.stack([(size[row] < low) | (size[row] > high) for low, high in AREAS.values()], axis=2)[..., None]
+            if m:
+                valid = np.arange(m) < tn[some][:, None]
+                # the last truth comes first, as it wins ties
+                other = t[np.where(valid, t_from[some + 1][:, None] - 1 - np.arange(m), 0)]
+                theirs = crowd[other]
+                ignored = np.stack([theirs | (size[other] < low) | (size[other] > high) for low, high in AREAS.values()], axis=1)
+                if sigmas:
+                    near = np.full((len(some), n, m), -1.0)
+                    for x, (nd, nt) in enumerate(zip(dn[some].tolist(), tn[some].tolist(), strict=True)):
+                        if nd and nt:
+                            mine, own = (np.array([points[i] for i in r.tolist()]) for r in (row[x, :nd], other[x, :nt]))
+                            near[x, :nd, :nt] = oks_matrix(mine[:, :, :2], own, boxes[other[x, :nt]], np.array(sigmas))
+                else:
+                    near = overlap(boxes[row], boxes[other], theirs)
+                near[~has] = -1.0
+                hit, skip = _match_many(near, valid, ignored, theirs)
+            else:
+                hit = skip = np.zeros((len(some), n, len(AREAS), len(THRESHOLDS)), dtype=bool)
+            false = ~hit & ~outside
+            tp[place[has]] = (hit & ~skip).reshape(len(some), n, -1)[has] @ bit
+            fp[place[has]] = false.reshape(len(some), n, -1)[has] @ bit
+        return {c: g[c][d] for c in ("image", "class", "score")} | {"det": g["det"][d].astype(np.int64), "tp": tp, "fp": fp}
 
     kinds = dict(dets.dtypes)
-    schema = f"image {kinds['image']}, class {kinds['class']}, det long, score double, area string, threshold double, tp int, fp int"
+    schema = f"image {kinds['image']}, class {kinds['class']}, det long, score double, tp long, fp long"
     ignore = F.col("ignore") if "ignore" in gts.columns else F.lit(False)
     both = with_truths(dets.withColumn("ignore", F.lit(False)), gts.withColumn("ignore", ignore), ["image", "class"], ("ignore", *more))
-    return map_groups(both, ["image", "class"], BY_SCORE, run, schema)
+    return map_groups(both, ["image", "class"], BY_SCORE, run, schema, many=True)
+
+
+def _setting(k: Column) -> list[Column]:
+    """The area and the threshold of a bit of ``coco_marks``."""
+    area = F.array(*[F.lit(a) for a in AREAS])[F.floor(k / len(THRESHOLDS)).cast("int")]
+    return [area.alias("area"), F.array(*[F.lit(t) for t in THRESHOLDS])[k % len(THRESHOLDS)].alias("threshold")]
+
+
+def coco_matches(dets: DataFrame, gts: DataFrame, most: int = 100, sigmas: list[float] | None = None) -> DataFrame:
+    """(class, image, det, score, area, threshold, tp, fp) of the ``most`` best detections of each image and class.
+
+    Truths marked ``ignore`` are crowds: overlap with them is over the detection's own area and makes
+    it neither. Truths outside an area range, and unmatched detections outside it, don't count there.
+    With ``sigmas``, one for each keypoint, both sides have an array ``points`` (x, y and, of truths,
+    visible, one after the other), and overlap is keypoint similarity; truths without a visible point are
+    ignored.
+    """
+    each = coco_marks(dets, gts, most, sigmas).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SETTINGS - 1))))
+    bits = [F.expr(f"int(shiftright({c}, k) & 1)").alias(c) for c in ("tp", "fp")]
+    return each.select("image", "class", "det", "score", *_setting(F.col("k")), *bits)
 
 
 def coco_summary(dets: DataFrame, gts: DataFrame, most: int = 100, sigmas: list[float] | None = None) -> DataFrame:
     """AP of each area and threshold by 101-point interpolation, and the greatest recall: mean over classes that have truths there."""
-    counts, each = _by_class(dets, gts, coco_matches(dets, gts, most, sigmas), sigmas)
+    counts, each = _by_class(dets, gts, coco_marks(dets, gts, most, sigmas), sigmas)
     grid = counts.crossJoin(dets.sparkSession.createDataFrame([(t,) for t in THRESHOLDS], "threshold double"))
     every = grid.join(each, ["class", "area", "threshold"], "left")
     return every.groupBy("area", "threshold").agg(
@@ -115,7 +193,7 @@ def lvis_summary(dets: DataFrame, gts: DataFrame, images: DataFrame, categories:
     here = gts.select("image", "class").union(images.select("image", F.explode("none").alias("class"))).distinct()
     judged = dets.join(here, ["image", "class"], "left_semi")
     partly = images.select("image", F.explode("partly").alias("class")).distinct().withColumn("partly", F.lit(True))
-    marked = coco_matches(judged, gts, most).where("area = 'all'").join(partly, ["image", "class"], "left")
+    marked = coco_marks(judged, gts, most).join(partly, ["image", "class"], "left")
     marked = marked.withColumn("fp", F.when(F.col("partly"), F.lit(0)).otherwise(F.col("fp"))).drop("partly")
     counts, each = _by_class(dets, gts, marked)
     grid = counts.where("area = 'all'").crossJoin(dets.sparkSession.createDataFrame([(t,) for t in THRESHOLDS], "threshold double"))
@@ -124,34 +202,73 @@ def lvis_summary(dets: DataFrame, gts: DataFrame, images: DataFrame, categories:
     return named.groupBy("frequency").agg(F.avg("ap").alias("ap"))
 
 
-def _by_class(dets: DataFrame, gts: DataFrame, matches: DataFrame, sigmas: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Truths of each class and area, and (class, area, threshold, recall, ap) of ``coco_matches``."""
+def _by_class(dets: DataFrame, gts: DataFrame, marks: DataFrame, sigmas: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Truths of each class and area, and (class, area, threshold, recall, ap) of the ``coco_marks`` of some ``dets``."""
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     real = gts.where(~F.col("ignore")) if "ignore" in gts.columns else gts
     if sigmas:
         seen = F.filter("points", lambda x, i: (i % 3 == 2) & (x > 0))
         real = real.where(F.size(seen) > 0)
-    counts = None
-    for name, (low, high) in AREAS.items():
-        part = real.where((size >= low) & (size <= high)).groupBy("class").agg(F.count("*").alias("truths")).withColumn("area", F.lit(name))
-        counts = part if counts is None else counts.union(part)
-    keys = ["class", "area", "threshold"]
-    marked = matches.where("tp + fp > 0").select(*keys, "image", "det", "score", "tp", "fp")
-    cum = running_totals(
-        marked, "score", ["tp", "fp"], keys=keys, ties=["image", "det"]
-    ).withColumnsRenamed({"tp_to_here": "tps", "fp_to_here": "fps"}).join(counts, ["class", "area"])
-    points = cum.select(
-        "class",
-        "area",
-        "threshold",
-        (F.col("tps") / F.col("truths")).alias("recall"),
-        (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision")
+    inside = [F.count(F.when((size >= low) & (size <= high), 1)) for low, high in AREAS.values()]
+    truths = real.groupBy("class").agg(F.array(*inside).alias("truths"))
+    counts = truths.select("class", F.posexplode("truths").alias("at", "truths")).where("truths > 0").select(
+        "class", F.array(*[F.lit(a) for a in AREAS])[F.col("at")].alias("area"), "truths"
     )
-    points = points.groupBy("class", "area", "threshold", "recall").agg(F.max("precision").alias("precision"))
-    # a recall r is the best precision for the goals up to r: floor(100 r) is the last, and a maximum carries it down
-    last = F.floor(F.col("recall") * 100 + 1e-9).cast("int")
-    at = points.groupBy("class", "area", "threshold", last.alias("goal")).agg(F.max("precision").alias("p"), F.max("recall").alias("r"))
-    full = at.groupBy("class", "area", "threshold").agg(
+    order = dets.select(F.col("score").cast("double").alias("score"), "image", F.col("det").cast("long").alias("det"))
+    kind = f"class {dict(marks.dtypes)['class']}"
+    # both the totals and the curves read one shuffle
+    laid = marks.select("class", "image", "det", "score", "tp", "fp").withColumn(
+        "part", part_of(order, "score", ties=["image", "det"]).cast("int")
+    ).repartition("class", "part")
+
+    def bits(column: np.ndarray, k: int) -> np.ndarray:
+        return (column >> k) & 1
+
+    def total(t: pa.Table) -> pa.Table:
+        tp, fp = (t.column(c).to_numpy() for c in ("tp", "fp"))
+        sums = [[int(bits(c, k).sum()) for k in range(SETTINGS)] for c in (tp, tp | fp)]
+        return t.slice(0, 1).select(["class", "part"]).append_column("tps", pa.array([sums[0]])).append_column("all", pa.array([sums[1]]))
+
+    def earlier(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        for name in ("tps", "all"):
+            own = np.array(t.column(name).to_pylist(), dtype=np.int64)
+            t = t.set_column(t.column_names.index(name), name, pa.array([*(np.cumsum(own, axis=0) - own)], pa.list_(pa.int64())))
+        return t
+
+    def curve(t: pa.Table, before: pa.Table) -> pa.Table:
+        found = {"k": [], "goal": [], "p": [], "r": []}
+        if t.num_rows and before.num_rows:
+            tps_before, all_before, truths = (before.column(c)[0].as_py() for c in ("tps", "all", "truths"))
+            by = pc.sort_indices(t, [("score", "descending"), ("image", "ascending"), ("det", "ascending")]).to_numpy()
+            tp, fp = (t.column(c).to_numpy()[by] for c in ("tp", "fp"))
+            either = tp | fp
+            for k in range(SETTINGS):
+                of, at = truths[k // len(THRESHOLDS)], np.nonzero(bits(tp, k))[0]
+                if not of or not len(at):
+                    continue  # rows that are no hit make no point of their own: their precision is lower at the same recall
+                hits = tps_before[k] + np.arange(1, len(at) + 1)
+                precision = hits / (all_before[k] + np.cumsum(bits(either, k))[at])
+                goal = np.floor(hits / of * 100 + 1e-9).astype(np.int32)
+                first = np.append(0, np.nonzero(np.diff(goal))[0] + 1)
+                found["k"].append(np.full(len(first), k, dtype=np.int32))
+                found["goal"].append(goal[first])
+                found["p"].append(np.maximum.reduceat(precision, first))
+                found["r"].append(np.full(len(first), hits[-1] / of))
+        n = sum(map(len, found["k"]))
+        names = pa.table({c: np.concatenate(v) if v else pa.array([], pa.int32() if c in ("k", "goal") else pa.float64()) for c, v in found.items()})
+        return names.add_column(0, "class", t.column("class").combine_chunks().take(pa.array(np.zeros(n, dtype=np.int64))))
+
+    totals = laid.groupBy("class", "part").applyInArrow(total, f"{kind}, part int, tps array<long>, all array<long>")
+    offsets = totals.groupBy("class").applyInArrow(earlier, f"{kind}, part int, tps array<long>, all array<long>").join(truths, "class")
+    points = laid.groupBy("class", "part").cogroup(offsets.groupBy("class", "part")).applyInArrow(
+        curve, f"{kind}, k int, goal int, p double, r double"
+    )
+    keys = ["class", "area", "threshold"]
+    points = points.select("class", *_setting(F.col("k")), "goal", "p", "r")
+    # a recall is the best precision for the goals up to it: its own goal is the last, and a maximum carries it down
+    at = points.groupBy(*keys, "goal").agg(F.max("p").alias("p"), F.max("r").alias("r"))
+    full = at.groupBy(*keys).agg(
         F.max("r").alias("recall"), F.map_from_entries(F.collect_list(F.struct("goal", "p"))).alias("best")
     )  # at most 101 entries
     later = lambda i: F.array_max(

@@ -1,5 +1,6 @@
 """Registered queries over tables that the supplied ones have no case of."""
 
+import functools
 import re
 
 import duckdb
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import search
+from lodestar.operators import cumulative, detection_eval, search
 from lodestar.plans.queries import ORACLES, QUERIES
 
 
@@ -38,3 +39,73 @@ def test_int8_search_makes_no_row_for_each_pair(spark, capsys, profile):
     assert not re.search("NestedLoop|Cartesian", capsys.readouterr().out)
     QUERIES["t2_grouped_topk_int8"](spark, "/root/testdata/sf0.001").explain()
     assert not re.search("NestedLoop|Cartesian", capsys.readouterr().out)
+
+
+def plain_match(near, ignored, crowd, threshold):
+    """The truth of each detection in order, -1 for none: the best free one at the threshold, real ones first."""
+    free, out = np.ones(near.shape[1], dtype=bool), []
+    for row in near:
+        out.append(-1)
+        for group in (~ignored, ignored):
+            fits = np.nonzero(group & (free | crowd) & (row >= threshold))[0]
+            if len(fits):
+                out[-1] = max(fits, key=lambda j: (row[j], j))
+                free[out[-1]] = False
+                break
+    return out
+
+
+def boxes_with_ties(spark):
+    r = np.random.default_rng(8)
+    dets, gts = [], []
+    for image in range(9):
+        for kind in range(3):
+            for i in range(int(r.integers(0, 14))):
+                x, y, s = r.integers(0, 3, 2).tolist() + [int(r.choice([20, 30, 90, 100]))]
+                dets.append((image, kind, i, float(x), float(y), float(x + s), float(y + s), float(r.choice([0.2, 0.5, 0.9]))))
+            for i in range(int(r.integers(0, 7))):
+                x, y, s = r.integers(0, 3, 2).tolist() + [int(r.choice([20, 30, 90, 100]))]
+                gts.append((image, kind, i, float(x), float(y), float(x + s), float(y + s), bool(r.random() < 0.3)))
+    box = "x1 double, y1 double, x2 double, y2 double"
+    return dets, gts, spark.createDataFrame(dets, f"image long, class long, det long, {box}, score double"), spark.createDataFrame(
+        gts, f"image long, class long, gt long, {box}, ignore boolean"
+    )
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 50])
+def test_coco_matches_of_many_groups_are_those_of_each(spark, monkeypatch, cells):
+    monkeypatch.setattr(detection_eval, "CELLS", cells)
+    d, t, dets, gts = boxes_with_ties(spark)
+    size = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    want = {}
+    for key in {x[:2] for x in d}:
+        own = sorted((x for x in d if x[:2] == key), key=lambda x: (-x[7], x[2]))[:5]
+        others = sorted(x for x in t if x[:2] == key)
+        db, tb = (np.array([x[3:7] for x in rows]).reshape(-1, 4) for rows in (own, others))
+        crowd = np.array([x[7] for x in others], dtype=bool)
+        w, h = (np.maximum(np.minimum(db[:, None, k + 2], tb[:, k + 2]) - np.maximum(db[:, None, k], tb[:, k]), 0) for k in (0, 1))
+        near = w * h / np.where(crowd, size(db)[:, None], size(db)[:, None] + size(tb) - w * h)
+        for area, (low, high) in detection_eval.AREAS.items():
+            ignored = crowd | (size(tb) < low) | (size(tb) > high)
+            for threshold in detection_eval.THRESHOLDS:
+                for x, b, j in zip(own, size(db), plain_match(near, ignored, crowd, threshold), strict=True):
+                    skip = ignored[j] if j >= 0 else not low <= b <= high
+                    want[*key, x[2], area, threshold] = (int(j >= 0 and not skip), int(j < 0 and not skip))
+    got = detection_eval.coco_matches(dets, gts, 5).collect()
+    assert {(x["image"], x["class"], x["det"], x["area"], x["threshold"]): (x["tp"], x["fp"]) for x in got} == want
+    assert len(got) == len(want) == 40 * detection_eval.coco_marks(dets, gts, 5).count()
+
+
+def test_coco_summary_deals_a_row_for_each_detection(spark, monkeypatch, capsys):
+    _, _, dets, gts = boxes_with_ties(spark)
+    summary = detection_eval.coco_summary(dets, gts)
+    one = sorted(map(tuple, summary.collect()))
+    assert len(one) == 40 and any(x[2] > 0 for x in one)
+    summary.explain()
+    assert "shiftright" not in capsys.readouterr().out  # which makes a row for each area and threshold
+    cut = functools.partial(cumulative.part_of, part_rows=7)
+    assert not cut(dets, "score", ties=["image", "det"])._jc.toString().isdigit()
+    monkeypatch.setattr(detection_eval, "part_of", cut)
+    many = sorted(map(tuple, detection_eval.coco_summary(dets, gts).collect()))
+    assert [x[:2] for x in many] == [x[:2] for x in one]
+    assert np.allclose([x[2:] for x in many], [x[2:] for x in one], rtol=0, atol=1e-12)
