@@ -68,12 +68,12 @@ def _match_many(near: np.ndarray, valid: np.ndarray, ignored: np.ndarray, crowd:
     return hit, skip
 
 
-def _chunks(detections: np.ndarray, truths: np.ndarray) -> list[np.ndarray]:
+def _chunks(detections: np.ndarray, truths: np.ndarray, cells: int) -> list[np.ndarray]:
     """Groups of like numbers of truths, as many at a time as keep the padded arrays to a few million cells."""
     order, out, start, most = np.lexsort((detections, truths)), [], 0, 0
     for at, g in enumerate(order.tolist()):
         most = max(most, int(detections[g]))
-        if at > start and (at + 1 - start) * max(int(truths[g]), 1) * max(most, SETTINGS) > CELLS:
+        if at > start and (at + 1 - start) * max(int(truths[g]), 1) * max(most, SETTINGS) > cells:
             out.append(order[start:at])
             start, most = at, int(detections[g])
     return [*out, order[start:]] if len(order) else []
@@ -87,7 +87,7 @@ def coco_marks(dets: DataFrame, gts: DataFrame, most: int = 100, sigmas: list[fl
     """
     dets = rank_sample(dets, ["image", "class"], [F.desc("score"), F.col("det")], most)
     more = ("points",) if sigmas else ()
-    bit = 1 << np.arange(SETTINGS, dtype=np.int64)
+    bit, cells = 1 << np.arange(SETTINGS, dtype=np.int64), CELLS
 
     def overlap(db: np.ndarray, tb: np.ndarray, crowd: np.ndarray) -> np.ndarray:
         size = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
@@ -115,7 +115,7 @@ def coco_marks(dets: DataFrame, gts: DataFrame, most: int = 100, sigmas: list[fl
         dn, tn = np.bincount(group[d], minlength=len(starts)), np.bincount(group[t], minlength=len(starts))
         d_from, t_from = np.append(0, np.cumsum(dn)), np.append(0, np.cumsum(tn))
         tp, fp = np.zeros(len(d), dtype=np.int64), np.zeros(len(d), dtype=np.int64)
-        for some in _chunks(dn, tn):
+        for some in _chunks(dn, tn, cells):
             n, m = int(dn[some].max()), int(tn[some].max())
             if not n:
                 continue

@@ -5,11 +5,13 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import cumulative, detection_eval, search
 from lodestar.plans.queries import ORACLES, QUERIES
+from lodestar.streaming import tracking
 
 
 def test_j10_pages_of_one_address(spark, tmp_path):
@@ -109,3 +111,50 @@ def test_coco_summary_deals_a_row_for_each_detection(spark, monkeypatch, capsys)
     many = sorted(map(tuple, detection_eval.coco_summary(dets, gts).collect()))
     assert [x[:2] for x in many] == [x[:2] for x in one]
     assert np.allclose([x[2:] for x in many], [x[2:] for x in one], rtol=0, atol=1e-12)
+
+
+def crowded_videos():
+    r, out = np.random.default_rng(5), []
+    for video, frames in ((None, 6), (1, 1), (2, 70), (3, 25), (4, 40)):
+        for frame in range(frames):
+            if r.random() < 0.1:
+                continue
+            for det in range(int(r.integers(1, 9))):
+                x, y = r.integers(0, 5, 2) * 5.0
+                w, h = r.choice([40.0, 45.0], 2)
+                out.append((video, frame * 3, det, x, y, x + w, y + h, float(r.choice([0.3, 0.55, 0.7, 0.9]))))
+    return out
+
+
+def test_videos_side_by_side_are_tracked_as_each_alone():
+    rows, want = crowded_videos(), []
+    for video in dict.fromkeys(x[0] for x in rows):
+        tracker = tracking.Tracker()
+        for frame in dict.fromkeys(x[1] for x in rows if x[0] == video):
+            own = np.array([x[3:] for x in rows if x[:2] == (video, frame)])
+            want += [(video, frame, t, s, *b) for t, s, b in tracker.frame(own[:, :4], own[:, 4])]
+    names = ["video", "frame", "det", *tracking.BOX, "score"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    numbers = [(c, pa.float64()) for c in ("score", *tracking.BOX)]
+    schema = pa.schema([("video", pa.int64()), ("frame", pa.int64()), ("track", pa.int64()), *numbers])
+    by = lambda x: (-1 if x[0] is None else x[0], *x[1:3])
+    for most, batch in ((10_000, 10_000), (60, 7), (60, 200), (1, 1), (5, 3)):
+        made = tracking._Videos("video", 30, most, schema).run(iter(table.to_batches(max_chunksize=batch)))
+        got = sorted((tuple(x.values()) for b in made for x in b.to_pylist()), key=by)
+        assert [x[:3] for x in got] == [x[:3] for x in sorted(want, key=by)] and len(got) > 300
+        assert np.allclose([x[3:] for x in got], [x[3:] for x in sorted(want, key=by)], rtol=0, atol=1e-6)
+
+
+def test_many_assignments_are_those_of_each():
+    r = np.random.default_rng(6)
+    for values in ([0.1, 0.3, 0.5, 0.8, 1.0], np.arange(1, 400) / 400):
+        costs = [r.choice(values, tuple(r.integers(1, 6, 2))) for _ in range(300)]
+        i = np.concatenate([np.repeat(np.arange(len(c)), c.shape[1]) + sum(map(len, costs[:k])) for k, c in enumerate(costs)])
+        j = np.concatenate([np.tile(np.arange(c.shape[1]), len(c)) + sum(x.shape[1] for x in costs[:k]) for k, c in enumerate(costs)])
+        lane = np.repeat(np.arange(len(costs)), [c.size for c in costs])
+        a, b = tracking._assign_many(np.concatenate([c.ravel() for c in costs]), i, j, lane, 0.8)
+        want, rows, columns = [], 0, 0
+        for c in costs:
+            want += [(x + rows, y + columns) for x, y in tracking.assign(c, 0.8)]
+            rows, columns = rows + len(c), columns + c.shape[1]
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(want)
